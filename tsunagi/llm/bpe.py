@@ -9,12 +9,15 @@ bytes takes about n pushes and pops, and a piece of a million letters costs no m
 from __future__ import annotations
 
 import base64
-import heapq
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,109 +25,104 @@ from pyspark.sql import types as T
 
 from .common import table
 
-#: Bits of a word of the bitmap.
-BITS = 256
+#: Characters below this one are told apart by listed classes.
+NARROW = 0x250
 #: Pieces that a worker remembers, and the longest piece that it remembers.
-REMEMBERED, LONGEST = 200_000, 48
-#: Texts that are encoded at a time, in characters.
+REMEMBERED, LONGEST = 500_000, 48
+#: Bytes of text that are encoded at a time.
 SLICE = 4_000_000
 
 
-class RankQueue:
-    """Positions by rank; pop() gives the least rank's least position."""
-
-    def __init__(self, ranks: int):
-        self.levels: list[dict[int, int]] = [{}]
-        while ranks > BITS:
-            ranks = -(-ranks // BITS)
-            self.levels.append({})
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = divmod(rank, BITS)
-            old = level.get(word, 0)
-            level[word] = old | 1 << bit
-            if old:
-                return
-            rank = word
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.buckets:
-            return None
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            rank = rank * BITS + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word, bit = divmod(at, BITS)
-                level[word] &= ~(1 << bit)
-                if level[word]:
-                    break
-                del level[word]
-                at = word
-        return rank, position
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def _narrow(pattern: str) -> str:
+    """`pattern` for texts of characters below NARROW alone, where classes can be listed; Python's own re then serves."""
+    for name in "LN":
+        chars = "".join(re.escape(chr(i)) for i in range(NARROW) if unicodedata.category(chr(i))[0] == name)
+        inside = re.sub(r"(\[[^\]]*)\\p\{%s\}" % name, lambda m: m[1] + chars, pattern)
+        pattern = inside.replace(r"\p{%s}" % name, f"[{chars}]")
+    return pattern
+
+
 class Bpe:
     """Encodes and decodes by merge ranks; `pattern` splits a text into pieces that are encoded separately."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.width, self.size = ranks, max(map(len, ranks)), max(ranks.values()) + 1
-        self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.ranks, self.width = ranks, max(map(len, ranks))
+        # white space as Unicode defines it, as the tokenizer library has it; Python adds four control characters
+        unicode_space = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        self.wide, self.narrow = regex.compile(unicode_space).findall, re.compile(_narrow(pattern)).findall
+        self.odd = re.compile(f"[^\\x00-\\x1b\\x20-{chr(NARROW - 1)}]").search
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def split(self, text: str) -> list[str]:
+        return (self.wide if self.odd(text) else self.narrow)(text)
+
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        ranks, width = self.ranks, self.width
-        if (whole := ranks.get(piece)) is not None:
+        """The ids of a piece.
+
+        `buckets` holds, for each rank, a heap of positions whose symbol merges with the next one at that rank; bit
+        r % 256 of `words[r // 256]` says whether the bucket has any, and bit w of `top` whether words[w] has any.
+        """
+        get, width, n = self.ranks.get, self.width, len(piece)
+        if (whole := get(piece)) is not None:
             return (whole,)
-        n = len(piece)
         after = list(range(1, n + 1))  # where the symbol that starts here ends
-        before = list(range(-1, n))
-        pair: list[int | None] = [None] * n  # the rank of a symbol with the next one; None: no merge, or no symbol here
-        queue = RankQueue(self.size)
-
-        def look(at: int) -> None:
-            end = after[at]
-            rank = None
-            if end < n and after[end] - at <= width:
-                rank = ranks.get(piece[at : after[end]])
-                if rank is not None:
-                    queue.push(rank, at)
-            pair[at] = rank
-
-        for i in range(n - 1):
-            look(i)
-        while (top := queue.pop()) is not None:
-            rank, at = top
+        before = list(range(-1, n))  # where the symbol before it starts
+        pair = [-1] * n  # the rank of a symbol with the next one; -1: they don't merge, or no symbol starts here
+        buckets: dict[int, list[int]] = {}
+        words: dict[int, int] = {}
+        top = 0
+        for at in range(n - 1):
+            if (rank := get(piece[at : at + 2])) is not None:
+                pair[at] = rank
+                if (bucket := buckets.get(rank)) is None:
+                    buckets[rank] = [at]
+                    word = rank >> 8
+                    words[word] = words.get(word, 0) | 1 << (rank & 255)
+                    top |= 1 << word
+                else:
+                    bucket.append(at)
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            rank = word << 8 | (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            at = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                words[word] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
             if pair[at] != rank:
                 continue  # stale
             gone = after[at]
-            end = after[gone]
-            after[at], pair[gone] = end, None
+            end = after[at] = after[gone]
+            pair[gone] = -1
             if end < n:
                 before[end] = at
-            look(at)
-            if before[at] >= 0:
-                look(before[at])
+            for first in (at, before[at]):
+                if first < 0:
+                    continue
+                middle = after[first]
+                rank = get(piece[first : after[middle]]) if middle < n and after[middle] - first <= width else None
+                if rank is None:
+                    pair[first] = -1
+                    continue
+                pair[first] = rank
+                if (bucket := buckets.get(rank)) is None:
+                    buckets[rank] = [first]
+                    word = rank >> 8
+                    words[word] = words.get(word, 0) | 1 << (rank & 255)
+                    top |= 1 << word
+                else:
+                    heappush(bucket, first)
         out, at = [], 0
         while at < n:
-            out.append(ranks[piece[at : after[at]]])
+            out.append(get(piece[at : after[at]]))
             at = after[at]
         return tuple(out)
 
@@ -143,8 +141,8 @@ class Bpe:
 
 
 def _slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most SLICE bytes of column `name`, or one row."""
-    sizes = np.cumsum(batch.column(name).is_valid().to_numpy(zero_copy_only=False) * 1 + np.asarray([x.as_buffer().size if x.is_valid else 0 for x in batch.column(name).cast(pa.large_binary())]))
+    """The batch in parts of at most SLICE bytes of column `name` (no nulls), or one row."""
+    sizes = np.cumsum(pc.binary_length(batch.column(name)).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         base = sizes[start - 1] if start else 0
@@ -157,8 +155,8 @@ def _slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
 _coders: dict[tuple[int, str], Bpe] = {}
 
 
-def _coder(vocabulary, pattern: str) -> Bpe:
-    key = (vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary), pattern)
+def _coder(vocabulary, name: str, pattern: str) -> Bpe:
+    key = (name, pattern)
     if key not in _coders:
         _coders.clear()
         _coders[key] = Bpe(vocabulary.value, pattern)
@@ -177,7 +175,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     schema = T.StructType([*source.select(*keep).schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(vocabulary, pattern)
+        coder = _coder(vocabulary, ranks_path, pattern)
         for whole in batches:
             for batch in _slices(whole, ids_col):
                 ids = [coder.encode(x) for x in batch.column(ids_col).to_pylist()]
