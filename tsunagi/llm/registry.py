@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, secrets
+from . import bpe, decontaminate, exact_dedup, near_dedup, secrets, substring_dedup
 
 
 def queries() -> dict:
-    found = [bpe.op3_bpe_codec, exact_dedup.op5_exact_dedup, secrets.op6_secret_scan]
+    found = [
+        decontaminate.op1_decontaminate,
+        bpe.op3_bpe_codec,
+        substring_dedup.op4_substring_dedup,
+        exact_dedup.op5_exact_dedup,
+        secrets.op6_secret_scan,
+        near_dedup.op10_near_dedup,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL, "op6_secret_scan": secrets.SQL}
+    return {"op4_substring_dedup": substring_dedup.SQL, "op5_exact_dedup": exact_dedup.SQL, "op6_secret_scan": secrets.SQL}
