@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, near_dedup, secrets, substring_dedup
+from . import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, secrets, substring_dedup
 
 
 def queries() -> dict:
     found = [
         decontaminate.op1_decontaminate,
+        line_dedup.op2_line_dedup,
         bpe.op3_bpe_codec,
         substring_dedup.op4_substring_dedup,
         exact_dedup.op5_exact_dedup,
@@ -18,4 +19,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring_dedup.SQL, "op5_exact_dedup": exact_dedup.SQL, "op6_secret_scan": secrets.SQL}
+    return {
+        "op2_line_dedup": line_dedup.SQL,
+        "op4_substring_dedup": substring_dedup.SQL,
+        "op5_exact_dedup": exact_dedup.SQL,
+        "op6_secret_scan": secrets.SQL,
+    }
