@@ -1,7 +1,51 @@
-"""Five stages over `documents`."""
+"""From raw documents to token ids, in five stages, each of which works on all that the one before has kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tsunagi.llm import bpe, decontaminate, langid, line_dedup, near_dedup
+from tsunagi.llm.common import staged, table
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language was found."""
+    return langid.drop_unidentified(docs)
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that an earlier line is similar to; a document may be left empty."""
+    done = line_dedup.dedup_lines(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near duplicates."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the decoded bytes."""
+    coded = bpe.coded(docs, ("doc_id", "lang", "source"))
+    return bpe.digests(coded, "doc_id", "lang", "source", "ids")
+
+
+STAGES = [("language", identified), ("lines", lines_once), ("near_duplicates", one_of_each), ("benchmark", clean), ("tokens", tokens)]
+
+#: The aligned near-duplicate candidates and the merges of BPE are beyond SQL; a brute-force version stands in the tests.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = staged(docs)
+    return docs

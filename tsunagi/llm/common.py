@@ -23,6 +23,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own that driver and executors share."""
+    return f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage of `df` with a reliable checkpoint, in the shared folder that the session names
     in spark.checkpoint.dir; a folder of its own is taken only where none is set."""
@@ -42,6 +47,6 @@ def text_or_empty(name: str = "text"):
 
 def staged(df: DataFrame) -> DataFrame:
     """Like cut, but written as Parquet, which takes less room for wide rows."""
-    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

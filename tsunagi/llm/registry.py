@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, secrets, substring_dedup
+from . import bpe, decontaminate, exact_dedup, html_text, langid, line_dedup, near_dedup, rollups, secrets, substring_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,9 @@ def queries() -> dict:
         substring_dedup.op4_substring_dedup,
         exact_dedup.op5_exact_dedup,
         secrets.op6_secret_scan,
+        rollups.op7_token_counts,
+        html_text.op8_html_extraction,
+        langid.op9_language_id,
         near_dedup.op10_near_dedup,
     ]
     return {f.__name__: f for f in found}
@@ -24,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": substring_dedup.SQL,
         "op5_exact_dedup": exact_dedup.SQL,
         "op6_secret_scan": secrets.SQL,
+        "op7_token_counts": rollups.SQL,
     }
