@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import map_arrow, table
 
 #: Characters below this one are told apart by listed classes.
 NARROW = 0x250
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                 flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*keep, ids_col])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -206,7 +206,7 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col:
             texts = [b"".join(map(piece, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, bytes_col])
 
-    return tokens.mapInArrow(run, schema)
+    return map_arrow(tokens, run, schema)
 
 
 def coded(docs: DataFrame, keep: Iterable[str] = ("doc_id",)) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow, on executors that may not have this package installed: it is sent to them once a session."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        path = f"{tempfile.mkdtemp(prefix='package-')}/{package.name}_package.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(function, schema)
+
+
 def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
@@ -28,11 +49,24 @@ def new_folder(spark: SparkSession) -> str:
     return f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _no_shuffle_files_left(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled inside is removed when it has been written, as no one reads it again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage of `df` with a reliable checkpoint, in the shared folder that the session names
     in spark.checkpoint.dir; a folder of its own is taken only where none is set."""
     _shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with _no_shuffle_files_left(df.sparkSession):
+        return df.select("*").checkpoint()  # the setting holds for queries that are made under it
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -48,5 +82,6 @@ def text_or_empty(name: str = "text"):
 def staged(df: DataFrame) -> DataFrame:
     """Like cut, but written as Parquet, which takes less room for wide rows."""
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+    with _no_shuffle_files_left(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

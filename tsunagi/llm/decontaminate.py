@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, map_arrow, small, table
 from .shingles import find_words, hashed, shingles
 
 #: Words of a seed, which are also the fewest words of a tile.
@@ -90,7 +90,7 @@ def _seeds(df: DataFrame, id_col: str, text_col: str, k: int, only=None) -> Data
                     names=["row", "id", "n_words", "mark", "at"],
                 )
 
-    return source.mapInArrow(run, f"row long, id {df.schema[id_col].dataType.simpleString()}, n_words int, mark array<long>, at array<int>")
+    return map_arrow(source, run, f"row long, id {df.schema[id_col].dataType.simpleString()}, n_words int, mark array<long>, at array<int>")
 
 
 def contaminated(
@@ -136,7 +136,7 @@ def contaminated(
                 yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("item"), rows.column("item_words"), pa.array(covered, pa.int32()), pa.array(all_tiles, kind)], names=["id", "item", "item_words", "covered_words", "tiles"])
 
     kind = lambda df, name: df.schema[name].dataType.simpleString()
-    tiled = pairs.mapInArrow(run, f"id {kind(docs, doc_id)}, item {kind(benchmark, item_id)}, item_words int, covered_words int, tiles array<struct<doc_at:int,item_at:int,words:int>>").distinct()
+    tiled = map_arrow(pairs, run, f"id {kind(docs, doc_id)}, item {kind(benchmark, item_id)}, item_words int, covered_words int, tiles array<struct<doc_at:int,item_at:int,words:int>>").distinct()
     item_name = item_id if item_id != doc_id else f"item_{item_id}"
     return tiled.select(
         F.col("id").alias(doc_id), F.col("item").alias(item_name), "item_words", "covered_words",

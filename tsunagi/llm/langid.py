@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, map_arrow, small, table
 
 #: The text model is fitted on at most so many rows that declare a language, those with the least hashes of their ids.
 FIT_ROWS = 4_000
@@ -74,7 +74,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, declared_col: str, rows: in
     frequent = [r["language"] for r in shares.groupBy("language").count().filter(F.col("count") >= LEAST_SHARE * total).collect()]  # at most 1/LEAST_SHARE
     languages = sorted(frequent)
     table = np.full((BUCKETS, max(1, len(languages))), 0.5)
-    counted = shares.filter(F.col("language").isin(languages)).mapInArrow(run, "language string, bucket int, n long") if languages else None
+    counted = map_arrow(shares.filter(F.col("language").isin(languages)), run, "language string, bucket int, n long") if languages else None
     if counted is not None:
         for language, bucket, n in counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).filter("n > 0").collect():  # languages x buckets
             table[bucket, languages.index(language)] += n
@@ -100,7 +100,7 @@ def text_evidence(docs: DataFrame, model: TextModel, text_col: str, columns: dic
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(counts, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=[*names, "n_grams", "evidence"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.drop("body").schema)
-    return source.mapInArrow(run, f"{kinds}, n_grams long, evidence array<double>")
+    return map_arrow(source, run, f"{kinds}, n_grams long, evidence array<double>")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", url_col: str | None = None, model: TextModel | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions alone.
 
 A line is the set of its words. Words are ordered by rarity, and two sets of similarity t or more must share a word
-among their first few (the prefix). So the prefixes are joined word by word, lengths and positions rule most pairs
-out, and the sets of the rest are compared in full. A line goes if any earlier line is that similar.
+among their first few (the prefix). So the prefixes are joined word by word; lengths, positions and bits that bound the
+difference of two sets rule nearly all other pairs out, and the sets of the rest are compared in full. A line goes if any earlier line is that similar.
 
 * Rarity is counted in a fixed number of buckets of word hashes, and a byte for each bucket goes into the plan. Any
   order that is the same for all lines gives exact results, so the table keeps one size, whatever the vocabulary.
@@ -32,7 +32,8 @@ SAMPLE, HOT, MOST_HOT, PARTS = 32, 8, 50_000, 8
 #: Buckets of lines whose words are looked at again.
 LINES = 1 << 20
 
-WORDS = r"[\p{L}\p{N}]+"
+#: Characters besides the space that part words.
+SPACES = "\t\r\f\v"
 
 
 def _bucket(mark: Column) -> Column:
@@ -40,12 +41,12 @@ def _bucket(mark: Column) -> Column:
 
 
 def _rarity(marked: DataFrame) -> Column:
-    """How common the words of each bucket are, a byte a bucket, the logarithm of their number."""
+    """How common the words of each bucket are, from 0 to 255, as an array: the logarithm of their number."""
     counts = marked.select(F.explode("marks").alias("mark")).groupBy(_bucket(F.col("mark")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    common = bytearray(BUCKETS)
+    common = [0] * BUCKETS
     for bucket, n in counts.collect():  # at most BUCKETS rows
         common[bucket] = min(255, round(7 * math.log2(n + 1)))
-    return F.lit(common)
+    return F.split(F.lit(",".join(map(str, common))), ",").cast("array<bigint>")  # folded to a constant
 
 
 def _least_overlap(n: Column, t: float) -> Column:
@@ -59,7 +60,14 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _marks(body: Column) -> Column:
-    return F.transform(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(WORDS), F.lit(0))), lambda w: F.xxhash64(w))
+    words = F.split(F.translate(F.lower(body), SPACES, " " * len(SPACES)), " ", -1)
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+
+
+def _parity(marks: Column, shift: int) -> Column:
+    """A bit for each of 64 classes of words, whether the set has an odd number of them. Two sets that differ in d words
+    differ in at most d bits."""
+    return F.aggregate(marks, F.lit(0).cast("bigint"), lambda bits, m: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(m, shift).bitwiseAND(63).cast("int"))))
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -68,19 +76,22 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = split_lines(docs, id_col, text_col).filter("id is not null")
     marked = lines.select("id", "line", _marks(F.col("body")).alias("marks")).filter(F.size("marks") > 0)
     rarity = _rarity(marked)
-    # ordered by rarity, then by the mark itself
-    ranked = F.array_sort(F.transform("marks", lambda m: F.struct(F.substring(rarity, _bucket(m) + 1, F.lit(1)).alias("common"), m.alias("mark"))))
-    sets = marked.select("id", "line", ranked.alias("ranked")).select("id", "line", F.col("ranked.mark").alias("marks"))
-    n = F.size("marks")
-    sets = sets.select(
-        "id", "line", n.alias("words"), F.xxhash64("marks").alias("key"), F.xxhash64("marks", F.lit(1)).alias("key2"),
-        # sets of fewer than four words match equal sets alone; the marks are cut to 48 bits, as candidates are compared in full anyway
-        F.when(n < 4, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice("marks", F.lit(1), (n - _least_overlap(n, t) + 1).cast("int")), lambda m: m.bitwiseAND((1 << 48) - 1))).alias("prefix"),
+    # ordered by rarity, then by the mark; a word's rank is one number that holds both
+    rank = lambda m: F.shiftleft(F.get(rarity, _bucket(m)), 55).bitwiseOR(F.shiftrightunsigned(m, 9))
+    sets = marked.select("id", "line", "marks", F.sort_array(F.transform("marks", rank)).alias("ranks"))
+    n = F.size("ranks")
+    sets = staged(
+        sets.select(
+            "id", "line", n.alias("words"), F.xxhash64("ranks").alias("key"), F.xxhash64("ranks", F.lit(1)).alias("key2"),
+            # sets of fewer than four words match equal sets alone
+            F.when(n < 4, F.array().cast("array<bigint>")).otherwise(F.slice("ranks", F.lit(1), (n - _least_overlap(n, t) + 1).cast("int"))).alias("prefix"),
+            _parity(F.col("marks"), 10).alias("bits"), _parity(F.col("marks"), 20).alias("bits2"),
+        )
     )
-    first = F.min(F.struct("id", "line", "words", "prefix"))
+    first = F.min(F.struct("id", "line", "words", "bits", "bits2", "prefix"))
     classes = staged(sets.groupBy("key", "key2").agg(first.alias("f")).select("key", "key2", "f.*"))
 
-    index = classes.select("id", "line", "words", F.posexplode("prefix").alias("at", "mark"))
+    index = classes.select("id", "line", "words", "bits", "bits2", F.posexplode("prefix").alias("at", "mark"))
     sample = classes.filter(F.pmod("key2", F.lit(SAMPLE)) == 0).select(F.explode("prefix").alias("mark"))
     sampled = cut(sample.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT))
     least = max(HOT, (sampled.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
@@ -88,18 +99,21 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot, cool = index.join(hot_words, "mark", "left_semi"), index.join(hot_words, "mark", "left_anti")
 
     def may_match(a: str, b: str) -> Column:
-        """Whether the lengths, and the words before and after the shared one, leave enough in common; a is earlier."""
+        """Whether the lengths, the words before and after the shared one, and the parities allow the similarity, and a
+        is earlier."""
         c = lambda side, name: F.col(f"{side}.{name}")
         needed = F.ceil((c(a, "words") + c(b, "words")) * (t / (1 + t)) - 1e-9)
         possible = F.least(c(a, "at"), c(b, "at")) + F.least(c(a, "words") - c(a, "at"), c(b, "words") - c(b, "at"))
+        differ = (c(a, "words") + c(b, "words")) * ((1 - t) / (1 + t)) + 1e-9
+        near = (F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) <= differ) & (F.bit_count(c(a, "bits2").bitwiseXOR(c(b, "bits2"))) <= differ)
         earlier = (c(a, "id") < c(b, "id")) | ((c(a, "id") == c(b, "id")) & (c(a, "line") < c(b, "line")))
-        return earlier & (c(a, "words") >= c(b, "words") * t - 1e-9) & (c(b, "words") >= c(a, "words") * t - 1e-9) & (possible >= needed)
+        return earlier & (c(a, "words") >= c(b, "words") * t - 1e-9) & (c(b, "words") >= c(a, "words") * t - 1e-9) & (possible >= needed) & near
 
     pair = [F.col("a.id").alias("a_id"), F.col("a.line").alias("a_line"), F.col("b.id").alias("b_id"), F.col("b.line").alias("b_line")]
 
     # hot words first: each class against the earliest of its part
     part = Window.partitionBy("mark", F.pmod(F.xxhash64("id", "line"), F.lit(PARTS))).orderBy("id", "line")
-    with_first = hot.select(F.struct(*hot.columns).alias("b"), F.first(F.struct("id", "line", "words", "at")).over(part).alias("a"))
+    with_first = hot.select(F.struct(*hot.columns).alias("b"), F.first(F.struct("id", "line", "words", "bits", "bits2", "at")).over(part).alias("a"))
     tried = cut(with_first.filter(may_match("a", "b")).select(*pair).distinct())
     found = cut(_verified(tried, lines, t).select("b_id", "b_line").distinct())
     # what is left meets all; the condition on `b` names both sides so that both are one exchange
@@ -137,7 +151,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of `docs`: all its columns, with `text_col` left with the lines that stay, and n_lines and
     n_removed (names that `docs` must not have).
 
-    Lines are what stands between newlines. The words of a line are its runs of letters and digits in lower case, and
+    Lines are what stands between newlines. The words of a line are what stands between white space, in lower case, and
     a line is judged on the set of its words. It goes if an earlier line, by id and number, of the same document or
     another, has a Jaccard similarity of `similarity` or more to it; whether that one stays plays no part. Lines
     without a word stay. A null text counts as empty, and so becomes an empty text. Documents with a null id stay as
@@ -163,7 +177,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
-sets AS (SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+'))) AS s FROM lines),
+sets AS (SELECT doc_id, line, list_sort(list_distinct(list_filter(string_split(translate(lower(body), chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), lambda w: w <> ''))) AS s FROM lines),
 classes AS (SELECT s, min((doc_id, line)) AS f, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
 pairs AS (SELECT DISTINCT b.f FROM classes a JOIN classes b ON a.f < b.f AND a.n >= b.n * 0.8 - 1e-9 AND b.n >= a.n * 0.8 - 1e-9
     AND len(list_intersect(a.s, b.s)) >= 0.8 / 1.8 * (a.n + b.n) - 1e-9),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, map_arrow, table
 from .shingles import WordHashes, mixed, shingles
 
 #: Words of a window, and of an anchor.
@@ -153,7 +153,7 @@ def duplicate_parts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     same_anchor, same_mark = Window.partitionBy("anchor"), Window.partitionBy("anchor", "mark")
     found = (
-        docs.mapInArrow(index, _BLOCK_SCHEMA)
+        map_arrow(docs, index, _BLOCK_SCHEMA)
         .repartition("anchor")
         .withColumn("least", F.min("id").over(same_mark))
         .withColumn("one_mark", F.min("mark").over(same_anchor) == F.max("mark").over(same_anchor))
@@ -181,7 +181,7 @@ def duplicate_parts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
         return _blocks(parts())
 
-    opened = docs.join(flags.filter(F.size("open") > 0).select("id", "open"), "id").mapInArrow(look, _BLOCK_SCHEMA)
+    opened = map_arrow(docs.join(flags.filter(F.size("open") > 0).select("id", "open"), "id"), look, _BLOCK_SCHEMA)
     opened = opened.repartition("mark").withColumn("least", F.min("id").over(Window.partitionBy("mark")))
     single = (
         opened.filter((F.col("id") > F.col("least")) | (F.size("others") > 0))
