@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +27,12 @@ from .common import map_arrow, table
 
 #: Characters below this one are told apart by listed classes.
 NARROW = 0x250
-#: Pieces that a worker remembers, and the longest piece that it remembers.
-REMEMBERED, LONGEST = 500_000, 48
+#: Pieces that a worker remembers, twice, and the longest piece that it remembers.
+REMEMBERED, LONGEST = 400_000, 48
 #: Bytes of text that are encoded at a time.
 SLICE = 4_000_000
+#: Rows that are decoded at a time.
+ROWS = 1_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,46 +58,57 @@ class Bpe:
         unicode_space = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.wide, self.narrow = regex.compile(unicode_space).findall, re.compile(_narrow(pattern)).findall
         self.odd = re.compile(f"[^\\x00-\\x1b\\x20-{chr(NARROW - 1)}]").search
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self.merge)
 
     def split(self, text: str) -> list[str]:
         return (self.wide if self.odd(text) else self.narrow)(text)
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of a piece.
+    def merge(self, piece: bytes) -> bytes:
+        """The ids of a piece, four bytes each.
 
-        `buckets` holds, for each rank, a heap of positions whose symbol merges with the next one at that rank; bit
-        r % 256 of `words[r // 256]` says whether the bucket has any, and bit w of `top` whether words[w] has any.
+        `buckets` holds, for each rank, the position whose symbol merges with the next one at that rank, or a heap of
+        them; bit r % 256 of `words[r // 256]` says whether the bucket has any, and bit w of `top` whether words[w] has.
         """
         get, width, n = self.ranks.get, self.width, len(piece)
         if (whole := get(piece)) is not None:
-            return (whole,)
+            return whole.to_bytes(4, "little")
         after = list(range(1, n + 1))  # where the symbol that starts here ends
         before = list(range(-1, n))  # where the symbol before it starts
         pair = [-1] * n  # the rank of a symbol with the next one; -1: they don't merge, or no symbol starts here
-        buckets: dict[int, list[int]] = {}
+        buckets: dict[int, int | list[int]] = {}
         words: dict[int, int] = {}
-        top = 0
-        for at in range(n - 1):
-            if (rank := get(piece[at : at + 2])) is not None:
-                pair[at] = rank
-                if (bucket := buckets.get(rank)) is None:
-                    buckets[rank] = [at]
-                    word = rank >> 8
-                    words[word] = words.get(word, 0) | 1 << (rank & 255)
-                    top |= 1 << word
+        top, at = 0, 0
+        for first in range(n - 1):
+            if (rank := get(piece[first : first + 2])) is not None:
+                pair[first] = rank
+                if rank in buckets:
+                    if type(bucket := buckets[rank]) is int:
+                        buckets[rank] = [bucket, first]
+                    else:
+                        bucket.append(first)
                 else:
-                    bucket.append(at)
+                    buckets[rank] = first
+                    word = rank >> 8
+                    if word in words:
+                        words[word] |= 1 << (rank & 255)
+                    else:
+                        words[word] = 1 << (rank & 255)
+                        top |= 1 << word
         while top:
             word = (top & -top).bit_length() - 1
             bits = words[word]
             rank = word << 8 | (bits & -bits).bit_length() - 1
-            bucket = buckets[rank]
-            at = heappop(bucket)
-            if not bucket:
+            at = buckets[rank]
+            if type(at) is not int and len(at) > 1:
+                at = heappop(at)
+            else:
+                if type(at) is not int:
+                    at = at[0]
                 del buckets[rank]
-                words[word] = bits = bits & (bits - 1)
-                if not bits:
+                if bits := bits & (bits - 1):
+                    words[word] = bits
+                else:
+                    del words[word]
                     top &= top - 1
             if pair[at] != rank:
                 continue  # stale
@@ -104,41 +117,58 @@ class Bpe:
             pair[gone] = -1
             if end < n:
                 before[end] = at
-            for first in (at, before[at]):
-                if first < 0:
-                    continue
+            first = at
+            while first >= 0:  # the new symbol with the next one, then the one before it with the new one
                 middle = after[first]
-                rank = get(piece[first : after[middle]]) if middle < n and after[middle] - first <= width else None
-                if rank is None:
-                    pair[first] = -1
-                    continue
-                pair[first] = rank
-                if (bucket := buckets.get(rank)) is None:
-                    buckets[rank] = [first]
-                    word = rank >> 8
-                    words[word] = words.get(word, 0) | 1 << (rank & 255)
-                    top |= 1 << word
+                if middle < n and (last := after[middle]) - first <= width and (rank := get(piece[first:last])) is not None:
+                    pair[first] = rank
+                    if rank in buckets:
+                        if type(bucket := buckets[rank]) is int:
+                            buckets[rank] = [bucket, first] if bucket < first else [first, bucket]
+                        else:
+                            heappush(bucket, first)
+                    else:
+                        buckets[rank] = first
+                        word = rank >> 8
+                        if word in words:
+                            words[word] |= 1 << (rank & 255)
+                        else:
+                            words[word] = 1 << (rank & 255)
+                            top |= 1 << word
                 else:
-                    heappush(bucket, first)
+                    pair[first] = -1
+                if first != at:
+                    break
+                first = before[at]
         out, at = [], 0
         while at < n:
             out.append(get(piece[at : after[at]]))
             at = after[at]
-        return tuple(out)
+        return struct.pack(f"<{len(out)}i", *out)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, four bytes each."""
+        return b"".join(map(self.known.__getitem__, self.split(text)))
+
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.known.get(piece)
+class _Known(dict):
+    """Ids by piece. When it is full, it starts anew, but still finds what it had before."""
+
+    def __init__(self, merge):
+        self.merge, self.old = merge, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
         if ids is None:
-            ids = self.merge(piece.encode())
-            if len(piece) <= LONGEST:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[piece] = ids
+            ids = self.merge(piece.encode("utf-8", "surrogatepass"))
+            if len(piece) > LONGEST:
+                return ids
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.piece, self.split(text))))
-
 
 def _slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most SLICE bytes of column `name` (no nulls), or one row."""
@@ -180,8 +210,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             for batch in _slices(whole, ids_col):
                 ids = [coder.encode(x) for x in batch.column(ids_col).to_pylist()]
                 ends = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=ends[1:])
-                flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]))
+                np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*keep, ids_col])
 
     return map_arrow(source, run, schema)
@@ -202,9 +232,10 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = vocabulary.value.__getitem__
         for batch in batches:
-            column = batch.column(ids_col)
-            texts = [b"".join(map(piece, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, bytes_col])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                texts = [b"".join(map(piece, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in part.column(ids_col)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, bytes_col])
 
     return map_arrow(tokens, run, schema)
 
