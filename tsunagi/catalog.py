@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from tsunagi.plans import outreach, pairs
+from tsunagi.sources.binding import Domain, oracle
 
-def queries() -> dict:
-    return {}
+_PLANS = (pairs, outreach)
+
+
+def _run(query: Callable[[Domain], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(Domain(spark, sf_dir))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.t01_best_pairs(Domain(spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: partial(_run, f) for plan in _PLANS for f in plan.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: oracle(sql) for plan in _PLANS for f, sql in plan.QUERIES.items() if sql}
