@@ -16,11 +16,12 @@ difference of two sets rule nearly all other pairs out, and the sets of the rest
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, staged, table
+from .common import cut, small, staged, table
 
 #: Least Jaccard similarity of the words of two lines.
 SIMILARITY = 0.8
@@ -29,6 +30,8 @@ BUCKETS = 1 << 16
 #: One class in SAMPLE tells which words are hot: those of at least HOT classes of the sample, and of more than one in
 #: MOST_HOT of its rows, so that there are at most MOST_HOT hot words. PARTS is the number of parts of a hot word's classes.
 SAMPLE, HOT, MOST_HOT, PARTS = 32, 8, 50_000, 8
+#: Parts in which the index is joined with itself.
+SLICES = 3
 #: Buckets of lines whose words are looked at again.
 LINES = 1 << 20
 
@@ -40,11 +43,11 @@ def _bucket(mark: Column) -> Column:
     return mark.bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def _rarity(marked: DataFrame) -> Column:
+def _rarity(lines: DataFrame) -> Column:
     """How common the words of each bucket are, from 0 to 255, as an array: the logarithm of their number."""
-    counts = marked.select(F.explode("marks").alias("mark")).groupBy(_bucket(F.col("mark")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    words = lines.select(F.explode(_words(F.col("body"))).alias("word")).select(_bucket(F.xxhash64("word")).alias("bucket"))
     common = [0] * BUCKETS
-    for bucket, n in counts.collect():  # at most BUCKETS rows
+    for bucket, n in words.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():  # at most BUCKETS rows
         common[bucket] = min(255, round(7 * math.log2(n + 1)))
     return F.split(F.lit(",".join(map(str, common))), ",").cast("array<bigint>")  # folded to a constant
 
@@ -59,39 +62,37 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.posexplode(body).alias("line", "body"))
 
 
-def _marks(body: Column) -> Column:
-    words = F.split(F.translate(F.lower(body), SPACES, " " * len(SPACES)), " ", -1)
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+def _words(body: Column) -> Column:
+    return F.array_remove(F.split(F.translate(F.lower(body), SPACES, " " * len(SPACES)), " ", -1), "")
 
 
-def _parity(marks: Column, shift: int) -> Column:
+def _parity(ranks: Column) -> Column:
     """A bit for each of 64 classes of words, whether the set has an odd number of them. Two sets that differ in d words
     differ in at most d bits."""
-    return F.aggregate(marks, F.lit(0).cast("bigint"), lambda bits, m: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(m, shift).bitwiseAND(63).cast("int"))))
+    return F.aggregate(ranks, F.lit(0).cast("bigint"), lambda bits, m: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), m.bitwiseAND(63).cast("int"))))
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """id and line of every line that an earlier line is similar to; see dedup_lines for what that means."""
     t = similarity
     lines = split_lines(docs, id_col, text_col).filter("id is not null")
-    marked = lines.select("id", "line", _marks(F.col("body")).alias("marks")).filter(F.size("marks") > 0)
-    rarity = _rarity(marked)
-    # ordered by rarity, then by the mark; a word's rank is one number that holds both
-    rank = lambda m: F.shiftleft(F.get(rarity, _bucket(m)), 55).bitwiseOR(F.shiftrightunsigned(m, 9))
-    sets = marked.select("id", "line", "marks", F.sort_array(F.transform("marks", rank)).alias("ranks"))
+    rarity = _rarity(lines)
+    # a word's rank is its rarity and its hash in one number; ordered by rank, a line's words begin with the rarest
+    rank = lambda w: F.shiftleft(F.get(rarity, _bucket(F.xxhash64(w))), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 9))
+    ranked = lines.select("id", "line", F.sort_array(F.array_distinct(F.transform(_words(F.col("body")), rank))).alias("ranks")).filter(F.size("ranks") > 0)
     n = F.size("ranks")
     sets = staged(
-        sets.select(
+        ranked.select(
             "id", "line", n.alias("words"), F.xxhash64("ranks").alias("key"), F.xxhash64("ranks", F.lit(1)).alias("key2"),
             # sets of fewer than four words match equal sets alone
             F.when(n < 4, F.array().cast("array<bigint>")).otherwise(F.slice("ranks", F.lit(1), (n - _least_overlap(n, t) + 1).cast("int"))).alias("prefix"),
-            _parity(F.col("marks"), 10).alias("bits"), _parity(F.col("marks"), 20).alias("bits2"),
+            _parity(F.col("ranks")).alias("bits"),
         )
     )
-    first = F.min(F.struct("id", "line", "words", "bits", "bits2", "prefix"))
+    first = F.min(F.struct("id", "line", "words", "bits", "prefix"))
     classes = staged(sets.groupBy("key", "key2").agg(first.alias("f")).select("key", "key2", "f.*"))
 
-    index = classes.select("id", "line", "words", "bits", "bits2", F.posexplode("prefix").alias("at", "mark"))
+    index = classes.select("id", "line", "words", "bits", F.posexplode("prefix").alias("at", "mark"))
     sample = classes.filter(F.pmod("key2", F.lit(SAMPLE)) == 0).select(F.explode("prefix").alias("mark"))
     sampled = cut(sample.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT))
     least = max(HOT, (sampled.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
@@ -105,7 +106,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         needed = F.ceil((c(a, "words") + c(b, "words")) * (t / (1 + t)) - 1e-9)
         possible = F.least(c(a, "at"), c(b, "at")) + F.least(c(a, "words") - c(a, "at"), c(b, "words") - c(b, "at"))
         differ = (c(a, "words") + c(b, "words")) * ((1 - t) / (1 + t)) + 1e-9
-        near = (F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) <= differ) & (F.bit_count(c(a, "bits2").bitwiseXOR(c(b, "bits2"))) <= differ)
+        near = F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) <= differ
         earlier = (c(a, "id") < c(b, "id")) | ((c(a, "id") == c(b, "id")) & (c(a, "line") < c(b, "line")))
         return earlier & (c(a, "words") >= c(b, "words") * t - 1e-9) & (c(b, "words") >= c(a, "words") * t - 1e-9) & (possible >= needed) & near
 
@@ -113,14 +114,28 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # hot words first: each class against the earliest of its part
     part = Window.partitionBy("mark", F.pmod(F.xxhash64("id", "line"), F.lit(PARTS))).orderBy("id", "line")
-    with_first = hot.select(F.struct(*hot.columns).alias("b"), F.first(F.struct("id", "line", "words", "bits", "bits2", "at")).over(part).alias("a"))
+    with_first = hot.select(F.struct(*hot.columns).alias("b"), F.first(F.struct("id", "line", "words", "bits", "at")).over(part).alias("a"))
     tried = cut(with_first.filter(may_match("a", "b")).select(*pair).distinct())
     found = cut(_verified(tried, lines, t).select("b_id", "b_line").distinct())
-    # what is left meets all; the condition on `b` names both sides so that both are one exchange
+    # then all words that are left. Of a class's candidates the one with the nearest bits is compared first, so that the
+    # join need not hand on every pair; the words are taken in slices, so that a part of the index is shuffled at a time
+    near = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
+    meet = lambda x, y: x.alias("b").join(y.alias("a"), (F.col("a.mark") == F.col("b.mark")) & may_match("a", "b"))
+    nearest = lambda df: df.groupBy("b_id", "b_line").agg(F.min("a").alias("a"))
+    best = lambda x, y: nearest(meet(x, y).select(F.col("b.id").alias("b_id"), F.col("b.line").alias("b_line"), F.struct(near.alias("near"), *pair[:2]).alias("a")))
     open_hot = hot.join(found, (hot["id"] == found["b_id"]) & (hot["line"] == found["b_line"]), "left_anti")
-    meet = lambda x, y: x.alias("b").join(y.alias("a"), (F.col("a.mark") == F.col("b.mark")) & may_match("a", "b")).select(*pair)
-    rest = meet(cool, cool).unionByName(meet(open_hot, hot)).distinct()
-    rest = cut(rest.join(found, ["b_id", "b_line"], "left_anti"))
+    parts = [cut(best(of, of)) for of in (cool.filter(F.pmod("mark", F.lit(SLICES)) == i) for i in range(SLICES))]
+    parts.append(best(open_hot, hot))
+    closest = nearest(reduce(DataFrame.unionByName, parts)).join(found, ["b_id", "b_line"], "left_anti")
+    closest = cut(closest.select("a.a_id", "a.a_line", "b_id", "b_line"))
+    found = cut(found.unionByName(_verified(closest, lines, t).select("b_id", "b_line")).distinct())
+    # and for classes that their nearest candidate is not similar to, all other candidates
+    left = closest.select("b_id", "b_line").join(found, ["b_id", "b_line"], "left_anti")
+    again = index.join(left, (index["id"] == left["b_id"]) & (index["line"] == left["b_line"]), "left_semi")
+    again = cut(again)
+    there = small(cut(again.select("mark").distinct()), 1_000_000)
+    rest = meet(again, index.join(there, "mark", "left_semi")).select(*pair).distinct()
+    rest = cut(rest.join(closest, ["a_id", "a_line", "b_id", "b_line"], "left_anti"))
     later = found.unionByName(_verified(rest, lines, t).select("b_id", "b_line")).distinct()
     later = later.select(F.col("b_id").alias("id"), F.col("b_line").alias("line"), F.lit(True).alias("later"))
 
@@ -142,7 +157,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
     near = lines.withColumn("bucket", bucket("id", "line")).join(F.broadcast(wanted), "bucket", "left_semi").select("id", "line", "body")
     side = lambda s: near.select(F.col("id").alias(f"{s}_id"), F.col("line").alias(f"{s}_line"), F.col("body").alias(f"{s}_body"))
     both = pairs.join(side("a"), ["a_id", "a_line"]).join(side("b"), ["b_id", "b_line"])
-    sets = both.select("a_id", "a_line", "b_id", "b_line", _marks(F.col("a_body")).alias("x"), _marks(F.col("b_body")).alias("y"))
+    sets = both.select("a_id", "a_line", "b_id", "b_line", F.array_distinct(_words(F.col("a_body"))).alias("x"), F.array_distinct(_words(F.col("b_body"))).alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     return sets.filter(common >= (F.size("x") + F.size("y") - common) * t - 1e-9).select("a_id", "a_line", "b_id", "b_line")
 
