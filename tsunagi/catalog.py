@@ -7,10 +7,10 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsunagi.plans import outreach, pairs
+from tsunagi.plans import outreach, pairs, service
 from tsunagi.sources.binding import Domain, oracle
 
-_PLANS = (pairs, outreach)
+_PLANS = (pairs, outreach, service)
 
 
 def _run(query: Callable[[Domain], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
