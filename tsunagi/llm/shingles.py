@@ -14,10 +14,10 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; remembers those of the last million different words."""
+    """64-bit hashes of words; remembers up to 400,000 at a time."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 400_000:
             self.clear()
         self[word] = mark = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return mark

@@ -40,7 +40,7 @@ class _Bytes(WordHashes):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 400_000:
             self.clear()
         self[word] = mark = xxhash.xxh3_64_intdigest(word)
         return mark
