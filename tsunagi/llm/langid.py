@@ -125,7 +125,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     best = lambda scores: F.when(F.col("n_grams") > 0, F.get(ordered, (F.array_position(scores, F.array_max(scores)) - 1).cast("int")))
     rows = cut(rows.withColumn("text_language", best(F.col("evidence"))))
 
-    counts = [F.count_if(F.col("text_language") == x).alias(f"n{i}") for i, x in enumerate(languages)]
+    counts = [F.count_if(F.col("text_language") == x).alias(f"n{i}") for i, x in enumerate(languages)] or [F.count(F.lit(1)).alias("rows")]
     names = [f"n{i}" for i in range(len(languages))]
     totals = rows.agg(*counts).first() if languages else []
     prior = [(totals[i] + 1) / (sum(totals) + len(languages)) for i in range(len(languages))]

@@ -164,7 +164,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of `docs`: all its columns, with `text_col` left with the lines that stay, and n_lines and
-    n_removed (names that `docs` must not have).
+    n_removed (names that `docs` must not have; nor may a name begin with "_gone").
 
     Lines are what stands between newlines. The words of a line are what stands between white space, in lower case, and
     a line is judged on the set of its words. It goes if an earlier line, by id and number, of the same document or
@@ -173,15 +173,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     they are and are no one's earlier lines. Rows that repeat an id count as one document: a line of one goes only for
     a line with a smaller id or number. An empty table gives an empty result.
     """
-    gone = similar_lines(docs, id_col, text_col, similarity).groupBy("id").agg(F.collect_set("line").alias("gone"))
-    source = docs.select(*docs.columns, F.col(id_col).alias("id_of_gone")).alias("docs")
-    both = source.join(gone.select(F.col("id").alias("id_of_gone"), "gone"), "id_of_gone", "left")
-    lines = F.split(F.coalesce(F.col(f"docs.{text_col}"), F.lit("")), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.coalesce(F.col(f"docs.{text_col}"), F.lit(""))).otherwise(kept)
+    gone = similar_lines(docs, id_col, text_col, similarity).groupBy("id").agg(F.collect_set("line").alias("_gone_lines"))
+    both = docs.withColumn("_gone_id", F.col(id_col)).join(gone.withColumnRenamed("id", "_gone_id"), "_gone_id", "left")
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.split(whole, "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone_lines", i)), "\n")
+    text = F.when(F.col("_gone_lines").isNull(), whole).otherwise(kept)
     return both.select(
-        *[text.alias(c) if c == text_col else F.col(f"docs.{c}") for c in docs.columns],
-        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone_lines"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
