@@ -35,6 +35,8 @@ SLICES = 3
 #: Buckets of lines whose words are looked at again.
 LINES = 1 << 20
 
+#: Words from which a line has wide parity bits, and their columns.
+WIDE, WIDES = 48, tuple(f"wide{i}" for i in range(4))
 #: Characters besides the space that part words.
 SPACES = "\t\r\f\v"
 
@@ -66,10 +68,12 @@ def _words(body: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.lower(body), SPACES, " " * len(SPACES)), " ", -1), "")
 
 
-def _parity(ranks: Column) -> Column:
-    """A bit for each of 64 classes of words, whether the set has an odd number of them. Two sets that differ in d words
-    differ in at most d bits."""
-    return F.aggregate(ranks, F.lit(0).cast("bigint"), lambda bits, m: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), m.bitwiseAND(63).cast("int"))))
+def _parity(ranks: Column, shift: int, of: int | None = None) -> Column:
+    """A bit for each of 64 classes of words, whether the set has an odd number of them; with `of` only for words of one
+    of four kinds. Two sets that differ in d words differ in at most d bits, over all four kinds as well."""
+    place = lambda m: F.shiftrightunsigned(m, shift).bitwiseAND(63).cast("int")
+    unit = lambda m: F.lit(1) if of is None else (F.shiftrightunsigned(m, shift + 6).bitwiseAND(3) == of).cast("int")
+    return F.aggregate(ranks, F.lit(0).cast("bigint"), lambda bits, m: bits.bitwiseXOR(F.call_function("shiftleft", unit(m).cast("bigint"), place(m))))
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -86,13 +90,15 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             "id", "line", n.alias("words"), F.xxhash64("ranks").alias("key"), F.xxhash64("ranks", F.lit(1)).alias("key2"),
             # sets of fewer than four words match equal sets alone
             F.when(n < 4, F.array().cast("array<bigint>")).otherwise(F.slice("ranks", F.lit(1), (n - _least_overlap(n, t) + 1).cast("int"))).alias("prefix"),
-            _parity(F.col("ranks")).alias("bits"),
+            _parity(F.col("ranks"), 0).alias("bits"),
+            # 64 bits tell little of long lines, so these have four times as many
+            *[F.when(n >= WIDE, _parity(F.col("ranks"), 8, i)).otherwise(0).alias(f"wide{i}") for i in range(4)],
         )
     )
-    first = F.min(F.struct("id", "line", "words", "bits", "prefix"))
+    first = F.min(F.struct("id", "line", "words", "bits", *WIDES, "prefix"))
     classes = staged(sets.groupBy("key", "key2").agg(first.alias("f")).select("key", "key2", "f.*"))
 
-    index = classes.select("id", "line", "words", "bits", F.posexplode("prefix").alias("at", "mark"))
+    index = classes.select("id", "line", "words", "bits", *WIDES, F.posexplode("prefix").alias("at", "mark"))
     sample = classes.filter(F.pmod("key2", F.lit(SAMPLE)) == 0).select(F.explode("prefix").alias("mark"))
     sampled = cut(sample.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT))
     least = max(HOT, (sampled.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
@@ -107,6 +113,8 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         possible = F.least(c(a, "at"), c(b, "at")) + F.least(c(a, "words") - c(a, "at"), c(b, "words") - c(b, "at"))
         differ = (c(a, "words") + c(b, "words")) * ((1 - t) / (1 + t)) + 1e-9
         near = F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) <= differ
+        wide = reduce(Column.__add__, [F.bit_count(c(a, w).bitwiseXOR(c(b, w))) for w in WIDES])
+        near = near & (F.when((c(a, "words") >= WIDE) & (c(b, "words") >= WIDE), wide).otherwise(0) <= differ)
         earlier = (c(a, "id") < c(b, "id")) | ((c(a, "id") == c(b, "id")) & (c(a, "line") < c(b, "line")))
         return earlier & (c(a, "words") >= c(b, "words") * t - 1e-9) & (c(b, "words") >= c(a, "words") * t - 1e-9) & (possible >= needed) & near
 
@@ -114,12 +122,12 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # hot words first: each class against the earliest of its part
     part = Window.partitionBy("mark", F.pmod(F.xxhash64("id", "line"), F.lit(PARTS))).orderBy("id", "line")
-    with_first = hot.select(F.struct(*hot.columns).alias("b"), F.first(F.struct("id", "line", "words", "bits", "at")).over(part).alias("a"))
+    with_first = hot.select(F.struct(*hot.columns).alias("b"), F.first(F.struct("id", "line", "words", "bits", *WIDES, "at")).over(part).alias("a"))
     tried = cut(with_first.filter(may_match("a", "b")).select(*pair).distinct())
     found = cut(_verified(tried, lines, t).select("b_id", "b_line").distinct())
     # then all words that are left. Of a class's candidates the one with the nearest bits is compared first, so that the
     # join need not hand on every pair; the words are taken in slices, so that a part of the index is shuffled at a time
-    near = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
+    near = reduce(Column.__add__, [F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in ("bits", *WIDES)])
     meet = lambda x, y: x.alias("b").join(y.alias("a"), (F.col("a.mark") == F.col("b.mark")) & may_match("a", "b"))
     nearest = lambda df: df.groupBy("b_id", "b_line").agg(F.min("a").alias("a"))
     best = lambda x, y: nearest(meet(x, y).select(F.col("b.id").alias("b_id"), F.col("b.line").alias("b_line"), F.struct(near.alias("near"), *pair[:2]).alias("a")))
