@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, small, table
 
-#: The text model is fitted on at most so many rows that declare a language, those with the least hashes of their ids.
+#: The text model is fitted on at most so many rows that declare a language, those with the least hashes of id and text
+#: (and repeated rows of the last one).
 FIT_ROWS = 4_000
 #: Buckets of byte trigrams.
 BUCKETS = 1 << 13
@@ -59,7 +60,10 @@ class TextModel:
 def fit(docs: DataFrame, id_col: str, text_col: str, declared_col: str, rows: int = FIT_ROWS) -> TextModel:
     """Fits on at most `rows` rows; the counts, not the texts, come to the driver."""
     labelled = docs.filter(F.col(declared_col).isNotNull() & (F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0))
-    picked = labelled.select(F.col(declared_col).cast("string").alias("language"), F.col(text_col).alias("body"), F.xxhash64(id_col).alias("order")).orderBy("order", "language", "body").limit(rows)
+    # the greatest hash that still goes in is found from the hashes alone, so that no texts are gathered
+    place = F.xxhash64(id_col, text_col)
+    last = labelled.select(place.alias("order")).orderBy("order").limit(rows).agg(F.max("order")).first()[0]
+    picked = labelled.filter(place <= F.lit(last)).select(F.col(declared_col).cast("string").alias("language"), F.col(text_col).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
