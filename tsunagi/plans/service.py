@@ -268,7 +268,7 @@ QUERIES = {
     p03_search_projects: "SELECT project_id, title, rate_min, rate_max FROM projects WHERE (lower(required_skills) LIKE '%java%' OR lower(preferred_skills) LIKE '%java%') AND (coalesce(rate_max, rate_min) IS NULL OR coalesce(rate_max, rate_min) >= 55) AND (rate_min IS NULL OR rate_min <= 70) AND NOT foreign_nationality_ng",
     p07_companies: "SELECT companies.*, (SELECT count(*) FROM contacts c WHERE c.company_id = companies.company_id) AS n_contacts FROM companies WHERE name ILIKE '%ION%' OR domain ILIKE '%ION%' OR default_email ILIKE '%ION%'",
     p08_contacts: "SELECT contact_id, c.name, email, o.name AS company_name FROM contacts c JOIN companies o USING (company_id) WHERE c.name ILIKE '%a%' OR email ILIKE '%a%' OR o.name ILIKE '%a%' ORDER BY c.name, contact_id LIMIT 500",
-    t05_page: "SELECT talent_id, desired_rate FROM talents ORDER BY desired_rate NULLS LAST, talent_id LIMIT 50 OFFSET 300",
+    t05_page: "SELECT talent_id, desired_rate FROM talents ORDER BY desired_rate NULLS LAST, talent_id LIMIT 50 OFFSET (SELECT least(6, greatest(0, (count(*) - 1) // 50)) * 50 FROM talents)",
     j12_newest_mails: "SELECT e.email_id, email_type, e.created_at, t.talent_id, p.project_id FROM (SELECT * FROM emails ORDER BY created_at DESC, email_id LIMIT 200) e LEFT JOIN talents t ON t.email_id = e.email_id LEFT JOIN projects p ON p.email_id = e.email_id",
     j18_sheet_flags: "SELECT talent_id, talent_id IN (SELECT talent_id FROM sheets WHERE access_status = 'ok') AS has_sheet FROM talents",
     w07_latest_sheet: "SELECT talent_id, sheet_id FROM sheets WHERE access_status = 'ok' QUALIFY row_number() OVER (PARTITION BY talent_id ORDER BY created_at DESC, sheet_id DESC) = 1",
