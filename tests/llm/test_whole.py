@@ -52,6 +52,10 @@ def brute_classes(texts):
             if root(i) != root(j) and near_dedup.similar(words[i], words[j], near_dedup.SIMILARITY):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
+    blank = {}
+    for i in sorted(texts):
+        if not len(words[i]):
+            parent[i] = blank.setdefault(texts[i].strip(), i)
     return {i: root(i) for i in texts}
 
 
