@@ -107,6 +107,15 @@ def test_near_duplicates(docs):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(map(str, [1, 3, 6, 8, 9, None]))
 
 
+def test_near_duplicates_that_only_meet_beside_other_centres(spark):
+    words = [f"w{i}" for i in range(60)]
+    changed = [*words[:20], "other", *words[21:]]
+    # every element of 3 is that of 1 or of 2, which are no near duplicates of it
+    texts = spark.createDataFrame([(1, " ".join(words[:32])), (2, " ".join(words[28:])), (3, " ".join(words)), (4, " ".join(changed))], "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(texts, least=1, elements=4).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_decontamination(docs, spark):
     words = LONG.split()
     swapped = " ".join(words[20:] + words[:20])

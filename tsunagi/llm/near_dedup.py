@@ -7,9 +7,10 @@ Documents that agree in an element are candidates; a banded alignment of their w
 
 Equal word sequences are one node from the start. The least node of a bucket (documents with the same element) is its
 centre, and each node is first aligned with one centre, that of most of its buckets. Whatever that joins needs no more
-alignments; nodes of a bucket that are still in different classes are then aligned with its centre and pair by pair. So
-a bucket of thousands of copies costs thousands of alignments. Of nodes in different classes those are aligned whose lengths allow the similarity and that agree in
-AGREE elements; texts whose shingles have a Jaccard similarity of 0.7 do so with a probability of 0.77, of 0.8 with 0.998.
+alignments; nodes of a bucket that are still in different classes are then aligned with its centre, and what is left
+after that pair by pair. So a bucket of thousands of copies costs thousands of alignments. A pair is left out only if
+it can't be similar: by the lengths, or by the parity bits of the words. An edit changes two bits at most, so the bits
+that differ bound the edit distance from below.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .shingles import find_words, hashed, mixed, shingles
 
 #: Words of a k-mer; k-mers of an element; elements of a sketch; least similarity.
 K, L, B, SIMILARITY = 5, 4, 40, 0.8
-#: Elements that two texts of a bucket must share to be aligned, unless one of them is the bucket's least.
-AGREE = 8
+#: Longs of parity bits of a text.
+PARITY = 8
 #: Numbers that are hashed at a time, for very long texts.
 AT_ONCE = 4_000_000
 
@@ -66,6 +67,12 @@ def sketch(words: np.ndarray, k: int, least: int, elements: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def parity_bits(words: np.ndarray) -> np.ndarray:
+    """PARITY longs; bit i is set if an odd number of the text's words has the hash bucket i."""
+    odd = np.bincount((mixed(words) >> np.uint64(16)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """The edit distance of two word sequences, or most + 1 if it is more than `most`. A band of 2 * most + 1
     diagonals is kept as bits of integers, and a column of the alignment is a few operations on them."""
@@ -119,15 +126,16 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, least: int, elements: int) -> DataFrame:
-    """id, n_words, two hashes of the word sequence, and the sketch."""
+    """id, n_words, two hashes of the word sequence, the parity bits, and the sketch."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, marks, sketches = [], [[], []], []
+            sizes, marks, bits, sketches = [], [[], []], [], []
             for text in batch.column("body").to_pylist():
                 words = hashed(find_words(text.lower()))
                 sizes.append(len(words))
+                bits.append(parity_bits(words))
                 powers = np.arange(1, len(words) + 1, dtype=np.uint64)
                 for i, salt in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
                     if len(words):
@@ -138,9 +146,11 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, least: int, e
                 sketches.append(sketch(words, k, least, elements).view(np.int64) if len(words) else np.empty(0, np.int64))
             ends = pa.array(np.cumsum([0, *map(len, sketches)]).astype(np.int32))
             flat = pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), *(pa.array(x, pa.int64()) for x in marks), pa.ListArray.from_arrays(ends, flat)], names=["id", "n_words", "mark", "mark2", "sketch"])
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * PARITY), pa.array(np.concatenate(bits) if bits else np.empty(0, np.int64)))
+            columns = [batch.column("id"), pa.array(sizes, pa.int32()), *(pa.array(x, pa.int64()) for x in marks), parity, pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "mark", "mark2", "parity", "sketch"])
 
-    return map_arrow(source, run, f"id {docs.schema[id_col].dataType.simpleString()}, n_words int, mark long, mark2 long, sketch array<long>")
+    return map_arrow(source, run, f"id {docs.schema[id_col].dataType.simpleString()}, n_words int, mark long, mark2 long, parity array<long>, sketch array<long>")
 
 
 def _aligned(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
@@ -192,6 +202,33 @@ def roots(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _several_classes(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node, centre and label of the buckets whose nodes are in more than one class."""
+    named = cut(buckets.join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", "centre", F.coalesce("label", "node").alias("label")))
+    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return named.join(several.select("bucket"), "bucket", "left_semi")
+
+
+def _can_be_similar(similarity: float):
+    """Whether a and b are in different classes, and neither lengths nor parity bits rule out the similarity."""
+    longer, shorter = F.greatest("n_words_a", "n_words_b"), F.least("n_words_a", "n_words_b")
+    most = F.floor(longer * (1 - similarity) + 1e-9)
+    differ = sum((F.bit_count(F.get("parity_a", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i)))) for i in range(PARITY)), F.lit(0))
+    return (F.col("label_a") != F.col("label_b")) & (longer - shorter <= most) & (differ <= 2 * most)
+
+
+def _join_classes(pairs: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links and labels with those of `pairs` (a, b, label_a, label_b) added that are similar."""
+    if not pairs.limit(1).count():
+        return links, labels
+    more = cut(_aligned(pairs.select("a", "b"), docs, id_col, text_col, similarity).join(pairs, ["a", "b"]))
+    joined = components(more.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    merged = joined.select(F.col("id").alias("label"), F.col("label").alias("merged"))
+    labels = labels.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label"))
+    labels = cut(labels.unionByName(joined.join(labels.select("id"), "id", "left_anti")))  # classes that were one node
+    return links.unionByName(more.select("a", "b")), labels
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, least: int = L, elements: int = B, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of `docs`: the id, class_id (the least id of its class), class_size and n_links, the aligned
     pairs of different texts that the document's text was found in.
@@ -217,28 +254,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_aligned(first, docs, id_col, text_col, similarity))
     labels = roots(links)
 
-    # then what these links left in different classes: the other centres; and pairs of a bucket, if their lengths allow
-    # it and enough elements speak for them, each in the first element that the two share
-    named = labels.select(F.col("id").alias("node"), "label")
-    split = cut(buckets.join(named, "node", "left").select("bucket", "node", "centre", F.coalesce("label", "node").alias("label")))
-    several = split.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    of_sketch = sketches.groupBy(F.col("id").alias("node")).agg(F.min(F.struct("n_words", "sketch")).alias("s")).select("node", "s.n_words", "s.sketch")
-    split = cut(split.join(several.select("bucket"), "bucket", "left_semi").join(of_sketch, "node"))
-    at_centre = split.filter("node = centre").select("bucket", F.col("label").alias("label_b"))
-    other = split.filter("node <> centre").join(at_centre, "bucket").filter("label <> label_b").select(F.col("node").alias("a"), F.col("centre").alias("b"), F.col("label").alias("label_a"), "label_b")
-    left, right = (split.select(F.col("bucket").alias(f"bucket_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("label", "n_words", "sketch"))) for x in "ab")
-    common = F.array_intersect("sketch_a", "sketch_b")
-    longer, shorter = F.greatest("n_words_a", "n_words_b"), F.least("n_words_a", "n_words_b")
-    meet = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("a") > F.col("b")) & (F.col("label_a") != F.col("label_b"))
-    pairs = left.join(right, meet & (shorter >= longer * similarity) & (F.size(common) >= AGREE) & (F.get(common, F.lit(0)) == F.col("bucket_a")))
-    rest = cut(pairs.select("a", "b", "label_a", "label_b").unionByName(other).distinct().join(first, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        more = cut(_aligned(rest.select("a", "b"), docs, id_col, text_col, similarity).join(rest, ["a", "b"]))
-        links = links.unionByName(more.select("a", "b"))
-        joined = components(more.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-        merged = joined.select(F.col("id").alias("label"), F.col("label").alias("merged"))
-        labels = labels.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label"))
-        labels = cut(labels.unionByName(joined.join(labels.select("id"), "id", "left_anti")))  # classes that were one node
+    # then what these links left in different classes: the other centres first, and with the classes that these join
+    # pairs of a bucket, each in the first element that the two share
+    of_node = sketches.groupBy(F.col("id").alias("node")).agg(F.min(F.struct("n_words", "parity", "sketch")).alias("s")).select("node", "s.*")
+    split = _several_classes(buckets, labels).join(of_node, "node")
+    left, right = (split.select(F.col("bucket").alias(f"bucket_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("centre", "label", "n_words", "parity", "sketch"))) for x in "ab")
+    meet = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("centre_a") == F.col("b")) & (F.col("a") > F.col("b"))
+    other = left.join(right, meet & _can_be_similar(similarity)).select("a", "b", "label_a", "label_b").distinct()
+    seen = first.unionByName(cut(other.select("a", "b")))
+    links, labels = _join_classes(cut(other.join(first, ["a", "b"], "left_anti")), links, labels, docs, id_col, text_col, similarity)
+
+    split = cut(_several_classes(buckets, labels).join(of_node, "node"))
+    left, right = (split.select(F.col("bucket").alias(f"bucket_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("label", "n_words", "parity", "sketch"))) for x in "ab")
+    meet = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("a") > F.col("b"))
+    earliest = F.get(F.array_intersect("sketch_a", "sketch_b"), F.lit(0)) == F.col("bucket_a")
+    pairs = left.join(right, meet & _can_be_similar(similarity) & earliest).select("a", "b", "label_a", "label_b").distinct()
+    links, labels = _join_classes(cut(pairs.join(seen, ["a", "b"], "left_anti")), links, labels, docs, id_col, text_col, similarity)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = members.join(labels.withColumnRenamed("id", "node"), "node", "left").join(degree, "node", "left").select("id", F.coalesce("label", "node").alias("class_id"), "n_links")
     classes = cut(rows.select("id").join(classes, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
