@@ -116,6 +116,20 @@ def test_near_duplicates_that_only_meet_beside_other_centres(spark):
     assert found == {1: 1, 2: 2, 3: 3, 4: 3}
 
 
+def test_near_duplicates_with_scattered_edits(spark):
+    import random
+
+    dice, texts = random.Random(5), []
+    for i in range(40):
+        words = [f"w{dice.randrange(10**9)}" for _ in range(300)]
+        changed = list(words)
+        for at in dice.sample(range(300), 45):
+            changed[at] = f"x{dice.randrange(10**9)}"
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    found = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).filter("class_size = 2").count()
+    assert found >= 2 * 36  # similarity 0.85
+
+
 def test_decontamination(docs, spark):
     words = LONG.split()
     swapped = " ".join(words[20:] + words[:20])

@@ -27,9 +27,9 @@ from .common import cut, map_arrow, small, table
 from .shingles import find_words, hashed, mixed, shingles
 
 #: Words of a k-mer; k-mers of an element; elements of a sketch; least similarity.
-K, L, B, SIMILARITY = 5, 4, 40, 0.8
+K, L, B, SIMILARITY = 5, 2, 64, 0.8
 #: Longs of parity bits of a text.
-PARITY = 8
+PARITY = 16
 #: Numbers that are hashed at a time, for very long texts.
 AT_ONCE = 4_000_000
 
