@@ -210,6 +210,18 @@ def test_html(spark):
     assert got == {1: want, 2: want, 3: "", 4: "", **{10 + i: f"Text {i} here\nAlso {i}" for i in range(4)}}
 
 
+@pytest.mark.parametrize("wrapper", ["page no-sidebar", "has-sidebar", "search-enabled", "widget-content", "comments-open", "sidebar"])
+def test_a_wrapper_hides_no_article(wrapper):
+    source = f"<body><div class='{wrapper}'><article><p>One</p><div class='notice-board'>two</div><div class='share'>x</div></article></div><footer>f</footer>"
+    assert html_text.Page(source).text(frozenset()) == "One\ntwo"
+
+
+def test_a_teaser_is_not_the_page():
+    text = "This is what the page says, at some length."
+    source = f"<body><div class='c'><p>{text}</p></div><article>See also</article>"
+    assert html_text.Page(source).text(frozenset()) == f"{text}\nSee also"
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter("false")
     items = spark.createDataFrame([], "item_id long, text string")
