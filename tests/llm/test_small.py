@@ -151,6 +151,17 @@ def test_language(docs):
     assert langid.drop_unidentified(docs).columns == docs.columns
 
 
+def test_rare_languages_are_modelled(spark):
+    rows = [(i, f"the people of this town went to the market {i}", "en") for i in range(997)] + [(1000 + i, "tämä on hyvin harvinainen kieli täällä", "fi") for i in range(3)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(texts, "doc_id", "text", "lang")
+    assert model.languages == ["en", "fi"]
+    found = langid.identify(texts, host_col=None, model=model)
+    assert [r["language"] for r in found.filter("doc_id >= 1000").collect()] == ["fi"] * 3
+    other = langid.identify(texts, host_col=None, model=langid.fit(texts.filter("lang = 'en'"), "doc_id", "text", "lang"))
+    assert other.filter("doc_id >= 1000 and kept").count() == 3
+
+
 def test_secrets(docs, spark):
     rows, spans = secrets.scan_secrets(docs)
     assert rows.count() == len(ROWS)

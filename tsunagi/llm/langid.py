@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, small, table
 
-#: The text model is fitted on at most so many rows that declare a language, those with the least hashes of id and text
-#: (and repeated rows of the last one).
-FIT_ROWS = 4_000
+#: The text model is fitted on about so many rows of each declared language, those with the least hashes of id and text
+#: (and repeated rows of these); on at least one.
+FIT_ROWS = 1_000
 #: Buckets of byte trigrams.
 BUCKETS = 1 << 13
-#: A language is modelled if at least this share of the fitted rows declares it.
-LEAST_SHARE = 0.005
+#: Declared languages that are modelled at most, those of most rows. Other declarations keep their documents.
+MOST_LANGUAGES = 200
 #: Trigrams that a text counts for at most, as neighbouring trigrams say much the same.
 EVIDENCE = 60.0
 #: Texts that a host's prior leans on its domain with, and a domain's on the corpus.
@@ -58,12 +58,15 @@ class TextModel:
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, declared_col: str, rows: int = FIT_ROWS) -> TextModel:
-    """Fits on at most `rows` rows; the counts, not the texts, come to the driver."""
+    """Fits on about `rows` rows of each declared language; the counts, not the texts, come to the driver."""
     labelled = docs.filter(F.col(declared_col).isNotNull() & (F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0))
-    # the greatest hash that still goes in is found from the hashes alone, so that no texts are gathered
+    # all rows that declare a language are counted; the share of the hashes that goes in follows from that
     place = F.xxhash64(id_col, text_col)
-    last = labelled.select(place.alias("order")).orderBy("order").limit(rows).agg(F.max("order")).first()[0]
-    picked = labelled.filter(place <= F.lit(last)).select(F.col(declared_col).cast("string").alias("language"), F.col(text_col).alias("body"))
+    labelled = labelled.select(F.col(declared_col).cast("string").alias("language"), F.col(text_col).alias("body"), place.alias("place"))
+    found = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
+    last = {r["language"]: max(r["least"], min((1 << 63) - 1, (rows << 64) // r["n"] - (1 << 63))) for r in found.orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES).collect()}
+    limits = F.create_map(*[F.lit(x) for pair in last.items() for x in pair]) if last else F.lit(None).cast("map<string,bigint>")
+    picked = labelled.filter(F.col("place") <= limits[F.col("language")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -74,11 +77,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, declared_col: str, rows: in
             yield pa.RecordBatch.from_pydict({"language": [language] * BUCKETS, "bucket": np.arange(BUCKETS, dtype=np.int32), "n": counts}).cast(pa.schema([("language", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())]))
 
     shares = cut(picked.select("language", "body"))
-    total = max(1, shares.count())
-    frequent = [r["language"] for r in shares.groupBy("language").count().filter(F.col("count") >= LEAST_SHARE * total).collect()]  # at most 1/LEAST_SHARE
-    languages = sorted(frequent)
+    languages = sorted(last)
     table = np.full((BUCKETS, max(1, len(languages))), 0.5)
-    counted = map_arrow(shares.filter(F.col("language").isin(languages)), run, "language string, bucket int, n long") if languages else None
+    counted = map_arrow(shares, run, "language string, bucket int, n long") if languages else None
     if counted is not None:
         for language, bucket, n in counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).filter("n > 0").collect():  # languages x buckets
             table[bucket, languages.index(language)] += n
@@ -113,7 +114,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     With `url_col` the host is that of the address, its domain the last two labels, and the suffix the first language
     code of the path or else the top domain. A row is rejected (not kept, language "und") if it has no letters, or no
-    language of a probability of CERTAIN. A null or empty text has no letters; a null declaration, host or address
+    language of a probability of CERTAIN; a text whose declaration isn't modelled is then kept as what it declares. A null or empty text has no letters; a null declaration, host or address
     says nothing. Repeated rows are judged each for itself; an empty table gives an empty result; extra columns are
     ignored.
     """
@@ -160,8 +161,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     fused = fused.withColumn("sums", sums).withColumn("highest", F.array_max("sums"))
     weight = F.aggregate(F.transform("sums", lambda x: F.exp(x - F.col("highest"))), F.lit(0.0), lambda a, b: a + b)
     fused = fused.withColumn("probability", F.when(F.col("n_grams") > 0, 1 / weight).otherwise(F.lit(0.0)))
-    kept = (F.col("n_grams") > 0) & (F.col("probability") >= CERTAIN) & F.lit(bool(languages))
-    return fused.select(F.col("id").alias(id_col), F.when(kept, best(F.col("sums"))).otherwise(F.lit(UNKNOWN)).alias("language"), "probability", kept.alias("kept"), "text_language", "declared", "host")
+    certain = (F.col("n_grams") > 0) & (F.col("probability") >= CERTAIN) & F.lit(bool(languages))
+    other = F.coalesce(~F.col("declared").isin([x.lower() for x in languages]), F.lit(False))
+    kept = certain | ((F.col("n_grams") > 0) & other)
+    language = F.when(certain, best(F.col("sums"))).when(kept, F.col("declared")).otherwise(F.lit(UNKNOWN))
+    return fused.select(F.col("id").alias(id_col), language.alias("language"), "probability", kept.alias("kept"), "text_language", "declared", "host")
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
