@@ -35,6 +35,11 @@ UNKNOWN = "und"
 BROADCAST_ROWS = 200_000
 
 
+def language_tag(column: Column) -> Column:
+    """The language of a declaration such as "en", "EN" or "en-US"; NULL if it is blank."""
+    return F.nullif(F.lower(F.regexp_extract(column.cast("string"), r"^\s*([^\s_-]+)", 1)), F.lit(""))
+
+
 def trigram_buckets(text: str) -> np.ndarray:
     """How often each bucket of byte trigrams occurs, over runs of letters in lower case."""
     words = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) if not text.isascii() else None
@@ -59,10 +64,10 @@ class TextModel:
 
 def fit(docs: DataFrame, id_col: str, text_col: str, declared_col: str, rows: int = FIT_ROWS) -> TextModel:
     """Fits on about `rows` rows of each declared language; the counts, not the texts, come to the driver."""
-    labelled = docs.filter(F.col(declared_col).isNotNull() & (F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0))
+    labelled = docs.filter(language_tag(F.col(declared_col)).isNotNull() & (F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0))
     # all rows that declare a language are counted; the share of the hashes that goes in follows from that
     place = F.xxhash64(id_col, text_col)
-    labelled = labelled.select(F.col(declared_col).cast("string").alias("language"), F.col(text_col).alias("body"), place.alias("place"))
+    labelled = labelled.select(language_tag(F.col(declared_col)).alias("language"), F.col(text_col).alias("body"), place.alias("place"))
     found = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
     last = {r["language"]: max(r["least"], min((1 << 63) - 1, (rows << 64) // r["n"] - (1 << 63))) for r in found.orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES).collect()}
     limits = F.create_map(*[F.lit(x) for pair in last.items() for x in pair]) if last else F.lit(None).cast("map<string,bigint>")
@@ -115,7 +120,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     With `url_col` the host is that of the address, its domain the last two labels, and the suffix the first language
     code of the path or else the top domain. A row is rejected (not kept, language "und") if it has no letters, or no
     language of a probability of CERTAIN; a text whose declaration isn't modelled is then kept as what it declares. A null or empty text has no letters; a null declaration, host or address
-    says nothing. Repeated rows are judged each for itself; an empty table gives an empty result; extra columns are
+    says nothing; a declaration counts by its language alone, whatever its case and region. Repeated rows are judged each for itself; an empty table gives an empty result; extra columns are
     ignored.
     """
     model = model or fit(docs, id_col, text_col, declared_col)
@@ -125,7 +130,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     host = F.nullif(F.regexp_extract(address, r"^[a-z][a-z0-9+.-]*://([^/?#:]+)", 1), F.lit("")) if url_col else (F.col(host_col).cast("string") if host_col else nothing)
     suffix = F.coalesce(F.nullif(F.regexp_extract(address, r"^[^?#]*://[^/?#]+/([a-z]{2})(?:[/?#]|$)", 1), F.lit("")), F.nullif(F.regexp_extract(host, r"\.([a-z]{2,})$", 1), F.lit(""))) if url_col else nothing
     domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1) if url_col else host
-    rows = text_evidence(docs, model, text_col, {"id": F.col(id_col), "declared": F.lower(F.col(declared_col)) if declared_col else nothing, "host": host, "domain": domain, "suffix": suffix})
+    rows = text_evidence(docs, model, text_col, {"id": F.col(id_col), "declared": language_tag(F.col(declared_col)) if declared_col else nothing, "host": host, "domain": domain, "suffix": suffix})
     ordered = F.array(*[F.lit(x) for x in languages]) if languages else F.array(nothing)
     best = lambda scores: F.when(F.col("n_grams") > 0, F.get(ordered, (F.array_position(scores, F.array_max(scores)) - 1).cast("int")))
     rows = cut(rows.withColumn("text_language", best(F.col("evidence"))))
@@ -162,7 +167,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     weight = F.aggregate(F.transform("sums", lambda x: F.exp(x - F.col("highest"))), F.lit(0.0), lambda a, b: a + b)
     fused = fused.withColumn("probability", F.when(F.col("n_grams") > 0, 1 / weight).otherwise(F.lit(0.0)))
     certain = (F.col("n_grams") > 0) & (F.col("probability") >= CERTAIN) & F.lit(bool(languages))
-    other = F.coalesce(~F.col("declared").isin([x.lower() for x in languages]), F.lit(False))
+    other = F.coalesce(~F.col("declared").isin(languages), F.lit(False))
     kept = certain | ((F.col("n_grams") > 0) & other)
     language = F.when(certain, best(F.col("sums"))).when(kept, F.col("declared")).otherwise(F.lit(UNKNOWN))
     return fused.select(F.col("id").alias(id_col), language.alias("language"), "probability", kept.alias("kept"), "text_language", "declared", "host")

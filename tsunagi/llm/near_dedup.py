@@ -5,12 +5,13 @@ the least hashes, and puts their hashes together in text order. Documents agree
 they share the same least k-mers in the same order, so edits that move text count, unlike for MinHash of sets.
 Documents that agree in an element are candidates; a banded alignment of their words decides.
 
-Equal word sequences are one node from the start. The least node of a bucket (documents with the same element) is its
-centre, and each node is first aligned with one centre, that of most of its buckets. Whatever that joins needs no more
-alignments; nodes of a bucket that are still in different classes are then aligned with its centre, and what is left
-after that pair by pair. So a bucket of thousands of copies costs thousands of alignments. A pair is left out only if
-it can't be similar: by the lengths, or by the parity bits of the words. An edit changes two bits at most, so the bits
-that differ bound the edit distance from below.
+Equal word sequences are one node from the start. Nodes with the same element are a bucket. In two rounds a bucket has
+one node as its centre, first the shortest one, then one at random, and every node is aligned with the centre that it
+shares most buckets with. So a bucket of thousands of copies costs thousands of alignments, and what a passage that
+many documents share has in common with them is found from its shortest holder. Nodes of a bucket that are still in
+different classes are then aligned pair by pair. Before each alignment, lengths and parity bits of the words rule out
+pairs that can't be similar: words that only one of two texts has, and the difference of the lengths, bound the edit
+distance from below.
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, small, table
+from .common import cut, map_arrow, small, staged, table
 from .shingles import find_words, hashed, mixed, shingles
 
 #: Words of a k-mer; k-mers of an element; elements of a sketch; least similarity.
 K, L, B, SIMILARITY = 5, 2, 64, 0.8
 #: Longs of parity bits of a text.
-PARITY = 16
-#: Numbers that are hashed at a time, for very long texts.
-AT_ONCE = 4_000_000
+PARITY = 32
+#: Numbers that are hashed at a time.
+AT_ONCE = 100_000
+#: Width of the first band that an alignment tries; it grows by the factor until the distance fits or may not be more.
+FIRST_BAND, WIDER = 24, 4
 
 
 def occurrence_labelled(kmers: np.ndarray) -> np.ndarray:
@@ -53,13 +56,17 @@ def sketch(words: np.ndarray, k: int, least: int, elements: int) -> np.ndarray:
     """The elements of a text's Order MinHash; a text of fewer than k words is one k-mer."""
     kmers = shingles(words, min(k, len(words)))
     kmers = occurrence_labelled(kmers)
-    seeds = mixed(np.arange(1, elements + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+    factors = mixed(np.arange(1, elements + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
     take, parts, step = min(least, len(kmers)), [], max(1, AT_ONCE // len(kmers))
     for start in range(0, elements, step):
-        hashes = (kmers[None, :] ^ seeds[start : start + step, None]) * np.uint64(0xE7037ED1A0B428DB)
-        hashes ^= hashes >> np.uint64(32)
-        where = np.argpartition(hashes, take - 1, axis=1)[:, :take] if take < len(kmers) else np.broadcast_to(np.arange(take), hashes.shape)
-        chosen = kmers[np.sort(where, axis=1)]
+        hashes = kmers[None, :] * factors[start : start + step, None]
+        each = np.arange(len(hashes))
+        where = np.empty((len(hashes), take), np.int64)
+        for i in range(take):  # few, so that one minimum after the other is faster than a partition
+            where[:, i] = hashes.argmin(axis=1)
+            hashes[each, where[:, i]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        where.sort(axis=1)
+        chosen = kmers[where]
         out = np.arange(start, start + len(chosen), dtype=np.uint64)
         for i in range(take):
             out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + chosen[:, i])
@@ -122,9 +129,26 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether 1 - edit distance / words of the longer text is at least `least`."""
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
+    band = FIRST_BAND  # near copies fit into a narrow band, however long they are
+    while band < most:
+        if banded_distance(a, b, band) <= band:
+            return True
+        band *= WIDER
     return banded_distance(a, b, most) <= most
 
 
+def text_marks(words: np.ndarray, text: str) -> list[int]:
+    """Two hashes of a word sequence; without words the text itself tells copies."""
+    powers, marks = np.arange(1, len(words) + 1, dtype=np.uint64), []
+    for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
+        if len(words):
+            mark = mixed(words + powers * np.uint64(salt)).sum(dtype=np.uint64)
+        else:
+            mark = np.uint64(xxhash.xxh3_64_intdigest(text.strip().encode("utf-8", "surrogatepass"), seed=salt))
+        marks.append(int(mark.view(np.int64)))
+    return marks
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, least: int, elements: int) -> DataFrame:
     """id, n_words, two hashes of the word sequence, the parity bits, and the sketch."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
@@ -136,13 +160,8 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, least: int, e
                 words = hashed(find_words(text.lower()))
                 sizes.append(len(words))
                 bits.append(parity_bits(words))
-                powers = np.arange(1, len(words) + 1, dtype=np.uint64)
-                for i, salt in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
-                    if len(words):
-                        mark = mixed(words + powers * np.uint64(salt)).sum(dtype=np.uint64)
-                    else:  # without words the text itself tells copies
-                        mark = np.uint64(xxhash.xxh3_64_intdigest(text.strip().encode("utf-8", "surrogatepass"), seed=salt))
-                    marks[i].append(int(mark.view(np.int64)))
+                for held, mark in zip(marks, text_marks(words, text), strict=True):
+                    held.append(mark)
                 sketches.append(sketch(words, k, least, elements).view(np.int64) if len(words) else np.empty(0, np.int64))
             ends = pa.array(np.cumsum([0, *map(len, sketches)]).astype(np.int32))
             flat = pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64))
@@ -154,23 +173,27 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, least: int, e
 
 
 def _aligned(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+    """The pairs (a, b) whose texts are similar; mark_a and mark_b tell which text of a repeated id is meant."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).filter("id is not null")
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "body": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "body": "text_b"}), "b")
+    both = pairs.select("a", "b", "mark_a", "mark_b").join(texts.withColumnsRenamed({"id": "a", "body": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "body": "text_b"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, words_b = None, None
+        last, words_b, meant_b = None, None, 0
         for batch in batches:
             verdicts = []
-            for text_a, text_b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+            marks = zip(batch.column("mark_a").to_pylist(), batch.column("mark_b").to_pylist(), strict=True)
+            for text_a, text_b, (mark_a, mark_b) in zip(batch.column("text_a"), batch.column("text_b"), marks, strict=True):
                 if (b := text_b.as_py()) != last:
                     last, words_b = b, hashed(find_words(b.lower()))
-                verdicts.append(similar(hashed(find_words(text_a.as_py().lower())), words_b, least))
+                    meant_b = text_marks(words_b, b)[0]
+                a = text_a.as_py()
+                words_a = hashed(find_words(a.lower()))
+                verdicts.append(meant_b == mark_b and text_marks(words_a, a)[0] == mark_a and similar(words_a, words_b, least))
             kept = batch.filter(pa.array(verdicts, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(both.select("a", "b", "text_a", "text_b"), run, f"a {kind}, b {kind}")
+    return map_arrow(both.select("a", "b", "mark_a", "mark_b", "text_a", "text_b"), run, f"a {kind}, b {kind}").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -190,39 +213,32 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def roots(links: DataFrame) -> DataFrame:
-    """id and label of every a of `links` (a, b), where each a has one b, and b < a: the end of its chain. A round
-    doubles the part of the chain that a link spans."""
-    labels = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
-    while True:
-        onward = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = cut(labels.join(onward, "label", "left").select("id", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")))
-        labels = new.select("id", "label")
-        if not new.filter("moved").limit(1).count():
-            return labels
-
-
-def _several_classes(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, node, centre and label of the buckets whose nodes are in more than one class."""
-    named = cut(buckets.join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", "centre", F.coalesce("label", "node").alias("label")))
-    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    return named.join(several.select("bucket"), "bucket", "left_semi")
-
-
 def _can_be_similar(similarity: float):
-    """Whether a and b are in different classes, and neither lengths nor parity bits rule out the similarity."""
+    """Whether neither lengths nor parity bits rule out the similarity of a and b. Each word that only one text has
+    changes a bit at most; an edit makes two such words if it changes one, or one if it changes the length."""
     longer, shorter = F.greatest("n_words_a", "n_words_b"), F.least("n_words_a", "n_words_b")
     most = F.floor(longer * (1 - similarity) + 1e-9)
     differ = sum((F.bit_count(F.get("parity_a", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i)))) for i in range(PARITY)), F.lit(0))
-    return (F.col("label_a") != F.col("label_b")) & (longer - shorter <= most) & (differ <= 2 * most)
+    return (longer - shorter <= most) & (differ + longer - shorter <= 2 * most)
+
 
+def _side(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c == "bucket" else side if c == "node" else f"{c}_{side}") for c in df.columns])
 
-def _join_classes(pairs: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links and labels with those of `pairs` (a, b, label_a, label_b) added that are similar."""
-    if not pairs.limit(1).count():
-        return links, labels
-    more = cut(_aligned(pairs.select("a", "b"), docs, id_col, text_col, similarity).join(pairs, ["a", "b"]))
+
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets (bucket, node, place) whose nodes are in more than one class, with the nodes' labels."""
+    named = staged(buckets.join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", "place", F.coalesce("label", "node").alias("label")))
+    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return named.join(several.select("bucket"), "bucket", "left_semi")
+
+
+def _join_classes(pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links and labels with those of `pairs` (a, b, mark_a, mark_b, label_a, label_b) added that are similar."""
+    more = cut(_aligned(pairs, docs, id_col, text_col, similarity).join(pairs.select("a", "b", "label_a", "label_b"), ["a", "b"]))
     joined = components(more.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    if links is None or labels is None:
+        return more.select("a", "b"), joined
     merged = joined.select(F.col("id").alias("label"), F.col("label").alias("merged"))
     labels = labels.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label"))
     labels = cut(labels.unionByName(joined.join(labels.select("id"), "id", "left_anti")))  # classes that were one node
@@ -236,40 +252,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if their word sequences (runs of letters and digits, lower case) are equal, or agree in
     an element of their sketches and have 1 - edit distance / longer length of at least `similarity`; classes are the
     components of the links. Texts without words are copies if they are equal but for white space at their ends; a null
-    text counts as empty. A row with a null id is a class of its own. Ids are taken to be unique; rows that repeat an id share the class of the least word sequence hash. An
-    empty table gives an empty result, and extra columns are ignored.
+    text counts as empty. A row with a null id is a class of its own. Rows that repeat an id are one document: the text
+    with the least word sequence hash stands for it. Pairs at exactly the similarity are linked. An empty table gives
+    an empty result, and extra columns are ignored. Texts are compared whole, however long: near copies of a million
+    words need a narrow band and take seconds; for two such texts that differ in up to a fifth of their words the last
+    band has 400,000 bits a step, which takes minutes in one task.
     """
-    rows = cut(_sketches(docs, id_col, text_col, k, least, elements))
-    worded = rows.filter("id is not null")
-    nodes = cut(worded.groupBy("mark", "mark2").agg(F.min("id").alias("node")))
-    members = cut(worded.select("id", "mark", "mark2").join(nodes, ["mark", "mark2"]).groupBy("id").agg(F.min("node").alias("node")))
-    sketches = worded.join(nodes.select(F.col("node").alias("id"), "mark", "mark2"), ["id", "mark", "mark2"], "left_semi")
-    buckets = sketches.select(F.col("id").alias("node"), F.explode("sketch").alias("bucket")).dropDuplicates()
-    centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    buckets = cut(buckets.join(centres, "bucket"))
-
-    # each node first with the centre that it shares the most buckets with
-    stars = cut(buckets.filter("node <> centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n")))
-    first = stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    links = cut(_aligned(first, docs, id_col, text_col, similarity))
-    labels = roots(links)
-
-    # then what these links left in different classes: the other centres first, and with the classes that these join
-    # pairs of a bucket, each in the first element that the two share
-    of_node = sketches.groupBy(F.col("id").alias("node")).agg(F.min(F.struct("n_words", "parity", "sketch")).alias("s")).select("node", "s.*")
-    split = _several_classes(buckets, labels).join(of_node, "node")
-    left, right = (split.select(F.col("bucket").alias(f"bucket_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("centre", "label", "n_words", "parity", "sketch"))) for x in "ab")
-    meet = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("centre_a") == F.col("b")) & (F.col("a") > F.col("b"))
-    other = left.join(right, meet & _can_be_similar(similarity)).select("a", "b", "label_a", "label_b").distinct()
-    seen = first.unionByName(cut(other.select("a", "b")))
-    links, labels = _join_classes(cut(other.join(first, ["a", "b"], "left_anti")), links, labels, docs, id_col, text_col, similarity)
-
-    split = cut(_several_classes(buckets, labels).join(of_node, "node"))
-    left, right = (split.select(F.col("bucket").alias(f"bucket_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("label", "n_words", "parity", "sketch"))) for x in "ab")
-    meet = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("a") > F.col("b"))
-    earliest = F.get(F.array_intersect("sketch_a", "sketch_b"), F.lit(0)) == F.col("bucket_a")
-    pairs = left.join(right, meet & _can_be_similar(similarity) & earliest).select("a", "b", "label_a", "label_b").distinct()
-    links, labels = _join_classes(cut(pairs.join(seen, ["a", "b"], "left_anti")), links, labels, docs, id_col, text_col, similarity)
+    rows = staged(_sketches(docs, id_col, text_col, k, least, elements))
+    own = rows.filter("id is not null").groupBy("id").agg(F.min(F.struct("mark", "mark2")).alias("m")).select("id", "m.*")
+    nodes = cut(own.groupBy("mark", "mark2").agg(F.min("id").alias("node")))
+    members = cut(own.join(nodes, ["mark", "mark2"]).select("id", "node"))
+    of_node = rows.join(nodes.withColumnRenamed("node", "id"), ["id", "mark", "mark2"], "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "node")
+    # two orders of the nodes as single numbers, which partial sums can compare: by length, and by a hash
+    by_chance = F.shiftrightunsigned(F.xxhash64("node", F.lit(1)), 24)
+    places = [F.shiftleft(F.least("n_words", F.lit((1 << 23) - 1)).cast("long"), 40).bitwiseOR(by_chance), F.xxhash64("node", F.lit(2))]
+    of_node = staged(of_node.select("node", "mark", "n_words", "parity", "sketch", *[p.alias(f"place{i}") for i, p in enumerate(places)]))
+    facts = of_node.select("node", "mark", "n_words", "parity")
+    every = of_node.select("node", "place0", "place1", F.explode("sketch").alias("bucket")).repartition("bucket")
+    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    buckets = staged(every.join(shared, "bucket", "left_semi"))
+
+    links, labels, tried = None, None, None
+    for i in range(len(places)):
+        rest = buckets.select("bucket", "node", F.col(f"place{i}").alias("place"))
+        rest = rest.withColumn("label", F.col("node")) if labels is None else staged(_labelled(rest, labels))
+        centre = rest.groupBy("bucket").agg(F.min("place").alias("centre"))
+        near = rest.join(centre, "bucket").filter("place <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("label"))
+        near = near.join(of_node.select(F.col(f"place{i}").alias("centre"), F.col("node").alias("b")), "centre")
+        near = near.join((rest.select(F.col("node").alias("b"), F.col("label").alias("label_b")).distinct() if labels is not None else of_node.select(F.col("node").alias("b"), F.col("node").alias("label_b"))), "b").filter("label <> label_b")
+        best = near.groupBy("node").agg(F.max_by(F.struct("b", "label", "label_b"), F.struct("n", "centre")).alias("x")).select(F.col("node").alias("a"), "x.b", F.col("x.label").alias("label_a"), "x.label_b")
+        pairs = best.join(_side(facts, "a"), "a").join(_side(facts, "b"), "b").filter(_can_be_similar(similarity)).select("a", "b", "mark_a", "mark_b", "label_a", "label_b")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        links, labels = _join_classes(pairs, links, labels, docs, id_col, text_col, similarity)
+
+    # pairs of different classes that are left, each in the first element that the two share. At least one of them is
+    # not in the class of the bucket's centre, so the members of a large class are not compared with each other
+    brief_of = lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")
+    rest = staged(_labelled(buckets.select("bucket", "node", F.col("place0").alias("place")), labels))
+    main = rest.groupBy("bucket").agg(F.min("place").alias("place")).join(rest, ["bucket", "place"]).groupBy("bucket").agg(F.min("label").alias("main"))
+    rest = rest.join(main, "bucket").select("bucket", "node", "place", "label", (F.col("label") == F.col("main")).alias("inside"))
+    rest = rest.join(of_node.select("node", "mark", "n_words", "parity", F.transform("sketch", brief_of).alias("brief")), "node")
+    left, right = _side(rest.filter("not inside"), "a"), _side(rest, "b")
+    once = F.col("inside_b") | (F.col("place_a") > F.col("place_b")) | ((F.col("place_a") == F.col("place_b")) & (F.col("a") > F.col("b")))
+    earliest = F.get(F.array_intersect("brief_a", "brief_b"), F.lit(0)) == brief_of(F.col("bucket"))
+    pairs = left.join(right, "bucket").filter((F.col("label_a") != F.col("label_b")) & once & _can_be_similar(similarity) & earliest)
+    pairs = pairs.select("a", "b", "mark_a", "mark_b", "label_a", "label_b").distinct()
+    pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    links, labels = _join_classes(cut(pairs), links, labels, docs, id_col, text_col, similarity)
+
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = members.join(labels.withColumnRenamed("id", "node"), "node", "left").join(degree, "node", "left").select("id", F.coalesce("label", "node").alias("class_id"), "n_links")
     classes = cut(rows.select("id").join(classes, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
