@@ -86,8 +86,7 @@ def test_lines(docs, spark):
 def test_many_variants_of_a_line(spark, monkeypatch):
     import random
 
-    monkeypatch.setattr(line_dedup, "HOT", 2)
-    monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(line_dedup, "COMMON", 2)
     r = random.Random(7)
     base = [f"v{i}" for i in range(20)]
     rows = [(i, "\n".join(" ".join(w if r.random() > 0.08 else f"z{r.randrange(9)}" for w in base) for _ in range(2))) for i in range(60)]

@@ -4,18 +4,18 @@ A line is the set of its words. Words are ordered by rarity, and two sets of sim
 among their first few (the prefix). So the prefixes are joined word by word; lengths, positions and bits that bound the
 difference of two sets rule nearly all other pairs out, and the sets of the rest are compared in full. A line goes if any earlier line is that similar.
 
-* Rarity is counted in a fixed number of buckets of word hashes, and a byte for each bucket goes into the plan. Any
-  order that is the same for all lines gives exact results, so the table keeps one size, whatever the vocabulary.
+* Rarity is counted in a fixed number of buckets of word hashes, and a byte for each bucket goes to the executors. Any
+  order that is the same for all lines gives exact results, so the table keeps one size, whatever the vocabulary. A
+  word's rank begins with its rarity, so a rank alone tells how common the word is.
 * Lines with equal sets are one class from the start, so a line that a third of all documents share is one row.
-* A word that very many classes have in their prefixes is hot. There each class is first compared with the earliest
-  class of a part of the word's classes; in a group of thousands of variants of one line this finds the earlier line
-  for nearly all. Only classes that are left then meet all classes that share the word. Which words are hot is told
-  from a sample of the classes, as it decides on the way alone and not on the result.
+* Among the classes that share a common word, each is first compared with the earliest class of a part of them; in a
+  group of thousands of variants of one line this finds the earlier line for nearly all. Only what is left then looks
+  for its earlier lines in the whole index. This decides on the way alone and not on the result.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,17 +26,17 @@ from .common import cut, small, staged, table
 #: Least Jaccard similarity of the words of two lines.
 SIMILARITY = 0.8
 #: Buckets of the rarity table.
-BUCKETS = 1 << 16
-#: One class in SAMPLE tells which words are hot: those of at least HOT classes of the sample, and of more than one in
-#: MOST_HOT of its rows, so that there are at most MOST_HOT hot words. PARTS is the number of parts of a hot word's classes.
-SAMPLE, HOT, MOST_HOT, PARTS = 32, 8, 50_000, 8
-#: Parts in which the index is joined with itself.
+BUCKETS = 1 << 20
+#: A word is common if its bucket has more than COMMON words of lines; PARTS is the number of parts of its classes.
+COMMON, PARTS = 256, 8
+#: Parts in which the index is joined with itself, so that only one is on the disks at a time.
 SLICES = 3
 #: Buckets of lines whose words are looked at again.
 LINES = 1 << 20
-
-#: Words from which a line has wide parity bits, and their columns.
-WIDE, WIDES = 48, tuple(f"wide{i}" for i in range(4))
+#: Rows of a broadcast at most.
+BROADCAST = 1_000_000
+#: Longs of parity bits.
+BITS = ("bits0", "bits1")
 #: Characters besides the space that part words.
 SPACES = "\t\r\f\v"
 
@@ -45,13 +45,21 @@ def _bucket(mark: Column) -> Column:
     return mark.bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def _rarity(lines: DataFrame) -> Column:
-    """How common the words of each bucket are, from 0 to 255, as an array: the logarithm of their number."""
+def _code(n: Column) -> Column:
+    """The logarithm of a number as a byte."""
+    return F.least(F.lit(127), F.round(4 * F.log2(n + 1))).cast("tinyint")
+
+
+def _rarity(lines: DataFrame) -> Callable[[Column], Column]:
+    """How common a word is, by its hash. The table of all buckets, a byte each, goes along in the plan."""
     words = lines.select(F.explode(_words(F.col("body"))).alias("word")).select(_bucket(F.xxhash64("word")).alias("bucket"))
-    common = [0] * BUCKETS
-    for bucket, n in words.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():  # at most BUCKETS rows
-        common[bucket] = min(255, round(7 * math.log2(n + 1)))
-    return F.split(F.lit(",".join(map(str, common))), ",").cast("array<bigint>")  # folded to a constant
+    counts = words.groupBy("bucket").agg(_code(F.count(F.lit(1))).alias("code"))
+    every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    listed = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    parts = every.withColumn("code", F.coalesce("code", F.lit(0).cast("tinyint"))).groupBy(F.shiftright("bucket", 10).alias("part")).agg(listed("bucket", "code").alias("codes"))
+    table = F.lit(bytearray(parts.agg(F.flatten(listed("part", "codes")).alias("rarity")).first()["rarity"]))  # one row of BUCKETS bytes
+    # the only look-up by place that takes no time by length: a byte of a binary, read as a character below 128
+    return lambda mark: F.ascii(F.substring(table, _bucket(mark) + 1, 1).cast("string"))
 
 
 def _least_overlap(n: Column, t: float) -> Column:
@@ -65,15 +73,18 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _words(body: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(body), SPACES, " " * len(SPACES)), " ", -1), "")
+    text = F.lower(body)
+    for space in SPACES:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(text, " ", -1), "")
 
 
-def _parity(ranks: Column, shift: int, of: int | None = None) -> Column:
-    """A bit for each of 64 classes of words, whether the set has an odd number of them; with `of` only for words of one
-    of four kinds. Two sets that differ in d words differ in at most d bits, over all four kinds as well."""
-    place = lambda m: F.shiftrightunsigned(m, shift).bitwiseAND(63).cast("int")
-    unit = lambda m: F.lit(1) if of is None else (F.shiftrightunsigned(m, shift + 6).bitwiseAND(3) == of).cast("int")
-    return F.aggregate(ranks, F.lit(0).cast("bigint"), lambda bits, m: bits.bitwiseXOR(F.call_function("shiftleft", unit(m).cast("bigint"), place(m))))
+def _parity(ranks: Column, shift: int) -> Column:
+    """A bit for each of 64 classes of words, whether the set has an odd number of them. Two sets that differ in d words
+    differ in at most d bits; so they do in two such numbers together if each word counts for one of the two alone."""
+    unit = lambda m: F.shiftrightunsigned(m, 6).bitwiseAND(1) == shift
+    bit = lambda m: F.call_function("shiftleft", unit(m).cast("bigint"), m.bitwiseAND(63).cast("int"))
+    return F.aggregate(ranks, F.lit(0).cast("bigint"), lambda bits, m: bits.bitwiseXOR(bit(m)))
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -82,66 +93,62 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = split_lines(docs, id_col, text_col).filter("id is not null")
     rarity = _rarity(lines)
     # a word's rank is its rarity and its hash in one number; ordered by rank, a line's words begin with the rarest
-    rank = lambda w: F.shiftleft(F.get(rarity, _bucket(F.xxhash64(w))), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 9))
-    ranked = lines.select("id", "line", F.sort_array(F.array_distinct(F.transform(_words(F.col("body")), rank))).alias("ranks")).filter(F.size("ranks") > 0)
+    rank = lambda h: F.shiftleft(rarity(h).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    marks = F.array_distinct(F.transform(_words(F.col("body")), lambda w: F.xxhash64(w)))
+    ranked = lines.select("id", "line", F.sort_array(F.transform(marks, rank)).alias("ranks")).filter(F.size("ranks") > 0)
     n = F.size("ranks")
     sets = staged(
         ranked.select(
             "id", "line", n.alias("words"), F.xxhash64("ranks").alias("key"), F.xxhash64("ranks", F.lit(1)).alias("key2"),
             # sets of fewer than four words match equal sets alone
             F.when(n < 4, F.array().cast("array<bigint>")).otherwise(F.slice("ranks", F.lit(1), (n - _least_overlap(n, t) + 1).cast("int"))).alias("prefix"),
-            _parity(F.col("ranks"), 0).alias("bits"),
-            # 64 bits tell little of long lines, so these have four times as many
-            *[F.when(n >= WIDE, _parity(F.col("ranks"), 8, i)).otherwise(0).alias(f"wide{i}") for i in range(4)],
+            *[_parity(F.col("ranks"), i).alias(c) for i, c in enumerate(BITS)],
         )
     )
-    first = F.min(F.struct("id", "line", "words", "bits", *WIDES, "prefix"))
+    first = F.min(F.struct("id", "line", "words", *BITS, "prefix"))
     classes = staged(sets.groupBy("key", "key2").agg(first.alias("f")).select("key", "key2", "f.*"))
 
-    index = classes.select("id", "line", "words", "bits", *WIDES, F.posexplode("prefix").alias("at", "mark"))
-    sample = classes.filter(F.pmod("key2", F.lit(SAMPLE)) == 0).select(F.explode("prefix").alias("mark"))
-    sampled = cut(sample.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT))
-    least = max(HOT, (sampled.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
-    hot_words = F.broadcast(sampled.filter(F.col("n") >= least).select("mark"))
-    hot, cool = index.join(hot_words, "mark", "left_semi"), index.join(hot_words, "mark", "left_anti")
+    # a word that no other line has joins nothing
+    index = classes.select("id", "line", "words", *BITS, F.posexplode("prefix").alias("at", "mark")).filter(F.shiftright("mark", 56) > _code(F.lit(1)))
 
     def may_match(a: str, b: str) -> Column:
         """Whether the lengths, the words before and after the shared one, and the parities allow the similarity, and a
-        is earlier."""
+        is earlier. The smaller set has a shared word already among so many as must be common to sets of its size."""
         c = lambda side, name: F.col(f"{side}.{name}")
         needed = F.ceil((c(a, "words") + c(b, "words")) * (t / (1 + t)) - 1e-9)
         possible = F.least(c(a, "at"), c(b, "at")) + F.least(c(a, "words") - c(a, "at"), c(b, "words") - c(b, "at"))
+        small_at, small_n = (F.when(c(a, "words") <= c(b, "words"), c(a, x)).otherwise(c(b, x)) for x in ("at", "words"))
         differ = (c(a, "words") + c(b, "words")) * ((1 - t) / (1 + t)) + 1e-9
-        near = F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) <= differ
-        wide = reduce(Column.__add__, [F.bit_count(c(a, w).bitwiseXOR(c(b, w))) for w in WIDES])
-        near = near & (F.when((c(a, "words") >= WIDE) & (c(b, "words") >= WIDE), wide).otherwise(0) <= differ)
+        near = reduce(Column.__add__, [F.bit_count(c(a, w).bitwiseXOR(c(b, w))) for w in BITS]) <= differ
         earlier = (c(a, "id") < c(b, "id")) | ((c(a, "id") == c(b, "id")) & (c(a, "line") < c(b, "line")))
-        return earlier & (c(a, "words") >= c(b, "words") * t - 1e-9) & (c(b, "words") >= c(a, "words") * t - 1e-9) & (possible >= needed) & near
+        sizes = (c(a, "words") >= c(b, "words") * t - 1e-9) & (c(b, "words") >= c(a, "words") * t - 1e-9)
+        return earlier & sizes & (small_at <= small_n - _least_overlap(small_n, 2 * t / (1 + t))) & (possible >= needed) & near
 
     pair = [F.col("a.id").alias("a_id"), F.col("a.line").alias("a_line"), F.col("b.id").alias("b_id"), F.col("b.line").alias("b_line")]
 
-    # hot words first: each class against the earliest of its part
+    # common words first: each class against the earliest of its part
     part = Window.partitionBy("mark", F.pmod(F.xxhash64("id", "line"), F.lit(PARTS))).orderBy("id", "line")
-    with_first = hot.select(F.struct(*hot.columns).alias("b"), F.first(F.struct("id", "line", "words", "bits", *WIDES, "at")).over(part).alias("a"))
+    common = index.filter(F.shiftright("mark", 56) >= _code(F.lit(COMMON)))
+    with_first = common.select(F.struct(*common.columns).alias("b"), F.first(F.struct("id", "line", "words", *BITS, "at")).over(part).alias("a"))
     tried = cut(with_first.filter(may_match("a", "b")).select(*pair).distinct())
     found = cut(_verified(tried, lines, t).select("b_id", "b_line").distinct())
-    # then all words that are left. Of a class's candidates the one with the nearest bits is compared first, so that the
-    # join need not hand on every pair; the words are taken in slices, so that a part of the index is shuffled at a time
-    near = reduce(Column.__add__, [F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in ("bits", *WIDES)])
+    # then all words, for classes that are left. Of a class's candidates the one with the nearest bits is compared
+    # first, so that the join need not hand on every pair
+    near = reduce(Column.__add__, [F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in BITS])
     meet = lambda x, y: x.alias("b").join(y.alias("a"), (F.col("a.mark") == F.col("b.mark")) & may_match("a", "b"))
     nearest = lambda df: df.groupBy("b_id", "b_line").agg(F.min("a").alias("a"))
-    best = lambda x, y: nearest(meet(x, y).select(F.col("b.id").alias("b_id"), F.col("b.line").alias("b_line"), F.struct(near.alias("near"), *pair[:2]).alias("a")))
-    open_hot = hot.join(found, (hot["id"] == found["b_id"]) & (hot["line"] == found["b_line"]), "left_anti")
-    parts = [cut(best(of, of)) for of in (cool.filter(F.pmod("mark", F.lit(SLICES)) == i) for i in range(SLICES))]
-    parts.append(best(open_hot, hot))
-    closest = nearest(reduce(DataFrame.unionByName, parts)).join(found, ["b_id", "b_line"], "left_anti")
-    closest = cut(closest.select("a.a_id", "a.a_line", "b_id", "b_line"))
+    without = lambda df, gone: df.join(small(gone.select(F.col("b_id").alias("id"), F.col("b_line").alias("line")), BROADCAST), ["id", "line"], "left_anti")
+    parts = []
+    for i in range(SLICES):
+        of = index.filter(F.pmod("mark", F.lit(SLICES)) == i)
+        candidates = meet(without(of, found), of).select(*pair[2:], F.struct(near.alias("near"), *pair[:2]).alias("a"))
+        parts.append(cut(nearest(candidates)))
+    closest = cut(nearest(reduce(DataFrame.unionByName, parts)).select("a.a_id", "a.a_line", "b_id", "b_line"))
     found = cut(found.unionByName(_verified(closest, lines, t).select("b_id", "b_line")).distinct())
     # and for classes that their nearest candidate is not similar to, all other candidates
     left = closest.select("b_id", "b_line").join(found, ["b_id", "b_line"], "left_anti")
-    again = index.join(left, (index["id"] == left["b_id"]) & (index["line"] == left["b_line"]), "left_semi")
-    again = cut(again)
-    there = small(cut(again.select("mark").distinct()), 1_000_000)
+    again = cut(index.join(small(cut(left.select(F.col("b_id").alias("id"), F.col("b_line").alias("line"))), BROADCAST), ["id", "line"], "left_semi"))
+    there = small(cut(again.select("mark").distinct()), BROADCAST)
     rest = meet(again, index.join(there, "mark", "left_semi")).select(*pair).distinct()
     rest = cut(rest.join(closest, ["a_id", "a_line", "b_id", "b_line"], "left_anti"))
     later = found.unionByName(_verified(rest, lines, t).select("b_id", "b_line")).distinct()
@@ -172,24 +179,27 @@ def _verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of `docs`: all its columns, with `text_col` left with the lines that stay, and n_lines and
-    n_removed (names that `docs` must not have; nor may a name begin with "_gone").
+    n_removed; columns of these two names, in whatever case, are replaced.
 
     Lines are what stands between newlines. The words of a line are what stands between white space, in lower case, and
     a line is judged on the set of its words. It goes if an earlier line, by id and number, of the same document or
     another, has a Jaccard similarity of `similarity` or more to it; whether that one stays plays no part. Lines
     without a word stay. A null text counts as empty, and so becomes an empty text. Documents with a null id stay as
     they are and are no one's earlier lines. Rows that repeat an id count as one document: a line of one goes only for
-    a line with a smaller id or number. An empty table gives an empty result.
+    a line with a smaller id or number. A text of very many or very long lines is read as any other. An empty table
+    gives an empty result.
     """
-    gone = similar_lines(docs, id_col, text_col, similarity).groupBy("id").agg(F.collect_set("line").alias("_gone_lines"))
-    both = docs.withColumn("_gone_id", F.col(id_col)).join(gone.withColumnRenamed("id", "_gone_id"), "_gone_id", "left")
-    whole = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(whole, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone_lines", i)), "\n")
-    text = F.when(F.col("_gone_lines").isNull(), whole).otherwise(kept)
+    gone = similar_lines(docs, id_col, text_col, similarity).groupBy("id").agg(F.collect_set("line").alias("lines"))
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    own = docs.select(F.col(id_col).alias("id"), F.struct(*columns).alias("doc"))
+    both = own.join(gone, "id", "left").select("doc", "lines", F.coalesce(F.col(f"doc.{text_col}"), F.lit("")).alias("whole"))
+    lines = F.split("whole", "\n", -1)
+    # the numbers that stay, in order; a difference of sets of numbers is one pass over both
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "lines")
+    text = F.when(F.col("lines").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return both.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone_lines"), F.lit(0)).cast("long").alias("n_removed"),
+        *[text.alias(c) if c == text_col else F.col(f"doc.{c}").alias(c) for c in columns],
+        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
