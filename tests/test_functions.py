@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tsunagi.functions import scoring as S
 from tsunagi.functions import text as T
-from tsunagi.operators import ingest, matching, outreach, retention
+from tsunagi.operators import dashboard, ingest, matching, outreach, retention
 
 
 def one(spark, column, **values):
@@ -64,7 +64,7 @@ def test_bracket_fields_keep_the_last_value(spark):
 
 def test_rounding_is_half_even(spark):
     df = spark.createDataFrame([(["a", "b"], ["a"] * 1 + ["c", "d", "e"], ["a"])], "have array<string>, wanted array<string>, hits array<string>")
-    assert df.select(S.skill_points(F.col("hits"), F.col("wanted"), F.col("have"), 30)).first()[0] == 8  # 7.5
+    assert df.select(S.skill_points(F.size("hits"), F.size("wanted"), F.size("have"), 30)).first()[0] == 8  # 7.5
 
 
 def test_retry_counts_failed_mails_as_new(spark):
@@ -83,14 +83,41 @@ def test_upsert_overwrites_with_null_and_keeps_what_it_must(spark):
 
 def test_only_later_or_manual_replies_are_valid(spark):
     t = lambda h: dt.datetime(2024, 1, 1, h)
-    messages = spark.createDataFrame([(1, "g1", t(5)), (2, "g2", None)], "message_id long, gmail_message_id string, sent_at timestamp")
+    emails = spark.createDataFrame([(7, "m7")], "email_id long, gmail_message_id string")
+    messages = spark.createDataFrame([(1, "g1", t(5), 7, "sent", "th"), (2, "g2", None, None, "sent", "th")], "message_id long, gmail_message_id string, sent_at timestamp, in_reply_to_email_id long, status string, thread_id string")
     replies = spark.createDataFrame(
-        [(1, 1, "r1", t(4), "ok", "auto"), (2, 1, "r2", t(6), "ng", "auto"), (3, 1, "g1", t(7), "ok", "auto"), (4, 1, "r4", t(1), "ok", "manual"), (5, 2, "r5", t(1), "ok", "auto")],
+        [(1, 1, "r1", t(4), "ok", "auto"), (2, 1, "r2", t(6), "ng", "auto"), (3, 1, "g1", t(7), "ok", "auto"), (4, 1, "r4", t(1), "ok", "manual"), (5, 2, "r5", t(1), "ok", "auto"),
+         (6, 1, "m7", t(8), "ok", "auto"), (7, 1, "manual:x", t(2), "ok", "auto"), (8, 1, None, t(5), "ok", "auto"), (9, 1, "r9", None, "ok", "auto")],
         "reply_id long, message_id long, gmail_message_id string, received_at timestamp, judgment string, judgment_source string",
-    )
-    valid = outreach.valid_replies(replies, messages)
-    assert {r["reply_id"] for r in valid.collect()} == {2, 4, 5}
-    assert {(r["message_id"], r["judgment"]) for r in outreach.latest_reply(valid).collect()} == {(1, "ng"), (2, "ok")}
+    )
+    valid = outreach.valid_replies(replies, messages, emails)
+    assert {r["reply_id"] for r in valid.collect()} == {2, 4, 5, 7, 9}
+    assert {(r["message_id"], r["reply_id"]) for r in outreach.latest_reply(valid).collect()} == {(1, 9), (2, 5)}
+    assert {r["reply_id"] for r in outreach.stale_replies(replies, messages, emails).collect()} == {1, 3, 6, 8}
+
+
+def test_a_stage_of_the_funnel_is_among_the_one_before(spark):
+    rows = lambda schema, *x: spark.createDataFrame(list(x), schema)
+    ids = rows("kind string, id long", ("talent", 1), ("talent", 2), ("project", 1), ("talent", 3))
+    matches = rows("kind string, id long, score int, hard_reject string", ("talent", 1, 0, "foreign_nationality"), ("talent", 2, 50, None), ("talent", 2, 0, None))
+    sent = rows("kind string, id long", ("talent", 1), ("talent", 2), ("project", 1))
+    replied = rows("kind string, id long, ok boolean", ("talent", 1, True), ("talent", 2, False))
+    assert tuple(dashboard.funnel(ids, matches, sent, replied).first()) == (4, 1, 1, 1, 0)
+    assert {tuple(r) for r in dashboard.constraint_loss(ids, matches).collect()} == {("talent", "foreign_nationality", 1), ("talent", "other_zero", 1), ("project", "other_zero", 1)}
+    assert {tuple(r) for r in dashboard.funnel_sets(ids, matches, sent).collect()} == {("talent", 2, "proposed"), ("talent", 1, "ingested"), ("talent", 3, "ingested"), ("project", 1, "ingested")}
+
+
+def test_scores_expand_phrases_widths_and_summaries(spark, monkeypatch):
+    talents = spark.createDataFrame([(1, "Ｊａｖａ,Java開発の経験5年", None, 65, "8月～", "常駐可", None), (2, "", "詳細設計以降の工程を自走できます。", 65, None, None, True)],
+        "talent_id long, skills string, summary string, desired_rate int, available_from string, work_style string, is_foreign_national boolean")
+    projects = spark.createDataFrame([(1, "Java", "", 60, 70, "8月～長期", "週3日出社", None), (2, "基本設計以降のご経験", "JavaScript", 60, 70, None, None, False)],
+        "project_id long, required_skills string, preferred_skills string, rate_min int, rate_max int, start_date string, work_style string, foreign_nationality_ng boolean")
+    want = {(1, 1): 30, (1, 2): 0, (2, 1): 0, (2, 2): 26}  # six of seven phases
+    for bits in (matching.BITS, 0):
+        monkeypatch.setattr(matching, "BITS", bits)
+        assert {(r["talent_id"], r["project_id"]): r["skill_required"] for r in matching.scored(talents, projects).collect()} == want
+    best = matching.best_scored(talents, projects, 1).collect()
+    assert [(r["talent_id"], r["project_id"], r["skill_hits"]) for r in best] == [(1, 1, "java")]
 
 
 def test_blocks_give_all_pairs(spark, monkeypatch):

@@ -61,37 +61,58 @@ def proposals_per_day(messages: DataFrame, end: str, days: int) -> DataFrame:
     return found.groupBy(tokyo_day(F.col("sent_at")).alias("day")).agg(F.count_if(F.col("kind") == "talent_proposal").alias("talent_proposals"), F.count_if(F.col("kind") == "project_proposal").alias("project_proposals"))
 
 
+def with_entity_company(emails: DataFrame, talents: DataFrame, projects: DataFrame) -> DataFrame:
+    """Mails with the company of the talent or project that came with them."""
+    t = talents.select("talent_id", F.col("introducer_company_id").alias("t"))
+    p = projects.select("project_id", F.col("distributor_company_id").alias("p"))
+    company = F.when(F.col("email_type") == "talent", F.col("t")).when(F.col("email_type") == "project", F.col("p"))
+    return emails.join(t, "talent_id", "left").join(p, "project_id", "left").withColumn("company_id", company).drop("t", "p")
+
+
 def companies_ranking(emails: DataFrame, companies: DataFrame, top: int = TOP_COMPANIES) -> DataFrame:
-    """Mails by company, the largest by name and the rest as one; an id without a company is a row of its own."""
-    counts = emails.filter(F.col("email_type").isin("talent", "project")).groupBy("source_company_id").agg(
+    """Mails (with_entity_company) by company, the largest by name and the rest as one; an id without a company is a row
+    of its own, and so are mails without one. The largest are found by a limit, the rest is what they leave of the sums."""
+    counts = emails.filter(F.col("email_type").isin("talent", "project")).groupBy("company_id").agg(
         F.count_if(F.col("email_type") == "talent").alias("talents"), F.count_if(F.col("email_type") == "project").alias("projects"), F.count(F.lit(1)).alias("total")
     )
-    # one row a company is left here, so the ranking's single partition is small
-    ranked = counts.withColumn("place", F.row_number().over(Window.orderBy(F.col("total").desc(), F.col("source_company_id").asc_nulls_last())))
-    named = ranked.join(companies.select(F.col("company_id").alias("source_company_id"), "name"), "source_company_id", "left")
-    key = F.when(F.col("place") <= top, F.col("place")).otherwise(top + 1)
-    return named.groupBy(key.alias("place")).agg(
-        F.when(F.first("place") > top, OTHER).otherwise(F.coalesce(F.first("name"), F.lit(UNKNOWN))).alias("company"),
-        F.sum("talents").alias("talents"), F.sum("projects").alias("projects"), F.sum("total").alias("total"),
-    )
+    best = counts.orderBy(F.col("total").desc(), F.col("company_id").asc_nulls_last()).limit(top)
+    place = F.row_number().over(Window.orderBy(F.col("total").desc(), F.col("company_id").asc_nulls_last()))
+    named = best.withColumn("place", place).join(companies.select("company_id", "name"), "company_id", "left")
+    largest = named.select("place", F.coalesce("name", F.lit(UNKNOWN)).alias("company"), "talents", "projects", "total")
+    sums = ("talents", "projects", "total")
+    rest = counts.agg(*[F.sum(c).alias(c) for c in sums]).crossJoin(best.agg(*[F.sum(c).alias(f"best_{c}") for c in sums]))  # one row each
+    rest = rest.select(F.lit(top + 1).alias("place"), F.lit(OTHER).alias("company"), *[(F.col(c) - F.col(f"best_{c}")).alias(c) for c in sums]).filter("total > 0")
+    return largest.unionByName(rest)
 
 
 def funnel(entities: DataFrame, matches: DataFrame, proposed: DataFrame, replied: DataFrame) -> DataFrame:
-    """How many of the period's entities (kind, id) got to each stage. `matches` are of one run, with kind, id and
-    score; `replied` has kind, id and ok."""
+    """How many of the period's entities (kind, id) got to each stage; each stage is among those of the one before.
+    `matches` are of one run, with kind, id and score; `replied` has kind, id and ok."""
     able = matches.filter("score > 0").select("kind", "id").distinct().withColumn("able", F.lit(True))
     flags = entities.distinct().join(able, ["kind", "id"], "left").join(proposed.distinct().withColumn("sent", F.lit(True)), ["kind", "id"], "left").join(replied.withColumn("answered", F.lit(True)), ["kind", "id"], "left")
-    return flags.agg(F.count(F.lit(1)).alias("ingested"), F.count_if("able").alias("proposable"), F.count_if("sent").alias("proposed"), F.count_if("answered").alias("replied"), F.count_if(F.col("ok")).alias("ok"))
+    sent, answered = F.col("able") & F.col("sent"), F.col("able") & F.col("sent") & F.col("answered")
+    return flags.agg(F.count(F.lit(1)).alias("ingested"), F.count_if("able").alias("proposable"), F.count_if(sent).alias("proposed"), F.count_if(answered).alias("replied"), F.count_if(answered & F.col("ok")).alias("ok"))
 
 
-def constraint_loss(matches: DataFrame) -> DataFrame:
-    """Entities whose every match has no points, by the strongest reason; NULL reasons rank last."""
+def constraint_loss(entities: DataFrame, matches: DataFrame) -> DataFrame:
+    """The period's entities (kind, id) without a match of any points, by the strongest reason; those without a match
+    or a reason are the last group."""
     rank = F.when(F.col("hard_reject") == "foreign_nationality", 0).when(F.col("hard_reject") == "commerce_flow", 1).otherwise(9)
-    lost = matches.groupBy("kind", "id").agg(F.max("score").alias("best"), F.min(rank).alias("reason")).filter("best <= 0")
+    judged = matches.groupBy("kind", "id").agg(F.max("score").alias("best"), F.min(rank).alias("reason"))
+    lost = entities.distinct().join(judged, ["kind", "id"], "left").filter("best is null or best <= 0")
     names = F.when(F.col("reason") == 0, "foreign_nationality").when(F.col("reason") == 1, "commerce_flow").otherwise("other_zero")
     return lost.groupBy("kind", names.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def funnel_sets(entities: DataFrame, matches: DataFrame, proposed: DataFrame) -> DataFrame:
+    """The funnel by set algebra: kind, id and stage of every entity, the furthest of its sets."""
+    positive = matches.filter("score > 0").select("kind", "id")
+    able = entities.select("kind", "id").intersect(positive)
+    sent = able.intersect(proposed.select("kind", "id"))
+    named = lambda df, stage: df.withColumn("stage", F.lit(stage))
+    return named(sent, "proposed").unionByName(named(able.exceptAll(sent), "proposable")).unionByName(named(entities.select("kind", "id").distinct().exceptAll(able), "ingested"))
+
+
 def entity_matches(matches: DataFrame) -> DataFrame:
     """Matches seen from either side: kind, id, score, hard_reject."""
     sides = F.array(F.struct(F.lit("talent").alias("kind"), F.col("talent_id").alias("id")), F.struct(F.lit("project").alias("kind"), F.col("project_id").alias("id")))

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from tsunagi.functions import scoring as S
 from tsunagi.functions import text as T
+from tsunagi.functions.skills import expand_term
 from tsunagi.sources.binding import split_list
+from tsunagi.sources.staging import staged
 
 PAIR = ("talent_id", "project_id")
 #: Projects that are sent to every executor at most; more are joined block by block.
 BROADCAST_PROJECTS = 20_000
+#: Different terms of projects that are kept as bits at most; with more, pairs compare lists.
+BITS = 1024
 
 
 def active(talents: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -27,79 +31,124 @@ def open_projects(projects: DataFrame, ids: DataFrame | None = None) -> DataFram
 
 def all_pairs(talents: DataFrame, projects: DataFrame) -> DataFrame:
     """Every talent with every project, which is what a full scoring is asked for. Few projects are broadcast; many
-    are split into blocks, and each block is joined with a copy of the talents, so that no side must fit in memory."""
+    are split into blocks, and each part of the talents meets each block in a task of its own, so that no side must fit
+    in memory and there are as many tasks as there are partitions."""
     n = projects.count()
     if n <= BROADCAST_PROJECTS:
         return talents.crossJoin(F.broadcast(projects))
     blocks = -(-n // BROADCAST_PROJECTS)
-    left = talents.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = projects.withColumn("block", F.pmod(F.xxhash64("project_id"), F.lit(blocks)).cast("int"))
-    return left.join(right, "block").drop("block")
-
-
-def normal_skills(lists: DataFrame, key: str, column: str, ascii_only: bool = True) -> DataFrame:
-    """key, and the normal spellings of a comma-joined list in order, without repeats."""
-    item = F.transform(split_list(column), lambda s: T.normalize_skill(s, True)) if ascii_only else None
-    if ascii_only:
-        return lists.select(key, F.array_distinct(F.filter(item, lambda s: s != "")).alias(column))
-    # other scripts need the helper for compatibility forms; it sees each different spelling once
-    items = lists.select(key, F.posexplode(split_list(column)).alias("at", "raw"))
-    spelled = items.select("raw").distinct().withColumn("skill", T.normalize_skill(F.col("raw")))
-    lists_of = items.join(spelled, "raw").filter("skill <> ''").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "skill"))).alias("x"))
-    return lists.select(key).join(lists_of, key, "left").select(key, F.coalesce(F.array_distinct(F.col("x.skill")), F.array().cast("array<string>")).alias(column))
-
-
-def talent_features(talents: DataFrame, projects: DataFrame) -> DataFrame:
-    """What scoring needs of a talent. `matched` are the terms of any project that the talent's skills satisfy: equal,
-    or all words of the term among the words of one skill. So a pair needs no more than a set intersection."""
-    have = normal_skills(talents, "talent_id", "skills")
-    terms = normal_skills(projects, "project_id", "required_skills").select(F.explode("required_skills").alias("term"))
-    terms = terms.union(normal_skills(projects, "project_id", "preferred_skills").select(F.explode("preferred_skills"))).distinct()
-    terms = terms.withColumn("words", F.split("term", " ")).withColumn("word", F.col("words")[0])
-    items = have.select("talent_id", F.explode("skills").alias("skill")).withColumn("own", F.split("skill", " "))
-    met = items.withColumn("word", F.explode("own")).join(terms, "word").filter(F.size(F.array_except("words", "own")) == 0)
-    matched = met.groupBy("talent_id").agg(F.collect_set("term").alias("matched"))
-    sides = talents.select("talent_id", "desired_rate", "available_from", "is_foreign_national", S.month_of(F.col("available_from")).alias("available_month"), S.style_flags(F.col("work_style")).alias("talent_style"))
-    return sides.join(have, "talent_id").join(matched, "talent_id", "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
-
-
-def project_features(projects: DataFrame) -> DataFrame:
-    sides = projects.select("project_id", "rate_min", "rate_max", "start_date", "foreign_nationality_ng", S.month_of(F.col("start_date")).alias("start_month"), S.style_flags(F.col("work_style")).alias("project_style"))
-    return sides.join(normal_skills(projects, "project_id", "required_skills"), "project_id").join(normal_skills(projects, "project_id", "preferred_skills"), "project_id")
+    parts = max(1, -(-int(talents.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    numbers = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = talents.withColumn("part", F.pmod(F.xxhash64("talent_id"), F.lit(parts)).cast("int")).withColumn("block", numbers(blocks))
+    right = projects.withColumn("block", F.pmod(F.xxhash64("project_id"), F.lit(blocks)).cast("int")).withColumn("part", numbers(parts))
+    return left.join(right, ["block", "part"]).drop("block", "part")
+
+
+def skill_items(entities: DataFrame, key: str, column: str, *texts: str) -> DataFrame:
+    """key, at and raw: the entries of a comma-joined list in order, and after them texts that may name skills too."""
+    items = entities.select(key, F.posexplode(split_list(column)).alias("at", "raw"))
+    for i, text in enumerate(texts):
+        items = items.unionByName(entities.select(key, F.lit((1 << 30) + i).alias("at"), F.col(text).alias("raw")).filter("raw is not null"))
+    return items
+
+
+def prepared_skills(items: DataFrame, key: str, name: str) -> DataFrame:
+    """key and the normal spellings of all terms that the entries (skill_items) name, in order, without repeats. Each
+    different entry is expanded and spelled once, which is also where the helper for compatibility forms comes in."""
+    terms = items.select("raw").distinct().select("raw", F.posexplode(expand_term(F.col("raw"))).alias("place", "term"))
+    spelled = terms.select("raw", "place", T.normalize_skill(F.col("term")).alias("skill")).filter("skill <> ''")
+    listed = items.join(spelled, "raw").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "place", "skill"))).alias("x"))
+    return listed.select(key, F.array_distinct(F.col("x.skill")).alias(name))
+
+
+def features(talents: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What scoring needs of talents and of projects, each prepared once. `matched` are the terms of any project that a
+    talent's skills satisfy: equal, or all words of the term among the words of one skill. So a pair needs no more than
+    the size of an intersection, for which the terms are bits of a few numbers if there are not too many of them."""
+    none = F.array().cast("array<string>")
+    wanted = projects.select("project_id")
+    for name in ("required_skills", "preferred_skills"):
+        wanted = wanted.join(prepared_skills(skill_items(projects, "project_id", name), "project_id", name), "project_id", "left").withColumn(name, F.coalesce(name, none))
+    wanted = staged(wanted)
+    have = talents.select("talent_id").join(prepared_skills(skill_items(talents, "talent_id", "skills", "summary"), "talent_id", "own"), "talent_id", "left").withColumn("own", F.coalesce("own", none))
+    have = staged(have)
+    terms = wanted.select(F.explode(F.concat("required_skills", "preferred_skills")).alias("term")).distinct()
+    n_terms = terms.limit(BITS + 1).count()
+    words = terms.withColumn("words", F.split("term", " ")).withColumn("word", F.col("words")[0])
+    items = have.select("talent_id", F.explode("own").alias("skill")).withColumn("parts", F.split("skill", " "))
+    met = items.withColumn("word", F.explode("parts")).join(F.broadcast(words) if n_terms <= BITS else words, "word").filter(F.size(F.array_except("words", "parts")) == 0)
+    met = staged(met.select("talent_id", "term").distinct())
+    if n_terms <= BITS:
+        numbered = F.broadcast(terms.withColumn("n", F.row_number().over(Window.orderBy("term")) - 1))  # at most BITS rows
+        bits = lambda prefix: [F.bit_or(F.when(F.floor(F.col("n") / 64) == i, F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("n") % 64).cast("int"))).otherwise(0)).alias(f"{prefix}{i}") for i in range(-(-n_terms // 64))]
+        have = have.join(met.join(numbered, "term").groupBy("talent_id").agg(F.sort_array(F.collect_list("term")).alias("matched"), *bits("m")), "talent_id", "left")
+        for name, prefix in (("required_skills", "r"), ("preferred_skills", "p")):
+            wanted = wanted.join(wanted.select("project_id", F.explode(name).alias("term")).join(numbered, "term").groupBy("project_id").agg(*bits(prefix)), "project_id", "left")
+    else:
+        have = have.join(met.groupBy("talent_id").agg(F.collect_list("term").alias("matched")), "talent_id", "left")
+    have, wanted = (df.select(*[F.coalesce(c, F.lit(0)).alias(c) if kind == "bigint" and c not in PAIR else F.coalesce(c, none).alias(c) if kind == "array<string>" else c for c, kind in df.dtypes]) for df in (have, wanted))
+    left = talents.select("talent_id", "desired_rate", "available_from", "is_foreign_national", S.month_of(F.col("available_from")).alias("available_month"), S.style_flags(F.col("work_style")).alias("talent_style"))
+    right = projects.select("project_id", "rate_min", "rate_max", "start_date", "foreign_nationality_ng", S.month_of(F.col("start_date")).alias("start_month"), S.style_flags(F.col("work_style")).alias("project_style"))
+    return staged(left.join(have, "talent_id").withColumn("n_own", F.size("own"))), right.join(wanted, "project_id").withColumn("n_required", F.size("required_skills")).withColumn("n_preferred", F.size("preferred_skills"))
+
+
+def _lists(df: DataFrame) -> list[str]:
+    return [c for c, kind in df.dtypes if kind == "array<string>"]
 
 
 def score(pairs: DataFrame) -> DataFrame:
-    """Scores of pairs that carry the features of both sides: parts, total, band, hits and reject code. A rejected pair
-    has no points at all."""
+    """Scores of pairs that carry the features of both sides: parts, total, band and reject code. A rejected pair has no
+    points at all."""
     c = F.col
-    hits, liked = F.array_intersect("required_skills", "matched"), F.array_intersect("preferred_skills", "matched")
+    words = [x[1:] for x in pairs.columns if x.startswith("m") and x[1:].isdigit()]
+
+    def hits(prefix: str, name: str) -> Column:
+        if not words and "matched" in pairs.columns:
+            return F.size(F.array_intersect(name, "matched"))
+        return sum((F.bit_count(c(f"{prefix}{i}").bitwiseAND(c(f"m{i}"))) for i in words), F.lit(0))
+
     reject = S.nationality_reject(c("foreign_nationality_ng"), c("is_foreign_national"))
     points = pairs.select(
         *PAIR,
         reject.alias("hard_reject"),
-        hits.alias("hits"),
-        liked.alias("liked"),
-        S.skill_points(hits, c("required_skills"), c("skills"), S.REQUIRED_POINTS).alias("skill_required"),
-        S.skill_points(liked, c("preferred_skills"), c("skills"), S.PREFERRED_POINTS).alias("skill_preferred"),
+        S.skill_points(hits("r", "required_skills"), c("n_required"), c("n_own"), S.REQUIRED_POINTS).alias("skill_required"),
+        S.skill_points(hits("p", "preferred_skills"), c("n_preferred"), c("n_own"), S.PREFERRED_POINTS).alias("skill_preferred"),
         S.rate_points(c("desired_rate"), c("rate_min"), c("rate_max")).alias("rate"),
         S.availability_points(c("available_from"), c("start_date"), c("available_month"), c("start_month")).alias("availability"),
         S.style_points(c("talent_style"), c("project_style")).alias("work_style"),
     )
     kept = lambda name: F.when(c("hard_reject").isNull(), c(name)).otherwise(0).cast("int").alias(name)
-    words = lambda name, out: F.when(c("hard_reject").isNull(), F.array_join(name, ",")).otherwise("").alias(out)
-    parts = points.select(*PAIR, "hard_reject", words("hits", "skill_hits"), words("liked", "preferred_hits"), *[kept(x) for x in ("skill_required", "skill_preferred", "rate", "availability", "work_style")])
+    parts = points.select(*PAIR, "hard_reject", *[kept(x) for x in ("skill_required", "skill_preferred", "rate", "availability", "work_style")])
     total = F.least(F.lit(100), c("skill_required") + c("skill_preferred") + c("rate") + c("availability") + c("work_style"))
     return parts.withColumn("score", total).withColumn("score_band", S.score_band(total))
 
 
+def with_hits(scores: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Scores with the texts of their hits, for those that are shown or kept. `left` and `right` are features."""
+    text = lambda name: F.when(F.col("hard_reject").isNull(), F.array_join(F.array_intersect(name, "matched"), ",")).otherwise("")
+    found = scores.join(left.select("talent_id", "matched"), "talent_id").join(right.select("project_id", "required_skills", "preferred_skills"), "project_id")
+    return found.select(*scores.columns, text("required_skills").alias("skill_hits"), text("preferred_skills").alias("preferred_hits"))
+
+
 def scored(talents: DataFrame, projects: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Scores of all pairs, or of `pairs` (talent_id, project_id)."""
-    left, right = talent_features(talents, projects), project_features(projects)
+    left, right = features(talents, projects)
+    if any(x.startswith("m") and x[1:].isdigit() for x in left.columns):  # the lists stay behind
+        left, right = left.drop(*_lists(left)), right.drop(*_lists(right))
     if pairs is None:
         return score(all_pairs(left, right))
     return score(pairs.select(*PAIR).join(left, "talent_id").join(right, "project_id"))
 
 
+def best_scored(talents: DataFrame, projects: DataFrame, limit: int) -> DataFrame:
+    """The best pairs of all, scored now; the texts of the hits are made for these alone."""
+    left, right = features(talents, projects)
+    bits = any(x.startswith("m") and x[1:].isdigit() for x in left.columns)
+    narrow = score(all_pairs(left.drop(*_lists(left)), right.drop(*_lists(right))) if bits else all_pairs(left, right))
+    best = narrow.orderBy(F.col("score").desc(), *PAIR).limit(limit)
+    return with_hits(F.broadcast(best), left, right)
+
+
 def latest_run(runs: DataFrame, completed: bool = True) -> DataFrame:
     """The run that was started last, one row; with `completed` only of completed ones."""
     return (runs.filter("status = 'completed'") if completed else runs).orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(1)
@@ -125,12 +174,15 @@ def latest_match(matches: DataFrame, pairs: DataFrame | None = None) -> DataFram
 
 
 def incremental(talents: DataFrame, projects: DataFrame, matches: DataFrame, runs: DataFrame) -> DataFrame:
-    """What an incremental run adds: each missing pair with the result of its newest match (reused), or scored."""
-    pairs = missing_pairs(talents, projects, matches, runs)
-    known = pairs.join(latest_match(matches).select(*PAIR, F.col("score").alias("old_score"), "ai_score"), list(PAIR), "left")
-    new = scored(active(talents), open_projects(projects), known.filter("old_score is null")).select(*PAIR, "score", F.lit(None).cast("int").alias("ai_score"), F.lit(False).alias("reused"))
-    old = known.filter("old_score is not null").select(*PAIR, F.col("old_score").alias("score"), "ai_score", F.lit(True).alias("reused"))
-    return new.unionByName(old).withColumn("score_band", S.score_band(F.col("score")))
+    """What an incremental run adds: each pair that the latest completed run has no match of, with the result of its
+    newest match (reused), or scored. A score is a few operations on numbers, so all pairs get one where they are made,
+    and what then is shuffled once, for both joins, is a pair and its score."""
+    fresh = scored(active(talents), open_projects(projects)).select(*PAIR, F.col("score").alias("new_score"), F.col("hard_reject").alias("new_reject"))
+    missing = fresh.join(matches_of_latest(matches, runs).select(*PAIR), list(PAIR), "left_anti")
+    known = missing.join(latest_match(matches).select(*PAIR, F.col("score").alias("old_score"), "ai_score", "hard_reject"), list(PAIR), "left")
+    old = F.col("old_score").isNotNull()
+    both = known.select(*PAIR, F.coalesce("old_score", "new_score").alias("score"), "ai_score", F.when(old, F.col("hard_reject")).otherwise(F.col("new_reject")).alias("hard_reject"), old.alias("reused"))
+    return both.withColumn("score_band", S.score_band(F.col("score")))
 
 
 def rescored(talents: DataFrame, projects: DataFrame, matches: DataFrame) -> DataFrame:
@@ -172,6 +224,14 @@ def with_judgements(matches: DataFrame, judged: DataFrame) -> DataFrame:
     return hit.select("match_id", *PAIR, "score", F.coalesce(clamped, "ai_score").alias("ai_score"), F.col("judged_score").isNotNull().alias("is_candidate"))
 
 
+def rejected_pairs(talents: DataFrame, projects: DataFrame) -> DataFrame:
+    """Of each project, how many pairs it has and how many of them are rejected: a project that refuses foreign nationals
+    rejects all talents who are known to be such, so the talents are counted once."""
+    people = talents.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.coalesce("is_foreign_national", F.lit(False))).alias("n_foreign"))
+    refuses = F.coalesce("foreign_nationality_ng", F.lit(False))
+    return projects.crossJoin(F.broadcast(people)).select("project_id", F.when(refuses, F.col("n_foreign")).otherwise(0).alias("n_rejected"), "n_pairs")  # one row on that side
+
+
 def high_scores(matches: DataFrame, runs: DataFrame, talents: DataFrame, projects: DataFrame, least: Column | int = 50, limit: int = 100) -> DataFrame:
     """The dashboard's list: matches of the latest run between active talents and open projects, best first."""
     found = matches_of_latest(matches, runs).filter(F.col("score") >= least)

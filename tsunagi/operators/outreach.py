@@ -33,18 +33,23 @@ def latest_per_pair(messages: DataFrame, links: DataFrame) -> DataFrame:
     return _newest(linked(messages, links), ["project_id", "talent_id"])
 
 
-def valid_replies(replies: DataFrame, messages: DataFrame) -> DataFrame:
-    """Replies that answer their proposal: manual ones, or else mails that are not the proposal itself and came after
-    it; a proposal without a time is answered by any."""
-    proposals = messages.select("message_id", F.col("gmail_message_id").alias("sent_mail"), "sent_at")
+def valid_replies(replies: DataFrame, messages: DataFrame, emails: DataFrame) -> DataFrame:
+    """Replies that answer their proposal: manual ones, or else mails that are neither the proposal itself nor the mail
+    that it answered, and that did not come before it. What is not known (a time, a mail id) rules nothing out."""
+    sources = emails.select(F.col("email_id").alias("in_reply_to_email_id"), F.col("gmail_message_id").alias("source_mail"))
+    proposals = messages.select("message_id", F.col("gmail_message_id").alias("sent_mail"), "sent_at", "in_reply_to_email_id").join(sources, "in_reply_to_email_id", "left").drop("in_reply_to_email_id")
     joined = replies.join(proposals, "message_id")
-    after = F.col("sent_at").isNull() | (F.col("received_at") > F.col("sent_at"))
-    return joined.filter((F.col("judgment_source") == "manual") | ((F.col("gmail_message_id") != F.col("sent_mail")) & after)).drop("sent_mail", "sent_at")
+    mail, is_false = F.col("gmail_message_id"), lambda c: ~F.coalesce(c, F.lit(False))
+    manual = F.coalesce(mail.startswith("manual:"), F.lit(False)) | (F.col("judgment_source") == "manual")
+    answer = is_false(mail == F.col("sent_mail")) & is_false(mail == F.col("source_mail")) & is_false(F.col("received_at") <= F.col("sent_at"))
+    return joined.filter(manual | answer).drop("sent_mail", "sent_at", "source_mail")
 
 
 def latest_reply(replies: DataFrame) -> DataFrame:
-    """The newest reply of each message: message_id, judgment and received_at. max_by sums up before the shuffle."""
-    return replies.groupBy("message_id").agg(F.max_by(F.struct("judgment", "received_at", "reply_id"), F.struct("received_at", "reply_id")).alias("r")).select("message_id", "r.judgment", "r.received_at", "r.reply_id")
+    """The newest reply of each message: message_id, judgment and received_at; one without a time counts as the newest.
+    max_by sums up before the shuffle."""
+    order = F.struct(F.col("received_at").isNull(), "received_at", "reply_id")
+    return replies.groupBy("message_id").agg(F.max_by(F.struct("judgment", "received_at", "reply_id"), order).alias("r")).select("message_id", "r.judgment", "r.received_at", "r.reply_id")
 
 
 def offered_pairs(messages: DataFrame, links: DataFrame, matches: DataFrame) -> DataFrame:
@@ -55,12 +60,11 @@ def offered_pairs(messages: DataFrame, links: DataFrame, matches: DataFrame) ->
 
 def proposed_flags(matches: DataFrame, messages: DataFrame, links: DataFrame, hidden: DataFrame) -> DataFrame:
     """Matches with `proposed`: what the dashboard was told by hand, or else whether a proposal was sent."""
-    told = hidden.groupBy(*PAIR).agg(F.max_by("display_as", "hidden_at").alias("told"))
-    by_match = sent(messages, "talent_proposal").filter("match_id is not null").select("match_id").distinct().withColumn("by_match", F.lit(True))
-    by_pair = linked(messages, links).select(*PAIR).distinct().withColumn("by_pair", F.lit(True))
-    flags = matches.join(told, list(PAIR), "left").join(by_match, "match_id", "left").join(by_pair, list(PAIR), "left")
-    seen = F.coalesce("by_match", "by_pair", F.lit(False))
-    return flags.withColumn("proposed", F.when(F.col("told") == "unproposed", False).when(F.col("told") == "proposed", True).otherwise(seen)).drop("told", "by_match", "by_pair")
+    told = hidden.groupBy(*PAIR).agg(F.max_by("display_as", F.struct("hidden_at", "display_as")).alias("told"))
+    by_talent = sent(messages, "talent_proposal").select(*PAIR)
+    offered = by_talent.union(linked(messages, links).select(*PAIR)).distinct().withColumn("offered", F.lit(True))
+    flags = matches.join(told, list(PAIR), "left").join(offered, list(PAIR), "left")
+    return flags.withColumn("proposed", F.when(F.col("told") == "unproposed", False).when(F.col("told") == "proposed", True).otherwise(F.coalesce("offered", F.lit(False)))).drop("told", "offered")
 
 
 def side_status(messages: DataFrame, answers: DataFrame, name: str) -> DataFrame:
@@ -69,9 +73,10 @@ def side_status(messages: DataFrame, answers: DataFrame, name: str) -> DataFrame
     return answered.withColumn(f"status_{name}", F.coalesce(F.concat(F.lit("reply_"), "judgment"), F.lit(f"{name}_sent"))).drop("judgment")
 
 
-def pair_status(matches: DataFrame, messages: DataFrame, links: DataFrame, replies: DataFrame, validated: bool = True) -> DataFrame:
-    """Matches with the status of either side and of both, where the project's side goes first."""
-    answers = latest_reply(valid_replies(replies, messages) if validated else replies)
+def pair_status(matches: DataFrame, messages: DataFrame, links: DataFrame, replies: DataFrame, emails: DataFrame | None) -> DataFrame:
+    """Matches with the status of either side and of both, where the project's side goes first. With `emails` only valid
+    replies count, without it all do."""
+    answers = latest_reply(replies if emails is None else valid_replies(replies, messages, emails))
     talent = side_status(latest_per_match(messages), answers, "talent").select("match_id", "status_talent")
     project = side_status(latest_per_pair(messages, links), answers, "project").select(*PAIR, "status_project")
     both = matches.join(talent, "match_id", "left").join(project, list(PAIR), "left")
@@ -87,29 +92,33 @@ def proposal_statistics(latest: DataFrame, answers: DataFrame, key: str) -> Data
     )
 
 
-def talent_statistics(messages: DataFrame, matches: DataFrame, replies: DataFrame) -> DataFrame:
+def talent_statistics(messages: DataFrame, matches: DataFrame, replies: DataFrame, emails: DataFrame) -> DataFrame:
     proposals = sent(messages, "talent_proposal").join(matches.select("match_id", F.col("talent_id").alias("of_match")), "match_id", "left")
     proposals = proposals.withColumn("talent_id", F.coalesce("talent_id", "of_match")).filter("talent_id is not null")
-    return proposal_statistics(_newest(proposals, ["talent_id", "project_id"]), latest_reply(valid_replies(replies, messages)), "talent_id")
+    return proposal_statistics(_newest(proposals, ["talent_id", "project_id"]), latest_reply(valid_replies(replies, messages, emails)), "talent_id")
 
 
-def project_statistics(messages: DataFrame, links: DataFrame, replies: DataFrame) -> DataFrame:
-    return proposal_statistics(latest_per_pair(messages, links), latest_reply(valid_replies(replies, messages)), "project_id")
+def project_statistics(messages: DataFrame, links: DataFrame, replies: DataFrame, emails: DataFrame) -> DataFrame:
+    return proposal_statistics(latest_per_pair(messages, links), latest_reply(valid_replies(replies, messages, emails)), "project_id")
 
 
-def candidate_replies(mails: DataFrame, messages: DataFrame, replies: DataFrame) -> DataFrame:
-    """Mails of a proposal's thread that may answer it: after it, not the proposal itself, and not known yet. `mails`
-    has thread_id, mail_id and received_at. Threads are joined by key, times are the rest; long threads are split by
-    adaptive execution."""
-    proposals = sent(messages).select("message_id", "thread_id", "gmail_message_id", "sent_at")
+def candidate_replies(mails: DataFrame, messages: DataFrame, replies: DataFrame, emails: DataFrame) -> DataFrame:
+    """Mails of a proposal's thread that may answer it: after it, neither the proposal itself nor the mail that it
+    answered, and not known yet. `mails` has thread_id, mail_id and received_at. Threads are joined by key, times are
+    the rest; long threads are split by adaptive execution."""
+    sources = emails.select(F.col("email_id").alias("in_reply_to_email_id"), F.col("gmail_message_id").alias("source_mail"))
+    proposals = sent(messages).filter("thread_id is not null and gmail_message_id is not null").select("message_id", "thread_id", "gmail_message_id", "sent_at", "in_reply_to_email_id").join(sources, "in_reply_to_email_id", "left")
     after = F.col("sent_at").isNull() | (F.col("received_at") > F.col("sent_at"))
-    found = mails.join(proposals, "thread_id").filter((F.col("mail_id") != F.col("gmail_message_id")) & after)
+    other = (F.col("mail_id") != F.col("gmail_message_id")) & ~F.coalesce(F.col("mail_id") == F.col("source_mail"), F.lit(False))
+    found = mails.join(proposals, "thread_id").filter(other & after)
     known = replies.select("message_id", F.col("gmail_message_id").alias("mail_id"))
     return found.join(known, ["message_id", "mail_id"], "left_anti").select("message_id", "mail_id", "received_at")
 
 
-def stale_replies(replies: DataFrame, messages: DataFrame) -> DataFrame:
-    return replies.join(valid_replies(replies, messages).select("reply_id"), "reply_id", "left_anti").join(messages.select("message_id"), "message_id", "left_semi")
+def stale_replies(replies: DataFrame, messages: DataFrame, emails: DataFrame) -> DataFrame:
+    """Replies that were taken in by themselves, of sent proposals with a thread, and do not answer them."""
+    own = replies.filter("judgment_source = 'auto'").join(sent(messages).filter("thread_id is not null and gmail_message_id is not null").select("message_id"), "message_id", "left_semi")
+    return own.join(valid_replies(replies, messages, emails).select("reply_id"), "reply_id", "left_anti")
 
 
 def ok_rate_by_band(messages: DataFrame, links: DataFrame, matches: DataFrame, replies: DataFrame, band: Column) -> DataFrame:
@@ -122,9 +131,9 @@ def ok_rate_by_band(messages: DataFrame, links: DataFrame, matches: DataFrame, r
     return rate.withColumn("ok_rate", F.bround(F.lit(100.0) * F.col("n_ok") / F.col("n_sent"), 1))
 
 
-def replied_entities(messages: DataFrame, links: DataFrame, replies: DataFrame) -> DataFrame:
-    """kind, id, replied and ok of every talent or project that a sent proposal with a reply concerns."""
+def replied_entities(messages: DataFrame, replies: DataFrame) -> DataFrame:
+    """kind, id and ok of every talent whose talent proposals, or project whose project proposals, had a reply."""
     answers = latest_reply(replies).select("message_id", (F.col("judgment") == "ok").alias("ok"))
     ids = sent(messages, "talent_proposal").select("message_id", F.lit("talent").alias("kind"), F.col("talent_id").alias("id"))
-    ids = ids.union(linked(messages, links).select("message_id", F.lit("talent"), "talent_id")).union(sent(messages).select("message_id", F.lit("project"), "project_id"))
+    ids = ids.union(sent(messages, "project_proposal").select("message_id", F.lit("project"), "project_id"))
     return ids.filter("id is not null").join(answers, "message_id").groupBy("kind", "id").agg(F.bool_or("ok").alias("ok"))

@@ -13,8 +13,10 @@ from tsunagi.sources.binding import Domain
 _PER_MATCH = "per_match AS (SELECT * FROM messages WHERE status = 'sent' AND kind = 'talent_proposal' AND match_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY sent_at DESC NULLS FIRST, message_id DESC) = 1)"
 _LINKED = "linked AS (SELECT m.message_id, m.project_id, m.sent_at, l.talent_id, l.match_id FROM messages m JOIN message_talents l ON m.message_id = l.message_id WHERE status = 'sent' AND kind = 'project_proposal')"
 _PER_PAIR = f"{_LINKED}, per_pair AS (SELECT * FROM linked QUALIFY row_number() OVER (PARTITION BY project_id, talent_id ORDER BY sent_at DESC NULLS FIRST, message_id DESC) = 1)"
-_VALID = "valid AS (SELECT r.* FROM replies r JOIN messages m USING (message_id) WHERE judgment_source = 'manual' OR (r.gmail_message_id <> m.gmail_message_id AND (m.sent_at IS NULL OR r.received_at > m.sent_at)))"
-_NEWEST = "answers AS (SELECT message_id, judgment, received_at, reply_id FROM {0} QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY received_at DESC, reply_id DESC) = 1)"
+_VALID = """valid AS (SELECT r.* FROM replies r JOIN messages m USING (message_id) LEFT JOIN (SELECT email_id, gmail_message_id AS source_mail FROM emails) e ON e.email_id = m.in_reply_to_email_id
+    WHERE judgment_source = 'manual' OR coalesce(r.gmail_message_id LIKE 'manual:%', false)
+        OR (r.gmail_message_id IS DISTINCT FROM m.gmail_message_id AND (source_mail IS NULL OR r.gmail_message_id IS DISTINCT FROM source_mail) AND (m.sent_at IS NULL OR r.received_at IS NULL OR r.received_at > m.sent_at)))"""
+_NEWEST = "answers AS (SELECT message_id, judgment, received_at, reply_id FROM {0} QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY received_at DESC NULLS FIRST, reply_id DESC) = 1)"
 _OFFERED = f"{_LINKED}, offered AS (SELECT talent_id, project_id FROM matches WHERE match_id IN (SELECT match_id FROM messages WHERE status = 'sent' AND kind = 'talent_proposal') UNION SELECT talent_id, project_id FROM linked)"
 _STATS = "count(*) AS total, count(*) FILTER (judgment IS NULL) AS no_reply, count(*) FILTER (judgment = 'ok') AS ok, count(*) FILTER (judgment = 'ng') AS ng"
 
@@ -28,7 +30,7 @@ def w04_latest_per_pair(d: Domain):
 
 
 def w05_latest_valid_reply(d: Domain):
-    return O.latest_reply(O.valid_replies(d.replies, d.messages))
+    return O.latest_reply(O.valid_replies(d.replies, d.messages, d.emails))
 
 
 def j08_pending_pairs(d: Domain):
@@ -41,34 +43,36 @@ def j10_proposed_flags(d: Domain):
 
 
 def j14_candidate_replies(d: Domain):
-    mails = d.emails.select(F.concat(F.lit("th"), F.col("email_id").cast("string")).alias("thread_id"), F.concat(F.lit("g"), F.col("email_id").cast("string"), F.lit("-1")).alias("mail_id"), F.timestamp_add("DAY", F.lit(60), F.col("created_at")).alias("received_at"))
-    return O.candidate_replies(mails, d.messages, d.replies)
+    """Each proposal's thread has the proposal, the mail that it answered, and the mail of its order's number."""
+    text = lambda c: F.col(c).cast("string")
+    mails = d.emails.select(F.concat(F.lit("th"), text("email_id")).alias("thread_id"), F.explode(F.array("gmail_message_id", F.concat(F.lit("g"), text("email_id"), F.lit("-1")), F.concat(F.lit("m"), text("talent_id")))).alias("mail_id"), F.timestamp_add("DAY", F.lit(60), F.col("created_at")).alias("received_at")).distinct()
+    return O.candidate_replies(mails, d.messages, d.replies, d.emails)
 
 
 def j15_stale_replies(d: Domain):
-    return O.stale_replies(d.replies, d.messages).select("reply_id", "message_id")
+    return O.stale_replies(d.replies, d.messages, d.emails).select("reply_id", "message_id")
 
 
 def f57_pair_status(d: Domain):
-    return O.pair_status(M.matches_of_latest(d.matches, d.match_runs), d.messages, d.message_talents, d.replies).select("match_id", "status_talent", "status_project", "outreach_status")
+    return O.pair_status(M.matches_of_latest(d.matches, d.match_runs), d.messages, d.message_talents, d.replies, d.emails).select("match_id", "status_talent", "status_project", "outreach_status")
 
 
 def t02_run_matches(d: Domain):
     best = M.matches_of_latest(d.matches, d.match_runs).orderBy(F.col("score").desc(), "match_id").limit(2000)
-    status = O.pair_status(best, d.messages, d.message_talents, d.replies, validated=False)
+    status = O.pair_status(best, d.messages, d.message_talents, d.replies, None)
     return status.join(d.talents.select("talent_id", "display_name"), "talent_id").join(d.projects.select("project_id", "title"), "project_id").select("match_id", "score", "display_name", "title", "outreach_status")
 
 
 def t03_talent_matches(d: Domain):
-    return O.pair_status(d.matches.filter("talent_id = 77"), d.messages, d.message_talents, d.replies).join(d.projects.select("project_id", "title"), "project_id").select("match_id", "title", "score", "status_talent", "status_project")
+    return O.pair_status(d.matches.filter("talent_id = 77"), d.messages, d.message_talents, d.replies, d.emails).join(d.projects.select("project_id", "title"), "project_id").select("match_id", "title", "score", "status_talent", "status_project")
 
 
 def a07_talent_statistics(d: Domain):
-    return O.talent_statistics(d.messages, d.matches, d.replies)
+    return O.talent_statistics(d.messages, d.matches, d.replies, d.emails)
 
 
 def a08_project_statistics(d: Domain):
-    return O.project_statistics(d.messages, d.message_talents, d.replies)
+    return O.project_statistics(d.messages, d.message_talents, d.replies, d.emails)
 
 
 def a09_ok_rate_by_band(d: Domain):
@@ -76,7 +80,7 @@ def a09_ok_rate_by_band(d: Domain):
 
 
 def a10_replied_entities(d: Domain):
-    return O.replied_entities(d.messages, d.message_talents, d.replies)
+    return O.replied_entities(d.messages, d.replies)
 
 
 def a11_sent_counts(d: Domain):
@@ -92,12 +96,14 @@ QUERIES = {
     w04_latest_per_pair: f"WITH {_PER_PAIR} SELECT project_id, talent_id, message_id, sent_at FROM per_pair",
     w05_latest_valid_reply: f"WITH {_VALID}, {_NEWEST.format('valid')} SELECT * FROM answers",
     j08_pending_pairs: f"WITH {_OFFERED} SELECT talent_id, project_id, match_id FROM matches ANTI JOIN offered USING (talent_id, project_id) WHERE run_id = {LATEST}",
-    j10_proposed_flags: f"""WITH {_LINKED}, told AS (SELECT talent_id, project_id, arg_max(display_as, hidden_at) AS told FROM hidden GROUP BY ALL)
-        SELECT match_id, CASE told WHEN 'unproposed' THEN false WHEN 'proposed' THEN true ELSE match_id IN (SELECT match_id FROM messages WHERE status = 'sent' AND kind = 'talent_proposal' AND match_id IS NOT NULL)
-            OR (m.talent_id, m.project_id) IN (SELECT (talent_id, project_id) FROM linked) END AS proposed FROM matches m LEFT JOIN told USING (talent_id, project_id)""",
-    j14_candidate_replies: """SELECT m.message_id, 'g' || e.email_id || '-1' AS mail_id, e.created_at + INTERVAL 60 DAY AS received_at FROM emails e JOIN messages m ON m.thread_id = 'th' || e.email_id
-        WHERE m.status = 'sent' AND m.gmail_message_id <> 'g' || e.email_id || '-1' AND (m.sent_at IS NULL OR e.created_at + INTERVAL 60 DAY > m.sent_at)""",
-    j15_stale_replies: f"WITH {_VALID} SELECT reply_id, message_id FROM replies WHERE reply_id NOT IN (SELECT reply_id FROM valid)",
+    j10_proposed_flags: f"""WITH {_LINKED}, told AS (SELECT talent_id, project_id, arg_max(display_as, (hidden_at, display_as)) AS told FROM hidden GROUP BY ALL),
+        o AS (SELECT talent_id, project_id FROM messages WHERE status = 'sent' AND kind = 'talent_proposal' UNION ALL SELECT talent_id, project_id FROM linked)
+        SELECT match_id, CASE told WHEN 'unproposed' THEN false WHEN 'proposed' THEN true ELSE (m.talent_id, m.project_id) IN (SELECT (talent_id, project_id) FROM o) END AS proposed FROM matches m LEFT JOIN told USING (talent_id, project_id)""",
+    j14_candidate_replies: """WITH x AS (SELECT DISTINCT 'th' || email_id AS thread_id, unnest([gmail_message_id, 'g' || email_id || '-1', 'm' || talent_id]) AS mail_id, created_at + INTERVAL 60 DAY AS received_at FROM emails)
+        SELECT m.message_id, mail_id, received_at FROM x JOIN messages m USING (thread_id) LEFT JOIN (SELECT email_id, gmail_message_id AS source_mail FROM emails) e ON e.email_id = m.in_reply_to_email_id
+        WHERE m.status = 'sent' AND m.gmail_message_id <> mail_id AND (source_mail IS NULL OR source_mail <> mail_id) AND (m.sent_at IS NULL OR received_at > m.sent_at)
+            AND NOT EXISTS (FROM replies r WHERE r.message_id = m.message_id AND r.gmail_message_id = mail_id)""",
+    j15_stale_replies: f"WITH {_VALID} SELECT reply_id, message_id FROM replies WHERE judgment_source = 'auto' AND reply_id NOT IN (SELECT reply_id FROM valid) AND message_id IN (SELECT message_id FROM messages WHERE status = 'sent')",
     f57_pair_status: f"""WITH {_PER_MATCH}, {_PER_PAIR}, {_VALID}, {_NEWEST.format('valid')},
         s AS (SELECT match_id, CASE WHEN t.message_id IS NOT NULL THEN coalesce('reply_' || a.judgment, 'talent_sent') END AS status_talent,
             CASE WHEN p.message_id IS NOT NULL THEN coalesce('reply_' || b.judgment, 'project_sent') END AS status_project
@@ -120,7 +126,7 @@ QUERIES = {
     a09_ok_rate_by_band: f"""WITH {_NEWEST.format('replies')}, o AS (SELECT message_id, match_id FROM messages WHERE status = 'sent' AND kind = 'talent_proposal' UNION ALL SELECT m.message_id, l.match_id FROM messages m LEFT JOIN message_talents l USING (message_id) WHERE status = 'sent' AND kind = 'project_proposal'),
         s AS (SELECT match_id, {BAND} FROM matches), r AS (SELECT coalesce(score_band, '不明') AS band, count(*) AS n_sent, count(*) FILTER (judgment = 'ok') AS n_ok FROM o LEFT JOIN s USING (match_id) LEFT JOIN answers USING (message_id) GROUP BY 1)
         SELECT *, round_even(100.0::DOUBLE * n_ok / n_sent, 1) AS ok_rate FROM r""",
-    a10_replied_entities: f"""WITH {_LINKED}, {_NEWEST.format('replies')}, ids AS (SELECT message_id, 'talent' AS kind, talent_id AS id FROM messages WHERE status = 'sent' AND kind = 'talent_proposal' UNION ALL SELECT message_id, 'talent', talent_id FROM linked UNION ALL SELECT message_id, 'project', project_id FROM messages WHERE status = 'sent')
+    a10_replied_entities: f"""WITH {_NEWEST.format('replies')}, ids AS (SELECT message_id, CASE kind WHEN 'talent_proposal' THEN 'talent' ELSE 'project' END AS kind, CASE kind WHEN 'talent_proposal' THEN talent_id ELSE project_id END AS id FROM messages WHERE status = 'sent')
         SELECT kind, id, bool_or(judgment = 'ok') AS ok FROM ids JOIN answers USING (message_id) WHERE id IS NOT NULL GROUP BY ALL""",
     a11_sent_counts: "SELECT count(*) FILTER (status = 'sent' AND kind = 'talent_proposal') AS talent_proposals, count(*) FILTER (status = 'sent' AND kind = 'project_proposal') AS project_proposals, count(*) AS messages FROM messages",
     u10_display_overrides: "SELECT talent_id, project_id, arg_max(display_as, (hidden_at, display_as)) AS display_as FROM hidden GROUP BY ALL",

@@ -11,16 +11,19 @@ _JA = "('リモート', 'remote', '在宅', 'フルリモート', 'テレワー
 
 #: Scores of all pairs of active talents and open projects, as a view `scores` for other queries.
 SCORES = """
-have AS (SELECT talent_id, lower(CASE s WHEN 'k8s' THEN 'kubernetes' ELSE s END) AS s FROM (SELECT talent_id, unnest(string_split(skills, ',')) AS s FROM talents WHERE skills <> '')),
-wanted AS (SELECT project_id, kind, s, min(i) AS i FROM (
-    SELECT project_id, kind, i, lower(CASE l[i] WHEN 'k8s' THEN 'kubernetes' ELSE l[i] END) AS s FROM (
+spelled AS (SELECT * FROM (VALUES ('Java', 0, 'java'), ('JavaScript', 0, 'javascript'), ('Spring Boot', 0, 'spring boot'), ('PostgreSQL', 0, 'postgresql'), ('AWS', 0, 'aws'), ('Python', 0, 'python'), ('React', 0, 'react'),
+    ('TypeScript', 0, 'typescript'), ('Docker', 0, 'docker'), ('k8s', 0, 'kubernetes'), ('Go', 0, 'go'), ('SQL Server', 0, 'sql server'), ('Ｊａｖａ', 0, 'java'), ('Java開発の経験5年', 0, 'java'),
+    ('結合試験以降のご経験', 0, '結合試験'), ('結合試験以降のご経験', 1, 'システム試験'), ('結合試験以降のご経験', 2, 'リリース')) v(raw, k, s)),
+met AS (SELECT DISTINCT talent_id, s FROM (SELECT talent_id, unnest(string_split(skills, ',')) AS raw FROM talents WHERE skills <> '') JOIN spelled USING (raw)),
+wanted AS (SELECT project_id, kind, s, min(i * 10 + k) AS i FROM (
+    SELECT project_id, kind, l[i] AS raw, i FROM (
         SELECT project_id, kind, l, unnest(range(1, len(l) + 1)) AS i FROM (
             SELECT project_id, 'r' AS kind, string_split(required_skills, ',') AS l FROM projects WHERE required_skills <> ''
-            UNION ALL SELECT project_id, 'p', string_split(preferred_skills, ',') FROM projects WHERE preferred_skills <> ''))) GROUP BY ALL),
-met AS (SELECT DISTINCT talent_id, w.s FROM have h JOIN (SELECT DISTINCT s FROM wanted) w ON list_has_all(string_split(h.s, ' '), string_split(w.s, ' '))),
-hits AS (SELECT talent_id, project_id, kind, count(*) AS n, string_agg(s, ',' ORDER BY i) AS words FROM wanted JOIN met USING (s) GROUP BY ALL),
+            UNION ALL SELECT project_id, 'p', string_split(preferred_skills, ',') FROM projects WHERE preferred_skills <> ''))) JOIN spelled USING (raw) GROUP BY ALL),
+hits AS (SELECT talent_id, project_id, count(*) FILTER (kind = 'r') AS n, count(*) FILTER (kind = 'p') AS m, coalesce(string_agg(s, ',' ORDER BY i) FILTER (kind = 'r'), '') AS rw,
+    coalesce(string_agg(s, ',' ORDER BY i) FILTER (kind = 'p'), '') AS lw FROM wanted JOIN met USING (s) GROUP BY ALL),
 sizes AS (SELECT project_id, count(*) FILTER (kind = 'r') AS nr, count(*) FILTER (kind = 'p') AS np FROM wanted GROUP BY project_id),
-t AS (SELECT *, talent_id IN (SELECT talent_id FROM have) AS has,
+t AS (SELECT *,
     CASE WHEN available_from LIKE '%即日%' THEN 0 ELSE CAST(nullif(regexp_extract(available_from, '([0-9]{1,2})月', 1), '') AS INT) END AS m,
     coalesce(work_style, '') <> '' AS given, coalesce(regexp_matches(work_style, 'リモート'), false) AS remote, coalesce(regexp_matches(work_style, '常駐|出社'), false) AS onsite
     FROM talents WHERE status = 'active'),
@@ -29,8 +32,8 @@ p AS (SELECT *, CASE WHEN start_date LIKE '%即日%' THEN 0 ELSE CAST(nullif(reg
     coalesce(rate_min, rate_max) AS a, coalesce(rate_max, rate_min) AS b FROM projects LEFT JOIN sizes USING (project_id) WHERE status = 'open'),
 parts AS (SELECT t.talent_id, p.project_id,
     CASE WHEN p.foreign_nationality_ng AND t.is_foreign_national THEN 'foreign_nationality' END AS hard_reject,
-    CASE WHEN coalesce(nr, 0) = 0 THEN 15 WHEN NOT has THEN 0 ELSE CAST(round_even(30 * (coalesce(r.n, 0)::DOUBLE / nr), 0) AS INT) END AS skill_required,
-    CASE WHEN coalesce(np, 0) = 0 THEN 7 WHEN NOT has THEN 0 ELSE CAST(round_even(15 * (coalesce(l.n, 0)::DOUBLE / np), 0) AS INT) END AS skill_preferred,
+    CASE WHEN coalesce(nr, 0) = 0 THEN 15 ELSE CAST(round_even(30 * (coalesce(h.n, 0)::DOUBLE / nr), 0) AS INT) END AS skill_required,
+    CASE WHEN coalesce(np, 0) = 0 THEN 7 ELSE CAST(round_even(15 * (coalesce(h.m, 0)::DOUBLE / np), 0) AS INT) END AS skill_preferred,
     CASE WHEN desired_rate IS NULL OR a IS NULL THEN 17 WHEN desired_rate BETWEEN least(a, b) AND greatest(a, b) THEN 30 WHEN desired_rate < least(a, b) THEN 27
          WHEN desired_rate - greatest(a, b) <= 5 THEN 23 WHEN desired_rate - greatest(a, b) <= 10 THEN 15 ELSE 0 END AS rate,
     CASE WHEN available_from IS NULL OR start_date IS NULL THEN 8 WHEN t.m IS NOT NULL AND p.m IS NOT NULL THEN
@@ -39,9 +42,8 @@ parts AS (SELECT t.talent_id, p.project_id,
          WHEN available_from LIKE '%即日%' OR start_date LIKE '%即日%' THEN 12 ELSE 8 END AS availability,
     CASE WHEN NOT t.given OR NOT p.given THEN 5 WHEN p.remote AND t.remote THEN 10 WHEN p.onsite AND NOT p.remote AND t.onsite THEN 8
          WHEN p.onsite AND NOT p.remote AND t.remote THEN 2 ELSE 6 END AS work_style,
-    coalesce(r.words, '') AS rw, coalesce(l.words, '') AS lw
-    FROM t CROSS JOIN p LEFT JOIN hits r ON r.kind = 'r' AND r.talent_id = t.talent_id AND r.project_id = p.project_id
-    LEFT JOIN hits l ON l.kind = 'p' AND l.talent_id = t.talent_id AND l.project_id = p.project_id),
+    coalesce(rw, '') AS rw, coalesce(lw, '') AS lw
+    FROM t CROSS JOIN p LEFT JOIN hits h ON h.talent_id = t.talent_id AND h.project_id = p.project_id),
 kept AS (SELECT talent_id, project_id, hard_reject, CASE WHEN hard_reject IS NULL THEN rw ELSE '' END AS skill_hits, CASE WHEN hard_reject IS NULL THEN lw ELSE '' END AS preferred_hits,
     CAST(CASE WHEN hard_reject IS NULL THEN skill_required ELSE 0 END AS INT) AS skill_required, CAST(CASE WHEN hard_reject IS NULL THEN skill_preferred ELSE 0 END AS INT) AS skill_preferred,
     CAST(CASE WHEN hard_reject IS NULL THEN rate ELSE 0 END AS INT) AS rate, CAST(CASE WHEN hard_reject IS NULL THEN availability ELSE 0 END AS INT) AS availability,
@@ -54,7 +56,7 @@ LATEST = "(SELECT run_id FROM match_runs WHERE status = 'completed' ORDER BY sta
 NEWEST = "newest AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY talent_id, project_id ORDER BY created_at DESC, match_id DESC) = 1)"
 MISSING = f"missing AS (SELECT talent_id, project_id FROM (SELECT talent_id FROM talents WHERE status = 'active') CROSS JOIN (SELECT project_id FROM projects WHERE status = 'open') ANTI JOIN (SELECT talent_id, project_id FROM matches WHERE run_id = {LATEST}) USING (talent_id, project_id))"
 INCREMENTAL = f"""{SCORES}, {NEWEST}, {MISSING},
-added AS (SELECT m.talent_id, m.project_id, coalesce(n.score, s.score) AS score, n.ai_score, n.score IS NOT NULL AS reused FROM missing m
+added AS (SELECT m.talent_id, m.project_id, coalesce(n.score, s.score) AS score, n.ai_score, CASE WHEN n.score IS NOT NULL THEN n.hard_reject ELSE s.hard_reject END AS hard_reject, n.score IS NOT NULL AS reused FROM missing m
     LEFT JOIN newest n USING (talent_id, project_id) LEFT JOIN scores s ON s.talent_id = m.talent_id AND s.project_id = m.project_id)"""
 BAND = "CASE WHEN score >= 90 THEN '90-100' ELSE (score // 10 * 10) || '-' || (score // 10 * 10 + 9) END AS score_band"
 
@@ -69,13 +71,13 @@ def j01_all_pairs(d: Domain):
 
 
 def f11_pair_scores(d: Domain):
-    return M.scored(M.active(d.talents), M.open_projects(d.projects))
+    left, right = M.features(M.active(d.talents), M.open_projects(d.projects))
+    return M.with_hits(M.score(M.all_pairs(left, right)), left, right)
 
 
 def t01_best_pairs(d: Domain):
     """The flagship: the best hundred pairs of all, scored now."""
-    best = M.scored(M.active(d.talents), M.open_projects(d.projects))
-    return best.orderBy(F.col("score").desc(), "talent_id", "project_id").limit(100)
+    return M.best_scored(M.active(d.talents), M.open_projects(d.projects), 100)
 
 
 def j02_missing_pairs(d: Domain):
@@ -139,10 +141,7 @@ def u09_abandoned_runs(d: Domain):
 
 
 def p09_constraints(d: Domain):
-    from tsunagi.functions.scoring import nationality_reject
-
-    rejected = M.all_pairs(M.active(d.talents), M.open_projects(d.projects).select("project_id", "foreign_nationality_ng"))
-    return rejected.select("project_id", nationality_reject(F.col("foreign_nationality_ng"), F.col("is_foreign_national")).alias("code")).groupBy("project_id").agg(F.count("code").alias("n_rejected"), F.count(F.lit(1)).alias("n_pairs"))
+    return M.rejected_pairs(M.active(d.talents), M.open_projects(d.projects))
 
 
 def a23_judge_statistics(d: Domain):

@@ -28,7 +28,12 @@ daily AS (SELECT day, count(k) AS total, count(*) FILTER (k = 'talent') AS talen
     count(*) FILTER (k = 'talent' AND p) AS talents_proposed, count(*) FILTER (k = 'project' AND p) AS projects_proposed
     FROM (SELECT CAST(unnest(generate_series(DATE '2024-02-20', DATE '2024-03-20', INTERVAL 1 DAY)) AS DATE) AS day) LEFT JOIN found USING (day) GROUP BY day)"""
 _SIDES = f"sides AS (SELECT 'talent' AS kind, talent_id AS id, score, hard_reject FROM matches WHERE run_id = {LATEST} UNION ALL SELECT 'project', project_id, score, hard_reject FROM matches WHERE run_id = {LATEST})"
-_PROTECTED = f"""{_SENT}, protected AS (SELECT email_id FROM talents WHERE talent_id IN (SELECT id FROM sent_t) UNION SELECT email_id FROM projects WHERE project_id IN (SELECT id FROM sent_p) UNION SELECT in_reply_to_email_id FROM messages WHERE status = 'sent' AND in_reply_to_email_id IS NOT NULL)"""
+_FUNNEL = f"""{_SENT}, {_SIDES}, ids AS (SELECT 'talent' AS kind, talent_id AS id FROM emails WHERE {_PERIOD} AND email_type = 'talent' UNION SELECT 'project', project_id FROM emails WHERE {_PERIOD} AND email_type = 'project'),
+    able AS (SELECT * FROM ids SEMI JOIN (SELECT kind, id FROM sides WHERE score > 0) USING (kind, id)),
+    done AS (SELECT * FROM able SEMI JOIN (SELECT 'talent' AS kind, id FROM sent_t UNION ALL SELECT 'project', id FROM sent_p) USING (kind, id))"""
+_PROTECTED = """used_t AS (SELECT talent_id AS id FROM messages WHERE status = 'sent' AND talent_id IS NOT NULL UNION SELECT l.talent_id FROM messages m JOIN message_talents l USING (message_id) WHERE status = 'sent' AND kind = 'project_proposal'),
+    used_p AS (SELECT project_id AS id FROM messages WHERE status = 'sent'),
+    protected AS (SELECT email_id FROM talents WHERE talent_id IN (SELECT id FROM used_t) UNION SELECT email_id FROM projects WHERE project_id IN (SELECT id FROM used_p) UNION SELECT in_reply_to_email_id FROM messages WHERE status = 'sent' AND in_reply_to_email_id IS NOT NULL)"""
 _KEPT = f"{_PROTECTED}, kept AS (SELECT * FROM emails WHERE created_at >= TIMESTAMP '2024-04-01' - INTERVAL 45 DAY OR email_id IN (SELECT email_id FROM protected))"
 _LOG = """log AS (SELECT event_id, ts, 'job-' || user_id || '-' || strftime(ts, '%Y%m%d') AS job_id, event_type AS step, k AS done, CAST(k + event_id % 50 AS INT) AS total, CASE k % 10 WHEN 0 THEN 'finished' WHEN 1 THEN 'failed' ELSE 'running' END AS status
     FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)),
@@ -36,13 +41,24 @@ steps AS (SELECT job_id, step, min(ts) AS started_at, max(ts) AS updated_at, arg
 _WEIGHTS = {"click": 1.0, "view": 2.0, "signup": 3.0, "error": 0.5, "purchase": 4.0}
 
 
-def _proposed_talents(d: Domain):
-    sent = O.sent(d.messages)
-    return sent.filter("talent_id is not null").select("talent_id").union(O.linked(d.messages, d.message_talents).select("talent_id"))
+def _proposed(d: Domain):
+    """Talents of sent talent proposals, and projects of sent project proposals."""
+    return O.sent(d.messages, "talent_proposal").filter("talent_id is not null").select("talent_id"), O.sent(d.messages, "project_proposal").filter("project_id is not null").select("project_id")
 
 
 def _mails(d: Domain):
-    return B.with_proposed(d.emails, _proposed_talents(d), O.sent(d.messages).select("project_id"))
+    return B.with_proposed(d.emails, *_proposed(d))
+
+
+def _ingested(d: Domain):
+    """The talents and projects that came with the mails of the period."""
+    mails = B.in_period(d.emails, "created_at", END, DAYS)
+    return mails.filter("email_type = 'talent'").select(F.lit("talent").alias("kind"), F.col("talent_id").alias("id")).union(mails.filter("email_type = 'project'").select(F.lit("project"), "project_id"))
+
+
+def _sent_entities(d: Domain):
+    talents, projects = _proposed(d)
+    return talents.select(F.lit("talent").alias("kind"), F.col("talent_id").alias("id")).union(projects.select(F.lit("project"), "project_id"))
 
 
 def a01_daily(d: Domain):
@@ -58,19 +74,19 @@ def a03_totals(d: Domain):
 
 
 def a04_companies(d: Domain):
-    return B.companies_ranking(B.in_period(d.emails, "created_at", END, DAYS), d.companies)
+    return B.companies_ranking(B.with_entity_company(B.in_period(d.emails, "created_at", END, DAYS), d.talents, d.projects), d.companies)
 
 
 def a05_funnel(d: Domain):
-    mails = B.in_period(d.emails, "created_at", END, DAYS)
-    ids = mails.filter("email_type = 'talent'").select(F.lit("talent").alias("kind"), F.col("talent_id").alias("id")).union(mails.filter("email_type = 'project'").select(F.lit("project"), "project_id"))
-    sent = _proposed_talents(d).select(F.lit("talent").alias("kind"), F.col("talent_id").alias("id")).union(O.sent(d.messages).select(F.lit("project"), "project_id"))
-    return B.funnel(ids, B.entity_matches(M.matches_of_latest(d.matches, d.match_runs)), sent, O.replied_entities(d.messages, d.message_talents, d.replies))
+    return B.funnel(_ingested(d), B.entity_matches(M.matches_of_latest(d.matches, d.match_runs)), _sent_entities(d), O.replied_entities(d.messages, d.replies))
 
 
 def a06_constraint_loss(d: Domain):
-    low = M.matches_of_latest(d.matches, d.match_runs).withColumn("score", F.greatest(F.col("score") - 95, F.lit(0)))
-    return B.constraint_loss(B.entity_matches(low))
+    return B.constraint_loss(_ingested(d), B.entity_matches(M.matches_of_latest(d.matches, d.match_runs)))
+
+
+def u04_funnel_sets(d: Domain):
+    return B.funnel_sets(_ingested(d), B.entity_matches(M.matches_of_latest(d.matches, d.match_runs)), _sent_entities(d))
 
 
 def a12_contacts_per_company(d: Domain):
@@ -241,17 +257,18 @@ QUERIES = {
         WHERE status = 'sent' AND CAST(sent_at + INTERVAL 9 HOUR AS DATE) BETWEEN DATE '2024-09-01' - 181 AND DATE '2024-09-01' GROUP BY 1""",
     a03_totals: f"""WITH {_DAILY} SELECT *, CASE WHEN talents = 0 THEN 0.0::DOUBLE ELSE round_even(100.0::DOUBLE * talents_proposed / talents, 1) END AS talent_rate, CASE WHEN projects = 0 THEN 0.0::DOUBLE ELSE round_even(100.0::DOUBLE * projects_proposed / projects, 1) END AS project_rate FROM (
         SELECT CAST(sum(total) AS BIGINT) AS total, CAST(sum(talents) AS BIGINT) AS talents, CAST(sum(projects) AS BIGINT) AS projects, CAST(sum(others) AS BIGINT) AS others, CAST(sum(talents_proposed) AS BIGINT) AS talents_proposed, CAST(sum(projects_proposed) AS BIGINT) AS projects_proposed FROM daily)""",
-    a04_companies: f"""WITH c AS (SELECT source_company_id AS id, count(*) FILTER (email_type = 'talent') AS talents, count(*) FILTER (email_type = 'project') AS projects, count(*) AS total FROM emails WHERE {_PERIOD} AND email_type IN ('talent', 'project') GROUP BY 1),
+    a04_companies: f"""WITH e AS (SELECT email_type, CASE email_type WHEN 'talent' THEN t.introducer_company_id ELSE p.distributor_company_id END AS id FROM (SELECT * FROM emails WHERE {_PERIOD} AND email_type IN ('talent', 'project')) m
+            LEFT JOIN talents t ON t.talent_id = m.talent_id LEFT JOIN projects p ON p.project_id = m.project_id),
+        c AS (SELECT id, count(*) FILTER (email_type = 'talent') AS talents, count(*) FILTER (email_type = 'project') AS projects, count(*) AS total FROM e GROUP BY 1),
         r AS (SELECT *, row_number() OVER (ORDER BY total DESC, id NULLS LAST) AS n FROM c), k AS (SELECT least(n, 9) AS place, r.*, name FROM r LEFT JOIN companies ON company_id = id)
         SELECT CAST(place AS INT) AS place, CASE WHEN place = 9 THEN 'その他' ELSE coalesce(min(name), '不明') END AS company, CAST(sum(talents) AS BIGINT) AS talents, CAST(sum(projects) AS BIGINT) AS projects, CAST(sum(total) AS BIGINT) AS total FROM k GROUP BY place""",
-    a05_funnel: f"""WITH {_SENT}, {_SIDES}, ids AS (SELECT 'talent' AS kind, talent_id AS id FROM emails WHERE {_PERIOD} AND email_type = 'talent' UNION SELECT 'project', project_id FROM emails WHERE {_PERIOD} AND email_type = 'project'),
-        sent AS (SELECT 'talent' AS kind, id FROM sent_t UNION SELECT 'project', id FROM sent_p), a AS (SELECT message_id, judgment = 'ok' AS ok FROM replies QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY received_at DESC, reply_id DESC) = 1),
-        o AS (SELECT message_id, 'talent' AS kind, talent_id AS id FROM messages WHERE status = 'sent' AND kind = 'talent_proposal' UNION ALL SELECT m.message_id, 'talent', l.talent_id FROM messages m JOIN message_talents l USING (message_id) WHERE status = 'sent' AND kind = 'project_proposal' UNION ALL SELECT message_id, 'project', project_id FROM messages WHERE status = 'sent'),
+    a05_funnel: f"""WITH {_FUNNEL}, a AS (SELECT message_id, judgment = 'ok' AS ok FROM replies QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY received_at DESC NULLS FIRST, reply_id DESC) = 1),
+        o AS (SELECT message_id, CASE kind WHEN 'talent_proposal' THEN 'talent' ELSE 'project' END AS kind, CASE kind WHEN 'talent_proposal' THEN talent_id ELSE project_id END AS id FROM messages WHERE status = 'sent'),
         rep AS (SELECT kind, id, bool_or(ok) AS ok FROM o JOIN a USING (message_id) GROUP BY ALL)
-        SELECT count(*) AS ingested, count(*) FILTER ((kind, id) IN (SELECT (kind, id) FROM sides WHERE score > 0)) AS proposable, count(*) FILTER ((kind, id) IN (SELECT (kind, id) FROM sent)) AS proposed,
-            count(*) FILTER ((kind, id) IN (SELECT (kind, id) FROM rep)) AS replied, count(*) FILTER ((kind, id) IN (SELECT (kind, id) FROM rep WHERE ok)) AS ok FROM ids""",
-    a06_constraint_loss: f"""WITH {_SIDES}, l AS (SELECT kind, id, min(CASE hard_reject WHEN 'foreign_nationality' THEN 0 WHEN 'commerce_flow' THEN 1 ELSE 9 END) AS r FROM sides GROUP BY ALL HAVING max(greatest(score - 95, 0)) <= 0)
+        SELECT (SELECT count(*) FROM ids) AS ingested, (SELECT count(*) FROM able) AS proposable, count(*) AS proposed, count(ok) AS replied, count(*) FILTER (ok) AS ok FROM done LEFT JOIN rep USING (kind, id)""",
+    a06_constraint_loss: f"""WITH {_FUNNEL}, l AS (SELECT kind, id, min(CASE hard_reject WHEN 'foreign_nationality' THEN 0 WHEN 'commerce_flow' THEN 1 ELSE 9 END) AS r FROM ids LEFT JOIN sides USING (kind, id) GROUP BY ALL HAVING coalesce(max(score), 0) <= 0)
         SELECT kind, CASE r WHEN 0 THEN 'foreign_nationality' WHEN 1 THEN 'commerce_flow' ELSE 'other_zero' END AS reason, count(*) AS n FROM l GROUP BY ALL""",
+    u04_funnel_sets: f"WITH {_FUNNEL} SELECT kind, id, CASE WHEN (kind, id) IN (SELECT (kind, id) FROM done) THEN 'proposed' WHEN (kind, id) IN (SELECT (kind, id) FROM able) THEN 'proposable' ELSE 'ingested' END AS stage FROM ids",
     a12_contacts_per_company: "SELECT company_id, companies.name, (SELECT count(*) FROM contacts c WHERE c.company_id = companies.company_id) AS n_contacts FROM companies",
     a15_retention_counts: f"""WITH {_KEPT}, gone AS (SELECT email_id FROM emails WHERE email_id NOT IN (SELECT email_id FROM kept)) SELECT (SELECT count(*) FROM gone) AS deleted_mails, (SELECT count(*) FROM talents WHERE email_id IN (SELECT email_id FROM gone)) AS deleted_talents,
         (SELECT count(*) FROM emails WHERE created_at < TIMESTAMP '2024-04-01' - INTERVAL 45 DAY AND email_id IN (SELECT email_id FROM protected)) AS skipped_protected""",

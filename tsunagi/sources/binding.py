@@ -24,7 +24,7 @@ def _choice(key: str, *values: str | None) -> str:
     return f"CASE {key} % {len(values)} {cases} END"
 
 
-_SKILLS = ("Java", "JavaScript", "Spring Boot", "PostgreSQL", "AWS", "Python", "React", "TypeScript", "Docker", "k8s", "Go", "SQL Server")
+_SKILLS = ("Java", "JavaScript", "Spring Boot", "PostgreSQL", "AWS", "Python", "React", "TypeScript", "Docker", "k8s", "Go", "SQL Server", "Ｊａｖａ", "Java開発の経験5年", "結合試験以降のご経験")
 
 
 def tables_sql(duck: bool) -> dict[str, str]:
@@ -60,32 +60,35 @@ def tables_sql(duck: bool) -> dict[str, str]:
             CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'Client ' || (s_suppkey % 15) END AS source_company_name,
             CASE WHEN s_suppkey % 9 = 0 THEN 'closed' ELSE 'open' END AS status, {minute('s_suppkey * 41 % 200000')} AS created_at, {minute('s_suppkey * 59 % 300000')} AS updated_at
             FROM supplier""",
-        "match_runs": f"""SELECT CAST(n_nationkey AS BIGINT) AS run_id, CASE WHEN n_nationkey % 5 = 4 THEN 'failed' WHEN n_nationkey = 23 THEN 'running' ELSE 'completed' END AS status,
-            {minute('n_nationkey * 1000')} AS started_at FROM nation WHERE n_nationkey % 8 IN (2, 4, 7)""",
-        "matches": f"""SELECT talent_id * 100000 + project_id * 10 + r AS match_id, CASE r WHEN 0 THEN CAST(18 AS BIGINT) WHEN 1 THEN CAST(20 AS BIGINT) ELSE CAST(23 AS BIGINT) END AS run_id, talent_id, project_id,
+        "match_runs": f"""SELECT CAST(n_nationkey AS BIGINT) AS run_id, CASE WHEN n_nationkey = 24 THEN 'running' WHEN n_nationkey % 5 = 4 THEN 'failed' ELSE 'completed' END AS status,
+            {minute('n_nationkey * 1000')} AS started_at FROM nation""",
+        "matches": f"""SELECT talent_id * 100000 + project_id * 10 + r AS match_id, CASE r WHEN 0 THEN CAST(18 AS BIGINT) WHEN 1 THEN CAST(23 AS BIGINT) ELSE CAST(24 AS BIGINT) END AS run_id, talent_id, project_id,
             CAST((talent_id * 7 + project_id * 13 + r * 17) % 101 AS INT) AS score,
             CASE WHEN (talent_id + project_id) % 6 = 0 THEN CAST((talent_id * 3 + project_id) % 101 AS INT) END AS ai_score,
             CASE WHEN (talent_id * 7 + project_id * 13 + r * 17) % 101 = 0 THEN {_choice('talent_id', 'foreign_nationality', 'commerce_flow', None)} END AS hard_reject,
-            {minute('(CASE r WHEN 0 THEN 18000 WHEN 1 THEN 20000 ELSE 23000 END)')} AS created_at
-            FROM (SELECT t.talent_id, p.project_id, CAST((t.talent_id + p.project_id) % 3 AS BIGINT) AS r FROM talents t JOIN projects p ON (t.talent_id * 31 + p.project_id * 17) % 10 < 4)""",
+            {minute('(CASE r WHEN 0 THEN 18000 WHEN 1 THEN 23000 ELSE 24000 END)')} AS created_at
+            FROM (SELECT t.talent_id, p.project_id, CAST((t.talent_id + p.project_id) % 3 AS BIGINT) AS r FROM talents t JOIN projects p ON (t.talent_id * 31 + p.project_id * 17) % 10 < 6)""",
         "messages": f"""SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS message_id, CASE WHEN l_linenumber % 2 = 1 THEN 'talent_proposal' ELSE 'project_proposal' END AS kind,
             CASE WHEN l_linenumber % 2 = 1 THEN CAST(o_custkey AS BIGINT) END AS talent_id, CAST(l_suppkey AS BIGINT) AS project_id,
             CASE WHEN l_linenumber % 2 = 1 AND l_orderkey % 5 <> 0 THEN CAST(o_custkey * 100000 + l_suppkey * 10 + (o_custkey + l_suppkey) % 3 AS BIGINT) END AS match_id,
             CASE WHEN l_linestatus = 'F' THEN 'sent' ELSE 'draft' END AS status, 'g' || l_orderkey || '-' || l_linenumber AS gmail_message_id, 'th' || l_orderkey AS thread_id,
             CAST(o_custkey AS BIGINT) AS in_reply_to_email_id, CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE {minute('l_orderkey * 97 % 400000 + l_linenumber')} END AS sent_at
-            FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_linestatus) AS l_linestatus FROM lineitem WHERE l_orderkey % 8 < 3 GROUP BY l_orderkey, l_linenumber) li JOIN orders ON l_orderkey = o_orderkey""",
+            FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY l_orderkey, l_linenumber) li JOIN orders ON l_orderkey = o_orderkey""",
         "message_talents": """SELECT message_id, CAST(1 + (message_id * 7 + k) % (SELECT count(*) FROM talents) AS BIGINT) AS talent_id, CASE WHEN k = 1 THEN NULL ELSE message_id * 2 + k END AS match_id
             FROM messages CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks WHERE kind = 'project_proposal' AND message_id % 6 <> 0""",
-        "replies": f"""SELECT CAST(e.event_id AS BIGINT) AS reply_id, m.message_id, 'r' || e.event_id AS gmail_message_id, {minute('e.event_id * 131 % 420000')} AS received_at,
+        "replies": f"""SELECT CAST(e.event_id AS BIGINT) AS reply_id, m.message_id, CASE WHEN e.event_id % 11 = 0 THEN 'm' || m.in_reply_to_email_id WHEN e.event_id % 13 = 0 THEN m.gmail_message_id
+            WHEN e.event_id % 17 = 0 THEN 'manual:' || e.event_id WHEN e.event_id % 19 = 0 THEN NULL ELSE 'r' || e.event_id END AS gmail_message_id,
+            CASE WHEN e.event_id % 23 = 0 THEN NULL ELSE {minute('e.event_id * 131 % 420000')} END AS received_at,
             CASE e.event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'ng' WHEN 'click' THEN 'ok' ELSE 'unknown' END AS judgment, CASE WHEN e.event_id % 9 = 0 THEN 'manual' ELSE 'auto' END AS judgment_source
             FROM events e JOIN messages m ON m.message_id = e.user_id * 10 + 1 + e.event_id % 4""",
-        "hidden": f"""SELECT talent_id, project_id, {_choice('(talent_id + project_id)', 'proposed', 'unproposed')} AS display_as, created_at AS hidden_at FROM matches WHERE (talent_id * 3 + project_id * 5) % 53 = 0""",
-        "emails": f"""SELECT CAST(o_orderkey AS BIGINT) AS email_id, 't' || (o_orderkey % 5000) AS thread_key, {_choice('o_orderkey', 'talent', 'project', 'other')} AS email_type,
+        "hidden": f"""SELECT CAST(1 + event_id * 7 % (SELECT count(*) FROM customer) AS BIGINT) AS talent_id, CAST(1 + event_id * 3 % (SELECT count(*) FROM supplier) AS BIGINT) AS project_id,
+            {_choice('event_id', 'proposed', 'unproposed')} AS display_as, {minute('event_id * 7 % 300000')} AS hidden_at FROM events""",
+        "emails": f"""SELECT CAST(o_orderkey AS BIGINT) AS email_id, 'm' || o_orderkey AS gmail_message_id, 't' || (o_orderkey % 5000) AS thread_key, {_choice('o_orderkey', 'talent', 'project', 'other')} AS email_type,
             CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN CAST(900 + o_orderkey % 3 AS BIGINT) ELSE CAST(o_custkey % 25 AS BIGINT) END AS source_company_id,
             {_choice('o_orderkey', 'pending', 'summarized', 'failed', 'needs_review', 'summarized')} AS status, 'User ' || o_custkey || ' <u' || o_custkey || '@' || lower(o_orderstatus) || '.example.com>' AS from_address,
             {minute('o_orderkey * 43 % 130000')} AS created_at, CAST(o_custkey AS BIGINT) AS talent_id, CAST(1 + o_orderkey % 100 AS BIGINT) AS project_id FROM orders""",
         "sheets": f"""SELECT CAST(o_orderkey AS BIGINT) AS sheet_id, CAST(o_custkey AS BIGINT) AS talent_id, CASE WHEN o_orderkey % 3 = 0 THEN 'denied' ELSE 'ok' END AS access_status,
-            CAST(o_orderkey % 900 * 20000 AS BIGINT) AS size_bytes, 'sheet' || (o_orderkey % 3) || '.xlsx' AS filename, {minute('o_orderkey * 29 % 100000')} AS created_at FROM orders WHERE o_orderkey % 5 < 2""",
+            CAST(o_orderkey % 900 * 20000 AS BIGINT) AS size_bytes, 'sheet' || (o_orderkey % 3) || '.xlsx' AS filename, {minute('o_orderkey * 29 % 100000')} AS created_at FROM orders""",
     }
 
 

@@ -3,12 +3,12 @@ its batch twin gives; state is keyed, so it is spread over the executors and sur
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tsunagi.sources.staging import new_folder
+
 
 def read(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """A stream over a folder of Parquet files, or over one file; the schema is that of what is there now."""
@@ -61,7 +61,4 @@ def newest_of_each(states: DataFrame, keys: list[str]) -> DataFrame:
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    import tempfile
-
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="streams-")
-    return f"{base}/{uuid.uuid4().hex}"
+    return new_folder(spark)
