@@ -12,7 +12,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.test_small import brute_lines
 from tsunagi.llm import bpe, decontaminate, langid, near_dedup, registry
-from tsunagi.llm.shingles import find_words, hashed
+from tsunagi.llm.shingles import find_words, hashed, word_hashes
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -37,6 +37,38 @@ def test_text_alone_tells_the_language_of_texts_that_were_not_fitted(spark):
     assert right >= 0.95 * found.count()
 
 
+def test_word_hashes_tell_words_apart():
+    texts = [t or "" for (t,) in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet'").fetchall()] + ["", "_", "é_É x²  Ⅷ\u0130İ ß１２", "a" * 3000]
+    words = [find_words(t.lower()) for t in texts]
+    marks = [word_hashes(t) for t in texts]
+    assert [len(w) for w in words] == [len(m) for m in marks]
+    pairs = {(w, m) for ws, ms in zip(words, marks, strict=True) for w, m in zip(ws, ms.tolist(), strict=True)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({m for _, m in pairs})
+
+
+def test_banded_distance_equals_a_plain_edit_distance():
+    import random
+
+    import numpy as np
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    dice = random.Random(3)
+    for _ in range(1500):
+        a, b = ([dice.randrange(dice.choice((2, 4, 30))) for _ in range(dice.randrange(1, 30))] for _ in "ab")
+        if dice.random() < 0.6:
+            b = [x for x in a for x in ([] if dice.random() < 0.1 else [x, 7] if dice.random() < 0.1 else [x])] or [1]
+        most = dice.randrange(0, 12)
+        assert near_dedup.banded_distance(np.array(a, np.uint64), np.array(b, np.uint64), most) == min(plain(a, b), most + 1)
+        assert near_dedup.similar(np.array(a, np.uint64), np.array(b, np.uint64), 0.8) == (plain(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
+
+
 def brute_classes(texts):
     words = {i: hashed(find_words(t.lower())) for i, t in texts.items()}
     parent = {i: i for i in texts}

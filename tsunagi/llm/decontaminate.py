@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, small, table
-from .shingles import find_words, hashed, shingles
+from .shingles import shingles, word_hashes
 
 #: Words of a seed, which are also the fewest words of a tile.
 SEED = 5
@@ -71,8 +71,8 @@ def _seeds(df: DataFrame, id_col: str, text_col: str, k: int, only=None) -> Data
         for batch in batches:
             counts, marks, at, kept = [], [], [], []
             for number, text in enumerate(batch.column("body").to_pylist()):
-                words = find_words(text.lower())
-                seeds = shingles(hashed(words), k)
+                words = word_hashes(text)
+                seeds = shingles(words, k)
                 where = np.arange(len(seeds), dtype=np.int32)
                 if wanted is not None and len(seeds):
                     place = np.searchsorted(wanted, seeds)

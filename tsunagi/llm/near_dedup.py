@@ -16,6 +16,7 @@ distance from below.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, small, staged, table
-from .shingles import find_words, hashed, mixed, shingles
+from .shingles import mixed, shingles, word_hashes
 
 #: Words of a k-mer; k-mers of an element; elements of a sketch; least similarity.
 K, L, B, SIMILARITY = 5, 2, 64, 0.8
-#: Longs of parity bits of a text.
-PARITY = 32
+#: Longs of parity bits of a text, and of the same bits folded.
+PARITY, FOLDED = 32, 4
+FOLDS = tuple(f"fold{i}" for i in range(FOLDED))
 #: Numbers that are hashed at a time.
 AT_ONCE = 100_000
 #: Width of the first band that an alignment tries; it grows by the factor until the distance fits or may not be more.
@@ -157,7 +159,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, least: int, e
         for batch in batches:
             sizes, marks, bits, sketches = [], [[], []], [], []
             for text in batch.column("body").to_pylist():
-                words = hashed(find_words(text.lower()))
+                words = word_hashes(text)
                 sizes.append(len(words))
                 bits.append(parity_bits(words))
                 for held, mark in zip(marks, text_marks(words, text), strict=True):
@@ -166,10 +168,11 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, least: int, e
             ends = pa.array(np.cumsum([0, *map(len, sketches)]).astype(np.int32))
             flat = pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64))
             parity = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * PARITY), pa.array(np.concatenate(bits) if bits else np.empty(0, np.int64)))
-            columns = [batch.column("id"), pa.array(sizes, pa.int32()), *(pa.array(x, pa.int64()) for x in marks), parity, pa.ListArray.from_arrays(ends, flat)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "mark", "mark2", "parity", "sketch"])
+            folded = np.bitwise_xor.reduce(np.array(bits, np.int64).reshape(-1, PARITY // FOLDED, FOLDED), axis=1)
+            columns = [batch.column("id"), pa.array(sizes, pa.int32()), *(pa.array(x, pa.int64()) for x in marks), parity, *(pa.array(folded[:, i].copy()) for i in range(FOLDED)), pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "mark", "mark2", "parity", *FOLDS, "sketch"])
 
-    return map_arrow(source, run, f"id {docs.schema[id_col].dataType.simpleString()}, n_words int, mark long, mark2 long, parity array<long>, sketch array<long>")
+    return map_arrow(source, run, f"id {docs.schema[id_col].dataType.simpleString()}, n_words int, mark long, mark2 long, parity array<long>, {', '.join(f'{c} long' for c in FOLDS)}, sketch array<long>")
 
 
 def _aligned(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
@@ -184,10 +187,10 @@ def _aligned(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, leas
             marks = zip(batch.column("mark_a").to_pylist(), batch.column("mark_b").to_pylist(), strict=True)
             for text_a, text_b, (mark_a, mark_b) in zip(batch.column("text_a"), batch.column("text_b"), marks, strict=True):
                 if (b := text_b.as_py()) != last:
-                    last, words_b = b, hashed(find_words(b.lower()))
+                    last, words_b = b, word_hashes(b)
                     meant_b = text_marks(words_b, b)[0]
                 a = text_a.as_py()
-                words_a = hashed(find_words(a.lower()))
+                words_a = word_hashes(a)
                 verdicts.append(meant_b == mark_b and text_marks(words_a, a)[0] == mark_a and similar(words_a, words_b, least))
             kept = batch.filter(pa.array(verdicts, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
@@ -218,8 +221,10 @@ def _can_be_similar(similarity: float):
     changes a bit at most; an edit makes two such words if it changes one, or one if it changes the length."""
     longer, shorter = F.greatest("n_words_a", "n_words_b"), F.least("n_words_a", "n_words_b")
     most = F.floor(longer * (1 - similarity) + 1e-9)
-    differ = sum((F.bit_count(F.get("parity_a", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i)))) for i in range(PARITY)), F.lit(0))
-    return (longer - shorter <= most) & (differ + longer - shorter <= 2 * most)
+    # the few folded bits rule most pairs out at once; a loop over all bits, which no compiled method must hold, the rest
+    few = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in FOLDS), F.lit(0))
+    all_bits = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return (longer - shorter <= most) & (few + longer - shorter <= 2 * most) & (all_bits + longer - shorter <= 2 * most)
 
 
 def _side(df: DataFrame, side: str) -> DataFrame:
@@ -266,8 +271,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # two orders of the nodes as single numbers, which partial sums can compare: by length, and by a hash
     by_chance = F.shiftrightunsigned(F.xxhash64("node", F.lit(1)), 24)
     places = [F.shiftleft(F.least("n_words", F.lit((1 << 23) - 1)).cast("long"), 40).bitwiseOR(by_chance), F.xxhash64("node", F.lit(2))]
-    of_node = staged(of_node.select("node", "mark", "n_words", "parity", "sketch", *[p.alias(f"place{i}") for i, p in enumerate(places)]))
-    facts = of_node.select("node", "mark", "n_words", "parity")
+    of_node = staged(of_node.select("node", "mark", "n_words", "parity", *FOLDS, "sketch", *[p.alias(f"place{i}") for i, p in enumerate(places)]))
+    facts = of_node.select("node", "mark", "n_words", "parity", *FOLDS)
     every = of_node.select("node", "place0", "place1", F.explode("sketch").alias("bucket")).repartition("bucket")
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = staged(every.join(shared, "bucket", "left_semi"))
@@ -294,11 +299,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = staged(_labelled(buckets.select("bucket", "node", F.col("place0").alias("place")), labels))
     main = rest.groupBy("bucket").agg(F.min("place").alias("place")).join(rest, ["bucket", "place"]).groupBy("bucket").agg(F.min("label").alias("main"))
     rest = rest.join(main, "bucket").select("bucket", "node", "place", "label", (F.col("label") == F.col("main")).alias("inside"))
-    rest = rest.join(of_node.select("node", "mark", "n_words", "parity", F.transform("sketch", brief_of).alias("brief")), "node")
-    left, right = _side(rest.filter("not inside"), "a"), _side(rest, "b")
-    once = F.col("inside_b") | (F.col("place_a") > F.col("place_b")) | ((F.col("place_a") == F.col("place_b")) & (F.col("a") > F.col("b")))
+    rest = rest.join(of_node.select("node", "mark", "n_words", "parity", *FOLDS, F.transform("sketch", brief_of).alias("brief")), "node")
+    # a is the shorter one; lengths of similar texts are in the same class or in classes that follow each other
+    size = F.floor(F.log("n_words") / (math.log(1 / similarity) * (1 + 1e-9))).cast("int")
+    rest = staged(rest.withColumn("size", size))
+    left = _side(rest.withColumn("size", F.explode(F.array("size", F.col("size") + 1))), "a").withColumnRenamed("size_a", "size")
+    right = _side(rest, "b").withColumnRenamed("size_b", "size")
+    shorter = (F.col("place_a") < F.col("place_b")) | ((F.col("place_a") == F.col("place_b")) & (F.col("a") < F.col("b")))
     earliest = F.get(F.array_intersect("brief_a", "brief_b"), F.lit(0)) == brief_of(F.col("bucket"))
-    pairs = left.join(right, "bucket").filter((F.col("label_a") != F.col("label_b")) & once & _can_be_similar(similarity) & earliest)
+    meet = lambda x, y: x.join(y, ["bucket", "size"]).filter((F.col("label_a") != F.col("label_b")) & shorter & _can_be_similar(similarity) & earliest)
+    pairs = meet(left.filter("not inside_a"), right).select("a", "b", "mark_a", "mark_b", "label_a", "label_b")
+    pairs = pairs.unionByName(meet(left.filter("inside_a"), right.filter("not inside_b")).select(pairs.columns))
     pairs = pairs.select("a", "b", "mark_a", "mark_b", "label_a", "label_b").distinct()
     pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     links, labels = _join_classes(cut(pairs), links, labels, docs, id_col, text_col, similarity)
