@@ -26,7 +26,7 @@ from .common import cut, small, staged, table
 #: Least Jaccard similarity of the words of two lines.
 SIMILARITY = 0.8
 #: Buckets of the rarity table.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 #: A word is common if its bucket has more than COMMON words of lines; PARTS is the number of parts of its classes.
 COMMON, PARTS = 256, 8
 #: Parts in which the index is joined with itself, so that only one is on the disks at a time.
@@ -35,8 +35,8 @@ SLICES = 3
 LINES = 1 << 20
 #: Rows of a broadcast at most.
 BROADCAST = 1_000_000
-#: Longs of parity bits.
-BITS = ("bits0", "bits1")
+#: Parity bits of all words, and of lines of at least WIDE words those of a half of the words too.
+BITS, WIDE = ("bits", "half"), 80
 #: Characters besides the space that part words.
 SPACES = "\t\r\f\v"
 
@@ -57,9 +57,9 @@ def _rarity(lines: DataFrame) -> Callable[[Column], Column]:
     every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     listed = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
     parts = every.withColumn("code", F.coalesce("code", F.lit(0).cast("tinyint"))).groupBy(F.shiftright("bucket", 10).alias("part")).agg(listed("bucket", "code").alias("codes"))
-    table = F.lit(bytearray(parts.agg(F.flatten(listed("part", "codes")).alias("rarity")).first()["rarity"]))  # one row of BUCKETS bytes
-    # the only look-up by place that takes no time by length: a byte of a binary, read as a character below 128
-    return lambda mark: F.ascii(F.substring(table, _bucket(mark) + 1, 1).cast("string"))
+    codes = parts.agg(F.flatten(listed("part", "codes")).alias("rarity")).first()["rarity"]  # one row of BUCKETS bytes
+    table = F.split(F.lit(",".join(map(str, codes))), ",").cast("array<bigint>")  # folded to a constant
+    return lambda mark: F.get(table, _bucket(mark))
 
 
 def _least_overlap(n: Column, t: float) -> Column:
@@ -79,12 +79,12 @@ def _words(body: Column) -> Column:
     return F.array_remove(F.split(text, " ", -1), "")
 
 
-def _parity(ranks: Column, shift: int) -> Column:
-    """A bit for each of 64 classes of words, whether the set has an odd number of them. Two sets that differ in d words
-    differ in at most d bits; so they do in two such numbers together if each word counts for one of the two alone."""
-    unit = lambda m: F.shiftrightunsigned(m, 6).bitwiseAND(1) == shift
-    bit = lambda m: F.call_function("shiftleft", unit(m).cast("bigint"), m.bitwiseAND(63).cast("int"))
-    return F.aggregate(ranks, F.lit(0).cast("bigint"), lambda bits, m: bits.bitwiseXOR(bit(m)))
+def _parity(ranks: Column, odd: bool = False) -> Column:
+    """A bit for each of 64 classes of words, whether the set has an odd number of them; with `odd` for the words with an
+    odd seventh bit alone. Two sets that differ in d words differ in at most d bits, over both kinds as well."""
+    bit = lambda m: F.call_function("shiftleft", F.lit(1).cast("bigint"), m.bitwiseAND(63).cast("int"))
+    merge = lambda bits, m: bits.bitwiseXOR(F.when(m.bitwiseAND(64) != 0, bit(m)).otherwise(F.lit(0).cast("bigint")) if odd else bit(m))
+    return F.aggregate(ranks, F.lit(0).cast("bigint"), merge)
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -93,16 +93,17 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = split_lines(docs, id_col, text_col).filter("id is not null")
     rarity = _rarity(lines)
     # a word's rank is its rarity and its hash in one number; ordered by rank, a line's words begin with the rarest
-    rank = lambda h: F.shiftleft(rarity(h).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    rank = lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     marks = F.array_distinct(F.transform(_words(F.col("body")), lambda w: F.xxhash64(w)))
-    ranked = lines.select("id", "line", F.sort_array(F.transform(marks, rank)).alias("ranks")).filter(F.size("ranks") > 0)
+    worded = lines.filter(F.trim("body", F.lit(" " + SPACES)) != "")  # a condition on the ranks would make them twice
+    ranked = worded.select("id", "line", F.inline(F.array(F.struct(F.sort_array(F.transform(marks, rank)).alias("ranks")))))
     n = F.size("ranks")
     sets = staged(
         ranked.select(
             "id", "line", n.alias("words"), F.xxhash64("ranks").alias("key"), F.xxhash64("ranks", F.lit(1)).alias("key2"),
             # sets of fewer than four words match equal sets alone
             F.when(n < 4, F.array().cast("array<bigint>")).otherwise(F.slice("ranks", F.lit(1), (n - _least_overlap(n, t) + 1).cast("int"))).alias("prefix"),
-            *[_parity(F.col("ranks"), i).alias(c) for i, c in enumerate(BITS)],
+            _parity(F.col("ranks")).alias("bits"), F.when(n >= WIDE, _parity(F.col("ranks"), True)).otherwise(0).alias("half"),
         )
     )
     first = F.min(F.struct("id", "line", "words", *BITS, "prefix"))
@@ -111,6 +112,11 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a word that no other line has joins nothing
     index = classes.select("id", "line", "words", *BITS, F.posexplode("prefix").alias("at", "mark")).filter(F.shiftright("mark", 56) > _code(F.lit(1)))
 
+    def bits_between(a: str, b: str) -> Column:
+        """How many words two sets differ in at least; sets of which both are wide tell it by both halves."""
+        every, half = (F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")) for w in BITS)
+        return F.when((F.col(f"{a}.words") >= WIDE) & (F.col(f"{b}.words") >= WIDE), F.bit_count(half) + F.bit_count(every.bitwiseXOR(half))).otherwise(F.bit_count(every))
+
     def may_match(a: str, b: str) -> Column:
         """Whether the lengths, the words before and after the shared one, and the parities allow the similarity, and a
         is earlier. The smaller set has a shared word already among so many as must be common to sets of its size."""
@@ -119,7 +125,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         possible = F.least(c(a, "at"), c(b, "at")) + F.least(c(a, "words") - c(a, "at"), c(b, "words") - c(b, "at"))
         small_at, small_n = (F.when(c(a, "words") <= c(b, "words"), c(a, x)).otherwise(c(b, x)) for x in ("at", "words"))
         differ = (c(a, "words") + c(b, "words")) * ((1 - t) / (1 + t)) + 1e-9
-        near = reduce(Column.__add__, [F.bit_count(c(a, w).bitwiseXOR(c(b, w))) for w in BITS]) <= differ
+        near = bits_between(a, b) <= differ
         earlier = (c(a, "id") < c(b, "id")) | ((c(a, "id") == c(b, "id")) & (c(a, "line") < c(b, "line")))
         sizes = (c(a, "words") >= c(b, "words") * t - 1e-9) & (c(b, "words") >= c(a, "words") * t - 1e-9)
         return earlier & sizes & (small_at <= small_n - _least_overlap(small_n, 2 * t / (1 + t))) & (possible >= needed) & near
@@ -134,14 +140,13 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = cut(_verified(tried, lines, t).select("b_id", "b_line").distinct())
     # then all words, for classes that are left. Of a class's candidates the one with the nearest bits is compared
     # first, so that the join need not hand on every pair
-    near = reduce(Column.__add__, [F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in BITS])
     meet = lambda x, y: x.alias("b").join(y.alias("a"), (F.col("a.mark") == F.col("b.mark")) & may_match("a", "b"))
     nearest = lambda df: df.groupBy("b_id", "b_line").agg(F.min("a").alias("a"))
     without = lambda df, gone: df.join(small(gone.select(F.col("b_id").alias("id"), F.col("b_line").alias("line")), BROADCAST), ["id", "line"], "left_anti")
     parts = []
     for i in range(SLICES):
         of = index.filter(F.pmod("mark", F.lit(SLICES)) == i)
-        candidates = meet(without(of, found), of).select(*pair[2:], F.struct(near.alias("near"), *pair[:2]).alias("a"))
+        candidates = meet(without(of, found), of).select(*pair[2:], F.struct(bits_between("a", "b").alias("near"), *pair[:2]).alias("a"))
         parts.append(cut(nearest(candidates)))
     closest = cut(nearest(reduce(DataFrame.unionByName, parts)).select("a.a_id", "a.a_line", "b_id", "b_line"))
     found = cut(found.unionByName(_verified(closest, lines, t).select("b_id", "b_line")).distinct())
