@@ -31,7 +31,7 @@ from .shingles import mixed, shingles, word_hashes
 #: Words of a k-mer; k-mers of an element; elements of a sketch; least similarity.
 K, L, B, SIMILARITY = 5, 2, 64, 0.8
 #: Longs of parity bits of a text, and of the same bits folded.
-PARITY, FOLDED = 32, 4
+PARITY, FOLDED = 64, 4
 FOLDS = tuple(f"fold{i}" for i in range(FOLDED))
 #: Numbers that are hashed at a time.
 AT_ONCE = 100_000
@@ -77,8 +77,9 @@ def sketch(words: np.ndarray, k: int, least: int, elements: int) -> np.ndarray:
 
 
 def parity_bits(words: np.ndarray) -> np.ndarray:
-    """PARITY longs; bit i is set if an odd number of the text's words has the hash bucket i."""
-    odd = np.bincount((mixed(words) >> np.uint64(16)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    """PARITY longs; bit i is set if an odd number of the text's words, of which each repeat is a word of its own, has the
+    hash bucket i."""
+    odd = np.bincount((mixed(occurrence_labelled(words)) >> np.uint64(16)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -217,7 +218,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _can_be_similar(similarity: float):
-    """Whether neither lengths nor parity bits rule out the similarity of a and b. Each word that only one text has
+    """Whether neither lengths nor parity bits rule out the similarity of a and b. Each word that one text has more often
     changes a bit at most; an edit makes two such words if it changes one, or one if it changes the length."""
     longer, shorter = F.greatest("n_words_a", "n_words_b"), F.least("n_words_a", "n_words_b")
     most = F.floor(longer * (1 - similarity) + 1e-9)
