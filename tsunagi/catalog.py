@@ -7,10 +7,10 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsunagi.plans import mails, outreach, pairs, service
+from tsunagi.plans import entities, mails, outreach, pairs, service
 from tsunagi.sources.binding import Domain, oracle
 
-_PLANS = (pairs, outreach, service, mails)
+_PLANS = (pairs, outreach, service, mails, entities)
 
 
 def _run(query: Callable[[Domain], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:

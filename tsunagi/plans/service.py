@@ -94,7 +94,7 @@ def a12_contacts_per_company(d: Domain):
 
 
 def a15_retention_counts(d: Domain):
-    return R.retention_counts(d.emails, R.protected_mails(d.messages, d.message_talents, d.talents, d.projects), d.talents, NOW, 45)
+    return R.retention_counts(d.emails, R.protected_mails(d.messages, d.message_talents, d.talents, d.projects), d.talents, d.projects, NOW, 45)
 
 
 def a16_usage(d: Domain):
@@ -229,8 +229,12 @@ def u05_delete_talents(d: Domain):
 
 
 def u07_delete_companies(d: Domain):
-    contacts, talents = R.without_companies(d.companies.filter("company_id % 4 = 1").select("company_id"), d.contacts, d.talents)
-    return talents.groupBy("introducer_company_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("talents")).unionByName(contacts.groupBy(F.col("company_id").alias("introducer_company_id")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("contacts")))
+    contacts, rest = R.without_companies(d.companies.filter("company_id % 4 = 1").select("company_id"), d.contacts, {"talents": (d.talents, "introducer_company_id"), "projects": (d.projects, "distributor_company_id"), "emails": (d.emails, "source_company_id")})
+    counted = lambda df, c, name: df.groupBy(F.col(c).alias("company_id")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(name))
+    found = counted(contacts, "company_id", "contacts")
+    for name, column in (("talents", "introducer_company_id"), ("projects", "distributor_company_id"), ("emails", "source_company_id")):
+        found = found.unionByName(counted(rest[name], column, name))
+    return found
 
 
 def r05_usage_stream(d: Domain):
@@ -270,7 +274,7 @@ QUERIES = {
         SELECT kind, CASE r WHEN 0 THEN 'foreign_nationality' WHEN 1 THEN 'commerce_flow' ELSE 'other_zero' END AS reason, count(*) AS n FROM l GROUP BY ALL""",
     u04_funnel_sets: f"WITH {_FUNNEL} SELECT kind, id, CASE WHEN (kind, id) IN (SELECT (kind, id) FROM done) THEN 'proposed' WHEN (kind, id) IN (SELECT (kind, id) FROM able) THEN 'proposable' ELSE 'ingested' END AS stage FROM ids",
     a12_contacts_per_company: "SELECT company_id, companies.name, (SELECT count(*) FROM contacts c WHERE c.company_id = companies.company_id) AS n_contacts FROM companies",
-    a15_retention_counts: f"""WITH {_KEPT}, gone AS (SELECT email_id FROM emails WHERE email_id NOT IN (SELECT email_id FROM kept)) SELECT (SELECT count(*) FROM gone) AS deleted_mails, (SELECT count(*) FROM talents WHERE email_id IN (SELECT email_id FROM gone)) AS deleted_talents,
+    a15_retention_counts: f"""WITH {_KEPT}, gone AS (SELECT email_id FROM emails WHERE email_id NOT IN (SELECT email_id FROM kept)) SELECT (SELECT count(*) FROM gone) AS deleted_mails, (SELECT count(*) FROM talents WHERE email_id IN (SELECT email_id FROM gone)) AS deleted_talents, (SELECT count(*) FROM projects WHERE email_id IN (SELECT email_id FROM gone)) AS deleted_projects,
         (SELECT count(*) FROM emails WHERE created_at < TIMESTAMP '2024-04-01' - INTERVAL 45 DAY AND email_id IN (SELECT email_id FROM protected)) AS skipped_protected""",
     a16_usage: "SELECT strftime(ts, '%Y-%m') AS year_month, count(*) AS request_count, count(*) >= 5000 AS over_limit FROM events GROUP BY 1",
     a17_steps: f"WITH {_LOG} SELECT * FROM steps",
@@ -315,8 +319,8 @@ QUERIES = {
         SELECT 'talents' AS name, count(*) AS n FROM talents WHERE talent_id % 6 <> 1 UNION ALL SELECT 'matches', count(*) FROM matches WHERE talent_id % 6 <> 1 UNION ALL SELECT 'hidden', count(*) FROM hidden WHERE talent_id % 6 <> 1
         UNION ALL SELECT 'sheets', count(*) FROM sheets WHERE talent_id % 6 <> 1 UNION ALL SELECT 'messages', count(*) FROM messages WHERE message_id NOT IN (SELECT message_id FROM g)
         UNION ALL SELECT 'message_talents', count(*) FROM message_talents WHERE talent_id % 6 <> 1 AND message_id NOT IN (SELECT message_id FROM g) UNION ALL SELECT 'replies', count(*) FROM replies WHERE message_id NOT IN (SELECT message_id FROM g)""",
-    u07_delete_companies: """SELECT CASE WHEN introducer_company_id % 4 = 1 THEN NULL ELSE introducer_company_id END AS introducer_company_id, count(*) AS n, 'talents' AS kind FROM talents GROUP BY 1
-        UNION ALL SELECT company_id, count(*), 'contacts' FROM contacts WHERE company_id % 4 <> 1 GROUP BY 1""",
+    u07_delete_companies: " UNION ALL ".join(f"SELECT CASE WHEN {c} % 4 = 1 AND {c} < 25 THEN NULL ELSE {c} END AS company_id, count(*) AS n, '{t}' AS kind FROM {t} GROUP BY 1" for t, c in (("talents", "introducer_company_id"), ("projects", "distributor_company_id"), ("emails", "source_company_id")))
+        + " UNION ALL SELECT company_id, count(*), 'contacts' FROM contacts WHERE company_id % 4 <> 1 GROUP BY 1",
     r05_usage_stream: "SELECT strftime(ts, '%Y-%m') AS year_month, count(*) AS request_count FROM events GROUP BY 1",
     r03_progress_stream: f"WITH {_LOG} SELECT job_id, step, done, total, updated_at FROM steps",
     r06_daily_stream: "SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, count(*) AS total FROM events GROUP BY 1",

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BASE = ("customer", "supplier", "nation", "orders", "lineitem", "events", "conversations")
+BASE = ("customer", "supplier", "nation", "region", "orders", "lineitem", "events", "conversations")
 
 
 def _day(n: str, duck: bool) -> str:
@@ -72,6 +72,8 @@ def tables_sql(duck: bool) -> dict[str, str]:
             CASE WHEN l_linenumber % 2 = 1 THEN CAST(o_custkey AS BIGINT) END AS talent_id, CAST(l_suppkey AS BIGINT) AS project_id,
             CASE WHEN l_linenumber % 2 = 1 AND l_orderkey % 5 <> 0 THEN CAST(o_custkey * 100000 + l_suppkey * 10 + (o_custkey + l_suppkey) % 3 AS BIGINT) END AS match_id,
             CASE WHEN l_linestatus = 'F' THEN 'sent' ELSE 'draft' END AS status, 'g' || l_orderkey || '-' || l_linenumber AS gmail_message_id, 'th' || l_orderkey AS thread_id,
+            CASE WHEN l_orderkey % 4 = 3 THEN 'Please see below' WHEN l_orderkey % 4 = 2 THEN '【1】Other work' || chr(10) || '  text' || chr(10) || '【 2 】 Supplier#' || lpad(CAST(l_suppkey AS VARCHAR(20)), 9, '0')
+                ELSE '【1】Supplier#' || lpad(CAST(l_suppkey AS VARCHAR(20)), 9, '0') || ' (new)' || chr(10) || '【2】Other work' END AS body_text,
             CAST(o_custkey AS BIGINT) AS in_reply_to_email_id, CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE {minute('l_orderkey * 97 % 400000 + l_linenumber')} END AS sent_at
             FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY l_orderkey, l_linenumber) li JOIN orders ON l_orderkey = o_orderkey""",
         "message_talents": """SELECT message_id, CAST(1 + (message_id * 7 + k) % (SELECT count(*) FROM talents) AS BIGINT) AS talent_id, CASE WHEN k = 1 THEN NULL ELSE message_id * 2 + k END AS match_id
@@ -79,7 +81,8 @@ def tables_sql(duck: bool) -> dict[str, str]:
         "replies": f"""SELECT CAST(e.event_id AS BIGINT) AS reply_id, m.message_id, CASE WHEN e.event_id % 11 = 0 THEN 'm' || m.in_reply_to_email_id WHEN e.event_id % 13 = 0 THEN m.gmail_message_id
             WHEN e.event_id % 17 = 0 THEN 'manual:' || e.event_id WHEN e.event_id % 19 = 0 THEN NULL ELSE 'r' || e.event_id END AS gmail_message_id,
             CASE WHEN e.event_id % 23 = 0 THEN NULL ELSE {minute('e.event_id * 131 % 420000')} END AS received_at,
-            CASE e.event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'ng' WHEN 'click' THEN 'ok' ELSE 'unknown' END AS judgment, CASE WHEN e.event_id % 9 = 0 THEN 'manual' ELSE 'auto' END AS judgment_source
+            CASE e.event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'ng' WHEN 'click' THEN 'ok' ELSE 'unknown' END AS judgment, CASE WHEN e.event_id % 9 = 0 THEN 'manual' ELSE 'auto' END AS judgment_source,
+            CASE e.event_id % 6 WHEN 0 THEN '【1】この件は辞退します' || chr(10) || '【2】こちらは前向きに進めさせてください' WHEN 1 THEN '【2】 見送りとさせてください' WHEN 2 THEN 'よろしくお願いします' WHEN 3 THEN '確認します' WHEN 4 THEN NULL ELSE '前向きですが' || e.event_type || '、今回は結構です' END AS body_text
             FROM events e JOIN messages m ON m.message_id = e.user_id * 10 + 1 + e.event_id % 4""",
         "hidden": f"""SELECT CAST(1 + event_id * 7 % (SELECT count(*) FROM customer) AS BIGINT) AS talent_id, CAST(1 + event_id * 3 % (SELECT count(*) FROM supplier) AS BIGINT) AS project_id,
             {_choice('event_id', 'proposed', 'unproposed')} AS display_as, {minute('event_id * 7 % 300000')} AS hidden_at FROM events""",
@@ -87,6 +90,11 @@ def tables_sql(duck: bool) -> dict[str, str]:
             CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN CAST(900 + o_orderkey % 3 AS BIGINT) ELSE CAST(o_custkey % 25 AS BIGINT) END AS source_company_id,
             {_choice('o_orderkey', 'pending', 'summarized', 'failed', 'needs_review', 'summarized')} AS status, 'User ' || o_custkey || ' <u' || o_custkey || '@' || lower(o_orderstatus) || '.example.com>' AS from_address,
             {minute('o_orderkey * 43 % 130000')} AS created_at, CAST(o_custkey AS BIGINT) AS talent_id, CAST(1 + o_orderkey % 100 AS BIGINT) AS project_id FROM orders""",
+        "categories": """SELECT CAST(r_regionkey AS BIGINT) AS category_id, r_name AS name, CAST(4 - r_regionkey AS INT) AS sort_order FROM region""",
+        "skills": """SELECT CAST(n_nationkey AS BIGINT) AS skill_id, n_name AS name, CASE WHEN n_nationkey % 7 = 6 THEN CAST(99 AS BIGINT) ELSE CAST(n_regionkey AS BIGINT) END AS category_id FROM nation""",
+        "settings": "SELECT 'key-' || n_nationkey AS key, " + _choice("n_nationkey", "30", '"45"', '"no number"', "-3", '{"days": 14}', "true", "999") + " AS value FROM nation",
+        "commute_cache": """SELECT 'station' || (s_suppkey % 23) AS origin_key, 'Client' || (s_suppkey % 15) AS destination_key, CASE WHEN s_suppkey % 5 = 0 THEN 'other' ELSE 'google_routes' END AS provider,
+            CAST(10 + min(s_suppkey) % 50 AS INT) AS duration_minutes, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'OK' END AS raw_status FROM supplier GROUP BY s_suppkey % 23, s_suppkey % 15, s_suppkey % 5 = 0, s_suppkey % 3 = 0, CASE WHEN s_suppkey % 5 = 0 THEN 'other' ELSE 'google_routes' END, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'OK' END""",
         "sheets": f"""SELECT CAST(o_orderkey AS BIGINT) AS sheet_id, CAST(o_custkey AS BIGINT) AS talent_id, CASE WHEN o_orderkey % 3 = 0 THEN 'denied' ELSE 'ok' END AS access_status,
             CAST(o_orderkey % 900 * 20000 AS BIGINT) AS size_bytes, 'sheet' || (o_orderkey % 3) || '.xlsx' AS filename, {minute('o_orderkey * 29 % 100000')} AS created_at FROM orders""",
     }
