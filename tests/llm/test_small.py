@@ -204,6 +204,40 @@ def test_rollup_batches_count_once(docs, spark, tmp_path):
     assert rollup.totals().count() == 0
     with pytest.raises(ValueError):
         rollup.commit("a/b", inserts)
+    with pytest.raises(ValueError):
+        rollups.counted(docs, "words-9")
+
+
+def test_a_batch_that_failed_before_its_entry_counts_once(docs, spark, tmp_path):
+    rollup = rollups.Rollup(spark, str(tmp_path / "totals"))
+    inserts = rollups.counted(docs, "words-1")
+    inserts.limit(3).groupBy(*rollups.KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{rollup.folder}/sums/a")
+    assert rollup.commit("a", inserts)
+    assert rollup.totals().agg(F.sum("n_docs")).first()[0] == len(ROWS)
+
+
+def test_owners_and_repositories_tell_copies_from_live_keys(spark):
+    own, copied, pair = "9f8e7d6c5b4a30219f8e7d6c", "1a2b3c4d5e6f70811a2b3c4d", "0a9b8c7d6e5f40310a9b8c7d"
+    texts = [(1, own, "a"), (2, own, "a"), (3, copied, "a"), (4, copied, "b"), (5, copied, "b"), (6, pair, "a"), (7, pair, "b")]
+    _, spans = secrets.scan_secrets(spark.createDataFrame(texts, "doc_id long, text string, source string"))
+    kinds = {}
+    for r in spans.filter("kind >= 3").collect():
+        kinds.setdefault(r["value"], set()).add((secrets.KINDS[r["kind"]], r["n_owners"], r["n_repositories"]))
+    assert kinds == {own: {("live", 1, 2)}, copied: {("copied", 2, 3)}}
+
+
+def test_declarations_count_by_language_alone(spark):
+    rows = [(i, f"the people of this town went to the market {i}", ("en", "EN", "en-US", " en_GB")[i % 4]) for i in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(texts, "doc_id", "text", "lang").languages == ["en"]
+    assert {(r["language"], r["declared"]) for r in langid.identify(texts, host_col=None).collect()} == {("en", "en")}
+
+
+def test_lines_replace_columns_of_their_own_names(spark):
+    rows = spark.createDataFrame([(1, "a b\nA  b\nc", 7, "x"), (1, "c", 8, "y")], "doc_id long, text string, n_lines int, N_Removed string")
+    got = line_dedup.dedup_lines(rows)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a b", 3, 2), (1, "c", 1, 0)]  # one document, so the second c is the third line's earlier one
 
 
 def page(main, **parts):

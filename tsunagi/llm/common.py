@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 import zipfile
@@ -12,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsunagi.sources.staging import new_folder, shared_folder
+
 #: White space as the contracts define it; every other character belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,18 +38,6 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def new_folder(spark: SparkSession) -> str:
-    """A folder of its own that driver and executors share."""
-    return f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
 @contextmanager
 def _no_shuffle_files_left(spark: SparkSession) -> Iterator[None]:
     """What is shuffled inside is removed when it has been written, as no one reads it again."""
@@ -62,9 +51,9 @@ def _no_shuffle_files_left(spark: SparkSession) -> Iterator[None]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of `df` with a reliable checkpoint, in the shared folder that the session names
-    in spark.checkpoint.dir; a folder of its own is taken only where none is set."""
-    _shared_folder(df.sparkSession)
+    """Ends the lineage of `df` with a reliable checkpoint, in the shared folder that the session names in
+    spark.checkpoint.dir. On a cluster one must be named; in local mode a folder is made where none is."""
+    shared_folder(df.sparkSession)
     with _no_shuffle_files_left(df.sparkSession):
         return df.select("*").checkpoint()  # the setting holds for queries that are made under it
 

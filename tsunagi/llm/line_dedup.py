@@ -204,7 +204,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(F.col("lines").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return both.select(
         *[text.alias(c) if c == text_col else F.col(f"doc.{c}").alias(c) for c in columns],
-        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
+        F.size(lines).cast("long").alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(F.size(lines) - F.size(stay)).cast("long").alias("n_removed"),
     )
 
 

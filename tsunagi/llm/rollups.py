@@ -15,7 +15,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, new_folder, table
+from tsunagi.sources.staging import new_folder
+
+from .common import WORD, table
 
 KEYS = ("source", "lang", "tokenizer")
 
@@ -25,9 +27,14 @@ TOKENIZERS = {"words-1": WORD, "marks-2": r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"}
 
 def counted(docs: DataFrame, tokenizer: str | Column, sign: int = 1, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """Signed rows for `docs`: source, lang, tokenizer, docs (+1 or -1) and tokens. `tokenizer` is a version, or a
-    column of versions. A null text has no tokens; null sources and languages are groups of their own."""
+    column of versions. A null text has no tokens; null sources and languages are groups of their own. Repeated rows count
+    each for itself, an empty table gives no rows, other columns are ignored whatever their names. An unknown version is
+    an error: here if it is a text, in the task that meets it if it is a column."""
+    if isinstance(tokenizer, str) and tokenizer not in TOKENIZERS:
+        raise ValueError(f"not a tokenizer version: {tokenizer!r}")
     version = F.lit(tokenizer) if isinstance(tokenizer, str) else tokenizer
-    text, tokens = F.coalesce(F.col(text_col), F.lit("")), F.lit(None).cast("int")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    tokens = F.raise_error(F.concat(F.lit("not a tokenizer version: "), F.coalesce(version, F.lit("null")))).cast("int")
     for name, pattern in TOKENIZERS.items():
         tokens = F.when(version == name, F.regexp_count(text, F.lit(pattern))).otherwise(tokens)
     rows = docs.select(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), version.alias("tokenizer"), F.lit(sign).cast("long").alias("docs"), (tokens * sign).cast("long").alias("tokens"))
@@ -75,14 +82,18 @@ class Rollup:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are counted by the first version; those of every fifth id are counted anew by the second; those
-    of every eleventh id are deleted, by the version they were last counted with; and two batches come twice."""
+    """Totals of all documents by both versions, come to by way of revisions and deletions: all documents are counted by
+    the first version; every fifth is counted anew by the second; every eleventh is deleted, by the version it was last
+    counted with; these are put back, the fifth are revised back, and all are counted by the second version too. Two
+    batches come twice."""
     docs = table(spark, sf_dir, "documents")
     fifth, eleventh = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False)), F.coalesce(F.col("doc_id") % 11 == 3, F.lit(False))
     batches = [
         ("load", counted(docs, "words-1")),
         ("revise", revised(docs.filter(fifth), "words-1", "marks-2")),
         ("delete", counted(docs.filter(eleventh), F.when(fifth, "marks-2").otherwise("words-1"), -1)),
+        ("restore", counted(docs.filter(eleventh), "words-1").unionByName(revised(docs.filter(fifth & ~eleventh), "marks-2", "words-1"))),
+        ("second", counted(docs, "marks-2")),
     ]
     rollup = Rollup(spark, new_folder(spark))
     for name, changes in [*batches, batches[1], batches[2]]:
@@ -91,7 +102,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-SELECT source, lang, CASE WHEN doc_id % 5 = 0 THEN 'marks-2' ELSE 'words-1' END AS tokenizer, count(*) AS n_docs,
-    CAST(sum(len(CASE WHEN doc_id % 5 = 0 THEN regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]') ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END)) AS BIGINT) AS n_tokens
-FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents) WHERE doc_id IS NULL OR doc_id % 11 <> 3 GROUP BY ALL
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM (
+    SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents
+    UNION ALL SELECT source, lang, 'marks-2', len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]')) FROM documents) GROUP BY ALL
 """

@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Every text is scanned for the three base kinds. The value of each finding is then counted over the whole corpus by
-distinct owners and distinct repositories: a value that several owners have is a copied example, a value that one
-owner has and that looks random is likely a live credential. Both become spans of their own kinds.
+distinct owners and distinct repositories (a document stands for one): a value that several owners have, in enough
+repositories, is a copied example; one that a single owner has and that looks random is likely a live credential, in
+however many of the owner's repositories it is. Both become spans of their own kinds.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ ASSIGN_LEAST = 6
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|1234567"
 # End of fixed values.
 
-#: A value that at least so many owners have is a copied example.
-OWNERS = 3
+#: A value that at least so many owners have in at least so many repositories is a copied example.
+OWNERS, REPOSITORIES = 2, 3
 
 
 def _scan(text: Column) -> Column:
@@ -58,7 +59,7 @@ def live_looking(value: Column) -> Column:
     )
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", owners: int = OWNERS) -> tuple[DataFrame, DataFrame]:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", owners: int = OWNERS, repositories: int = REPOSITORIES) -> tuple[DataFrame, DataFrame]:
     """(docs, spans): `docs` has one row per input row (row, id), `spans` one row per finding: row, kind, start, end
     (code points, end exclusive) and the value, with n_owners and n_repositories, which count the value's distinct
     owners and distinct (owner, document) pairs over the corpus. Kinds 3 (live) and 4 (copied) cover the value.
@@ -83,11 +84,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("row", "id", "owner", "kind", "start", "end", "value", "mark")
     )
     # distinct first, so that a value that is everywhere leaves one row per owner or repository and task
-    repositories = base.select("mark", "owner", "id").distinct()
-    by_owner = repositories.groupBy("mark", "owner").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = base.select("mark", "owner", "id").distinct().groupBy("mark", "owner").agg(F.count(F.lit(1)).alias("n"))
     wide = by_owner.groupBy("mark").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
     base = base.join(wide, "mark")
-    method = F.when(F.col("n_owners") >= owners, 4).when(live_looking(F.col("value")), 3)
+    method = F.when((F.col("n_owners") >= owners) & (F.col("n_repositories") >= repositories), 4).when((F.col("n_owners") == 1) & live_looking(F.col("value")), 3)
     added = base.withColumn("kind", method).filter("kind is not null").withColumn("start", F.col("end") - F.length("value")).distinct()
     spans = base.unionByName(added).select("row", "kind", "start", "end", "value", "n_owners", "n_repositories")
     return rows.select("row", "id").distinct(), spans
@@ -131,10 +131,10 @@ each AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM hits),
 base AS (SELECT * FROM (SELECT row, doc_id, owner, kind, vals[i] AS v, e - length(found[i]) AS b, e FROM (
     SELECT *, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(found[1:i], lambda x: length(x))) AS e FROM each))
     WHERE {least}),
-wide AS (SELECT v, count(DISTINCT owner) AS owners FROM base GROUP BY v),
+wide AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, doc_id)) AS repositories FROM base GROUP BY v),
 added AS (SELECT DISTINCT row, doc_id, kind, e - length(v) AS b, e FROM (
-    SELECT row, doc_id, v, e, CASE WHEN owners >= {OWNERS} THEN 4
-        WHEN length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(regexp_extract_all(v, '.'))) >= 8
+    SELECT row, doc_id, v, e, CASE WHEN owners >= {OWNERS} AND repositories >= {REPOSITORIES} THEN 4
+        WHEN owners = 1 AND length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(regexp_extract_all(v, '.'))) >= 8
              AND NOT regexp_matches(v, '{live}') THEN 3 END AS kind
     FROM base JOIN wide USING (v)) WHERE kind IS NOT NULL),
 spans AS (SELECT row, kind, b, e FROM base UNION ALL SELECT row, kind, b, e FROM added),
