@@ -260,6 +260,23 @@ def test_a_wrapper_hides_no_article(wrapper):
     assert html_text.Page(source).text(frozenset()) == "One\ntwo"
 
 
+def test_deep_and_long_pages_end_in_time():
+    import time
+
+    began = time.time()
+    depth = 100_000
+    source = "<div>" * depth + "<article><p>One</p></article>" + "</span>" * depth + "</div>" * depth + "<p>" * 10
+    assert html_text.Page(source).text(frozenset()) == "One"
+    long = "<article>" + "".join(f"<p>word {i}</p>" for i in range(100_000)) + "</article>"
+    assert html_text.Page(long).text(frozenset()).count("\n") == 99_999
+    assert time.time() - began < 60
+
+
+def test_names_of_parts_of_an_article_do_not_hide_it():
+    source = "<article><p class='share-price'>Shares rose</p><h2 id='related-work'>Related work</h2><section class='search-results'><p>Found</p></section><p class='social-history'>x</p></article>"
+    assert html_text.Page(source).text(frozenset()) == "Shares rose\nRelated work\nFound\nx"
+
+
 def test_a_teaser_is_not_the_page():
     text = "This is what the page says, at some length."
     source = f"<body><div class='c'><p>{text}</p></div><article>See also</article>"
