@@ -107,3 +107,19 @@ def test_three_texts_of_html(spark):
     df = spark.createDataFrame([(html, "plain"), (" ", "plain"), (None, None)], "h string, p string")
     assert [r[0] for r in df.select(E.list_text(F.col("h"), F.col("p"))).collect()] == ["A\nB&nbsp;&amp;\nCD", "plain", ""]
     assert df.select(E.rules_text(F.col("h"))).first()[0].split() == ["A", "B", "&", "C", "D"]
+
+
+SPEC = "【案件名】：在庫管理の改修\n【場所】：品川\n■内容\n・夜間処理の調査と改修、関係者との調整を含む"
+NOISY = f"株式会社みなも ご担当者様\nいつもお世話になっております。\nなぎさの森です。\n下記にて案件情報をお送りいたします。\n\nーーー案件情報ーーー\n----------\n{SPEC}\n\n----------\n以上\n森　太郎\n電話番号：03-0000-0000\n■□■□"
+
+
+def test_core_of_a_mail(spark):
+    from tsunagi.functions import core_body as C
+
+    assert C.spec_block(NOISY) == f"ーーー案件情報ーーー\n----------\n{SPEC}"
+    assert C.spec_block("■案件名\nx") is None and C.spec_block("") is None
+    assert C.cleaned("株式会社みなも\nお世話になっております。\n条件は応相談です、長い説明がここに続きます。\nよろしくお願いします\nx", ("みなも",)) == "条件は応相談です、長い説明がここに続きます。"
+    df = spark.createDataFrame([(NOISY, ["株式会社みなも"]), (None, None), ("", [])], "m string, n array<string>")
+    assert [r[0] for r in df.select(C.core_body(F.col("m"), F.col("n"))).collect()] == [f"ーーー案件情報ーーー\n----------\n{SPEC}", "", ""]
+    caches = [(f"[[core:v3]]\n{SPEC}" + "。" * 20,), (f"[[core:v2]]\n{SPEC}" + "。" * 20,), ("[[core:v3]]\nshort",), (None,)]
+    assert [r[0] is not None for r in spark.createDataFrame(caches, "c string").select(C.cached_core(F.col("c"), "v3")).collect()] == [True, False, False, False]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsunagi.functions import text as T
+from tsunagi.functions.core_body import DIRTY, cached_core, core_body
 from tsunagi.operators import companies as C
 from tsunagi.operators import extraction as E
 from tsunagi.operators import lists as L
@@ -15,9 +16,10 @@ from tsunagi.operators import replies as J
 from tsunagi.operators import retention as R
 from tsunagi.operators import settings as S
 from tsunagi.plans.outreach import _NEWEST, _PER_MATCH, _PER_PAIR, _VALID
-from tsunagi.plans.pairs import LATEST
+from tsunagi.plans.pairs import LATEST, SCORES
 from tsunagi.plans.service import _KEPT, NOW
-from tsunagi.sources.binding import Domain, split_list
+from tsunagi.sources.binding import Domain, split_list, tables_sql
+from tsunagi.streaming import polls
 
 _NONE = "CAST(NULL AS VARCHAR)"
 
@@ -316,6 +318,46 @@ def u02_cascade(d: Domain):
     return left["talents"].select(F.lit("talent").alias("kind"), F.col("talent_id").alias("id")).union(left["projects"].select(F.lit("project"), "project_id"))
 
 
+def _spec(d: Domain):
+    fields = F.concat(F.lit("【案件名】："), "title", F.lit("\n■内容\n・夜間処理の調査と改修、関係者との調整を含む長い仕事 "), (F.col("project_id") % 13).cast("string"), F.lit("\n【場所】品川"))
+    return d.projects.withColumn("spec", F.concat(F.lit("ーーー案件情報ーーー\n----------\n"), fields))
+
+
+def f46_core_bodies(d: Domain):
+    greeting = F.concat(F.lit("株式会社みなも ご担当者様\nいつもお世話になっております。\n下記にて案件情報をお送りいたします。\n\n"), F.when(F.col("project_id") % 2 == 0, "★注目\n").otherwise(""))
+    mails = _spec(d).select("project_id", F.concat(greeting, "spec", F.when(F.col("project_id") % 3 == 0, "\n\n----------\n").otherwise("\n"), F.lit("以上\n森　太郎\n電話番号：03-0000-0000\n■□■□")).alias("mail"))
+    return mails.select("project_id", core_body(F.col("mail"), F.array(F.lit("株式会社みなも"))).alias("core"))
+
+
+def f47_body_flags(d: Domain):
+    """Which texts of pages still look like whole mails."""
+    text = E.list_text(F.col("html"), F.lit(None).cast("string"))
+    return d.base("pages").select("page_id", text.rlike(DIRTY).alias("whole_mail"), (F.length(F.trim(text)) < 60).alias("short"))
+
+
+def f48_cached_cores(d: Domain):
+    cache = F.concat(F.when(F.col("project_id") % 3 == 0, "[[core:v2]]\n").otherwise("[[core:v3]]\n"), F.when(F.col("project_id") % 4 == 0, "short").otherwise(F.col("spec")))
+    return _spec(d).select("project_id", cached_core(cache, "v3").isNotNull().alias("fresh"))
+
+
+def r01_ingest_stream(d: Domain):
+    stream = polls.read(d.spark, f"{d.sf_dir}/orders.parquet").select((F.col("o_orderkey") * 2).alias("email_id"), F.col("o_custkey").cast("long").alias("sender"))
+    return polls.ingest(stream, d.emails, polls.work_folder(d.spark))
+
+
+def r02_reply_stream(d: Domain):
+    stream = polls.read(d.spark, f"{d.sf_dir}/orders.parquet")
+    key = F.col("o_orderkey").cast("string")
+    mails = stream.select(F.concat(F.lit("th"), key).alias("thread_id"), F.concat(F.lit("m"), key).alias("mail_id"), F.lit("2024-07-01").cast("timestamp").alias("received_at"))
+    return polls.sync_replies(mails, d.messages, d.replies, d.emails, polls.work_folder(d.spark))
+
+
+def r04_scoring_stream(d: Domain):
+    stream = polls.read(d.spark, f"{d.sf_dir}/customer.parquet")
+    arrivals = d.spark.sql(tables_sql(False)["talents"].replace("FROM customer", "FROM {customer}"), customer=stream)
+    return polls.score_arrivals(arrivals, d.projects, polls.work_folder(d.spark)).select("talent_id", "project_id", "score")
+
+
 _JUDGE = """CASE WHEN seg IS NOT NULL THEN CASE WHEN seg LIKE '%辞退%' OR seg LIKE '%見送り%' THEN 'ng' WHEN seg LIKE '%前向き%' OR seg LIKE '%進めさせて%' THEN 'ok' ELSE 'unknown' END
     WHEN e IN (0, 1) THEN 'unknown' WHEN e = 2 THEN 'ok' WHEN e = 5 THEN 'ng' ELSE 'unknown' END"""
 _ITEMS = """items AS (SELECT message_id, CASE WHEN kind = 'talent_proposal' THEN p.title ELSE (SELECT t.display_name FROM talents t WHERE t.talent_id = l.t) END AS item_title,
@@ -397,6 +439,13 @@ QUERIES = {
         FROM talents t LEFT JOIN companies c ON c.company_id = introducer_company_id LEFT JOIN s ON s.talent_id = t.talent_id LEFT JOIN emails e ON e.email_id = t.email_id""",
     j22_skill_list: "SELECT skill_id, s.name, coalesce(c.name, '未分類') AS category_name FROM skills s LEFT JOIN categories c USING (category_id)",
     a13_skill_catalog: "SELECT category_id, c.name AS label, sort_order, string_agg(s.name, ',' ORDER BY s.name) AS options, count(*) AS n_skills FROM categories c JOIN skills s USING (category_id) GROUP BY ALL",
+    f46_core_bodies: """SELECT project_id, 'ーーー案件情報ーーー' || chr(10) || '----------' || chr(10) || '【案件名】：' || title || chr(10) || '■内容' || chr(10) || '・夜間処理の調査と改修、関係者との調整を含む長い仕事 ' || (project_id % 13) || chr(10) || '【場所】品川' AS core FROM projects""",
+    f47_body_flags: f"SELECT page_id, regexp_matches(t, '{DIRTY.replace('(?i)', '')}', 'i') AS whole_mail, length(trim(t)) < 60 AS short FROM (SELECT page_id, {_LIST} AS t FROM pages)",
+    f48_cached_cores: "SELECT project_id, project_id % 3 <> 0 AND project_id % 4 <> 0 AS fresh FROM projects",
+    r01_ingest_stream: "SELECT o_orderkey * 2 AS email_id, CAST(o_custkey AS BIGINT) AS sender FROM orders WHERE o_orderkey * 2 NOT IN (SELECT email_id FROM emails WHERE status <> 'failed')",
+    r02_reply_stream: """SELECT m.message_id, 'm' || o_orderkey AS mail_id, TIMESTAMP '2024-07-01' AS received_at FROM orders JOIN messages m ON thread_id = 'th' || o_orderkey LEFT JOIN (SELECT email_id, gmail_message_id AS source_mail FROM emails) e ON e.email_id = m.in_reply_to_email_id
+        WHERE m.status = 'sent' AND (source_mail IS NULL OR source_mail <> 'm' || o_orderkey) AND (m.sent_at IS NULL OR m.sent_at < TIMESTAMP '2024-07-01') AND NOT EXISTS (FROM replies r WHERE r.message_id = m.message_id AND r.gmail_message_id = 'm' || o_orderkey)""",
+    r04_scoring_stream: f"WITH {SCORES} SELECT talent_id, project_id, score FROM scores",
     f62_display_matches: None,
     f62_by_catalog: None,
     s06_settings: "SELECT company_id, coalesce(value, 'none') AS value FROM companies LEFT JOIN settings ON key = 'key-' || (company_id * 2)",

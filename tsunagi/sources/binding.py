@@ -92,7 +92,7 @@ def tables_sql(duck: bool) -> dict[str, str]:
             {minute('o_orderkey * 43 % 130000')} AS created_at, CAST(o_custkey AS BIGINT) AS talent_id, CAST(1 + o_orderkey % 100 AS BIGINT) AS project_id FROM orders""",
         "categories": """SELECT CAST(r_regionkey AS BIGINT) AS category_id, r_name AS name, CAST(4 - r_regionkey AS INT) AS sort_order FROM region""",
         "skills": """SELECT CAST(n_nationkey AS BIGINT) AS skill_id, n_name AS name, CASE WHEN n_nationkey % 7 = 6 THEN CAST(99 AS BIGINT) ELSE CAST(n_regionkey AS BIGINT) END AS category_id FROM nation""",
-        "settings": "SELECT 'key-' || n_nationkey AS key, " + _choice("n_nationkey", "30", '"45"', '"no number"', "-3", '{"days": 14}', "true", "999") + " AS value FROM nation",
+        "settings": """SELECT 'key-' || n_nationkey AS key, CASE n_nationkey % 7 WHEN 0 THEN '30' WHEN 1 THEN '"45"' WHEN 2 THEN '"no number"' WHEN 3 THEN '-3' WHEN 4 THEN chr(123) || '"days": 14' || chr(125) WHEN 5 THEN 'true' ELSE '999' END AS value FROM nation""",
         "commute_cache": """SELECT 'station' || (s_suppkey % 23) AS origin_key, 'Client' || (s_suppkey % 15) AS destination_key, CASE WHEN s_suppkey % 5 = 0 THEN 'other' ELSE 'google_routes' END AS provider,
             CAST(10 + min(s_suppkey) % 50 AS INT) AS duration_minutes, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'OK' END AS raw_status FROM supplier GROUP BY s_suppkey % 23, s_suppkey % 15, s_suppkey % 5 = 0, s_suppkey % 3 = 0, CASE WHEN s_suppkey % 5 = 0 THEN 'other' ELSE 'google_routes' END, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'OK' END""",
         "sheets": f"""SELECT CAST(o_orderkey AS BIGINT) AS sheet_id, CAST(o_custkey AS BIGINT) AS talent_id, CASE WHEN o_orderkey % 3 = 0 THEN 'denied' ELSE 'ok' END AS access_status,
