@@ -130,4 +130,6 @@ def test_blocks_give_all_pairs(spark, monkeypatch):
 def test_targets_are_the_best_that_are_left(spark):
     matches = spark.createDataFrame([(i, i, 1, 100 - i) for i in range(10)], "match_id long, talent_id long, project_id long, score int")
     refused = spark.createDataFrame([(0,), (2,)], "match_id long")
-    assert [r["match_id"] for r in matching.judge_targets(matches, refused, 3).orderBy("place").collect()] == [1, 3, 4]
+    marked = matching.without_refused(matches, refused)
+    assert {r["match_id"] for r in marked.filter("score = 0").collect()} == {0, 2}
+    assert [r["match_id"] for r in matching.judge_targets(marked, 3).orderBy("place").collect()] == [1, 3, 4]

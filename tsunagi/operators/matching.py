@@ -208,12 +208,25 @@ def run_statistics(result: DataFrame) -> DataFrame:
     )
 
 
-def judge_targets(matches: DataFrame, refused: DataFrame, top: int) -> DataFrame:
-    """The best `top` (1 to 20) matches of each project, but for refused ones (match_id), whose score counts as 0.
-    The rank's limit is applied before the shuffle too."""
+def without_refused(matches: DataFrame, refused: DataFrame) -> DataFrame:
+    """Matches with those that were refused (match_id) at no points; `refused` says which they are."""
+    marked = matches.join(refused.select("match_id").distinct().withColumn("refused", F.lit(True)), "match_id", "left").withColumn("refused", F.coalesce("refused", F.lit(False)))
+    return marked.withColumn("score", F.when(F.col("refused"), 0).otherwise(F.col("score")))
+
+
+def judge_targets(matches: DataFrame, top: int) -> DataFrame:
+    """The best `top` (1 to 20) matches of each project, but for refused ones. The rank's limit is applied before the
+    shuffle too."""
     rank = F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("score").desc(), "talent_id", "match_id"))
-    left = matches.join(refused.select("match_id").distinct(), "match_id", "left_anti")
-    return left.withColumn("place", rank).filter(F.col("place") <= max(1, min(20, top)))
+    return matches.filter("not refused").withColumn("place", rank).filter(F.col("place") <= max(1, min(20, top)))
+
+
+def judge_statistics(matches: DataFrame, top: int) -> DataFrame:
+    """How many matches (without_refused) were refused, are rejected or to be judged among the targets, or are left out."""
+    targets = judge_targets(matches, top).select("match_id", F.col("hard_reject").isNotNull().alias("rejected"))
+    of_all = matches.agg(F.count_if("refused").alias("ng_zeroed"), F.count_if(~F.col("refused")).alias("n_open"))
+    of_targets = targets.agg(F.count_if("rejected").alias("hard_rejected"), F.count_if(~F.col("rejected")).alias("judged"), F.count(F.lit(1)).alias("n_targets"))
+    return of_all.crossJoin(of_targets).select("ng_zeroed", "hard_rejected", "judged", (F.col("n_open") - F.col("n_targets")).alias("skipped"))  # one row each
 
 
 def with_judgements(matches: DataFrame, judged: DataFrame) -> DataFrame:
@@ -233,10 +246,12 @@ def rejected_pairs(talents: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def high_scores(matches: DataFrame, runs: DataFrame, talents: DataFrame, projects: DataFrame, least: Column | int = 50, limit: int = 100) -> DataFrame:
-    """The dashboard's list: matches of the latest run between active talents and open projects, best first."""
+    """The dashboard's list: matches of the latest run between active talents and open projects, best first, with how
+    many there are in all."""
     found = matches_of_latest(matches, runs).filter(F.col("score") >= least)
     found = found.join(active(talents).select("talent_id", "display_name"), "talent_id").join(open_projects(projects).select("project_id", "title"), "project_id")
-    return found.orderBy(F.col("score").desc(), "display_name", "title", "match_id").limit(limit).select("match_id", *PAIR, "score", "display_name", "title")
+    best = found.orderBy(F.col("score").desc(), "display_name", "title", "match_id").limit(limit).select("match_id", *PAIR, "score", "display_name", "title")
+    return best.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))  # one row on that side
 
 
 def unscored(entities: DataFrame, matches: DataFrame, key: str) -> DataFrame:

@@ -52,6 +52,12 @@ def latest_reply(replies: DataFrame) -> DataFrame:
     return replies.groupBy("message_id").agg(F.max_by(F.struct("judgment", "received_at", "reply_id"), order).alias("r")).select("message_id", "r.judgment", "r.received_at", "r.reply_id")
 
 
+def refused_matches(messages: DataFrame, replies: DataFrame) -> DataFrame:
+    """match_id of matches whose last talent proposal was refused by the newest reply, valid or not."""
+    refusals = latest_reply(replies).filter("judgment = 'ng'").select("message_id")
+    return latest_per_match(messages).join(refusals, "message_id", "left_semi").select("match_id")
+
+
 def offered_pairs(messages: DataFrame, links: DataFrame, matches: DataFrame) -> DataFrame:
     """Pairs that a sent proposal offers, by its match or by its links."""
     by_match = sent(messages, "talent_proposal").select("match_id").join(matches.select("match_id", *PAIR), "match_id").select(*PAIR)

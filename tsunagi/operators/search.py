@@ -23,18 +23,27 @@ def has_skills(skills: Column, selected: list[str]) -> Column:
     return reduce(Column.__and__, map(some, selected), F.lit(True))
 
 
-def search_talents(talents: DataFrame, keyword: str = "", skills: list[str] = (), low: int | None = None, high: int | None = None) -> DataFrame:
-    """A talent without a rate passes any range."""
+def search_talents(talents: DataFrame, keyword: str = "", skills: list[str] = (), low: int | None = None, high: int | None = None, proposed: str = "", ok: str = "", sheet: bool | None = None) -> DataFrame:
+    """A talent without a rate passes any range. `proposed` and `ok` ("yes" or "no") ask for the columns n_proposed and
+    n_ok of an enriched list, `sheet` for has_sheet."""
     rate = F.col("desired_rate")
     found = has_words(keyword, "display_name", "affiliation", "source_company_name", "summary", "skills") & has_skills(split_list("skills"), list(skills))
     if low is not None:
         found = found & (rate.isNull() | (rate >= low))
     if high is not None:
         found = found & (rate.isNull() | (rate <= high))
-    return talents.filter(found)
+    return talents.filter(found & _counted(proposed, ok)).filter(F.lit(True) if sheet is None else F.col("has_sheet") == sheet)
 
 
-def search_projects(projects: DataFrame, keyword: str = "", skills: list[str] = (), low: int | None = None, high: int | None = None, nationality: str | None = None) -> DataFrame:
+def _counted(proposed: str, ok: str) -> Column:
+    found = F.lit(True)
+    for choice, column in ((proposed, "n_proposed"), (ok, "n_ok")):
+        if choice:
+            found = found & ((F.col(column) > 0) == (choice == "yes"))
+    return found
+
+
+def search_projects(projects: DataFrame, keyword: str = "", skills: list[str] = (), low: int | None = None, high: int | None = None, nationality: str | None = None, proposed: str = "", ok: str = "") -> DataFrame:
     """Rate ranges overlap; nationality is "ok", "ng" or "unknown"."""
     top = F.coalesce("rate_max", "rate_min")
     found = has_words(keyword, "title", "source_company_name", "required_skills") & has_skills(F.concat(split_list("required_skills"), split_list("preferred_skills")), list(skills))
@@ -45,7 +54,7 @@ def search_projects(projects: DataFrame, keyword: str = "", skills: list[str] =
     if nationality:
         refused = F.col("foreign_nationality_ng")
         found = found & {"ng": F.coalesce(refused, F.lit(False)), "ok": F.coalesce(~refused, F.lit(False)), "unknown": refused.isNull()}[nationality]
-    return projects.filter(found)
+    return projects.filter(found & _counted(proposed, ok))
 
 
 def search_companies(companies: DataFrame, contacts: DataFrame, query: str, limit: int = 300) -> DataFrame:
@@ -56,7 +65,9 @@ def search_companies(companies: DataFrame, contacts: DataFrame, query: str, limi
     return companies.filter(found).join(counts, "company_id", "left").withColumn("n_contacts", F.coalesce("n_contacts", F.lit(0))).orderBy("name", "company_id").limit(limit)
 
 
-def search_contacts(contacts: DataFrame, companies: DataFrame, query: str, limit: int = 500) -> DataFrame:
+def search_contacts(contacts: DataFrame, companies: DataFrame, query: str, company_id: int | None = None, limit: int = 500) -> DataFrame:
+    """Contacts of all companies or of one."""
+    contacts = contacts if company_id is None else contacts.filter(F.col("company_id") == company_id)
     named = contacts.join(companies.select("company_id", F.col("name").alias("company_name")), "company_id")
     found = F.col("name").ilike(f"%{query}%") | F.col("email").ilike(f"%{query}%") | F.col("company_name").ilike(f"%{query}%")
     return named.filter(found).orderBy("name", "contact_id").limit(limit)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsunagi.operators import matching as M
+from tsunagi.operators import outreach as O
 from tsunagi.sources.binding import Domain
 
 _JA = "('リモート', 'remote', '在宅', 'フルリモート', 'テレワーク')"
@@ -109,9 +110,12 @@ def a14_run_statistics(d: Domain):
     return M.run_statistics(M.incremental(d.talents, d.projects, d.matches, d.match_runs))
 
 
+def _judged(d: Domain):
+    return M.without_refused(M.matches_of_latest(d.matches, d.match_runs, completed=False), O.refused_matches(d.messages, d.replies))
+
+
 def w06_judge_targets(d: Domain):
-    refused = d.matches.filter("(talent_id + project_id) % 7 = 0")
-    return M.judge_targets(M.matches_of_latest(d.matches, d.match_runs, completed=False), refused, 5).select("match_id", "project_id", "talent_id", "score", "place")
+    return M.judge_targets(_judged(d), 5).select("match_id", "project_id", "talent_id", "score", "place")
 
 
 def j21_judgements(d: Domain):
@@ -120,7 +124,8 @@ def j21_judgements(d: Domain):
 
 
 def t01_high_scores(d: Domain):
-    return M.high_scores(d.matches, d.match_runs, d.talents, d.projects)
+    best = M.high_scores(d.matches, d.match_runs, d.talents, d.projects)
+    return O.proposed_flags(best, d.messages, d.message_talents, d.hidden)
 
 
 def j11_unscored(d: Domain):
@@ -145,10 +150,13 @@ def p09_constraints(d: Domain):
 
 
 def a23_judge_statistics(d: Domain):
-    matches = M.matches_of_latest(d.matches, d.match_runs, completed=False)
-    refused = F.pmod(F.col("talent_id") + F.col("project_id"), F.lit(7)) == 0
-    return matches.agg(F.count_if(refused).alias("ng_zeroed"), F.count_if(~refused & F.col("hard_reject").isNotNull()).alias("hard_rejected"), F.count_if(~refused & F.col("ai_score").isNotNull()).alias("judged"), F.count_if(~refused & F.col("ai_score").isNull() & F.col("hard_reject").isNull()).alias("skipped"))
+    return M.judge_statistics(_judged(d), 5)
+
 
+_TARGETS = """last AS (SELECT match_id, message_id FROM messages WHERE status = 'sent' AND kind = 'talent_proposal' AND match_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY sent_at DESC NULLS FIRST, message_id DESC) = 1),
+    newest_reply AS (SELECT message_id, judgment FROM replies QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY received_at DESC NULLS FIRST, reply_id DESC) = 1),
+    judged AS (SELECT *, match_id IN (SELECT match_id FROM last JOIN newest_reply USING (message_id) WHERE judgment = 'ng') AS r FROM matches WHERE run_id = (SELECT run_id FROM match_runs ORDER BY started_at DESC, run_id DESC LIMIT 1)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, talent_id, match_id) AS place FROM judged WHERE NOT r)"""
 
 QUERIES = {
     p01_scope: "SELECT talent_id, display_name, desired_rate FROM talents WHERE status = 'active' AND talent_id % 3 = 0",
@@ -165,20 +173,19 @@ QUERIES = {
             CASE WHEN e.match_id IS NOT NULL THEN e.ai_score ELSE o.ai_score END AS ai_score, n.score IS NOT NULL AS rescored
         FROM e FULL JOIN n ON e.talent_id = n.talent_id AND e.project_id = n.project_id LEFT JOIN newest o ON o.talent_id = n.talent_id AND o.project_id = n.project_id""",
     a14_run_statistics: f"WITH {INCREMENTAL} SELECT count(DISTINCT talent_id) AS n_talents, count(DISTINCT project_id) AS n_projects, count(*) AS n_matches, count(*) FILTER (NOT reused) AS n_scored, count(*) FILTER (reused) AS n_reused FROM added",
-    w06_judge_targets: """SELECT match_id, project_id, talent_id, score, CAST(place AS INT) AS place FROM (
-        SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, talent_id, match_id) AS place FROM matches
-        WHERE run_id = (SELECT run_id FROM match_runs ORDER BY started_at DESC, run_id DESC LIMIT 1) AND (talent_id + project_id) % 7 <> 0) WHERE place <= 5""",
+    w06_judge_targets: f"WITH {_TARGETS} SELECT match_id, project_id, talent_id, score, CAST(place AS INT) AS place FROM ranked WHERE place <= 5",
     j21_judgements: f"""SELECT match_id, talent_id, project_id, score, CASE WHEN talent_id % 4 = 1 THEN CAST(greatest(0, least(100, (talent_id * 13 + project_id) % 140 - 20)) AS INT) ELSE ai_score END AS ai_score, talent_id % 4 = 1 AS is_candidate
         FROM matches WHERE run_id = {LATEST}""",
-    t01_high_scores: f"""SELECT match_id, talent_id, project_id, score, display_name, title FROM matches JOIN talents t USING (talent_id) JOIN projects p USING (project_id)
-        WHERE run_id = {LATEST} AND score >= 50 AND t.status = 'active' AND p.status = 'open' ORDER BY score DESC, display_name, title, match_id LIMIT 100""",
+    t01_high_scores: f"""WITH f AS (SELECT match_id, talent_id, project_id, score, display_name, title FROM matches JOIN talents t USING (talent_id) JOIN projects p USING (project_id)
+        WHERE run_id = {LATEST} AND score >= 50 AND t.status = 'active' AND p.status = 'open'), b AS (SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY score DESC, display_name, title, match_id LIMIT 100),
+        told AS (SELECT talent_id, project_id, arg_max(display_as, (hidden_at, display_as)) AS told FROM hidden GROUP BY ALL),
+        o AS (SELECT talent_id, project_id FROM messages WHERE status = 'sent' AND kind = 'talent_proposal' UNION ALL SELECT l.talent_id, project_id FROM messages m JOIN message_talents l USING (message_id) WHERE status = 'sent' AND kind = 'project_proposal')
+        SELECT b.*, CASE told WHEN 'unproposed' THEN false WHEN 'proposed' THEN true ELSE (b.talent_id, b.project_id) IN (SELECT (talent_id, project_id) FROM o) END AS proposed FROM b LEFT JOIN told USING (talent_id, project_id)""",
     j11_unscored: """SELECT 'talent' AS kind, talent_id AS id FROM talents WHERE status = 'active' AND talent_id NOT IN (SELECT talent_id FROM matches WHERE talent_id % 9 <> 2)
         UNION ALL SELECT 'project', project_id FROM projects WHERE status = 'open' AND project_id NOT IN (SELECT project_id FROM matches WHERE project_id % 6 <> 1)""",
     j06_company_names: "SELECT talent_id, coalesce(nullif(trim(c.name), ''), nullif(trim(source_company_name), '')) AS company_name FROM talents LEFT JOIN companies c ON talent_id % 3 > 0 AND company_id = introducer_company_id",
     t06_newest_runs: "SELECT * FROM match_runs ORDER BY started_at DESC, run_id DESC LIMIT 20",
     u09_abandoned_runs: "SELECT run_id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, status = 'running' AS abandoned FROM match_runs",
     p09_constraints: "SELECT project_id, count(*) FILTER (foreign_nationality_ng AND is_foreign_national) AS n_rejected, count(*) AS n_pairs FROM (SELECT * FROM talents WHERE status = 'active') CROSS JOIN (SELECT project_id, foreign_nationality_ng FROM projects WHERE status = 'open') GROUP BY project_id",
-    a23_judge_statistics: """SELECT count(*) FILTER (r) AS ng_zeroed, count(*) FILTER (NOT r AND hard_reject IS NOT NULL) AS hard_rejected, count(*) FILTER (NOT r AND ai_score IS NOT NULL) AS judged,
-        count(*) FILTER (NOT r AND ai_score IS NULL AND hard_reject IS NULL) AS skipped FROM (SELECT *, (talent_id + project_id) % 7 = 0 AS r FROM matches
-        WHERE run_id = (SELECT run_id FROM match_runs ORDER BY started_at DESC, run_id DESC LIMIT 1))""",
+    a23_judge_statistics: f"""WITH {_TARGETS} SELECT (SELECT count(*) FROM judged WHERE r) AS ng_zeroed, count(*) FILTER (place <= 5 AND hard_reject IS NOT NULL) AS hard_rejected, count(*) FILTER (place <= 5 AND hard_reject IS NULL) AS judged, count(*) FILTER (place > 5) AS skipped FROM ranked""",
 }

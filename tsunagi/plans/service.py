@@ -8,11 +8,13 @@ from tsunagi.functions import scoring as S
 from tsunagi.functions import text as T
 from tsunagi.operators import dashboard as B
 from tsunagi.operators import ingest as I
+from tsunagi.operators import lists as L
 from tsunagi.operators import matching as M
 from tsunagi.operators import outreach as O
 from tsunagi.operators import progress as P
 from tsunagi.operators import retention as R
 from tsunagi.operators import search as Q
+from tsunagi.plans.outreach import _NEWEST, _VALID
 from tsunagi.plans.pairs import LATEST
 from tsunagi.sources.binding import Domain
 from tsunagi.streaming import polls
@@ -127,7 +129,8 @@ def a24_pending(d: Domain):
 
 
 def p02_search_talents(d: Domain):
-    return Q.search_talents(d.talents, "customer", ["java"], 50, 80).select("talent_id", "display_name", "desired_rate")
+    listed = L.enriched_talents(d.talents, O.talent_statistics(d.messages, d.matches, d.replies, d.emails), d.sheets, d.companies, d.emails)
+    return Q.search_talents(listed, "customer", ["java"], 50, 80, "yes", "no", True).select("talent_id", "display_name", "desired_rate")
 
 
 def p03_search_projects(d: Domain):
@@ -255,6 +258,9 @@ def r06_daily_stream(d: Domain):
     return polls.newest_of_each(polls.drain(polls.daily_counts(stream, "ts"), folder, "update"), ["day"])
 
 
+_LAST = f"""{_VALID}, {_NEWEST.format('valid')}, off AS (SELECT m.message_id, coalesce(m.talent_id, x.talent_id) AS talent_id, m.project_id, m.sent_at FROM messages m LEFT JOIN matches x USING (match_id) WHERE m.status = 'sent' AND kind = 'talent_proposal'),
+    lst AS (SELECT * FROM off WHERE talent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY talent_id, project_id ORDER BY sent_at DESC NULLS FIRST, message_id DESC) = 1)"""
+
 QUERIES = {
     a01_daily: f"WITH {_DAILY} SELECT * FROM daily",
     a02_proposals_per_day: """SELECT CAST(sent_at + INTERVAL 9 HOUR AS DATE) AS day, count(*) FILTER (kind = 'talent_proposal') AS talent_proposals, count(*) FILTER (kind = 'project_proposal') AS project_proposals FROM messages
@@ -285,7 +291,7 @@ QUERIES = {
     a22_attachment_plan: "SELECT sheet_id, talent_id, sum(size_bytes) OVER (PARTITION BY talent_id) <= 20971520 AS as_file, CASE WHEN n = 1 THEN '' ELSE '_' || n END AS suffix FROM (SELECT *, row_number() OVER (PARTITION BY talent_id, filename ORDER BY sheet_id) AS n FROM sheets WHERE access_status = 'ok')",
     a24_pending: """WITH l AS (SELECT email_id + CASE WHEN email_id % 3 = 0 THEN 10000000 ELSE 0 END AS email_id, 'label-' || (email_id % 40) AS label FROM emails)
         SELECT label, count(*) AS n_listed, count(*) FILTER (email_id NOT IN (SELECT email_id FROM emails WHERE status <> 'failed')) AS n_pending, count(*) >= 100 AS capped FROM l GROUP BY label""",
-    p02_search_talents: "SELECT talent_id, display_name, desired_rate FROM talents WHERE (desired_rate IS NULL OR desired_rate BETWEEN 50 AND 80) AND lower(display_name || coalesce(summary, '')) LIKE '%customer%' AND lower(skills) LIKE '%java%'",
+    p02_search_talents: f"WITH {_LAST} SELECT talent_id, display_name, desired_rate FROM talents WHERE (desired_rate IS NULL OR desired_rate BETWEEN 50 AND 80) AND lower(display_name || coalesce(summary, '')) LIKE '%customer%' AND lower(skills) LIKE '%java%' AND talent_id IN (SELECT talent_id FROM sheets WHERE access_status = 'ok') AND talent_id IN (SELECT talent_id FROM lst) AND talent_id NOT IN (SELECT talent_id FROM lst JOIN answers USING (message_id) WHERE judgment = 'ok')",
     p03_search_projects: "SELECT project_id, title, rate_min, rate_max FROM projects WHERE (lower(required_skills) LIKE '%java%' OR lower(preferred_skills) LIKE '%java%') AND (coalesce(rate_max, rate_min) IS NULL OR coalesce(rate_max, rate_min) >= 55) AND (rate_min IS NULL OR rate_min <= 70) AND NOT foreign_nationality_ng",
     p07_companies: "SELECT companies.*, (SELECT count(*) FROM contacts c WHERE c.company_id = companies.company_id) AS n_contacts FROM companies WHERE name ILIKE '%ION%' OR domain ILIKE '%ION%' OR default_email ILIKE '%ION%'",
     p08_contacts: "SELECT contact_id, c.name, email, o.name AS company_name FROM contacts c JOIN companies o USING (company_id) WHERE c.name ILIKE '%a%' OR email ILIKE '%a%' OR o.name ILIKE '%a%' ORDER BY c.name, contact_id LIMIT 500",
