@@ -141,12 +141,13 @@ def scored(talents: DataFrame, projects: DataFrame, pairs: DataFrame | None = No
 
 
 def best_scored(talents: DataFrame, projects: DataFrame, limit: int) -> DataFrame:
-    """The best pairs of all, scored now; the texts of the hits are made for these alone."""
+    """The best pairs of all, scored now; parts, bands and the texts of the hits are made for these alone."""
     left, right = features(talents, projects)
     bits = any(x.startswith("m") and x[1:].isdigit() for x in left.columns)
     narrow = score(all_pairs(left.drop(*_lists(left)), right.drop(*_lists(right))) if bits else all_pairs(left, right))
-    best = narrow.orderBy(F.col("score").desc(), *PAIR).limit(limit)
-    return with_hits(F.broadcast(best), left, right)
+    best = narrow.select(*PAIR, "score").orderBy(F.col("score").desc(), *PAIR).limit(limit)
+    pairs = F.broadcast(staged(best.select(*PAIR)))
+    return with_hits(F.broadcast(score(left.join(pairs, "talent_id").join(right, "project_id"))), left, right)
 
 
 def latest_run(runs: DataFrame, completed: bool = True) -> DataFrame:
