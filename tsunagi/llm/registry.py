@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, langid, line_dedup, near_dedup, rollups, secrets, substring_dedup
+from . import alignment, bpe, decontaminate, exact_dedup, html_text, langid, line_dedup, near_dedup, rollups, secrets, substring_dedup, token_files, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         html_text.op8_html_extraction,
         langid.op9_language_id,
         near_dedup.op10_near_dedup,
+        alignment.op11_token_alignment,
+        token_files.op12_token_files,
+        whitening.op13_embedding_whitening,
     ]
     return {f.__name__: f for f in found}
 
