@@ -13,12 +13,14 @@ import re
 import numpy as np
 
 #: Stretches that a worker remembers, twice, and the longest stretch that it remembers.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: Bytes that go to the library at a time.
 AT_ONCE = 50_000
 
 _stretches = re.compile(r"\s*\S+|\s+").findall
 _odd = re.compile("[\x1c-\x1f]").search
+#: A mark at the end of a stretch is a piece of its own after one of these.
+MARKS, BEFORE = frozenset(".,;:!?"), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
 class Library:
@@ -79,29 +81,33 @@ class Library:
         """The ids of each text, four bytes each, little-endian."""
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
-        new, old, out = self.new, self.old, []
+        new, old = self.new, self.old
         stretches = [None if _odd(t) else _stretches(t) for t in texts]
-        asked, passing = [], {}
-        for parts in stretches:
-            for s in parts or ():
-                if s not in new and s not in passing:
-                    if s in old:
-                        new[s] = old[s]
-                    else:
-                        passing[s] = b""
-                        asked.append(s)
-        self._learn(asked, passing)
-        for s in asked:
-            if len(s) <= LONGEST:
-                new[s] = passing.pop(s)
-        for text, parts in zip(texts, stretches, strict=True):
-            if parts is None:
-                out.append(self._ask([text])[0].tobytes())
-            elif passing:
-                out.append(b"".join([new[s] if s in new else passing[s] for s in parts]))
+        coded = [None if parts is None else list(map(new.get, parts)) for parts in stretches]
+        gaps = [[] if ids is None or None not in ids else [at for at, x in enumerate(ids) if x is None] for ids in coded]
+        passing: dict[str, bytes] = {}
+        marked, asked = [], set()
+        for s in {parts[at] for parts, places in zip(stretches, gaps, strict=True) for at in places}:
+            if s in old:
+                new[s] = old[s]
+            elif s[-1] in MARKS and len(s) > 2 and s[-2] in BEFORE:  # what was learned of a word serves with a mark too
+                marked.append(s)
+                asked.update((s[:-1], s[-1]))
             else:
-                out.append(b"".join(map(new.__getitem__, parts)))
-        return out
+                asked.add(s)
+        for s in asked & old.keys():
+            new[s] = old[s]
+        self._learn([s for s in asked if s not in new], passing)
+        for s in marked:
+            word, mark = s[:-1], s[-1]
+            passing[s] = (new.get(word) or passing[word]) + (new.get(mark) or passing[mark])
+        for s in [s for s in passing if len(s) <= LONGEST]:
+            new[s] = passing.pop(s)
+        for parts, ids, places in zip(stretches, coded, gaps, strict=True):
+            for at in places:
+                s = parts[at]
+                ids[at] = new.get(s) or passing[s]
+        return [self._ask([t])[0].tobytes() if ids is None else b"".join(ids) for t, ids in zip(texts, coded, strict=True)]
 
 
 #: One a worker process and vocabulary, so that what it remembers serves all tasks.

@@ -36,6 +36,8 @@ MARKS = np.array([(1 << int(w)) - 1 if w else 1 for w in WIDTHS], np.uint64)
 #: Ids a block. Ids after which a row ends with the document that is under way.
 BLOCK, RUN = 4096, 65_536
 _STRIDE = BLOCK + int(COUNTS[0])
+#: A number that every count divides.
+_MULTIPLE = 1680
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,22 +45,34 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     blocks = -(-len(ids) // BLOCK)
     if not blocks:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    padded = np.zeros((blocks, _STRIDE), np.uint64)
+    padded = np.zeros((blocks, _STRIDE), np.uint32)
     full = len(ids) // BLOCK
     padded[:full, :BLOCK] = ids[: full * BLOCK].reshape(full, BLOCK)
     if full < blocks:
         padded[full, : len(ids) - full * BLOCK] = ids[full * BLOCK :]
     values = padded.reshape(-1)
-    best, cost, before = np.zeros(len(values), np.int64), np.full(len(values), np.inf, np.float32), np.zeros(len(values) + int(COUNTS[0]) + 1, np.int32)
+    # at each place the least of cost << 4 | selector; a cost is bits an id, times a common multiple of all counts
+    best, before = np.full(len(values), np.iinfo(np.int32).max, np.int32), np.zeros(len(values) + int(COUNTS[0]) + 1, np.int32)
     for selector, (count, width) in enumerate(zip(COUNTS.tolist(), WIDTHS.tolist(), strict=True)):
-        np.cumsum(values >= MARKS[selector], out=before[1 : len(values) + 1])
-        before[len(values) + 1 :] = before[len(values)]
-        large = before[count : count + len(values)] - before[: len(values)]
-        bits = (64 + 32 * large).astype(np.float32) / count
-        if not width:
-            bits[large > 0] = np.inf
-        better = bits < cost
-        best[better], cost[better] = selector, bits[better]
+        over = values >= MARKS[selector].astype(np.uint32) if width < 32 else np.zeros(len(values), bool)
+        n_over = int(np.count_nonzero(over))
+        if blocks * BLOCK - n_over < count // 2:
+            continue  # nearly all would be escapes
+        share = _MULTIPLE // count << 4
+        if n_over:
+            np.cumsum(over, out=before[1 : len(values) + 1])
+            before[len(values) + 1 :] = before[len(values)]
+            cost = before[count : count + len(values)] - before[: len(values)]
+            if not width:
+                cost[cost > 0] = 1 << 9  # no escapes among no bits
+            cost *= 32 * share
+            cost += 64 * share + selector
+            np.minimum(best, cost, out=best)
+        else:
+            np.minimum(best, np.int32(64 * share + selector), out=best)
+            break  # all fit, so fewer and wider ones cost more
+    best &= 15
+    values = values.astype(np.uint64)
     steps, starts, block_words = COUNTS[best].tolist(), [], np.zeros(blocks, np.int32)
     for b in range(blocks):
         block_words[b] = len(starts)
