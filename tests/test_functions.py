@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tsunagi.functions import scoring as S
 from tsunagi.functions import text as T
 from tsunagi.operators import dashboard, ingest, matching, outreach, retention
+from tsunagi.operators.best import best_pairs
 
 
 def one(spark, column, **values):
@@ -116,7 +117,7 @@ def test_scores_expand_phrases_widths_and_summaries(spark, monkeypatch):
     for bits in (matching.BITS, 0):
         monkeypatch.setattr(matching, "BITS", bits)
         assert {(r["talent_id"], r["project_id"]): r["skill_required"] for r in matching.scored(talents, projects).collect()} == want
-    best = matching.best_scored(talents, projects, 1).collect()
+    best = best_pairs(talents, projects, 1).pairs.collect()
     assert [(r["talent_id"], r["project_id"], r["skill_hits"]) for r in best] == [(1, 1, "java")]
 
 

@@ -19,6 +19,8 @@ NATIONALITY_OPEN = ("外国籍可", "国籍不問", "外国籍ok", "外国籍不
 NATIONALITY_CLOSED = ("外国籍不可", "外国籍ng", "外国人不可", "日本人のみ", "日本国籍のみ", "国籍:日本")
 NATIONALITY_CLOSED_SHORT = ("不可", "ng", "×", "x", "日本", "日本人", "日本国籍")
 NATIONALITY_OPEN_SHORT = ("可", "ok", "不問", "○", "o")
+NATIONALITY_JAPANESE = r"国籍[\s　]*】?[\s　]*[:：]?[\s　]*日本"
+FLOW_END, FLOW_AWAY = "エンド", "先"
 JAPANESE = ("日本国籍", "日本人", "国内籍")
 FOREIGN = ("外国籍", "外国人", "永住権", "就労ビザ", "ビザ")
 FLOW_NO_LIMIT = ("制限なし", "不問", "商流なし", "制約なし")
@@ -39,22 +41,22 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
-def nfkc(text: Column, ascii_only: bool = False) -> Column:
-    """Compatibility-normalised text. Spark has no built-in for it; `ascii_only` leaves it out where it changes nothing."""
-    return text if ascii_only else _nfkc(text)
+def nfkc(text: Column, normal: bool = False) -> Column:
+    """Compatibility-normalised text, for which Spark has no built-in; `normal` texts are that already."""
+    return text if normal else _nfkc(text)
 
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s　]+|[\s　]+$", "")
 
 
-def skill_key(raw: Column, ascii_only: bool = False) -> Column:
+def skill_key(raw: Column, normal: bool = False) -> Column:
     """A skill's spelling without case, width and kinds of separators."""
-    return F.trim(F.regexp_replace(F.lower(strip(nfkc(F.coalesce(raw, F.lit("")), ascii_only))), r"[\s　_\-]+", " "))
+    return F.trim(F.regexp_replace(F.lower(strip(nfkc(F.coalesce(raw, F.lit("")), normal))), r"[\s　_\-]+", " "))
 
 
-def normalize_skill(raw: Column, ascii_only: bool = False) -> Column:
-    text = skill_key(raw, ascii_only)
+def normalize_skill(raw: Column, normal: bool = False) -> Column:
+    text = skill_key(raw, normal)
     aliases = F.create_map(*[F.lit(x) for pair in SKILL_ALIASES.items() for x in pair])
     return F.coalesce(aliases[F.regexp_replace(text, " ", "")], aliases[text], text)
 
@@ -70,19 +72,19 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
     return found
 
 
-def refuses_foreign(raw: Column, ascii_only: bool = False) -> Column:
+def refuses_foreign(raw: Column, normal: bool = False) -> Column:
     """Whether a project refuses foreign nationals: true, false, or NULL if it doesn't say."""
-    text = F.lower(strip(nfkc(F.coalesce(raw, F.lit("")), ascii_only)))
+    text = F.lower(strip(nfkc(F.coalesce(raw, F.lit("")), normal)))
     return (
         F.when(_any(text, NATIONALITY_OPEN), False)
-        .when(_any(text, NATIONALITY_CLOSED) | text.rlike(r"国籍[\s　]*】?[\s　]*[:：]?[\s　]*日本"), True)
+        .when(_any(text, NATIONALITY_CLOSED) | text.rlike(NATIONALITY_JAPANESE), True)
         .when(text.isin(*NATIONALITY_CLOSED_SHORT), True)
         .when(text.isin(*NATIONALITY_OPEN_SHORT), False)
     )
 
 
-def is_foreign(raw: Column, ascii_only: bool = False) -> Column:
-    text = F.lower(strip(nfkc(F.coalesce(raw, F.lit("")), ascii_only)))
+def is_foreign(raw: Column, normal: bool = False) -> Column:
+    text = F.lower(strip(nfkc(F.coalesce(raw, F.lit("")), normal)))
     return F.when(_any(text, JAPANESE), False).when(_any(text, FOREIGN), True)
 
 
@@ -93,14 +95,14 @@ def _first_depth(text: Column, table) -> Column:
     return depth
 
 
-def flow_limit(raw: Column, ascii_only: bool = False) -> Column:
+def flow_limit(raw: Column, normal: bool = False) -> Column:
     """The deepest commerce flow that a project allows, NULL for no limit."""
-    text = F.lower(strip(nfkc(F.coalesce(raw, F.lit("")), ascii_only)))
-    return F.when(~_any(text, FLOW_NO_LIMIT), F.coalesce(_first_depth(text, FLOW_LIMITS), F.when(text.contains("エンド") & ~text.contains("先"), 0)))
+    text = F.lower(strip(nfkc(F.coalesce(raw, F.lit("")), normal)))
+    return F.when(~_any(text, FLOW_NO_LIMIT), F.coalesce(_first_depth(text, FLOW_LIMITS), F.when(text.contains(FLOW_END) & ~text.contains(FLOW_AWAY), 0)))
 
 
-def flow_depth(flow: Column, affiliation: Column, ascii_only: bool = False) -> Column:
-    text = F.lower(strip(nfkc(F.concat(F.coalesce(flow, F.lit("")), F.lit(" "), F.coalesce(affiliation, F.lit(""))), ascii_only)))
+def flow_depth(flow: Column, affiliation: Column, normal: bool = False) -> Column:
+    text = F.lower(strip(nfkc(F.concat(F.coalesce(flow, F.lit("")), F.lit(" "), F.coalesce(affiliation, F.lit(""))), normal)))
     return _first_depth(text, FLOW_DEPTHS)
 
 

@@ -12,6 +12,9 @@ from tsunagi.sources.binding import split_list
 from tsunagi.sources.staging import staged
 
 PAIR = ("talent_id", "project_id")
+#: The parts of a score, and what the judge says of a pair.
+PARTS = ("skill_required", "skill_preferred", "rate", "availability", "work_style")
+JUDGED = ("ai_score", "reason", "recommendation_points", "ai_judged_at", "is_candidate")
 #: Projects that are sent to every executor at most; more are joined block by block.
 BROADCAST_PROJECTS = 20_000
 #: Different terms of projects that are kept as bits at most; with more, pairs compare lists.
@@ -52,11 +55,18 @@ def skill_items(entities: DataFrame, key: str, column: str, *texts: str) -> Data
     return items
 
 
-def prepared_skills(items: DataFrame, key: str, name: str) -> DataFrame:
-    """key and the normal spellings of all terms that the entries (skill_items) name, in order, without repeats. Each
-    different entry is expanded and spelled once, which is also where the helper for compatibility forms comes in."""
-    terms = items.select("raw").distinct().select("raw", F.posexplode(expand_term(F.col("raw"))).alias("place", "term"))
-    spelled = terms.select("raw", "place", T.normalize_skill(F.col("term")).alias("skill")).filter("skill <> ''")
+def spelled_terms(*items: DataFrame) -> DataFrame:
+    """raw, place and skill: the normal spellings of the terms that the entries (skill_items) name. Each different entry is
+    expanded and spelled once, which is also where the helper for compatibility forms comes in."""
+    raws = items[0].select("raw")
+    for more in items[1:]:
+        raws = raws.union(more.select("raw"))
+    terms = raws.distinct().select("raw", F.posexplode(expand_term(F.col("raw"))).alias("place", "term"))
+    return terms.select("raw", "place", T.normalize_skill(F.col("term")).alias("skill")).filter("skill <> ''")
+
+
+def prepared_skills(items: DataFrame, key: str, name: str, spelled: DataFrame) -> DataFrame:
+    """key and the normal spellings of all terms that the entries name, in order, without repeats."""
     listed = items.join(spelled, "raw").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "place", "skill"))).alias("x"))
     return listed.select(key, F.array_distinct(F.col("x.skill")).alias(name))
 
@@ -66,11 +76,14 @@ def features(talents: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFr
     talent's skills satisfy: equal, or all words of the term among the words of one skill. So a pair needs no more than
     the size of an intersection, for which the terms are bits of a few numbers if there are not too many of them."""
     none = F.array().cast("array<string>")
+    asked = {name: skill_items(projects, "project_id", name) for name in ("required_skills", "preferred_skills")}
+    said = skill_items(talents, "talent_id", "skills", "summary")
+    spelled = staged(spelled_terms(said, *asked.values()))
     wanted = projects.select("project_id")
-    for name in ("required_skills", "preferred_skills"):
-        wanted = wanted.join(prepared_skills(skill_items(projects, "project_id", name), "project_id", name), "project_id", "left").withColumn(name, F.coalesce(name, none))
+    for name, items in asked.items():
+        wanted = wanted.join(prepared_skills(items, "project_id", name, spelled), "project_id", "left").withColumn(name, F.coalesce(name, none))
     wanted = staged(wanted)
-    have = talents.select("talent_id").join(prepared_skills(skill_items(talents, "talent_id", "skills", "summary"), "talent_id", "own"), "talent_id", "left").withColumn("own", F.coalesce("own", none))
+    have = talents.select("talent_id").join(prepared_skills(said, "talent_id", "own", spelled), "talent_id", "left").withColumn("own", F.coalesce("own", none))
     have = staged(have)
     terms = wanted.select(F.explode(F.concat("required_skills", "preferred_skills")).alias("term")).distinct()
     n_terms = terms.limit(BITS + 1).count()
@@ -96,9 +109,9 @@ def _lists(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind == "array<string>"]
 
 
-def score(pairs: DataFrame) -> DataFrame:
+def score(pairs: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Scores of pairs that carry the features of both sides: parts, total, band and reject code. A rejected pair has no
-    points at all."""
+    points at all. `keep` are columns that stay beside them."""
     c = F.col
     words = [x[1:] for x in pairs.columns if x.startswith("m") and x[1:].isdigit()]
 
@@ -110,6 +123,7 @@ def score(pairs: DataFrame) -> DataFrame:
     reject = S.nationality_reject(c("foreign_nationality_ng"), c("is_foreign_national"))
     points = pairs.select(
         *PAIR,
+        *keep,
         reject.alias("hard_reject"),
         S.skill_points(hits("r", "required_skills"), c("n_required"), c("n_own"), S.REQUIRED_POINTS).alias("skill_required"),
         S.skill_points(hits("p", "preferred_skills"), c("n_preferred"), c("n_own"), S.PREFERRED_POINTS).alias("skill_preferred"),
@@ -118,7 +132,7 @@ def score(pairs: DataFrame) -> DataFrame:
         S.style_points(c("talent_style"), c("project_style")).alias("work_style"),
     )
     kept = lambda name: F.when(c("hard_reject").isNull(), c(name)).otherwise(0).cast("int").alias(name)
-    parts = points.select(*PAIR, "hard_reject", *[kept(x) for x in ("skill_required", "skill_preferred", "rate", "availability", "work_style")])
+    parts = points.select(*PAIR, *keep, "hard_reject", *[kept(x) for x in PARTS])
     total = F.least(F.lit(100), c("skill_required") + c("skill_preferred") + c("rate") + c("availability") + c("work_style"))
     return parts.withColumn("score", total).withColumn("score_band", S.score_band(total))
 
@@ -130,26 +144,16 @@ def with_hits(scores: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame
     return found.select(*scores.columns, text("required_skills").alias("skill_hits"), text("preferred_skills").alias("preferred_hits"))
 
 
-def scored(talents: DataFrame, projects: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Scores of all pairs, or of `pairs` (talent_id, project_id)."""
+def scored(talents: DataFrame, projects: DataFrame, pairs: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+    """Scores of all pairs, or of `pairs` (talent_id, project_id); with `buckets` all pairs are dealt out by talent."""
     left, right = features(talents, projects)
     if any(x.startswith("m") and x[1:].isdigit() for x in left.columns):  # the lists stay behind
         left, right = left.drop(*_lists(left)), right.drop(*_lists(right))
     if pairs is None:
-        return score(all_pairs(left, right))
+        return score(all_pairs(by_talent(left, buckets) if buckets else left, right))
     return score(pairs.select(*PAIR).join(left, "talent_id").join(right, "project_id"))
 
 
-def best_scored(talents: DataFrame, projects: DataFrame, limit: int) -> DataFrame:
-    """The best pairs of all, scored now; parts, bands and the texts of the hits are made for these alone."""
-    left, right = features(talents, projects)
-    bits = any(x.startswith("m") and x[1:].isdigit() for x in left.columns)
-    narrow = score(all_pairs(left.drop(*_lists(left)), right.drop(*_lists(right))) if bits else all_pairs(left, right))
-    best = narrow.select(*PAIR, "score").orderBy(F.col("score").desc(), *PAIR).limit(limit)
-    pairs = F.broadcast(staged(best.select(*PAIR)))
-    return with_hits(F.broadcast(score(left.join(pairs, "talent_id").join(right, "project_id"))), left, right)
-
-
 def latest_run(runs: DataFrame, completed: bool = True) -> DataFrame:
     """The run that was started last, one row; with `completed` only of completed ones."""
     return (runs.filter("status = 'completed'") if completed else runs).orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(1)
@@ -159,46 +163,86 @@ def matches_of_latest(matches: DataFrame, runs: DataFrame, completed: bool = Tru
     return matches.join(F.broadcast(latest_run(runs, completed).select("run_id")), "run_id", "left_semi")
 
 
-def missing_pairs(talents: DataFrame, projects: DataFrame, matches: DataFrame, runs: DataFrame) -> DataFrame:
-    """Pairs that the latest completed run has no match of; all pairs if there is no such run."""
-    pairs = all_pairs(active(talents).select("talent_id"), open_projects(projects).select("project_id"))
+def by_talent(df: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Rows dealt out by talent, as stored runs are; pairs that are made from them stay so. Joins on pairs are then told
+    that rows which share a talent are together already, so that no pair is moved for them."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return df.repartition(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "talent_id")
+
+
+def store_runs(matches: DataFrame, table: str, folder: str, buckets: int) -> DataFrame:
+    """Adds matches to a table that keeps each run as a partition, in `buckets` buckets by talent. A run's
+    pairs, or the newest match of each pair, are then read without a shuffle, and joined to pairs that are made by talent."""
+    rows = by_talent(matches, buckets)
+    rows.write.mode("append").partitionBy("run_id").bucketBy(buckets, "talent_id").option("path", folder).saveAsTable(table)
+    return matches.sparkSession.table(table)
+
+
+def missing_pairs(talents: DataFrame, projects: DataFrame, matches: DataFrame, runs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Pairs that the latest completed run has no match of; all pairs if there is no such run. With `buckets`, those of
+    stored runs (store_runs), neither pairs nor matches are shuffled."""
+    pairs = all_pairs(by_talent(active(talents).select("talent_id"), buckets), open_projects(projects).select("project_id"))
     return pairs.join(matches_of_latest(matches, runs).select(*PAIR), list(PAIR), "left_anti")
 
 
-def latest_match(matches: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """The newest match of each pair over all runs. max_by sums up before the shuffle, a window wouldn't."""
-    if pairs is not None:
-        matches = matches.join(pairs.select(*PAIR), list(PAIR), "left_semi")
-    rest = [c for c in matches.columns if c not in PAIR]
-    newest = F.max_by(F.struct(*rest), F.struct("created_at", "match_id"))
-    return matches.groupBy(*PAIR).agg(newest.alias("m")).select(*PAIR, *[F.col(f"m.{c}").alias(c) for c in rest])
+def latest_match(matches: DataFrame) -> DataFrame:
+    """The newest match of each pair over all runs."""
+    place = F.row_number().over(Window.partitionBy(*PAIR).orderBy(F.col("created_at").desc(), F.col("match_id").desc()))
+    return matches.withColumn("newest_place", place).filter("newest_place = 1").drop("newest_place")
 
 
-def incremental(talents: DataFrame, projects: DataFrame, matches: DataFrame, runs: DataFrame) -> DataFrame:
-    """What an incremental run adds: each pair that the latest completed run has no match of, with the result of its
-    newest match (reused), or scored. A score is a few operations on numbers, so all pairs get one where they are made,
-    and what then is shuffled once, for both joins, is a pair and its score."""
-    fresh = scored(active(talents), open_projects(projects)).select(*PAIR, F.col("score").alias("new_score"), F.col("hard_reject").alias("new_reject"))
-    missing = fresh.join(matches_of_latest(matches, runs).select(*PAIR), list(PAIR), "left_anti")
-    known = missing.join(latest_match(matches).select(*PAIR, F.col("score").alias("old_score"), "ai_score", "hard_reject"), list(PAIR), "left")
+def _prior(matches: DataFrame) -> DataFrame:
+    """What the newest match of each pair says, under names of its own."""
+    columns = [F.col(f"breakdown.{c}").alias(f"old_{c}") for c in PARTS] + [F.col(c).alias(f"old_{c}") for c in ("score", "hard_reject", *JUDGED)]
+    return latest_match(matches.select("match_id", "created_at", *PAIR, "score", "hard_reject", "breakdown", *JUDGED)).select(*PAIR, *columns)
+
+
+def _carried(prefix: str = "old_") -> list[Column]:
+    """The judge's results of an older match; a pair that was never judged is no candidate."""
+    return [F.col(f"{prefix}{c}").alias(c) for c in JUDGED[:-1]] + [F.coalesce(f"{prefix}is_candidate", F.lit(False)).alias("is_candidate")]
+
+
+def scored_or_reused(people: DataFrame, work: DataFrame, pairs: DataFrame, matches: DataFrame, buckets: int | None = None) -> DataFrame:
+    """A result for each of `pairs` (ids, dealt out by_talent) of `people` and `work`: the whole result of its newest match
+    (reused: score, parts, reject code and what the judge said), or a new score. Pairs are ids until what is known of
+    them is told, both by sorted rows of one talent's bucket; features come to them after that."""
+    left, right = features(people, work)
+    if any(x.startswith("m") and x[1:].isdigit() for x in left.columns):
+        left, right = left.drop(*_lists(left)), right.drop(*_lists(right))
+    known = pairs.join(_prior(matches), list(PAIR), "left")
+    right = F.broadcast(right) if right.count() <= BROADCAST_PROJECTS else right
+    made = score(known.join(by_talent(left, buckets), "talent_id").join(right, "project_id"), keep=[c for c in known.columns if c not in PAIR])
     old = F.col("old_score").isNotNull()
-    both = known.select(*PAIR, F.coalesce("old_score", "new_score").alias("score"), "ai_score", F.when(old, F.col("hard_reject")).otherwise(F.col("new_reject")).alias("hard_reject"), old.alias("reused"))
+    pick = lambda c: F.when(old, F.col(f"old_{c}")).otherwise(F.col(c)).alias(c)
+    both = made.select(*PAIR, *[pick(c) for c in ("score", "hard_reject", *PARTS)], *_carried(), old.alias("reused"))
     return both.withColumn("score_band", S.score_band(F.col("score")))
 
 
-def rescored(talents: DataFrame, projects: DataFrame, matches: DataFrame) -> DataFrame:
-    """A forced run: every pair scored anew, with the judge's result of its newest match carried along."""
-    new = scored(active(talents), open_projects(projects))
-    return new.join(latest_match(matches).select(*PAIR, "ai_score"), list(PAIR), "left")
+def incremental(talents: DataFrame, projects: DataFrame, matches: DataFrame, runs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """What an incremental run adds: a result for each pair that the latest completed run has no match of."""
+    people, work = active(talents), open_projects(projects)
+    return scored_or_reused(people, work, missing_pairs(people, work, matches, runs, buckets), matches, buckets)
+
+
+def rescored(talents: DataFrame, projects: DataFrame, matches: DataFrame, buckets: int | None = None) -> DataFrame:
+    """A forced run: every pair scored anew, with all that the judge said in its newest match carried along."""
+    buckets = buckets or int(talents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    new = scored(active(talents), open_projects(projects), buckets=buckets)
+    return new.join(_prior(matches), list(PAIR), "left").select(*new.columns, *_carried())
 
 
 def rescored_scope(talents: DataFrame, projects: DataFrame, matches: DataFrame, runs: DataFrame, talent_ids: DataFrame) -> DataFrame:
-    """The latest run after the pairs of some talents were scored anew; other pairs stay as they are."""
-    existing = matches_of_latest(matches, runs).select(*PAIR, F.col("score").alias("old_score"), F.col("ai_score").alias("own_ai"))
-    new = scored(active(talents, talent_ids), open_projects(projects)).select(*PAIR, F.col("score").alias("new_score"))
-    both = existing.join(new, list(PAIR), "full_outer").join(latest_match(matches).select(*PAIR, F.col("ai_score").alias("old_ai")), list(PAIR), "left")
-    judged = F.when(F.col("old_score").isNotNull(), F.col("own_ai")).otherwise(F.col("old_ai"))
-    return both.select(*PAIR, F.coalesce("new_score", "old_score").alias("score"), judged.alias("ai_score"), F.col("new_score").isNotNull().alias("rescored"))
+    """The latest run after the pairs of some talents were scored anew: existing rows get the new score and parts and keep
+    what the judge said, missing ones are added with what the judge said in their newest match, others stay as they are."""
+    own = [F.col(f"breakdown.{c}").alias(f"own_{c}") for c in PARTS] + [F.col(c).alias(f"own_{c}") for c in ("score", "hard_reject", *JUDGED)]
+    existing = matches_of_latest(matches, runs).select(*PAIR, *own)
+    new = scored(active(talents, talent_ids), open_projects(projects)).withColumn("rescored", F.lit(True))
+    both = existing.join(new, list(PAIR), "full_outer").join(_prior(matches), list(PAIR), "left")
+    there, fresh = F.col("own_score").isNotNull(), F.col("rescored").isNotNull()
+    judged = [F.when(there, F.col(f"own_{c}")).otherwise(F.col(f"old_{c}")).alias(f"now_{c}") for c in JUDGED]
+    values = [F.when(fresh, F.col(c)).otherwise(F.col(f"own_{c}")).alias(c) for c in ("score", "hard_reject", *PARTS)]
+    return both.select(*PAIR, *values, *judged, fresh.alias("rescored")).select(*PAIR, "score", "hard_reject", *PARTS, *_carried("now_"), "rescored")
 
 
 def run_statistics(result: DataFrame) -> DataFrame:
@@ -222,20 +266,33 @@ def judge_targets(matches: DataFrame, top: int) -> DataFrame:
     return matches.filter("not refused").withColumn("place", rank).filter(F.col("place") <= max(1, min(20, top)))
 
 
-def judge_statistics(matches: DataFrame, top: int) -> DataFrame:
-    """How many matches (without_refused) were refused, are rejected or to be judged among the targets, or are left out."""
+def judge_statistics(matches: DataFrame, top: int, judged: DataFrame | None = None) -> DataFrame:
+    """How many matches (without_refused) were refused, are rejected or to be judged among the targets, or are left out;
+    and of the judge's results (as for with_judgements), how many failed: those with an error and those of no match."""
     targets = judge_targets(matches, top).select("match_id", F.col("hard_reject").isNotNull().alias("rejected"))
     of_all = matches.agg(F.count_if("refused").alias("ng_zeroed"), F.count_if(~F.col("refused")).alias("n_open"))
     of_targets = targets.agg(F.count_if("rejected").alias("hard_rejected"), F.count_if(~F.col("rejected")).alias("judged"), F.count(F.lit(1)).alias("n_targets"))
-    return of_all.crossJoin(of_targets).select("ng_zeroed", "hard_rejected", "judged", (F.col("n_open") - F.col("n_targets")).alias("skipped"))  # one row each
+    if judged is None:
+        failed = matches.sparkSession.range(1).select(F.lit(0).cast("long").alias("failed"))
+    else:
+        there = matches.select("match_id", F.lit(True).alias("there"))
+        failed = judged.join(there, "match_id", "left").agg(F.count_if(F.col("error").isNotNull() | F.col("there").isNull()).alias("failed"))
+    both = of_all.crossJoin(of_targets).crossJoin(failed)  # one row each
+    return both.select("ng_zeroed", "hard_rejected", "judged", (F.col("n_open") - F.col("n_targets")).alias("skipped"), "failed")
 
 
-def with_judgements(matches: DataFrame, judged: DataFrame) -> DataFrame:
-    """Matches with the judge's results (match_id, judged_score) put in; without one a match stays as it is."""
-    hit = matches.join(judged, "match_id", "left")
+def with_judgements(matches: DataFrame, judged: DataFrame, judged_at: Column) -> DataFrame:
+    """Matches with the judge's results put in: match_id, judged_score (brought to 0 to 100), judged_reason,
+    judged_points, error. A match with a result is a candidate from then on; one without, or whose result is an error,
+    stays as it is, with all that an earlier judge said."""
+    hit = matches.join(judged.filter("error is null").withColumn("hit", F.lit(True)), "match_id", "left")
     judged_score = F.col("judged_score")  # least and greatest would pass over a NULL
     clamped = F.when(judged_score.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), judged_score)))
-    return hit.select("match_id", *PAIR, "score", F.coalesce(clamped, "ai_score").alias("ai_score"), F.col("judged_score").isNotNull().alias("is_candidate"))
+    put = lambda new, c: F.when(F.col("hit"), new).otherwise(F.col(c)).alias(c)
+    return hit.select(
+        "match_id", *PAIR, "score", put(clamped, "ai_score"), put(F.col("judged_reason"), "reason"), put(F.col("judged_points"), "recommendation_points"),
+        put(judged_at, "ai_judged_at"), F.coalesce("hit", "is_candidate").alias("is_candidate"),
+    )
 
 
 def rejected_pairs(talents: DataFrame, projects: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tsunagi.operators import matching as M
 from tsunagi.operators import outreach as O
+from tsunagi.operators.best import best_pairs
 from tsunagi.sources.binding import Domain
+from tsunagi.sources.staging import new_folder
 
 _JA = "('リモート', 'remote', '在宅', 'フルリモート', 'テレワーク')"
 
@@ -56,8 +60,10 @@ scores AS (SELECT *, CASE WHEN score >= 90 THEN '90-100' ELSE (score // 10 * 10)
 LATEST = "(SELECT run_id FROM match_runs WHERE status = 'completed' ORDER BY started_at DESC, run_id DESC LIMIT 1)"
 NEWEST = "newest AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY talent_id, project_id ORDER BY created_at DESC, match_id DESC) = 1)"
 MISSING = f"missing AS (SELECT talent_id, project_id FROM (SELECT talent_id FROM talents WHERE status = 'active') CROSS JOIN (SELECT project_id FROM projects WHERE status = 'open') ANTI JOIN (SELECT talent_id, project_id FROM matches WHERE run_id = {LATEST}) USING (talent_id, project_id))"
+JUDGED_OF = "{0}.ai_score, {0}.reason, {0}.recommendation_points, {0}.ai_judged_at, coalesce({0}.is_candidate, false) AS is_candidate".format
+_PICKED = ", ".join(f"CASE WHEN n.score IS NOT NULL THEN n.breakdown.{c} ELSE s.{c} END AS {c}" for c in M.PARTS)
 INCREMENTAL = f"""{SCORES}, {NEWEST}, {MISSING},
-added AS (SELECT m.talent_id, m.project_id, coalesce(n.score, s.score) AS score, n.ai_score, CASE WHEN n.score IS NOT NULL THEN n.hard_reject ELSE s.hard_reject END AS hard_reject, n.score IS NOT NULL AS reused FROM missing m
+added AS (SELECT m.talent_id, m.project_id, coalesce(n.score, s.score) AS score, CASE WHEN n.score IS NOT NULL THEN n.hard_reject ELSE s.hard_reject END AS hard_reject, {_PICKED}, {JUDGED_OF('n')}, n.score IS NOT NULL AS reused FROM missing m
     LEFT JOIN newest n USING (talent_id, project_id) LEFT JOIN scores s ON s.talent_id = m.talent_id AND s.project_id = m.project_id)"""
 BAND = "CASE WHEN score >= 90 THEN '90-100' ELSE (score // 10 * 10) || '-' || (score // 10 * 10 + 9) END AS score_band"
 
@@ -78,7 +84,7 @@ def f11_pair_scores(d: Domain):
 
 def t01_best_pairs(d: Domain):
     """The flagship: the best hundred pairs of all, scored now."""
-    return M.best_scored(M.active(d.talents), M.open_projects(d.projects), 100)
+    return best_pairs(M.active(d.talents), M.open_projects(d.projects), 100).pairs
 
 
 def j02_missing_pairs(d: Domain):
@@ -95,11 +101,14 @@ def w02_latest_run(d: Domain):
 
 
 def j03_incremental(d: Domain):
-    return M.incremental(d.talents, d.projects, d.matches, d.match_runs)
+    """An incremental run on runs that are stored by talent."""
+    buckets = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = M.store_runs(d.matches, f"matches_{uuid.uuid4().hex}", new_folder(d.spark), buckets)
+    return M.incremental(d.talents, d.projects, stored, d.match_runs, buckets)
 
 
 def j04_rescored(d: Domain):
-    return M.rescored(d.talents, d.projects, d.matches).select("talent_id", "project_id", "score", "score_band", "ai_score")
+    return M.rescored(d.talents, d.projects, d.matches).select("talent_id", "project_id", "score", "score_band", *M.JUDGED)
 
 
 def j05_rescored_scope(d: Domain):
@@ -118,9 +127,15 @@ def w06_judge_targets(d: Domain):
     return M.judge_targets(_judged(d), 5).select("match_id", "project_id", "talent_id", "score", "place")
 
 
+def _results(d: Domain):
+    """What a judge answered: results, errors, and results of matches that are not in the run."""
+    score = ((F.col("talent_id") * 13 + F.col("project_id")) % 140 - 20).cast("int")
+    rows = d.matches.filter("talent_id % 4 = 1 or talent_id % 4 = 2")
+    return rows.select("match_id", score.alias("judged_score"), F.concat(F.lit("new "), (F.col("talent_id") % 9).cast("string")).alias("judged_reason"), F.when(F.col("project_id") % 2 == 0, "strong").alias("judged_points"), F.when(F.col("talent_id") % 4 == 2, "timeout").alias("error"))
+
+
 def j21_judgements(d: Domain):
-    judged = d.matches.filter("talent_id % 4 = 1").select("match_id", ((F.col("talent_id") * 13 + F.col("project_id")) % 140 - 20).cast("int").alias("judged_score"))
-    return M.with_judgements(M.matches_of_latest(d.matches, d.match_runs), judged)
+    return M.with_judgements(M.matches_of_latest(d.matches, d.match_runs), _results(d), F.lit("2024-05-01").cast("timestamp"))
 
 
 def t01_high_scores(d: Domain):
@@ -150,7 +165,7 @@ def p09_constraints(d: Domain):
 
 
 def a23_judge_statistics(d: Domain):
-    return M.judge_statistics(_judged(d), 5)
+    return M.judge_statistics(_judged(d), 5, _results(d))
 
 
 _TARGETS = """last AS (SELECT match_id, message_id FROM messages WHERE status = 'sent' AND kind = 'talent_proposal' AND match_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY sent_at DESC NULLS FIRST, message_id DESC) = 1),
@@ -167,15 +182,17 @@ QUERIES = {
     w01_latest_match: f"WITH {NEWEST} SELECT talent_id, project_id, match_id, score, run_id FROM newest",
     w02_latest_run: f"SELECT run_id, 'completed' AS kind FROM match_runs WHERE run_id = {LATEST} UNION ALL SELECT * FROM (SELECT run_id, 'any' FROM match_runs ORDER BY started_at DESC, run_id DESC LIMIT 1)",
     j03_incremental: f"WITH {INCREMENTAL} SELECT *, {BAND} FROM added",
-    j04_rescored: f"WITH {SCORES}, {NEWEST} SELECT s.talent_id, s.project_id, s.score, s.score_band, n.ai_score FROM scores s LEFT JOIN newest n USING (talent_id, project_id)",
+    j04_rescored: f"WITH {SCORES}, {NEWEST} SELECT s.talent_id, s.project_id, s.score, s.score_band, {JUDGED_OF('n')} FROM scores s LEFT JOIN newest n USING (talent_id, project_id)",
     j05_rescored_scope: f"""WITH {SCORES}, {NEWEST}, e AS (SELECT * FROM matches WHERE run_id = {LATEST}), n AS (SELECT * FROM scores WHERE talent_id % 10 = 1)
         SELECT coalesce(e.talent_id, n.talent_id) AS talent_id, coalesce(e.project_id, n.project_id) AS project_id, coalesce(n.score, e.score) AS score,
-            CASE WHEN e.match_id IS NOT NULL THEN e.ai_score ELSE o.ai_score END AS ai_score, n.score IS NOT NULL AS rescored
+            CASE WHEN n.score IS NOT NULL THEN n.hard_reject ELSE e.hard_reject END AS hard_reject, {', '.join(f'CASE WHEN n.score IS NOT NULL THEN n.{c} ELSE e.breakdown.{c} END AS {c}' for c in M.PARTS)},
+            {', '.join(f'CASE WHEN e.match_id IS NOT NULL THEN e.{c} ELSE o.{c} END AS {c}' for c in M.JUDGED[:-1])}, CASE WHEN e.match_id IS NOT NULL THEN e.is_candidate ELSE coalesce(o.is_candidate, false) END AS is_candidate, n.score IS NOT NULL AS rescored
         FROM e FULL JOIN n ON e.talent_id = n.talent_id AND e.project_id = n.project_id LEFT JOIN newest o ON o.talent_id = n.talent_id AND o.project_id = n.project_id""",
     a14_run_statistics: f"WITH {INCREMENTAL} SELECT count(DISTINCT talent_id) AS n_talents, count(DISTINCT project_id) AS n_projects, count(*) AS n_matches, count(*) FILTER (NOT reused) AS n_scored, count(*) FILTER (reused) AS n_reused FROM added",
     w06_judge_targets: f"WITH {_TARGETS} SELECT match_id, project_id, talent_id, score, CAST(place AS INT) AS place FROM ranked WHERE place <= 5",
-    j21_judgements: f"""SELECT match_id, talent_id, project_id, score, CASE WHEN talent_id % 4 = 1 THEN CAST(greatest(0, least(100, (talent_id * 13 + project_id) % 140 - 20)) AS INT) ELSE ai_score END AS ai_score, talent_id % 4 = 1 AS is_candidate
-        FROM matches WHERE run_id = {LATEST}""",
+    j21_judgements: f"""SELECT match_id, talent_id, project_id, score, CASE WHEN h THEN CAST(greatest(0, least(100, (talent_id * 13 + project_id) % 140 - 20)) AS INT) ELSE ai_score END AS ai_score, CASE WHEN h THEN 'new ' || (talent_id % 9) ELSE reason END AS reason,
+        CASE WHEN h THEN CASE WHEN project_id % 2 = 0 THEN 'strong' END ELSE recommendation_points END AS recommendation_points, CASE WHEN h THEN TIMESTAMP '2024-05-01' ELSE ai_judged_at END AS ai_judged_at, h OR is_candidate AS is_candidate
+        FROM (SELECT *, talent_id % 4 = 1 AS h FROM matches WHERE run_id = {LATEST})""",
     t01_high_scores: f"""WITH f AS (SELECT match_id, talent_id, project_id, score, display_name, title FROM matches JOIN talents t USING (talent_id) JOIN projects p USING (project_id)
         WHERE run_id = {LATEST} AND score >= 50 AND t.status = 'active' AND p.status = 'open'), b AS (SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY score DESC, display_name, title, match_id LIMIT 100),
         told AS (SELECT talent_id, project_id, arg_max(display_as, (hidden_at, display_as)) AS told FROM hidden GROUP BY ALL),
@@ -187,5 +204,5 @@ QUERIES = {
     t06_newest_runs: "SELECT * FROM match_runs ORDER BY started_at DESC, run_id DESC LIMIT 20",
     u09_abandoned_runs: "SELECT run_id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, status = 'running' AS abandoned FROM match_runs",
     p09_constraints: "SELECT project_id, count(*) FILTER (foreign_nationality_ng AND is_foreign_national) AS n_rejected, count(*) AS n_pairs FROM (SELECT * FROM talents WHERE status = 'active') CROSS JOIN (SELECT project_id, foreign_nationality_ng FROM projects WHERE status = 'open') GROUP BY project_id",
-    a23_judge_statistics: f"""WITH {_TARGETS} SELECT (SELECT count(*) FROM judged WHERE r) AS ng_zeroed, count(*) FILTER (place <= 5 AND hard_reject IS NOT NULL) AS hard_rejected, count(*) FILTER (place <= 5 AND hard_reject IS NULL) AS judged, count(*) FILTER (place > 5) AS skipped FROM ranked""",
+    a23_judge_statistics: f"""WITH {_TARGETS} SELECT (SELECT count(*) FROM judged WHERE r) AS ng_zeroed, count(*) FILTER (place <= 5 AND hard_reject IS NOT NULL) AS hard_rejected, count(*) FILTER (place <= 5 AND hard_reject IS NULL) AS judged, count(*) FILTER (place > 5) AS skipped, (SELECT count(*) FROM matches WHERE talent_id % 4 IN (1, 2) AND (talent_id % 4 = 2 OR match_id NOT IN (SELECT match_id FROM judged))) AS failed FROM ranked""",
 }

@@ -30,6 +30,11 @@ _SKILLS = ("Java", "JavaScript", "Spring Boot", "PostgreSQL", "AWS", "Python", "
 def tables_sql(duck: bool) -> dict[str, str]:
     """The SQL of each table, in an order in which each may use those before it."""
     minute = lambda n: _minute(n, duck)
+    obj = lambda members: f"(chr(123) || {members} || chr(125))"
+    points = "((talent_id * 7 + project_id * 13 + r * 17) % 101)"
+    parts = {"skill_required": (0, 30), "rate": (30, 30), "availability": (60, 15), "skill_preferred": (75, 15), "work_style": (90, 10)}
+    struct = [(name, f"CAST(least({most}, greatest(0, {points} - {least})) AS INT)") for name, (least, most) in parts.items()]
+    breakdown = f"struct_pack({', '.join(f'{n} := {v}' for n, v in struct)})" if duck else f"named_struct({', '.join(f'{n!r}, {v}' for n, v in struct)})"
     skills = lambda *keys: " || ',' || ".join(f"({_choice(k, *_SKILLS)})" for k in keys)
     return {
         "companies": f"""SELECT CAST(n_nationkey AS BIGINT) AS company_id, n_name AS name, {_choice('n_nationkey', 'introducer', 'distributor', 'both')} AS kind,
@@ -66,7 +71,9 @@ def tables_sql(duck: bool) -> dict[str, str]:
             CAST((talent_id * 7 + project_id * 13 + r * 17) % 101 AS INT) AS score,
             CASE WHEN (talent_id + project_id) % 6 = 0 THEN CAST((talent_id * 3 + project_id) % 101 AS INT) END AS ai_score,
             CASE WHEN (talent_id * 7 + project_id * 13 + r * 17) % 101 = 0 THEN {_choice('talent_id', 'foreign_nationality', 'commerce_flow', None)} END AS hard_reject,
-            {minute('(CASE r WHEN 0 THEN 18000 WHEN 1 THEN 23000 ELSE 24000 END)')} AS created_at
+            {minute('(CASE r WHEN 0 THEN 18000 WHEN 1 THEN 23000 ELSE 24000 END)')} AS created_at, {breakdown} AS breakdown,
+            CASE WHEN (talent_id + project_id) % 6 = 0 THEN 'reason ' || (talent_id % 7) END AS reason, CASE WHEN (talent_id + project_id) % 12 = 0 THEN 'point ' || (project_id % 5) END AS recommendation_points,
+            CASE WHEN (talent_id + project_id) % 6 = 0 THEN {minute('(25000 + talent_id % 1000)')} END AS ai_judged_at, (talent_id + project_id) % 6 = 0 AS is_candidate
             FROM (SELECT t.talent_id, p.project_id, CAST((t.talent_id + p.project_id) % 3 AS BIGINT) AS r FROM talents t JOIN projects p ON (t.talent_id * 31 + p.project_id * 17) % 10 < 6)""",
         "messages": f"""SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS message_id, CASE WHEN l_linenumber % 2 = 1 THEN 'talent_proposal' ELSE 'project_proposal' END AS kind,
             CASE WHEN l_linenumber % 2 = 1 THEN CAST(o_custkey AS BIGINT) END AS talent_id, CAST(l_suppkey AS BIGINT) AS project_id,
@@ -93,6 +100,17 @@ def tables_sql(duck: bool) -> dict[str, str]:
         "categories": """SELECT CAST(r_regionkey AS BIGINT) AS category_id, r_name AS name, CAST(4 - r_regionkey AS INT) AS sort_order FROM region""",
         "skills": """SELECT CAST(n_nationkey AS BIGINT) AS skill_id, n_name AS name, CASE WHEN n_nationkey % 7 = 6 THEN CAST(99 AS BIGINT) ELSE CAST(n_regionkey AS BIGINT) END AS category_id FROM nation""",
         "settings": """SELECT 'key-' || n_nationkey AS key, CASE n_nationkey % 7 WHEN 0 THEN '30' WHEN 1 THEN '"45"' WHEN 2 THEN '"no number"' WHEN 3 THEN '-3' WHEN 4 THEN chr(123) || '"days": 14' || chr(125) WHEN 5 THEN 'true' ELSE '999' END AS value FROM nation""",
+        "pipeline_log": f"""SELECT CAST(event_id AS BIGINT) AS seq, ts, 'job-' || (event_id % 401) AS job_id, CASE k WHEN 0 THEN 'batch.pipeline.started' WHEN 1 THEN 'batch.pipeline.step_started' WHEN 2 THEN 'batch.pipeline.step_started' WHEN 3 THEN 'batch.pipeline.step_started'
+            WHEN 4 THEN 'batch.pipeline.step_finished' WHEN 5 THEN 'batch.pipeline.step_finished' WHEN 6 THEN 'gmail_ingest.label_targets' WHEN 7 THEN 'gmail_ingest.fetch_progress' WHEN 8 THEN 'gmail_ingest.ai_progress' WHEN 9 THEN 'gmail_ingest.message_fetched' WHEN 10 THEN 'gmail_ingest.message_ingested'
+            WHEN 11 THEN 'gmail_ingest.finished' WHEN 12 THEN 'ingest_cleanup.finished' WHEN 13 THEN 'matching.rule_score.started' WHEN 14 THEN CASE WHEN n % 3 = 0 THEN 'batch.job.cancelled' ELSE 'batch.job.failed' END ELSE CASE WHEN n % 2 = 0 THEN 'batch.pipeline.finished' ELSE 'other' END END AS event,
+            CASE WHEN k = 14 AND n % 3 = 1 THEN 'WARN' WHEN k = 14 THEN 'ERROR' ELSE 'INFO' END AS level, CASE WHEN n % 4 = 1 THEN 'ERR-' || (n % 7) END AS error_code, CASE WHEN n % 5 = 1 THEN 'error ' || (n % 3) END AS error_message, 'message' AS message,
+            CASE WHEN k IN (4, 5) THEN CAST(1000 * (n % 50 + 1) AS BIGINT) END AS duration_ms,
+            CASE WHEN k = 0 AND n % 3 = 2 THEN {obj("'\"steps\": \"none\"'")} WHEN k = 0 AND n % 3 = 0 THEN {obj("'\"steps\": [\"ingest\", \"cleanup\", \"match\", \"ai_judge\", \"reply_sync\", \"match\"]'")} WHEN k = 0 THEN {obj("'\"steps\": [\"ingest_talent\", \"match\", \"custom\"]'")}
+                WHEN k IN (1, 2, 3) THEN {obj("'\"step\": \"' || step || '\"'")} WHEN k IN (4, 5) THEN {obj("'\"step\": \"' || step || '\", \"exit_code\": ' || (CASE WHEN n % 6 = 0 THEN '1' WHEN n % 6 = 1 THEN 'null' ELSE '0' END)")}
+                WHEN k = 6 THEN {obj("'\"label_type\": \"' || feed || '\", \"targets\": ' || (n % 9) || ', \"listed\": ' || (n % 9 + 1)")} WHEN k IN (7, 8) THEN {obj("'\"label_type\": \"' || feed || '\", \"done\": ' || (n % 8) || ', \"total\": ' || (n % 8 + 3)")}
+                WHEN k IN (9, 10) THEN {obj("'\"label_type\": \"' || feed || '\"'")} WHEN k = 11 THEN {obj("'\"ingested\": ' || (n % 6) || ', \"skipped\": ' || (n % 4) || ', \"failed\": ' || (n % 3)")}
+                WHEN k = 15 THEN {obj("'\"status\": \"' || (" + _choice('n', 'ok', 'x', 'cancelled', 'x', 'error', 'x') + ") || '\", \"failed_step\": \"match\"'")} WHEN k = 14 THEN 'not json' ELSE {obj("''")} END AS extra
+            FROM (SELECT event_id, ts, event_id % 16 AS k, CAST(floor(event_id / 16) AS BIGINT) AS n, {_choice('CAST(floor(event_id / 16) AS BIGINT)', 'ingest', 'match', 'cleanup', 'reply_sync', 'custom')} AS step, {_choice('CAST(floor(event_id / 16) AS BIGINT)', 'talent', 'project', 'other')} AS feed FROM events)""",
         "commute_cache": """SELECT 'station' || (s_suppkey % 23) AS origin_key, 'Client' || (s_suppkey % 15) AS destination_key, CASE WHEN s_suppkey % 5 = 0 THEN 'other' ELSE 'google_routes' END AS provider,
             CAST(10 + min(s_suppkey) % 50 AS INT) AS duration_minutes, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'OK' END AS raw_status FROM supplier GROUP BY s_suppkey % 23, s_suppkey % 15, s_suppkey % 5 = 0, s_suppkey % 3 = 0, CASE WHEN s_suppkey % 5 = 0 THEN 'other' ELSE 'google_routes' END, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'OK' END""",
         "sheets": f"""SELECT CAST(o_orderkey AS BIGINT) AS sheet_id, CAST(o_custkey AS BIGINT) AS talent_id, CASE WHEN o_orderkey % 3 = 0 THEN 'denied' ELSE 'ok' END AS access_status,

@@ -3,8 +3,6 @@ its batch twin gives; state is keyed, so it is spread over the executors and sur
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,46 +36,6 @@ def daily_counts(rows: DataFrame, ts: str, late: str | None = None) -> DataFrame
     return rows.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("total")).select(F.to_date(F.from_utc_timestamp(F.col("day.start"), "Asia/Tokyo")).alias("day"), "total")
 
 
-def absorb(stream: DataFrame, folder: str, make: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """Runs `stream` over all that is there: what `make` makes of each batch is added to a table, each key once, however
-    often it comes. A batch that is run again after a failure overwrites what it had written, and looks only at batches
-    before it, so that nothing is lost or counted twice."""
-    out, spark = f"{folder}/rows", stream.sparkSession
-
-    def put(batch: DataFrame, number: int) -> None:
-        rows = make(batch).dropDuplicates(keys)
-        done = [f"{out}/n={i}" for i in range(number)]
-        if done:
-            rows = rows.join(spark.read.schema(rows.schema).parquet(*done).select(*keys), keys, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{out}/n={number}")
-
-    query = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
-    return spark.read.option("basePath", out).parquet(f"{out}/*").drop("n")
-
-
-def ingest(mails: DataFrame, emails: DataFrame, folder: str) -> DataFrame:
-    """Mails of a stream (with email_id) that are not known yet, each once; failed ones are tried again."""
-    from tsunagi.operators.ingest import new_mails
-
-    return absorb(mails, folder, lambda batch: new_mails(batch, emails), ["email_id"])
-
-
-def sync_replies(mails: DataFrame, messages: DataFrame, replies: DataFrame, emails: DataFrame, folder: str) -> DataFrame:
-    """Mails of a stream (thread_id, mail_id, received_at) that answer a proposal, once for each proposal and mail."""
-    from tsunagi.operators.outreach import candidate_replies
-
-    return absorb(mails, folder, lambda batch: candidate_replies(batch, messages, replies, emails), ["message_id", "mail_id"])
-
-
-def score_arrivals(talents: DataFrame, projects: DataFrame, folder: str) -> DataFrame:
-    """Scores of the talents of a stream with all open projects; each batch is kept, so a stop loses little."""
-    from tsunagi.operators import matching as M
-
-    make = lambda batch: M.scored(M.active(batch), M.open_projects(projects))
-    return absorb(talents, folder, make, list(M.PAIR))
-
-
 def drain(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     """Runs `stream` over all that is there and returns the last state of its result. The folder takes the checkpoint
     and the results, so a run that broke off goes on where it was."""
