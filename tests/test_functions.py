@@ -53,7 +53,7 @@ def test_business_key(spark, raw, key):
     assert one(spark, T.business_key(F.col("s")), s=raw) == key
 
 
-@pytest.mark.parametrize(("setting", "days"), [("30", 30), ('"45"', 45), ('"invalid"', 7), ("-3", 0), ('{"days":14}', 14), ("true", 0)])
+@pytest.mark.parametrize(("setting", "days"), [("30", 30), ('"45"', 45), ('"invalid"', 7), ("-3", 0), ('{"days":14}', 14), ("true", 7), ("false", 7), ('{"value": {"days": "3"}}', 3), ('{"ingest_data_retention_days": 9, "x": 1}', 9), ('{"x": 1}', 7), ('{"value": true, "days": 2}', 7), ("null", 7), ("", 7), ("3.7", 3)])
 def test_retention_days(spark, setting, days):
     assert one(spark, retention.retention_days(F.col("s"), 7), s=setting) == days
 

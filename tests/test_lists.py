@@ -41,11 +41,11 @@ def test_display_matches_go_both_ways(spark):
 
 @pytest.mark.parametrize(("own", "company", "affiliation", "flow", "want"), [
     ("株式会社Kanana", "株式会社Kanana", "正社員", None, "プロパー"), ("株式会社Kanana", "A", "正社員", None, "一社先正社員"), ("株式会社Kanana", "A", "フリーランス", "一社先", "二社先フリーランス"),
-    ("株式会社Kanana", "A", "フリーランス", None, "一社先フリーランス"), ("", "A", "正社員", "一社先", "一社先"), ("K", "A", None, "三社先", "4社先"),
+    ("株式会社Kanana", "A", "フリーランス", None, "一社先フリーランス"), ("", "A", "正社員", "一社先", "一社先"), ("K", "A", None, "三社先", "4社先"), ("K", "A", "正社員", "２社先", "三社先正社員"), ("Ｋ　A", "kＡ", "正社員", None, "プロパー"), ("K", "A", "ＢＰ（x）", "１社先", "二社先BP"),
 ])
 def test_proposal_flow(spark, own, company, affiliation, flow, want):
     df = spark.createDataFrame([(own, company, affiliation, flow)], "o string, c string, a string, f string")
-    assert df.select(P.proposal_flow(F.col("o"), F.col("c"), F.col("a"), F.col("f"))).first()[0] == want
+    assert P.proposal_flows(df, F.col("o"), "c", "a", "f").select("flow").first()[0] == want
 
 
 def test_item_numbers(spark):

@@ -7,10 +7,10 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsunagi.plans import entities, jobs, mails, outreach, pairs, service, streams
+from tsunagi.plans import entities, intake, jobs, mails, outreach, pairs, service, streams
 from tsunagi.sources.binding import Domain, oracle
 
-_PLANS = (pairs, outreach, service, mails, entities, streams, jobs)
+_PLANS = (pairs, outreach, service, mails, entities, streams, jobs, intake)
 
 
 def _run(query: Callable[[Domain], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:

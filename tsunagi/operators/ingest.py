@@ -47,17 +47,42 @@ def resolve_companies(mails: DataFrame, companies: DataFrame) -> DataFrame:
     return found.select("mail_id", F.coalesce("by_domain", "by_name").alias("company_id"), F.when(F.coalesce("by_domain", "by_name").isNull(), new_key).alias("new_company"))
 
 
+UNCATEGORIZED = "未分類"
+
+
+def _keyed(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with `key`, the spelling of `name` without case, width and separators; each different name is spelled once."""
+    keys = rows.select(name).distinct().select(name, T.skill_key(F.col(name)).alias("key")).filter("key <> ''")
+    return rows.join(keys, name)
+
+
 def conform_skills(items: DataFrame, skills: DataFrame) -> DataFrame:
     """Skills of mails (owner, at, raw) in the master's spelling. Unknown ones join the master in the spelling that
     comes first, by owner and place; each owner's list keeps its order and loses repeats."""
-    keyed = items.withColumn("key", T.skill_key(F.col("raw"), True)).filter("key <> ''")
-    master = skills.groupBy(T.skill_key(F.col("name"), True).alias("key")).agg(F.min("name").alias("official"))
+    keyed = _keyed(items, "raw")
+    master = _keyed(skills, "name").groupBy("key").agg(F.min("name").alias("official"))
     first = keyed.groupBy("key").agg(F.min_by("raw", F.struct("owner", "at")).alias("spelling"))
-    named = keyed.join(first.join(master, "key", "left").select("key", F.coalesce("official", "spelling").alias("skill")), "key")
+    named = keyed.join(first.join(master, "key", "left").select("key", F.coalesce("official", T.strip(F.col("spelling"))).alias("skill")), "key")
     lists = named.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("at", "skill"))).alias("x"))
     return lists.select("owner", F.array_join(F.array_distinct(F.col("x.skill")), ",").alias("skills"))
 
 
+def new_skills(items: DataFrame, skills: DataFrame, categories: DataFrame) -> DataFrame:
+    """Rows that join the master: skill_id, name, name_key and category_id (that of the category for what has none, NULL
+    if there is no such category) of the skills of mails that the master does not know, in the spelling that comes first."""
+    unknown = _keyed(items, "raw").join(_keyed(skills, "name").select("key"), "key", "left_anti")
+    first = unknown.groupBy("key").agg(F.min_by("raw", F.struct("owner", "at")).alias("name"))
+    home = categories.filter(F.col("name") == UNCATEGORIZED).agg(F.min("category_id").alias("category_id"))  # one row
+    return first.crossJoin(F.broadcast(home)).select(F.xxhash64("key").alias("skill_id"), T.strip(F.col("name")).alias("name"), F.col("key").alias("name_key"), "category_id")
+
+
+def moved_to_uncategorized(skills: DataFrame, categories: DataFrame, category_id: int) -> DataFrame:
+    """The master after the skills of a category have gone to the category for what has none; nothing changes if it is
+    that one."""
+    home = categories.filter(F.col("name") == UNCATEGORIZED).agg(F.min("category_id").alias("home"))  # one row
+    return skills.crossJoin(F.broadcast(home)).withColumn("category_id", F.when(F.col("category_id") == category_id, F.col("home")).otherwise(F.col("category_id"))).drop("home")
+
+
 def pending(listed: DataFrame, emails: DataFrame, cap: int = 1000) -> DataFrame:
     """Listed mails that are not ingested, by label, and whether the listing was cut off."""
     left = new_mails(listed, emails).groupBy("label").agg(F.count(F.lit(1)).alias("n_pending"))

@@ -10,15 +10,24 @@ from pyspark.sql import functions as F
 from tsunagi.sources.binding import split_list
 
 
+#: Where a project's words are looked for.
+PROJECT_TEXTS = ("title", "project_code", "location", "work_style", "working_hours", "settlement_range", "summary", "company_name", "required_skills")
+
+
 def has_words(keyword: str, *columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *columns)).contains(keyword.strip().lower())
 
 
+def filter_rate(value: Column) -> Column:
+    """A rate in units of ten thousand yen for comparison, rounded half up."""
+    return F.when(value >= 10000, F.floor(value / 10000 + 0.5)).otherwise(value)
+
+
 def has_skills(skills: Column, selected: list[str]) -> Column:
-    """Every selected skill is part of some skill."""
+    """Every selected skill is part of some skill, as it is written."""
 
     def some(one: str) -> Column:
-        return F.exists(skills, lambda s: F.lower(s).contains(one.lower()))
+        return F.exists(skills, lambda s: s.contains(one))
 
     return reduce(Column.__and__, map(some, selected), F.lit(True))
 
@@ -26,7 +35,7 @@ def has_skills(skills: Column, selected: list[str]) -> Column:
 def search_talents(talents: DataFrame, keyword: str = "", skills: list[str] = (), low: int | None = None, high: int | None = None, proposed: str = "", ok: str = "", sheet: bool | None = None) -> DataFrame:
     """A talent without a rate passes any range. `proposed` and `ok` ("yes" or "no") ask for the columns n_proposed and
     n_ok of an enriched list, `sheet` for has_sheet."""
-    rate = F.col("desired_rate")
+    rate = filter_rate(F.col("desired_rate"))
     found = has_words(keyword, "display_name", "affiliation", "source_company_name", "summary", "skills") & has_skills(split_list("skills"), list(skills))
     if low is not None:
         found = found & (rate.isNull() | (rate >= low))
@@ -44,13 +53,15 @@ def _counted(proposed: str, ok: str) -> Column:
 
 
 def search_projects(projects: DataFrame, keyword: str = "", skills: list[str] = (), low: int | None = None, high: int | None = None, nationality: str | None = None, proposed: str = "", ok: str = "") -> DataFrame:
-    """Rate ranges overlap; nationality is "ok", "ng" or "unknown"."""
-    top = F.coalesce("rate_max", "rate_min")
-    found = has_words(keyword, "title", "source_company_name", "required_skills") & has_skills(F.concat(split_list("required_skills"), split_list("preferred_skills")), list(skills))
+    """Rate ranges overlap; nationality is "ok", "ng" or "unknown". Words are looked for in all that a project says and in
+    its distributor's name (company_name, of an enriched list), skills in those that are required."""
+    low_rate = filter_rate(F.col("rate_min"))
+    top = F.coalesce(filter_rate(F.col("rate_max")), low_rate)
+    found = has_words(keyword, *PROJECT_TEXTS) & has_skills(split_list("required_skills"), list(skills))
     if low is not None:
         found = found & (top.isNull() | (top >= low))
     if high is not None:
-        found = found & (F.col("rate_min").isNull() | (F.col("rate_min") <= high))
+        found = found & (low_rate.isNull() | (low_rate <= high))
     if nationality:
         refused = F.col("foreign_nationality_ng")
         found = found & {"ng": F.coalesce(refused, F.lit(False)), "ok": F.coalesce(~refused, F.lit(False)), "unknown": refused.isNull()}[nationality]

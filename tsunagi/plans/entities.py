@@ -17,7 +17,7 @@ from tsunagi.operators import retention as R
 from tsunagi.operators import settings as S
 from tsunagi.plans.outreach import _NEWEST, _PER_MATCH, _PER_PAIR, _VALID
 from tsunagi.plans.pairs import LATEST
-from tsunagi.plans.service import _KEPT, NOW
+from tsunagi.plans.service import NOW
 from tsunagi.sources.binding import Domain, split_list
 
 _NONE = "CAST(NULL AS VARCHAR)"
@@ -148,7 +148,7 @@ def f56_set_by_hand(d: Domain):
 
 
 def f18_proposal_flows(d: Domain):
-    return d.talents.select("talent_id", P.proposal_flow(F.lit("Company 7"), F.col("source_company_name"), F.col("affiliation"), F.col("commerce_flow")).alias("flow"))
+    return P.proposal_flows(d.talents, F.lit("Company 7"), "source_company_name", "affiliation", "commerce_flow").select("talent_id", "flow")
 
 
 def f19_labels(d: Domain):
@@ -302,21 +302,6 @@ def f63_texts(d: Domain):
     return d.projects.select("project_id", L.filter_rate(F.col("rate_min") * 1500).cast("int").alias("rate"), S.eta_text(F.col("project_id") * 37 - 50).alias("eta"))
 
 
-def u06_delete_projects(d: Domain):
-    tables = {n: getattr(d, n) for n in ("projects", "matches", "hidden", "emails", "messages", "message_talents", "replies")}
-    return R.row_counts(R.without_projects(d.projects.filter("project_id % 6 = 1").select("project_id"), tables))
-
-
-def u08_purged(d: Domain):
-    return R.purged({n: getattr(d, n) for n in ("emails", "talents", "projects", "companies", "contacts", "replies")})
-
-
-def u02_cascade(d: Domain):
-    kept = R.kept_mails(d.emails, R.protected_mails(d.messages, d.message_talents, d.talents, d.projects), NOW, 45)
-    left = R.cascade(kept, talents=d.talents, projects=d.projects)
-    return left["talents"].select(F.lit("talent").alias("kind"), F.col("talent_id").alias("id")).union(left["projects"].select(F.lit("project"), "project_id"))
-
-
 def _spec(d: Domain):
     fields = F.concat(F.lit("【案件名】："), "title", F.lit("\n■内容\n・夜間処理の調査と改修、関係者との調整を含む長い仕事 "), (F.col("project_id") % 13).cast("string"), F.lit("\n【場所】品川"))
     return d.projects.withColumn("spec", F.concat(F.lit("ーーー案件情報ーーー\n----------\n"), fields))
@@ -427,7 +412,7 @@ QUERIES = {
     f62_by_catalog: None,
     s06_settings: "SELECT company_id, coalesce(value, 'none') AS value FROM companies LEFT JOIN settings ON key = 'key-' || (company_id * 2)",
     s07_bounded: """SELECT key, CASE value WHEN '30' THEN 30 WHEN '"45"' THEN 45 WHEN '-3' THEN 0 WHEN '999' THEN 100 ELSE 50 END AS score_min, CASE value WHEN '30' THEN 20 WHEN '"45"' THEN 20 WHEN '-3' THEN 1 WHEN '999' THEN 20 ELSE 5 END AS top_n,
-        CASE value WHEN '30' THEN 30 WHEN '"45"' THEN 45 WHEN '"no number"' THEN 7 WHEN '-3' THEN 0 WHEN 'true' THEN 0 WHEN '999' THEN 999 ELSE 14 END AS days FROM settings""",
+        CASE value WHEN '30' THEN 30 WHEN '"45"' THEN 45 WHEN '"no number"' THEN 7 WHEN '-3' THEN 0 WHEN 'true' THEN 7 WHEN '999' THEN 999 ELSE 14 END AS days FROM settings""",
     s09_appended_run: "SELECT run_id, count(*) AS n FROM matches GROUP BY 1 UNION ALL SELECT 99, (SELECT count(*) FROM talents WHERE status = 'active') * (SELECT count(*) FROM projects WHERE status = 'open')",
     s05_job_log: "SELECT event_type AS event, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ms FROM events WHERE event_id % 10 <> 0 GROUP BY 1",
     p10_manual_mails: """SELECT talent_id AS entry_id, 'manual-' || talent_id AS gmail_message_id, CASE talent_id % 4 WHEN 0 THEN 'a@x.com' WHEN 1 THEN 'broken' ELSE 'manual@local' END AS from_address, CASE WHEN talent_id % 3 > 0 THEN display_name ELSE '手動登録' END AS subject,
@@ -438,10 +423,4 @@ QUERIES = {
     f13_judge_answers: f"""SELECT match_id, CASE WHEN match_id % 4 = 0 THEN CAST(least(100, score + 30) AS INT) ELSE score END AS ai_score, CASE match_id % 4 WHEN 0 THEN 'fits' WHEN 1 THEN '理由なし' ELSE 'AI 応答を JSON として解釈できなかったためルールスコアを参考値として採用しました。' END AS reason FROM matches WHERE run_id = {LATEST}""",
     f63_texts: """SELECT project_id, CAST(CASE WHEN rate_min * 1500 >= 10000 THEN floor(rate_min * 1500 / 10000.0 + 0.5) ELSE rate_min * 1500 END AS INT) AS rate, CASE WHEN s <= 0 THEN 'まもなく完了' WHEN m < 60 THEN '約' || m || '分' WHEN m % 60 = 0 THEN '約' || (m // 60) || '時間' ELSE '約' || (m // 60) || '時間' || (m % 60) || '分' END AS eta
         FROM (SELECT project_id, rate_min, s, greatest(1, CAST(round_even(s / 60, 0) AS INT)) AS m FROM (SELECT *, project_id * 37 - 50 AS s FROM projects))""",
-    u06_delete_projects: """WITH g AS (SELECT message_id FROM messages WHERE project_id % 6 = 1 UNION SELECT message_id FROM messages WHERE kind = 'talent_proposal' AND match_id IN (SELECT match_id FROM matches WHERE project_id % 6 = 1))
-        SELECT 'projects' AS name, count(*) AS n FROM projects WHERE project_id % 6 <> 1 UNION ALL SELECT 'matches', count(*) FROM matches WHERE project_id % 6 <> 1 UNION ALL SELECT 'hidden', count(*) FROM hidden WHERE NOT (project_id % 6 = 1 AND project_id IN (SELECT project_id FROM projects))
-        UNION ALL SELECT 'emails', count(*) FROM emails WHERE email_id NOT IN (SELECT email_id FROM projects WHERE project_id % 6 = 1) UNION ALL SELECT 'messages', count(*) FROM messages WHERE message_id NOT IN (SELECT message_id FROM g)
-        UNION ALL SELECT 'message_talents', count(*) FROM message_talents WHERE message_id NOT IN (SELECT message_id FROM g) UNION ALL SELECT 'replies', count(*) FROM replies WHERE message_id NOT IN (SELECT message_id FROM g)""",
-    u08_purged: " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_before, {'count(*)' if n in ('companies', 'contacts') else '0'} AS n_after FROM {n}" for n in ("emails", "talents", "projects", "companies", "contacts", "replies")),
-    u02_cascade: f"WITH {_KEPT} SELECT 'talent' AS kind, talent_id AS id FROM talents WHERE email_id IN (SELECT email_id FROM kept) UNION ALL SELECT 'project', project_id FROM projects WHERE email_id IN (SELECT email_id FROM kept)",
 }

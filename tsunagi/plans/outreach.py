@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsunagi.functions.scoring import score_band
+from tsunagi.operators import lists as L
 from tsunagi.operators import matching as M
 from tsunagi.operators import outreach as O
 from tsunagi.plans.pairs import BAND, LATEST
@@ -63,8 +64,18 @@ def t02_run_matches(d: Domain):
     return status.join(d.talents.select("talent_id", "display_name"), "talent_id").join(d.projects.select("project_id", "title"), "project_id").select("match_id", "score", "display_name", "title", "outreach_status")
 
 
+def _matches_of(d: Domain, where: str):
+    status = O.pair_status(M.matches_of_latest(d.matches, d.match_runs).filter(where), d.messages, d.message_talents, d.replies, d.emails)
+    rows = L.match_rows(status, d.talents, d.projects, d.companies, d.sheets)
+    return rows.select("match_id", "display_name", "talent_company", "has_sheet", "title", "project_company", "score", "ai_score", "reason", "status_talent", "status_project").orderBy(F.col("score").desc(), "match_id")
+
+
 def t03_talent_matches(d: Domain):
-    return O.pair_status(d.matches.filter("talent_id = 77"), d.messages, d.message_talents, d.replies, d.emails).join(d.projects.select("project_id", "title"), "project_id").select("match_id", "title", "score", "status_talent", "status_project")
+    return _matches_of(d, "talent_id = 77")
+
+
+def t03_project_matches(d: Domain):
+    return _matches_of(d, "project_id = 7")
 
 
 def a07_talent_statistics(d: Domain):
@@ -91,6 +102,11 @@ def u10_display_overrides(d: Domain):
     return d.hidden.groupBy("talent_id", "project_id").agg(F.max_by("display_as", F.struct("hidden_at", "display_as")).alias("display_as"))
 
 
+_MATCHES = f"""WITH {_PER_MATCH}, {_PER_PAIR}, {_VALID}, {_NEWEST.format('valid')} SELECT m.match_id, t.display_name, coalesce(nullif(trim(c.name), ''), nullif(trim(t.source_company_name), '')) AS talent_company, m.talent_id IN (SELECT talent_id FROM sheets WHERE access_status = 'ok') AS has_sheet,
+    p.title, coalesce(nullif(trim(o.name), ''), nullif(trim(p.source_company_name), '')) AS project_company, m.score, m.ai_score, m.reason, CASE WHEN x.message_id IS NOT NULL THEN coalesce('reply_' || a.judgment, 'talent_sent') END AS status_talent, CASE WHEN y.message_id IS NOT NULL THEN coalesce('reply_' || b.judgment, 'project_sent') END AS status_project
+    FROM (SELECT * FROM matches WHERE run_id = {LATEST} AND {{0}}) m JOIN talents t ON t.talent_id = m.talent_id JOIN projects p ON p.project_id = m.project_id LEFT JOIN companies c ON c.company_id = t.introducer_company_id LEFT JOIN companies o ON o.company_id = p.distributor_company_id
+    LEFT JOIN per_match x ON x.match_id = m.match_id LEFT JOIN per_pair y ON y.project_id = m.project_id AND y.talent_id = m.talent_id LEFT JOIN answers a ON a.message_id = x.message_id LEFT JOIN answers b ON b.message_id = y.message_id"""
+
 QUERIES = {
     w03_latest_per_match: f"WITH {_PER_MATCH} SELECT match_id, message_id, sent_at FROM per_match",
     w04_latest_per_pair: f"WITH {_PER_PAIR} SELECT project_id, talent_id, message_id, sent_at FROM per_pair",
@@ -115,11 +131,8 @@ QUERIES = {
             FROM (SELECT * FROM matches WHERE run_id = {LATEST} ORDER BY score DESC, match_id LIMIT 2000) m LEFT JOIN (SELECT match_id, message_id FROM per_match) t USING (match_id)
             LEFT JOIN (SELECT project_id, talent_id, message_id FROM per_pair) p ON p.project_id = m.project_id AND p.talent_id = m.talent_id LEFT JOIN answers a ON a.message_id = t.message_id LEFT JOIN answers b ON b.message_id = p.message_id
             JOIN talents tt ON tt.talent_id = m.talent_id JOIN projects pp ON pp.project_id = m.project_id""",
-    t03_talent_matches: f"""WITH {_PER_MATCH}, {_PER_PAIR}, {_VALID}, {_NEWEST.format('valid')}
-        SELECT match_id, title, score, CASE WHEN t.message_id IS NOT NULL THEN coalesce('reply_' || a.judgment, 'talent_sent') END AS status_talent, CASE WHEN p.message_id IS NOT NULL THEN coalesce('reply_' || b.judgment, 'project_sent') END AS status_project
-            FROM (SELECT * FROM matches WHERE talent_id = 77) m LEFT JOIN (SELECT match_id, message_id FROM per_match) t USING (match_id)
-            LEFT JOIN (SELECT project_id, talent_id, message_id FROM per_pair) p ON p.project_id = m.project_id AND p.talent_id = m.talent_id LEFT JOIN answers a ON a.message_id = t.message_id LEFT JOIN answers b ON b.message_id = p.message_id
-            JOIN projects pp ON pp.project_id = m.project_id""",
+    t03_talent_matches: _MATCHES.format("talent_id = 77"),
+    t03_project_matches: _MATCHES.format("project_id = 7"),
     a07_talent_statistics: f"""WITH {_VALID}, {_NEWEST.format('valid')}, o AS (SELECT m.message_id, coalesce(m.talent_id, x.talent_id) AS talent_id, m.project_id, m.sent_at FROM messages m LEFT JOIN matches x USING (match_id) WHERE m.status = 'sent' AND kind = 'talent_proposal'),
         l AS (SELECT * FROM o WHERE talent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY talent_id, project_id ORDER BY sent_at DESC NULLS FIRST, message_id DESC) = 1) SELECT talent_id, {_STATS} FROM l LEFT JOIN answers USING (message_id) GROUP BY talent_id""",
     a08_project_statistics: f"WITH {_PER_PAIR}, {_VALID}, {_NEWEST.format('valid')} SELECT project_id, {_STATS} FROM per_pair LEFT JOIN answers USING (message_id) GROUP BY project_id",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tsunagi.functions import scoring as S
 from tsunagi.functions import text as T
+from tsunagi.operators import cascade as X
 from tsunagi.operators import dashboard as B
 from tsunagi.operators import ingest as I
 from tsunagi.operators import lists as L
@@ -14,7 +15,7 @@ from tsunagi.operators import outreach as O
 from tsunagi.operators import progress as P
 from tsunagi.operators import retention as R
 from tsunagi.operators import search as Q
-from tsunagi.plans.outreach import _NEWEST, _VALID
+from tsunagi.plans.outreach import _NEWEST, _PER_PAIR, _VALID
 from tsunagi.plans.pairs import LATEST
 from tsunagi.sources.binding import Domain
 from tsunagi.streaming import polls
@@ -129,12 +130,26 @@ def a24_pending(d: Domain):
 
 
 def p02_search_talents(d: Domain):
+    """Some rates are in yen; skills are looked for as they are written, words without case."""
     listed = L.enriched_talents(d.talents, O.talent_statistics(d.messages, d.matches, d.replies, d.emails), d.sheets, d.companies, d.emails)
-    return Q.search_talents(listed, "customer", ["java"], 50, 80, "yes", "no", True).select("talent_id", "display_name", "desired_rate")
+    listed = listed.withColumn("desired_rate", F.when(F.col("talent_id") % 2 == 0, F.col("desired_rate") * 10000 - 4000).otherwise(F.col("desired_rate")))
+    return Q.search_talents(listed, "customer", ["Java"], 50, 80, "yes", "no", True).select("talent_id", "display_name", "desired_rate")
 
 
 def p03_search_projects(d: Domain):
-    return Q.search_projects(d.projects, "", ["java"], 55, 70, "ok").select("project_id", "title", "rate_min", "rate_max")
+    """Words in the company's registered name or in what the project says, required skills, rates of which some are in yen."""
+    yen = lambda c: F.when(F.col("project_id") % 2 == 0, F.col(c) * 10000 + 6000).otherwise(F.col(c))
+    listed = L.enriched_projects(d.projects, O.project_statistics(d.messages, d.message_talents, d.replies, d.emails), d.companies, d.emails).withColumns({c: yen(c) for c in ("rate_min", "rate_max")})
+    found = None
+    for keyword, skills in (("ia", ["S"]), (" P-1", []), ("flex", ["Java"]), ("固定", []), ("shina", ["a", "e"])):
+        part = Q.search_projects(listed, keyword, skills, 55, 70, "ok", "yes").select(F.lit(keyword.strip()).alias("keyword"), "project_id", "company_name", "rate_min", "rate_max")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def j20_project_list(d: Domain):
+    stats = O.project_statistics(d.messages, d.message_talents, d.replies, d.emails)
+    return L.enriched_projects(d.projects, stats, d.companies, d.emails).select("project_id", "company_name", "n_proposed", "n_ok", "n_ng", "received_at")
 
 
 def p07_companies(d: Domain):
@@ -181,10 +196,26 @@ def s10_status(d: Domain):
     return d.emails.select("email_id", I.next_status(F.col("email_id") % 7 != 0, F.col("email_id") % 4 == 1).alias("status"))
 
 
+def _skill_items(d: Domain):
+    return d.talents.select(F.col("talent_id").alias("owner"), F.posexplode(F.split(F.lower("skills"), ",")).alias("at", "raw"))
+
+
+def _master(d: Domain):
+    return d.projects.select(F.explode(F.split("required_skills", ",")).alias("name")).filter("name not in ('', 'AWS', 'React')").distinct()
+
+
 def f22_conform_skills(d: Domain):
-    items = d.talents.select(F.col("talent_id").alias("owner"), F.posexplode(F.split(F.lower("skills"), ",")).alias("at", "raw"))
-    skills = d.projects.select(F.explode(F.split("required_skills", ",")).alias("name")).filter("name <> ''").distinct()
-    return I.conform_skills(items, skills)
+    return I.conform_skills(_skill_items(d), _master(d))
+
+
+def f22_new_skills(d: Domain):
+    categories = d.categories.select("category_id", F.when(F.col("category_id") == 3, I.UNCATEGORIZED).otherwise(F.col("name")).alias("name"))
+    return I.new_skills(_skill_items(d), _master(d), categories).select("name", "name_key", "category_id")
+
+
+def f22_moved_skills(d: Domain):
+    categories = d.categories.select("category_id", F.when(F.col("category_id") == 3, I.UNCATEGORIZED).otherwise(F.col("name")).alias("name"))
+    return I.moved_to_uncategorized(d.skills, categories, 1).select("skill_id", "name", "category_id")
 
 
 def f23_addresses(d: Domain):
@@ -198,7 +229,7 @@ def f25_companies(d: Domain):
 
 
 def f16_flows(d: Domain):
-    return d.talents.select("talent_id", T.flow_depth(F.col("commerce_flow"), F.col("affiliation"), True).alias("depth"), T.flow_limit(F.col("commerce_flow"), True).alias("flow_limit"), S.is_full_remote(F.col("work_style")).alias("full_remote"))
+    return d.talents.select("talent_id", T.flow_depth(F.col("commerce_flow"), F.col("affiliation")).alias("depth"), T.flow_limit(F.col("commerce_flow")).alias("flow_limit"), S.is_full_remote(F.col("work_style")).alias("full_remote"))
 
 
 def f53_reply_judgments(d: Domain):
@@ -227,19 +258,45 @@ def u03_row_counts(d: Domain):
     return R.row_counts(_tables(d))
 
 
+_ALL = ("emails", "talents", "projects", "sheets", "matches", "hidden", "message_talents", "messages", "replies")
+
+
+def _everything(d: Domain):
+    return {n: getattr(d, n) for n in (*_ALL, "companies", "contacts")}
+
+
 def u05_delete_talents(d: Domain):
-    return R.row_counts(R.without_talents(d.talents.filter("talent_id % 6 = 1").select("talent_id"), _tables(d)))
+    """All rows that are left when every sixth talent is deleted with its mail."""
+    return X.rows_of(X.after_delete(_everything(d), {"talents": d.talents.filter("talent_id % 6 = 1").select("talent_id")}, with_mails=True), *_ALL)
+
+
+def u06_delete_projects(d: Domain):
+    return X.rows_of(X.after_delete(_everything(d), {"projects": d.projects.filter("project_id % 6 = 1").select("project_id")}, with_mails=True), *_ALL)
+
+
+def u02_cascade(d: Domain):
+    """All rows that are left when old mails go that nothing protects."""
+    kept = R.kept_mails(d.emails, R.protected_mails(d.messages, d.message_talents, d.talents, d.projects), NOW, 45)
+    gone = d.emails.join(kept.select("email_id"), "email_id", "left_anti").select("email_id")
+    return X.rows_of(X.after_delete(_everything(d), {"emails": gone}), *_ALL)
 
 
 def u07_delete_companies(d: Domain):
-    contacts, rest = R.without_companies(d.companies.filter("company_id % 4 = 1").select("company_id"), d.contacts, {"talents": (d.talents, "introducer_company_id"), "projects": (d.projects, "distributor_company_id"), "emails": (d.emails, "source_company_id")})
-    counted = lambda df, c, name: df.groupBy(F.col(c).alias("company_id")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(name))
-    found = counted(contacts, "company_id", "contacts")
-    for name, column in (("talents", "introducer_company_id"), ("projects", "distributor_company_id"), ("emails", "source_company_id")):
-        found = found.unionByName(counted(rest[name], column, name))
+    left = X.after_delete(_everything(d), {"companies": d.companies.filter("company_id % 4 = 1").select("company_id")})
+    found = None
+    for name, column in (("contacts", "company_id"), ("talents", "introducer_company_id"), ("projects", "distributor_company_id"), ("emails", "source_company_id")):
+        part = left[name].groupBy(F.col(column).alias("company_id")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(name))
+        found = part if found is None else found.unionByName(part)
     return found
 
 
+def u08_purged(d: Domain):
+    """Counts before a purge, after it, and after only the replies were reset."""
+    tables = _everything(d)
+    before, after, reset = (R.row_counts(t).withColumnRenamed("n", c) for t, c in ((tables, "n_before"), (X.purged(tables), "n_after"), (X.purged(tables, ("replies",)), "n_reset")))
+    return before.join(after, "name").join(reset, "name")
+
+
 def r05_usage_stream(d: Domain):
     folder = polls.work_folder(d.spark)
     stream = polls.read(d.spark, f"{d.sf_dir}/events.parquet")
@@ -261,6 +318,29 @@ def r06_daily_stream(d: Domain):
 _LAST = f"""{_VALID}, {_NEWEST.format('valid')}, off AS (SELECT m.message_id, coalesce(m.talent_id, x.talent_id) AS talent_id, m.project_id, m.sent_at FROM messages m LEFT JOIN matches x USING (match_id) WHERE m.status = 'sent' AND kind = 'talent_proposal'),
     lst AS (SELECT * FROM off WHERE talent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY talent_id, project_id ORDER BY sent_at DESC NULLS FIRST, message_id DESC) = 1)"""
 
+_LISTED = f"""{_PER_PAIR}, {_VALID}, {_NEWEST.format('valid')}, st AS (SELECT project_id, count(*) AS total, count(*) FILTER (judgment = 'ok') AS ok, count(*) FILTER (judgment = 'ng') AS ng FROM per_pair LEFT JOIN answers USING (message_id) GROUP BY 1),
+    listed AS (SELECT p.*, c.name AS company_name, coalesce(total, 0) AS n_proposed, coalesce(ok, 0) AS n_ok, coalesce(ng, 0) AS n_ng, e.created_at AS received_at FROM projects p LEFT JOIN companies c ON c.company_id = p.distributor_company_id LEFT JOIN st USING (project_id) LEFT JOIN emails e ON e.email_id = p.email_id)"""
+_TWO = {"hidden": ("talent_id", "project_id"), "message_talents": ("message_id", "talent_id"), "emails": ("email_id", None), "talents": ("talent_id", None), "projects": ("project_id", None), "sheets": ("sheet_id", None), "matches": ("match_id", None), "messages": ("message_id", None), "replies": ("reply_id", None)}
+
+
+def _left(gone: str, **stays: str) -> str:
+    """All rows of the tables after `gone` (CTEs), with what holds for those that stay."""
+    return f"WITH {gone} " + " UNION ALL ".join(f"SELECT '{n}' AS name, {a} AS a, {b or 'CAST(NULL AS BIGINT)'} AS b FROM {n}" + (f" WHERE {stays[n]}" if n in stays else "") for n, (a, b) in _TWO.items())
+
+
+_GONE_MESSAGES = """gone_m AS (SELECT match_id FROM matches WHERE talent_id IN (SELECT talent_id FROM gone_t) OR project_id IN (SELECT project_id FROM gone_p)),
+    gone AS (SELECT message_id FROM messages WHERE project_id IN (SELECT project_id FROM gone_p) OR (kind = 'talent_proposal' AND (talent_id IN (SELECT talent_id FROM gone_t) OR match_id IN (SELECT match_id FROM gone_m)))
+        UNION SELECT message_id FROM message_talents GROUP BY message_id HAVING bool_and(talent_id IN (SELECT talent_id FROM gone_t)))"""
+_STAYS = {
+    "emails": "email_id NOT IN (SELECT email_id FROM gone_e)", "talents": "talent_id NOT IN (SELECT talent_id FROM gone_t)", "projects": "project_id NOT IN (SELECT project_id FROM gone_p)", "sheets": "talent_id NOT IN (SELECT talent_id FROM gone_t)",
+    "matches": "match_id NOT IN (SELECT match_id FROM gone_m)", "hidden": "talent_id NOT IN (SELECT talent_id FROM gone_t) AND project_id NOT IN (SELECT project_id FROM gone_p)",
+    "message_talents": "talent_id NOT IN (SELECT talent_id FROM gone_t) AND message_id NOT IN (SELECT message_id FROM gone)", "messages": "message_id NOT IN (SELECT message_id FROM gone)", "replies": "message_id NOT IN (SELECT message_id FROM gone)",
+}
+_BY_MAIL = "gone_t AS (SELECT talent_id FROM talents WHERE email_id IN (SELECT email_id FROM gone_e)), gone_p AS (SELECT project_id FROM projects WHERE email_id IN (SELECT email_id FROM gone_e))"
+
+_SKILLS = """i AS (SELECT *, replace(raw, 'ｊａｖａ', 'java') AS key FROM (SELECT talent_id AS owner, unnest(string_split(lower(skills), ',')) AS raw, unnest(range(len(string_split(skills, ',')))) AS n FROM talents)),
+    m AS (SELECT replace(lower(name), 'ｊａｖａ', 'java') AS key, min(name) AS official FROM (SELECT unnest(string_split(required_skills, ',')) AS name FROM projects) WHERE name NOT IN ('', 'AWS', 'React') GROUP BY 1)"""
+
 QUERIES = {
     a01_daily: f"WITH {_DAILY} SELECT * FROM daily",
     a02_proposals_per_day: """SELECT CAST(sent_at + INTERVAL 9 HOUR AS DATE) AS day, count(*) FILTER (kind = 'talent_proposal') AS talent_proposals, count(*) FILTER (kind = 'project_proposal') AS project_proposals FROM messages
@@ -291,8 +371,16 @@ QUERIES = {
     a22_attachment_plan: "SELECT sheet_id, talent_id, sum(size_bytes) OVER (PARTITION BY talent_id) <= 20971520 AS as_file, CASE WHEN n = 1 THEN '' ELSE '_' || n END AS suffix FROM (SELECT *, row_number() OVER (PARTITION BY talent_id, filename ORDER BY sheet_id) AS n FROM sheets WHERE access_status = 'ok')",
     a24_pending: """WITH l AS (SELECT email_id + CASE WHEN email_id % 3 = 0 THEN 10000000 ELSE 0 END AS email_id, 'label-' || (email_id % 40) AS label FROM emails)
         SELECT label, count(*) AS n_listed, count(*) FILTER (email_id NOT IN (SELECT email_id FROM emails WHERE status <> 'failed')) AS n_pending, count(*) >= 100 AS capped FROM l GROUP BY label""",
-    p02_search_talents: f"WITH {_LAST} SELECT talent_id, display_name, desired_rate FROM talents WHERE (desired_rate IS NULL OR desired_rate BETWEEN 50 AND 80) AND lower(display_name || coalesce(summary, '')) LIKE '%customer%' AND lower(skills) LIKE '%java%' AND talent_id IN (SELECT talent_id FROM sheets WHERE access_status = 'ok') AND talent_id IN (SELECT talent_id FROM lst) AND talent_id NOT IN (SELECT talent_id FROM lst JOIN answers USING (message_id) WHERE judgment = 'ok')",
-    p03_search_projects: "SELECT project_id, title, rate_min, rate_max FROM projects WHERE (lower(required_skills) LIKE '%java%' OR lower(preferred_skills) LIKE '%java%') AND (coalesce(rate_max, rate_min) IS NULL OR coalesce(rate_max, rate_min) >= 55) AND (rate_min IS NULL OR rate_min <= 70) AND NOT foreign_nationality_ng",
+    p02_search_talents: f"""WITH {_LAST}, t AS (SELECT *, CASE WHEN talent_id % 2 = 0 THEN desired_rate * 10000 - 4000 ELSE desired_rate END AS rate FROM talents) SELECT talent_id, display_name, rate AS desired_rate FROM t
+        WHERE (rate IS NULL OR CASE WHEN rate >= 10000 THEN floor(rate / 10000.0 + 0.5) ELSE rate END BETWEEN 50 AND 80) AND lower(display_name || coalesce(summary, '')) LIKE '%customer%' AND skills LIKE '%Java%' AND talent_id IN (SELECT talent_id FROM sheets WHERE access_status = 'ok')
+        AND talent_id IN (SELECT talent_id FROM lst) AND talent_id NOT IN (SELECT talent_id FROM lst JOIN answers USING (message_id) WHERE judgment = 'ok')""",
+    p03_search_projects: f"""WITH {_LISTED}, w AS (SELECT *, lower(concat_ws(' ', title, project_code, location, work_style, working_hours, settlement_range, summary, company_name, required_skills)) AS words,
+            CASE WHEN rate_min >= 10000 THEN floor(rate_min / 10000.0 + 0.5) ELSE rate_min END AS lo, CASE WHEN rate_max >= 10000 THEN floor(rate_max / 10000.0 + 0.5) ELSE rate_max END AS hi FROM (
+            SELECT * REPLACE (CASE WHEN project_id % 2 = 0 THEN rate_min * 10000 + 6000 ELSE rate_min END AS rate_min, CASE WHEN project_id % 2 = 0 THEN rate_max * 10000 + 6000 ELSE rate_max END AS rate_max) FROM listed))
+        SELECT keyword, project_id, company_name, rate_min, rate_max FROM w, (VALUES ('ia', 'S', ''), ('P-1', '', ''), ('flex', 'Java', ''), ('固定', '', ''), ('shina', 'a', 'e')) k(keyword, s1, s2)
+        WHERE words LIKE '%' || lower(keyword) || '%' AND (s1 = '' OR required_skills LIKE '%' || s1 || '%') AND (s2 = '' OR required_skills LIKE '%' || s2 || '%')
+        AND (coalesce(hi, lo) IS NULL OR coalesce(hi, lo) >= 55) AND (lo IS NULL OR lo <= 70) AND NOT foreign_nationality_ng AND n_proposed > 0""",
+    j20_project_list: f"WITH {_LISTED} SELECT project_id, company_name, n_proposed, n_ok, n_ng, received_at FROM listed",
     p07_companies: "SELECT companies.*, (SELECT count(*) FROM contacts c WHERE c.company_id = companies.company_id) AS n_contacts FROM companies WHERE name ILIKE '%ION%' OR domain ILIKE '%ION%' OR default_email ILIKE '%ION%'",
     p08_contacts: "SELECT contact_id, c.name, email, o.name AS company_name FROM contacts c JOIN companies o USING (company_id) WHERE c.name ILIKE '%a%' OR email ILIKE '%a%' OR o.name ILIKE '%a%' ORDER BY c.name, contact_id LIMIT 500",
     t05_page: "SELECT talent_id, desired_rate FROM talents ORDER BY desired_rate NULLS LAST, talent_id LIMIT 50 OFFSET (SELECT least(6, greatest(0, (count(*) - 1) // 50)) * 50 FROM talents)",
@@ -305,9 +393,10 @@ QUERIES = {
     s08_upsert: """SELECT coalesce(o.email_id, n.email_id) AS email_id, coalesce(n.a, o.from_address) AS from_address, coalesce(o.status, n.s) AS status, coalesce(o.created_at, n.c) AS created_at
         FROM emails o FULL JOIN (SELECT email_id + 7 AS email_id, 'new' AS a, 'pending' AS s, created_at AS c FROM emails WHERE email_id % 5 = 0) n ON n.email_id = o.email_id""",
     s10_status: "SELECT email_id, CASE WHEN email_id % 7 = 0 THEN 'failed' WHEN email_id % 4 = 1 THEN 'needs_review' ELSE 'summarized' END AS status FROM emails",
-    f22_conform_skills: """WITH i AS (SELECT talent_id AS owner, unnest(string_split(lower(skills), ',')) AS raw, unnest(range(len(string_split(skills, ',')))) AS n FROM talents),
-        m AS (SELECT lower(name) AS key, min(name) AS official FROM (SELECT unnest(string_split(required_skills, ',')) AS name FROM projects) WHERE name <> '' GROUP BY 1),
-        x AS (SELECT owner, coalesce(official, raw) AS skill, min(n) AS n FROM i LEFT JOIN m ON key = raw WHERE raw <> '' GROUP BY ALL) SELECT owner, string_agg(skill, ',' ORDER BY n) AS skills FROM x GROUP BY owner""",
+    f22_conform_skills: f"""WITH {_SKILLS} , x AS (SELECT owner, coalesce(official, first_value(raw) OVER (PARTITION BY key ORDER BY owner, n)) AS skill, n FROM i LEFT JOIN m USING (key) WHERE raw <> ''), y AS (SELECT owner, skill, min(n) AS n FROM x GROUP BY ALL)
+        SELECT owner, string_agg(skill, ',' ORDER BY n) AS skills FROM y GROUP BY owner""",
+    f22_new_skills: f"WITH {_SKILLS} SELECT arg_min(raw, (owner, n)) AS name, key AS name_key, CAST(3 AS BIGINT) AS category_id FROM i ANTI JOIN m USING (key) WHERE raw <> '' GROUP BY key",
+    f22_moved_skills: "SELECT skill_id, name, CASE WHEN category_id = 1 THEN 3 ELSE category_id END AS category_id FROM skills",
     f23_addresses: """WITH a AS (SELECT email_id, lower(regexp_extract(from_address, '<([^>]+)>', 1)) AS address FROM emails) SELECT email_id, address, split_part(address, '@', 2) AS domain,
         CASE WHEN split_part(address, '@', 2) = 'o.example.com' THEN 'r@other.example.com' ELSE address END AS contact FROM a""",
     f25_companies: """WITH m AS (SELECT email_id AS mail_id, CASE WHEN email_id % 4 > 0 THEN email_id % 30 END AS d, email_id % 9 AS n FROM emails), r AS (SELECT *, CASE WHEN d < 12 THEN d ELSE n END AS company_id FROM m)
@@ -320,11 +409,10 @@ QUERIES = {
     u01_protected: f"WITH {_PROTECTED} SELECT email_id FROM protected",
     u02_kept_mails: f"WITH {_KEPT} SELECT email_id FROM kept",
     u03_row_counts: " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("talents", "matches", "hidden", "sheets", "messages", "message_talents", "replies")),
-    u05_delete_talents: """WITH gm AS (SELECT match_id FROM matches WHERE talent_id % 6 = 1), g AS (SELECT message_id FROM messages WHERE kind = 'talent_proposal' AND (talent_id % 6 = 1 OR match_id IN (SELECT match_id FROM gm))
-            UNION SELECT message_id FROM message_talents GROUP BY message_id HAVING bool_and(talent_id % 6 = 1))
-        SELECT 'talents' AS name, count(*) AS n FROM talents WHERE talent_id % 6 <> 1 UNION ALL SELECT 'matches', count(*) FROM matches WHERE talent_id % 6 <> 1 UNION ALL SELECT 'hidden', count(*) FROM hidden WHERE talent_id % 6 <> 1
-        UNION ALL SELECT 'sheets', count(*) FROM sheets WHERE talent_id % 6 <> 1 UNION ALL SELECT 'messages', count(*) FROM messages WHERE message_id NOT IN (SELECT message_id FROM g)
-        UNION ALL SELECT 'message_talents', count(*) FROM message_talents WHERE talent_id % 6 <> 1 AND message_id NOT IN (SELECT message_id FROM g) UNION ALL SELECT 'replies', count(*) FROM replies WHERE message_id NOT IN (SELECT message_id FROM g)""",
+    u05_delete_talents: _left(f"gone_e AS (SELECT email_id FROM talents WHERE talent_id % 6 = 1), {_BY_MAIL}, {_GONE_MESSAGES}", **_STAYS),
+    u06_delete_projects: _left(f"gone_e AS (SELECT email_id FROM projects WHERE project_id % 6 = 1), {_BY_MAIL}, {_GONE_MESSAGES}", **_STAYS),
+    u02_cascade: _left(f"{_KEPT}, gone_e AS (SELECT email_id FROM emails WHERE email_id NOT IN (SELECT email_id FROM kept)), {_BY_MAIL}, {_GONE_MESSAGES}", **_STAYS),
+    u08_purged: " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_before, {'count(*)' if n in ('companies', 'contacts') else '0'} AS n_after, {'0' if n == 'replies' else 'count(*)'} AS n_reset FROM {n}" for n in (*_ALL, "companies", "contacts")),
     u07_delete_companies: " UNION ALL ".join(f"SELECT CASE WHEN {c} % 4 = 1 AND {c} < 25 THEN NULL ELSE {c} END AS company_id, count(*) AS n, '{t}' AS kind FROM {t} GROUP BY 1" for t, c in (("talents", "introducer_company_id"), ("projects", "distributor_company_id"), ("emails", "source_company_id")))
         + " UNION ALL SELECT company_id, count(*), 'contacts' FROM contacts WHERE company_id % 4 <> 1 GROUP BY 1",
     r05_usage_stream: "SELECT strftime(ts, '%Y-%m') AS year_month, count(*) AS request_count FROM events GROUP BY 1",

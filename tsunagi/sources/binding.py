@@ -62,7 +62,8 @@ def tables_sql(duck: bool) -> dict[str, str]:
             {_choice('s_suppkey', 'リモート', '常駐', '週2日出社', None, '相談', 'フルリモート')} AS work_style,
             {_choice('(s_suppkey * 3)', '即日', '8月～長期', '9月', None, '12月')} AS start_date,
             CASE s_suppkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN NULL ELSE false END AS foreign_nationality_ng,
-            CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'Client ' || (s_suppkey % 15) END AS source_company_name,
+            CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'Client ' || (s_suppkey % 15) END AS source_company_name, 'P-' || (s_suppkey % 17) AS project_code,
+            {_choice('(s_suppkey * 3)', 'Tokyo', '大阪', None, 'Shinagawa', '')} AS location, {_choice('s_suppkey', '9:00-18:00', None, 'Flex')} AS working_hours, {_choice('s_suppkey', '140-180h', None, '固定')} AS settlement_range, 'work of ' || s_name AS summary,
             CASE WHEN s_suppkey % 9 = 0 THEN 'closed' ELSE 'open' END AS status, {minute('s_suppkey * 41 % 200000')} AS created_at, {minute('s_suppkey * 59 % 300000')} AS updated_at
             FROM supplier""",
         "match_runs": f"""SELECT CAST(n_nationkey AS BIGINT) AS run_id, CASE WHEN n_nationkey = 24 THEN 'running' WHEN n_nationkey % 5 = 4 THEN 'failed' ELSE 'completed' END AS status,
