@@ -116,9 +116,15 @@ NOISY = f"株式会社みなも ご担当者様\nいつもお世話になって
 def test_core_of_a_mail(spark):
     from tsunagi.functions import core_body as C
 
-    assert C.spec_block(NOISY) == f"ーーー案件情報ーーー\n----------\n{SPEC}"
-    assert C.spec_block("■案件名\nx") is None and C.spec_block("") is None
-    assert C.cleaned("株式会社みなも\nお世話になっております。\n条件は応相談です、長い説明がここに続きます。\nよろしくお願いします\nx", ("みなも",)) == "条件は応相談です、長い説明がここに続きます。"
+    one = lambda c, *texts: [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(c).collect()]
+    t = F.col("t")
+    assert one(C.spec_block(C.plain_text(t)), NOISY, "■案件名\nx", "", None) == [f"ーーー案件情報ーーー\n----------\n{SPEC}", None, None, None]
+    said = "株式会社みなも\nお世話になっております。\n条件は応相談です、長い説明がここに続きます。\nよろしくお願いします\nx"
+    assert one(C.trimmed_lines(t, F.array(F.lit("みなも"))), said, "", "よろしくお願い", "みなも 御中\n\n【場所】東京\n　みなも　\n続き") == ["条件は応相談です、長い説明がここに続きます。", "", "", "【場所】東京\n　みなも\n続き"]
+    assert one(C.is_substantial(t), SPEC + "。" * 20, "【案件詳細】\n" + "x" * 200, "短い", None, "y" * 120, "y" * 119) == [True, False, False, False, True, False]
+    ends = [SPEC + end for end in ("\n" + "-" * 8 + "\n\n【単価】70", "\n" + "-" * 8 + "\n森", "\n森　太郎\n090-1234-5678\nx", "\n株式会社みなも\n営業 森", "\n" + "_" * 8 + "\nhttps://x.com", "\nhttps://x.com\ny", "\n株式会社みなも\n続き")]
+    cores = one(C.core_body(t, F.array(F.lit("別"))), *ends)
+    assert [c[len(SPEC):] for c in cores] == ["\n" + "-" * 8 + "\n\n【単価】70", "", "", "", "", "", "\n株式会社みなも\n続き"]
     df = spark.createDataFrame([(NOISY, ["株式会社みなも"]), (None, None), ("", [])], "m string, n array<string>")
     assert [r[0] for r in df.select(C.core_body(F.col("m"), F.col("n"))).collect()] == [f"ーーー案件情報ーーー\n----------\n{SPEC}", "", ""]
     caches = [(f"[[core:v3]]\n{SPEC}" + "。" * 20,), (f"[[core:v2]]\n{SPEC}" + "。" * 20,), ("[[core:v3]]\nshort",), (None,)]

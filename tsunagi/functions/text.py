@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +48,17 @@ def nfkc(text: Column, normal: bool = False) -> Column:
     return text if normal else _nfkc(text)
 
 
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Texts with all character references decoded, of which Spark knows none."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def bound(value: Column, use) -> Column:
+    """`use` of a value that is made once, however often it is looked at."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s　]+|[\s　]+$", "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsunagi.functions import text as T
-from tsunagi.functions.core_body import DIRTY, cached_core, core_body
+from tsunagi.functions.core_body import DIRTY, cached_core, core_body, is_substantial, is_whole_mail
 from tsunagi.operators import companies as C
 from tsunagi.operators import extraction as E
 from tsunagi.operators import lists as L
@@ -314,9 +314,12 @@ def f46_core_bodies(d: Domain):
 
 
 def f47_body_flags(d: Domain):
-    """Which texts of pages still look like whole mails."""
+    """Which texts of pages still look like whole mails, and which have no fields and too little text; every second one is
+    made of fields."""
     text = E.list_text(F.col("html"), F.lit(None).cast("string"))
-    return d.base("pages").select("page_id", text.rlike(DIRTY).alias("whole_mail"), (F.length(F.trim(text)) < 60).alias("short"))
+    fields = F.concat(F.lit("【場所】"), F.col("url"), F.lit("\n■単価 "), F.repeat(F.lit("x"), F.col("page_id").cast("int") % 60), F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("\n◆"), F.lit("y"))).otherwise(""))
+    text = F.when(F.col("page_id") % 2 == 0, fields).otherwise(text)
+    return d.base("pages").select("page_id", is_whole_mail(text).alias("whole_mail"), (~is_substantial(text)).alias("empty"))
 
 
 def f48_cached_cores(d: Domain):
@@ -406,7 +409,8 @@ QUERIES = {
     j22_skill_list: "SELECT skill_id, s.name, coalesce(c.name, '未分類') AS category_name FROM skills s LEFT JOIN categories c USING (category_id)",
     a13_skill_catalog: "SELECT category_id, c.name AS label, sort_order, string_agg(s.name, ',' ORDER BY s.name) AS options, count(*) AS n_skills FROM categories c JOIN skills s USING (category_id) GROUP BY ALL",
     f46_core_bodies: """SELECT project_id, 'ーーー案件情報ーーー' || chr(10) || '----------' || chr(10) || '【案件名】：' || title || chr(10) || '■内容' || chr(10) || '・夜間処理の調査と改修、関係者との調整を含む長い仕事 ' || (project_id % 13) || chr(10) || '【場所】品川' AS core FROM projects""",
-    f47_body_flags: f"SELECT page_id, regexp_matches(t, '{DIRTY.replace('(?i)', '')}', 'i') AS whole_mail, length(trim(t)) < 60 AS short FROM (SELECT page_id, {_LIST} AS t FROM pages)",
+    f47_body_flags: f"""SELECT page_id, regexp_matches(t, '{DIRTY.replace('(?i)', '')}', 'i') AS whole_mail, NOT (length(trim(t)) >= 60 AND (page_id % 2 = 0 OR length(trim(t)) >= 120)) AS empty
+        FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '【場所】' || url || chr(10) || '■単価 ' || repeat('x', CAST(page_id % 60 AS INT)) || CASE WHEN page_id % 4 = 0 THEN chr(10) || '◆y' ELSE '' END ELSE {_LIST} END AS t FROM pages)""",
     f48_cached_cores: "SELECT project_id, project_id % 3 <> 0 AND project_id % 4 <> 0 AS fresh FROM projects",
     f62_display_matches: None,
     f62_by_catalog: None,
