@@ -41,6 +41,13 @@ def test_exact(docs, monkeypatch):
             assert [r["doc_id"] for r in group if r["kept"]] == [best]
 
 
+@pytest.mark.parametrize("rows", [600, 3])
+def test_exact_keeps_one_of_a_group_without_ids(spark, rows):
+    found = exact_dedup.exact_dedup(spark.createDataFrame([(None, "same")] * rows + [(None, "other"), (1, "third")], "doc_id long, text string").repartition(4)).collect()
+    assert {(r["group_size"], r["keep_id"]) for r in found if r["kept"]} == {(rows, None), (1, None), (1, 1)}
+    assert sum(r["kept"] for r in found) == 3 and len(found) == rows + 2
+
+
 def brute_substrings(rows, window=13):
     grams = {}
     for i, t in rows:

@@ -48,11 +48,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("best", best("id").over(group))
         .select("id", "mark", "salt", "place", "n", "best", F.sha2("body", 256).alias("digest"))
     )
-    parts = sorted_rows.filter("salt >= 0 and place = 1").groupBy("mark", "digest").agg(F.sum("n").alias("all_n"), best("best").alias("all_best"))
+    parts = sorted_rows.filter("salt >= 0 and place = 1").groupBy("mark", "digest").agg(F.sum("n").alias("all_n"), best("best").alias("all_best"), F.min("salt").alias("first_salt"))
     whole = sorted_rows.join(F.broadcast(parts), ["mark", "digest"], "left").select(
-        "id", "place", "salt", "digest", F.coalesce("all_n", "n").alias("n"), F.coalesce("all_best", "best").alias("best")
+        "id", "place", "salt", "first_salt", "digest", F.coalesce("all_n", "n").alias("n"), F.coalesce("all_best", "best").alias("best")
     )
-    lone = F.col("best").isNull() & (F.col("salt") <= 0)
+    lone = F.col("best").isNull() & (F.col("salt") == F.coalesce("first_salt", "salt"))  # one of a group without ids, in its first part
     return whole.select(
         F.col("id").alias(id_col),
         F.col("best").alias("keep_id"),
