@@ -220,9 +220,12 @@ def scored_or_reused(people: DataFrame, work: DataFrame, pairs: DataFrame, match
 
 
 def incremental(talents: DataFrame, projects: DataFrame, matches: DataFrame, runs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """What an incremental run adds: a result for each pair that the latest completed run has no match of."""
+    """What an incremental run adds: a result for each pair that the latest completed run has no match of. That run has
+    nothing to say of such pairs, so where runs are stored apart its part is not read for their newest match."""
     people, work = active(talents), open_projects(projects)
-    return scored_or_reused(people, work, missing_pairs(people, work, matches, runs, buckets), matches, buckets)
+    latest = latest_run(runs).select("run_id").first()
+    older = matches if latest is None else matches.filter(F.col("run_id") != latest["run_id"])
+    return scored_or_reused(people, work, missing_pairs(people, work, matches, runs, buckets), older, buckets)
 
 
 def rescored(talents: DataFrame, projects: DataFrame, matches: DataFrame, buckets: int | None = None) -> DataFrame:

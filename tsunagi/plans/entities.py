@@ -177,11 +177,18 @@ def s11_sheet_rows(d: Domain):
 
 def f59_project_bodies(d: Domain):
     """One body a talent: its best matches of the latest run."""
-    best = M.matches_of_latest(d.matches, d.match_runs).filter("score >= 90").join(d.projects, "project_id").withColumns({"required_skills": split_list("required_skills"), "core_body": F.when(F.col("project_id") % 5 == 0, " core "), "recommendation_points": F.lit(None).cast("string"), "working_hours": F.lit(" "), "settlement_range": F.lit("140-180"), "commerce_flow_limit": F.lit(None).cast("string"), "interview_count": (F.col("project_id") % 3).cast("int"), "summary": F.lit(None).cast("string")})
+    best = M.matches_of_latest(d.matches, d.match_runs).select("talent_id", "project_id", "score").join(d.projects, "project_id").withColumns({"required_skills": split_list("required_skills"), "core_body": F.when(F.col("project_id") % 5 == 0, " core "), "recommendation_points": F.lit(None).cast("string"), "working_hours": F.lit(" "), "settlement_range": F.lit("140-180"), "commerce_flow_limit": F.lit(None).cast("string"), "interview_count": (F.col("project_id") % 3).cast("int"), "summary": F.lit(None).cast("string")})
     parties = d.talents.select("talent_id", F.col("source_company_name").alias("company_name"), F.lit("").alias("contact_name"))
     return P.proposal_bodies(best, "talent_id", "{{company_name}} {{contact_name}}様 ", [F.col("score").desc(), F.col("project_id")], P.project_item(F.col("number"), 2), parties)
 
 
+def f59_talent_bodies(d: Domain):
+    """One body a project: the talents of its matches of the latest run, with what was said of them."""
+    best = M.matches_of_latest(d.matches, d.match_runs).select("talent_id", "project_id", "score", "recommendation_points").join(d.talents.withColumn("skills", split_list("skills")), "talent_id")
+    parties = d.projects.select("project_id", F.col("source_company_name").alias("company_name"), F.lit(None).cast("string").alias("contact_name"))
+    return P.proposal_bodies(best, "project_id", "{{company_name}} {{contact_name}}様\n{{items}}\n以上", [F.col("score").desc(), F.col("talent_id")], P.talent_item(F.col("number")), parties)
+
+
 def f60_subjects(d: Domain):
     subject = F.when(F.col("email_id") % 3 == 0, "RE: x").when(F.col("email_id") % 3 == 1, "")
     mail = F.when(F.col("email_id") % 5 == 0, "manual-1").otherwise(F.col("gmail_message_id"))
@@ -387,11 +394,15 @@ QUERIES = {
         '【x】_スキルシート' || CASE WHEN sheet_id % 3 = 2 THEN '_2' ELSE '' END || CASE sheet_id % 4 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.pdf' WHEN 2 THEN '.xlsx' ELSE '.bin' END AS attached, sheet_id % 4 <> 3 AS is_sheet, '未設定' AS folder FROM sheets""",
     s11_sheet_rows: """SELECT talent_id, 'gmail_attachment' AS source_type, CAST(sheet_id AS VARCHAR) AS source FROM sheets WHERE sheet_id % 2 = 0 AND sheet_id % 5 <> 0 AND talent_id IN (SELECT talent_id FROM talents)
         UNION ALL SELECT talent_id, 'google_sheet', 'https://docs.google.com/spreadsheets/d/ab_' || (talent_id % 50) FROM talents""",
-    f59_project_bodies: f"""WITH b AS (SELECT m.talent_id, m.score, p.*, row_number() OVER (PARTITION BY m.talent_id ORDER BY score DESC, m.project_id) AS n, greatest(0, rate_min - 2) AS a, greatest(0, rate_max - 2) AS z FROM matches m JOIN projects p USING (project_id) WHERE run_id = {LATEST} AND score >= 90),
+    f59_project_bodies: f"""WITH b AS (SELECT m.talent_id, m.score, p.*, row_number() OVER (PARTITION BY m.talent_id ORDER BY score DESC, m.project_id) AS n, greatest(0, rate_min - 2) AS a, greatest(0, rate_max - 2) AS z FROM matches m JOIN projects p USING (project_id) WHERE run_id = {LATEST}),
         i AS (SELECT talent_id, n, CASE WHEN project_id % 5 = 0 THEN '【' || n || '】' || title || chr(10) || chr(10) || 'core' || chr(10) ELSE concat_ws(chr(10), '【' || n || '】' || title, '  必須スキル: ' || replace(nullif(required_skills, ''), ',', ', '),
             '  単価帯: ' || CASE WHEN rate_min IS NULL AND rate_max IS NULL THEN NULL WHEN rate_max IS NULL THEN a || '万円〜' WHEN rate_min IS NULL THEN '〜' || z || '万円' WHEN a = z THEN a || '万円' ELSE a || '〜' || z || '万円' END, '  勤務形態: ' || work_style,
             '  開始: ' || start_date, '  精算幅: 140-180', '  外国籍: ' || CASE WHEN foreign_nationality_ng THEN '不可' WHEN NOT foreign_nationality_ng THEN '可・不問' END, '  面談回数: ' || (project_id % 3) || '回') || chr(10) END AS block FROM b)
         SELECT talent_id, coalesce(nullif(any_value(c), ''), '（企業名なし）') || ' ご担当者様' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY n) AS body FROM i JOIN (SELECT talent_id, source_company_name AS c FROM talents) USING (talent_id) GROUP BY talent_id""",
+    f59_talent_bodies: f"""WITH b AS (SELECT m.project_id, m.recommendation_points, t.*, row_number() OVER (PARTITION BY m.project_id ORDER BY score DESC, m.talent_id) AS n FROM matches m JOIN talents t USING (talent_id) WHERE run_id = {LATEST}),
+        i AS (SELECT project_id, n, concat_ws(chr(10), '【' || n || '】' || display_name, '  スキル: ' || replace(nullif(skills, ''), ',', ', '), '  単価: ' || desired_rate || '万円', '  稼働: ' || available_from, '  国籍: ' || CASE WHEN is_foreign_national THEN '外国籍' WHEN NOT is_foreign_national THEN '日本国籍' END,
+            '  商流: ' || nullif(commerce_flow, ''), '  おすすめポイント: ' || recommendation_points) || chr(10) AS block FROM b)
+        SELECT project_id, coalesce(nullif(any_value(c), ''), '（企業名なし）') || ' ご担当者様' || chr(10) || string_agg(block, chr(10) ORDER BY n) || chr(10) || '以上' AS body FROM i JOIN (SELECT project_id, source_company_name AS c FROM projects) USING (project_id) GROUP BY project_id""",
     f60_subjects: """SELECT email_id, CASE WHEN email_id % 3 = 0 THEN 'RE: x' WHEN email_id % 2 = 0 THEN 'Re: title' ELSE 'Re: 案件のご提案' END AS subject, CASE WHEN email_id % 5 = 0 OR email_id % 7 = 0 THEN '手動登録の人材のため Gmail 返信送信はできません。' END AS warning FROM emails""",
     f64_sheet_texts: r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^[\s　]+|[\s　]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents)
         SELECT doc_id, sha256(coalesce(CASE WHEN length(t) <= 6000 THEN nullif(t, '') ELSE t[1:5999] || '…' END, '-')) AS prompt_sha256, doc_id % 3 <> 1 OR doc_id % 4 = 0 AS needed FROM t""",

@@ -157,7 +157,9 @@ def p07_companies(d: Domain):
 
 
 def p08_contacts(d: Domain):
-    return Q.search_contacts(d.contacts, d.companies, "a").select("contact_id", "name", "email", "company_name")
+    """Contacts of all companies, and of one."""
+    every, one = Q.search_contacts(d.contacts, d.companies, "a"), Q.search_contacts(d.contacts, d.companies, "mail3", 5)
+    return every.unionByName(one).select("contact_id", "name", "email", "company_name")
 
 
 def t05_page(d: Domain):
@@ -182,13 +184,13 @@ def j09_new_mails(d: Domain):
 
 
 def j16_business_matches(d: Domain):
-    incoming = d.talents.select(F.col("talent_id").alias("incoming_id"), F.upper("display_name").alias("display_name"), F.concat(F.lit("  "), "source_company_name").alias("source_company_name"), "nearest_station").filter("incoming_id % 3 = 0")
+    incoming = d.talents.select(F.col("talent_id").alias("incoming_id"), F.upper("display_name").alias("display_name"), F.concat(F.lit("  "), "source_company_name").alias("source_company_name"), "nearest_station")
     return I.business_matches(incoming, d.talents, "talent_id", ["display_name", "source_company_name", "nearest_station"]).select("incoming_id", "existing_talent_id")
 
 
 def s08_upsert(d: Domain):
     old = d.emails.select("email_id", "from_address", "status", "created_at")
-    new = d.emails.filter("email_id % 5 = 0").select((F.col("email_id") + 7).alias("email_id"), F.lit("new").alias("from_address"), F.lit("pending").alias("status"), "created_at", F.col("email_id").alias("seq"))
+    new = d.emails.select((F.col("email_id") + 7).alias("email_id"), F.lit("new").alias("from_address"), F.lit("pending").alias("status"), "created_at", F.col("email_id").alias("seq"))
     return I.upsert(old, new, "email_id")
 
 
@@ -382,16 +384,17 @@ QUERIES = {
         AND (coalesce(hi, lo) IS NULL OR coalesce(hi, lo) >= 55) AND (lo IS NULL OR lo <= 70) AND NOT foreign_nationality_ng AND n_proposed > 0""",
     j20_project_list: f"WITH {_LISTED} SELECT project_id, company_name, n_proposed, n_ok, n_ng, received_at FROM listed",
     p07_companies: "SELECT companies.*, (SELECT count(*) FROM contacts c WHERE c.company_id = companies.company_id) AS n_contacts FROM companies WHERE name ILIKE '%ION%' OR domain ILIKE '%ION%' OR default_email ILIKE '%ION%'",
-    p08_contacts: "SELECT contact_id, c.name, email, o.name AS company_name FROM contacts c JOIN companies o USING (company_id) WHERE c.name ILIKE '%a%' OR email ILIKE '%a%' OR o.name ILIKE '%a%' ORDER BY c.name, contact_id LIMIT 500",
+    p08_contacts: """SELECT * FROM (SELECT contact_id, c.name, email, o.name AS company_name FROM contacts c JOIN companies o USING (company_id) WHERE c.name ILIKE '%a%' OR email ILIKE '%a%' OR o.name ILIKE '%a%' ORDER BY c.name, contact_id LIMIT 500)
+        UNION ALL SELECT contact_id, c.name, email, o.name FROM contacts c JOIN companies o USING (company_id) WHERE company_id = 5 AND (c.name ILIKE '%mail3%' OR email ILIKE '%mail3%' OR o.name ILIKE '%mail3%')""",
     t05_page: "SELECT talent_id, desired_rate FROM talents ORDER BY desired_rate NULLS LAST, talent_id LIMIT 50 OFFSET (SELECT least(6, greatest(0, (count(*) - 1) // 50)) * 50 FROM talents)",
     j12_newest_mails: "SELECT e.email_id, email_type, e.created_at, t.talent_id, p.project_id FROM (SELECT * FROM emails ORDER BY created_at DESC, email_id LIMIT 200) e LEFT JOIN talents t ON t.email_id = e.email_id LEFT JOIN projects p ON p.email_id = e.email_id",
     j18_sheet_flags: "SELECT talent_id, talent_id IN (SELECT talent_id FROM sheets WHERE access_status = 'ok') AS has_sheet FROM talents",
     w07_latest_sheet: "SELECT talent_id, sheet_id FROM sheets WHERE access_status = 'ok' QUALIFY row_number() OVER (PARTITION BY talent_id ORDER BY created_at DESC, sheet_id DESC) = 1",
     j09_new_mails: "SELECT email_id * 2 AS email_id FROM emails WHERE email_id * 2 NOT IN (SELECT email_id FROM emails WHERE status <> 'failed')",
     j16_business_matches: """WITH k AS (SELECT talent_id, updated_at, lower(trim(regexp_replace(display_name, ' +', ' ', 'g'))) AS a, lower(trim(regexp_replace(coalesce(source_company_name, ''), ' +', ' ', 'g'))) AS b, nearest_station AS c FROM talents)
-        SELECT i.talent_id AS incoming_id, (SELECT arg_max(e.talent_id, (e.updated_at, e.talent_id)) FROM k e WHERE e.a = i.a AND e.b = i.b AND e.c = i.c) AS existing_talent_id FROM k i WHERE i.talent_id % 3 = 0""",
+        SELECT i.talent_id AS incoming_id, n.t AS existing_talent_id FROM k i JOIN (SELECT a, b, c, arg_max(talent_id, (updated_at, talent_id)) AS t FROM k GROUP BY ALL) n ON n.a = i.a AND n.b = i.b AND n.c = i.c""",
     s08_upsert: """SELECT coalesce(o.email_id, n.email_id) AS email_id, coalesce(n.a, o.from_address) AS from_address, coalesce(o.status, n.s) AS status, coalesce(o.created_at, n.c) AS created_at
-        FROM emails o FULL JOIN (SELECT email_id + 7 AS email_id, 'new' AS a, 'pending' AS s, created_at AS c FROM emails WHERE email_id % 5 = 0) n ON n.email_id = o.email_id""",
+        FROM emails o FULL JOIN (SELECT email_id + 7 AS email_id, 'new' AS a, 'pending' AS s, created_at AS c FROM emails) n ON n.email_id = o.email_id""",
     s10_status: "SELECT email_id, CASE WHEN email_id % 7 = 0 THEN 'failed' WHEN email_id % 4 = 1 THEN 'needs_review' ELSE 'summarized' END AS status FROM emails",
     f22_conform_skills: f"""WITH {_SKILLS} , x AS (SELECT owner, coalesce(official, first_value(raw) OVER (PARTITION BY key ORDER BY owner, n)) AS skill, n FROM i LEFT JOIN m USING (key) WHERE raw <> ''), y AS (SELECT owner, skill, min(n) AS n FROM x GROUP BY ALL)
         SELECT owner, string_agg(skill, ',' ORDER BY n) AS skills FROM y GROUP BY owner""",

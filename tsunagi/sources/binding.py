@@ -1,6 +1,7 @@
 """The domain's tables, derived from the general test tables by SQL that Spark and DuckDB both run.
 
-Lists are joined by commas so that both engines give the same scalars; `split_list` makes them arrays.
+Lists are joined by commas so that both engines give the same scalars; `split_list` makes them arrays. A message stands for
+all line items of one order and number, as these are no key of the generic table; it has the least supplier and status.
 """
 
 from __future__ import annotations

@@ -16,6 +16,11 @@ from tsunagi.sources.staging import staged
 MAIL = "gmail_message_id string, kind string, received_at timestamp, subject string, body string, from_header string"
 #: By kind: how entities are extracted, and what tells that two mails mean the same one.
 KINDS = {"talent": (E.extract_talents, ("display_name", "source_company_name", "nearest_station")), "project": (E.extract_projects, ("title", "source_company_name"))}
+#: The fields of an entity.
+FIELDS = {
+    "talent": "display_name string, affiliation string, age int, gender string, experience_years int, desired_rate int, available_from string, work_style string, nearest_station string, is_foreign_national boolean, commerce_flow string, skills array<string>, source_company_name string, contact_name string, summary string",
+    "project": "title string, required_skills array<string>, preferred_skills array<string>, rate_min int, rate_max int, location string, work_style string, working_hours string, start_date string, settlement_range string, interview_count int, headcount int, foreign_nationality_ng boolean, commerce_flow_limit string, source_company_name string, contact_name string, summary string",
+}
 #: Batches after which the tables are put together anew.
 COMPACT_EVERY = 20
 _MAILS = "gmail_message_id string, kind string, received_at timestamp, subject string, body string, from_header string, status string, created_at timestamp, updated_at timestamp"
@@ -81,10 +86,9 @@ def changes(mails: DataFrame, emails: DataFrame, talents: DataFrame, projects: D
 
 
 def no_entities(spark: SparkSession, kind: str) -> DataFrame:
-    """An empty table of entities of one kind."""
-    mails = spark.createDataFrame([], f"{MAIL}, arrived_at timestamp")
-    state = ", ".join(f"key_{i} string" for i in range(len(KINDS[kind][1]))) + ", entity_id long, created_at timestamp, received_at timestamp, mail_id string"
-    return _entities(_extracted(mails, kind), mails, kind, spark.createDataFrame([], state))
+    """An empty table of entities of one kind: its keys, its id and times, its fields, and which mail set them."""
+    keys = ", ".join(f"key_{i} string" for i in range(len(KINDS[kind][1])))
+    return spark.createDataFrame([], f"{keys}, entity_id long, created_at timestamp, {FIELDS[kind]}, status string, mail_id string, received_at timestamp, updated_at timestamp")
 
 
 class MailTables:
