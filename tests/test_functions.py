@@ -134,3 +134,27 @@ def test_targets_are_the_best_that_are_left(spark):
     marked = matching.without_refused(matches, refused)
     assert {r["match_id"] for r in marked.filter("score = 0").collect()} == {0, 2}
     assert [r["match_id"] for r in matching.judge_targets(marked, 3).orderBy("place").collect()] == [1, 3, 4]
+
+
+def test_links_and_other_kinds_name_entities_too(spark):
+    messages = spark.createDataFrame([(1, "talent_proposal", 1, 5, None, "sent"), (2, "project_proposal", None, 6, None, "sent"), (3, "project_proposal", None, 7, None, "draft")],
+        "message_id long, kind string, talent_id long, project_id long, match_id long, status string")
+    links = spark.createDataFrame([(2, 2, None), (3, 3, None)], "message_id long, talent_id long, match_id long")
+    ids = lambda found: [{r[0] for r in df.collect()} for df in found]
+    assert ids(outreach.proposed_entities(messages)) == [{1}, {6}]
+    assert ids(outreach.proposed_entities(messages, links)) == [{1, 2}, {5, 6}]
+
+
+def test_dashboard_queries_count_linked_talents_as_their_sql_does(spark):
+    """A domain in which a talent is offered by a link alone, and a project by a talent proposal alone."""
+    import types
+
+    from tsunagi.plans import service
+
+    messages = spark.createDataFrame([(1, "talent_proposal", 1, 5, None, "sent"), (2, "project_proposal", None, 6, None, "sent")],
+        "message_id long, kind string, talent_id long, project_id long, match_id long, status string")
+    links = spark.createDataFrame([(2, 2, None)], "message_id long, talent_id long, match_id long")
+    emails = spark.createDataFrame([(i, k, t, p, dt.datetime(2024, 3, 1)) for i, (k, t, p) in enumerate([("talent", 1, 9), ("talent", 2, 9), ("talent", 3, 9), ("project", 9, 5), ("project", 9, 6), ("project", 9, 7)])],
+        "email_id long, email_type string, talent_id long, project_id long, created_at timestamp")
+    found = service.a03_totals(types.SimpleNamespace(messages=messages, message_talents=links, emails=emails)).first()
+    assert (found["talents_proposed"], found["projects_proposed"]) == (2, 2)
