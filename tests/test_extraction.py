@@ -129,3 +129,11 @@ def test_core_of_a_mail(spark):
     assert [r[0] for r in df.select(C.core_body(F.col("m"), F.col("n"))).collect()] == [f"ーーー案件情報ーーー\n----------\n{SPEC}", "", ""]
     caches = [(f"[[core:v3]]\n{SPEC}" + "。" * 20,), (f"[[core:v2]]\n{SPEC}" + "。" * 20,), ("[[core:v3]]\nshort",), (None,)]
     assert [r[0] is not None for r in spark.createDataFrame(caches, "c string").select(C.cached_core(F.col("c"), "v3")).collect()] == [True, False, False, False]
+
+
+def test_open_references_stay_where_closed_ones_are_asked_for(spark):
+    from tsunagi.operators import mail
+
+    df = spark.createDataFrame([("<p>a &ampB &amp; &#39;c&#39; &copyd & e&nbsp;f</p>",)], "h string")
+    assert df.select(mail.html_text(F.col("h"), closed=True)).first()[0] == "a &ampB & 'c' &copyd & e f"
+    assert df.select(mail.html_text(F.col("h"))).first()[0] == "a &B & 'c' ©d & e f"
