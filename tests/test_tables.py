@@ -143,3 +143,12 @@ def test_progress_of_finished_and_stopped_jobs(spark):
     assert (got["stopped"]["status"], got["stopped"]["error_code"], got["stopped"]["error_message"], got["stopped"]["eta_seconds"]) == ("failed", "ERR-0030", "処理が停止されました", None)
     assert (got["lost"]["error_code"], got["lost"]["error_message"]) == ("E1", "boom")
     assert [r["step"] for r in P.planned_steps(log).filter("job_id = 'done'").orderBy("place").collect()] == ["ingest_talent", "ingest_project", "cleanup"]
+
+
+def test_job_totals_sum_no_frame_anew_for_each_row(spark):
+    from tsunagi.operators import pipeline
+    from tsunagi.sources.binding import Domain
+
+    found = pipeline.job_totals(Domain(spark, "/root/testdata/sf0.001").pipeline_log)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, 1, unboundedfollowing$())" not in plan and "unboundedpreceding$(), currentrow$()" in plan

@@ -62,12 +62,14 @@ def _step_failed() -> Column:
 
 def job_totals(log: DataFrame) -> DataFrame:
     """One row a job: started_at, updated_at, status, mails that were ingested, skipped, failed and looked at, and the
-    last error. A finished feed tells a count of its own, and mails after it count on top, which a frame over the rows
-    that follow tells; the greatest of what the ends tell holds."""
+    last error. A finished feed tells a count of its own, and mails after it count on top: those of the whole job without
+    those so far, as a frame over the rows that follow would be summed anew for each row; the greatest of what the ends tell
+    holds."""
     event, rows = F.col("event"), read_log(log).filter("job_id is not null")
     one = event.isin(*MESSAGES).cast("long")
-    after = Window.partitionBy("job_id").orderBy("ts", "seq").rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("one", one).withColumn("to_come", F.coalesce(F.sum("one").over(after), F.lit(0)))
+    so_far = Window.partitionBy("job_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda frame: F.coalesce(F.sum("one").over(frame), F.lit(0))
+    rows = rows.withColumn("one", one).withColumn("to_come", count(Window.partitionBy("job_id")) - count(so_far))
     told = F.when(event == INGESTED, F.coalesce(_whole("ingested"), F.lit(0)) + F.col("to_come"))
     end, state = _text("status"), F.lit(None).cast("string")
     status = (
