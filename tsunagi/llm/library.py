@@ -83,11 +83,13 @@ class Library:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         stretches = [None if _odd(t) else _stretches(t) for t in texts]
-        coded = [None if parts is None else list(map(new.get, parts)) for parts in stretches]
-        gaps = [[] if ids is None or None not in ids else [at for at, x in enumerate(ids) if x is None] for ids in coded]
+        different: set[str] = set()
+        for parts in stretches:
+            if parts is not None:
+                different.update(parts)
         passing: dict[str, bytes] = {}
         marked, asked = [], set()
-        for s in {parts[at] for parts, places in zip(stretches, gaps, strict=True) for at in places}:
+        for s in different.difference(new):
             if s in old:
                 new[s] = old[s]
             elif s[-1] in MARKS and len(s) > 2 and s[-2] in BEFORE:  # what was learned of a word serves with a mark too
@@ -101,13 +103,12 @@ class Library:
         for s in marked:
             word, mark = s[:-1], s[-1]
             passing[s] = (new.get(word) or passing[word]) + (new.get(mark) or passing[mark])
-        for s in [s for s in passing if len(s) <= LONGEST]:
-            new[s] = passing.pop(s)
-        for parts, ids, places in zip(stretches, coded, gaps, strict=True):
-            for at in places:
-                s = parts[at]
-                ids[at] = new.get(s) or passing[s]
-        return [self._ask([t])[0].tobytes() if ids is None else b"".join(ids) for t, ids in zip(texts, coded, strict=True)]
+        new.update(passing)
+        coded = [self._ask([t])[0].tobytes() if parts is None else b"".join(map(new.__getitem__, parts)) for t, parts in zip(texts, stretches, strict=True)]
+        for s in passing:
+            if len(s) > LONGEST:  # not kept
+                del new[s]
+        return coded
 
 
 #: One a worker process and vocabulary, so that what it remembers serves all tasks.
