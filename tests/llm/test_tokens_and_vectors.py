@@ -130,6 +130,26 @@ def test_alignment(spark, docs, range_bytes, fan, hot):
     assert alignment.align(frame.limit(0), BYTES, PIECES).collect() == []
 
 
+def test_stretches_align_as_whole_texts_do():
+    """What is remembered of stretches gives the groups and links of whole texts, and texts where that is in doubt are told."""
+
+    class File:
+        value = open(BYTES, encoding="utf-8").read()
+
+    tokens = alignment.Tokens(File, BYTES, open(PIECES, "rb").read())
+    dice = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", " \n", "\r", "\r\n", "a", "don't", "é", "日本", "123", "7", ".", ",", "!!", "()", ";", "▁", "\u3000", "\xa0", "\x00", "<s>", "<|endoftext|>", "👩‍👧", "\x1c", "word ", "Thing, "]
+    texts = ["".join(dice.choice(parts) for _ in range(dice.randint(0, 14))) for _ in range(3000)]
+    told = [x for start in range(0, len(texts), 500) for x in tokens.aligned(texts[start : start + 500])]
+    assert sum(x is not None for x in told) > 1000
+    assert all(x is None for x, t in zip(told, texts, strict=True) if not t or "▁" in t or "\r" in t)
+    for text, found, (a, b) in zip(texts, told, tokens.encode(texts), strict=True):
+        if found is not None:
+            whole = alignment.Fragment.of(a.astype(np.int64), np.cumsum(tokens.a_lengths[a.astype(np.int64)]), b, np.cumsum(tokens.b_lengths[b])).closed()
+            assert found[:4] == (len(a), len(b), whole.n_groups, hashlib.sha256(";".join(whole.groups).encode()).hexdigest()), text
+            assert found[4].tolist() == whole.pairs.tolist() and found[5].tolist() == whole.times.tolist(), text
+
+
 def test_fragments_compose_in_any_tree():
     dice = random.Random(1)
     for _ in range(300):

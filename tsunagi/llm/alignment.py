@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ from pyspark.sql import types as T
 
 from .bpe import _slices
 from .common import map_arrow, staged, table
-from .library import library
+from .library import BEFORE, LONGEST, MARKS, _odd, _stretches, library
 
 #: Bytes of text that make a fragment, and fragments that a task composes at a time.
 RANGE, FAN = 65_536, 8
 #: At most so many id pairs, those of the most documents, are broadcast.
 HOT = 200_000
+#: Stretches of text whose groups and links a worker remembers, twice.
+REMEMBERED = 200_000
 
 _INTS, _LONGS = T.ArrayType(T.IntegerType(), False), T.ArrayType(T.LongType(), False)
 _OPEN = ("head_a", "head_a_ends", "head_b", "head_b_ends", "tail_a", "tail_a_ends", "tail_b", "tail_b_ends")
@@ -119,6 +122,108 @@ class Tokens:
         pieces = [(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if is_byte else p.replace("▁", " ").encode() for p, is_byte in pieces]
         self.a_lengths, self.b_lengths = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        surfaces = [p.replace("▁", " ") for p, is_byte in pieces if not is_byte]
+        # white space that a piece has after another character, so that b may not cut before it; U+2581 stands for a space
+        self.joined = {y for p in surfaces for x, y in zip(p, p[1:]) if y.isspace() and not x.isspace()} | {"▁"}
+        self.before = self.b.encode("\n")
+        self.cuts = " " not in self.joined and not any("\n" in p for p in surfaces) and b"".join(self.b_bytes[i] for i in self.before) == b" \n"
+        self.signed = [f"{i}{sign}" for t, signs in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for sign in signs for i in range(len(t))]
+        self.marks = not any(x in BEFORE and y in MARKS for p in surfaces for x, y in zip(p, p[1:]))
+        self.new: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
+
+    def aligned(self, texts: list[str], most: int = RANGE) -> list[tuple | None]:
+        """What each text says as a whole document: (n_a, n_b, n_groups, digest of the groups, links, times). Both tokenizers
+        cut between stretches, so its groups and links are those of its stretches, which are remembered. None for
+        texts that are to be looked at as a whole: empty or long ones (which may have `most` bytes), and those where a cut or the bytes are in doubt."""
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        plain = lambda t: self.cuts and t and 4 * len(t) < most and not _odd(t) and self.joined.isdisjoint(t)
+        stretches = [_stretches(" " + t) if plain(t) else None for t in texts]
+        different: set[str] = set()
+        for parts in stretches:
+            if parts is not None:
+                different.update(parts)
+        marked, asked = [], set()
+        for s in different.difference(new):
+            if s in old:
+                new[s] = old[s]
+            elif self.marks and s[-1] in MARKS and len(s) > 2 and s[-2] in BEFORE:  # what was learned of a word serves with a mark too
+                marked.append(s)
+                asked.update((s[:-1], s[-1]))
+            else:
+                asked.add(s)
+        for s in asked & old.keys():
+            new[s] = old[s]
+        missing = [s for s in asked if s not in new]
+        self._align(missing)
+        for s in marked:
+            word, mark = new[s[:-1]], new[s[-1]]
+            new[s] = None if word is None or mark is None else tuple(x + y for x, y in zip(word, mark, strict=True))
+        found = []
+        for parts in stretches:
+            entries = None if parts is None else list(map(new.__getitem__, parts))
+            if entries is None or None in entries:
+                found.append(None)
+                continue
+            n_a, n_b, n_groups, groups, links = zip(*entries, strict=True)
+            pairs, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
+            found.append((sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256("".join(groups)[:-1].encode()).hexdigest(), pairs, times))
+        for s in (*missing, *marked):
+            if len(s) > LONGEST:  # not kept
+                del new[s]
+        return found
+
+    def _align(self, missing: list[str]) -> None:
+        """Groups and links of stretches that are not known yet: of all of them as of one text, cut at their ends."""
+        of_a: dict[str, bytes] = {}
+        self.a._learn(missing, of_a)
+        raw_a = [np.frombuffer(of_a[s], "<u4") for s in missing]
+        raw_b = [b[len(self.before) :] for b in self.b.encode(["\n" + s for s in missing], num_threads=1)] if missing else []
+        size = np.array([len(s.encode()) for s in missing], np.int64)
+        if not self._whole(missing, raw_a, raw_b, size):
+            good = [self._whole([s], [a], [b], n) for s, a, b, n in zip(missing, raw_a, raw_b, size[:, None], strict=True)]
+            self.new.update((s, None) for s, fine in zip(missing, good, strict=True) if not fine)
+            missing, raw_a, raw_b = ([x for x, fine in zip(rows, good, strict=True) if fine] for rows in (missing, raw_a, raw_b))
+            size = size[np.array(good, bool)]
+        if not missing:
+            return
+        (a, a_ends), (b, b_ends) = self._ends(raw_a, raw_b)
+        to, ends = np.cumsum(size), np.union1d(a_ends, b_ends)
+        cut = a_ends[b_ends[np.minimum(np.searchsorted(b_ends, a_ends), len(b_ends) - 1)] == a_ends]
+        links = (a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]).tobytes()
+        # the texts of the groups: ids with the sign that follows them, those of a before those of b in each group
+        group_a, group_b = np.searchsorted(cut, a_ends), np.searchsorted(cut, b_ends)
+        place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
+        place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
+        last = lambda group: np.append(group[1:] != group[:-1], True)
+        n_a, n_b = len(self.a_bytes), len(self.b_bytes)
+        signed = np.empty(len(a) + len(b), np.int64)
+        signed[place_a], signed[place_b] = a + n_a * last(group_a), b + 2 * n_a + n_b * last(group_b)
+        words = list(map(self.signed.__getitem__, signed.tolist()))
+        bounds = [np.searchsorted(x, to, side="right").tolist() for x in (a_ends, b_ends, cut, ends)]
+        i = j = group = link = 0
+        for s, k, m, g, x in zip(missing, *bounds, strict=True):
+            self.new[s] = (k - i, m - j, g - group, "".join(words[i + j : k + m]), links[8 * link : 8 * x])
+            i, j, group, link = k, m, g, x
+
+    def _ends(self, raw_a: list, raw_b: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of both one after the other, and where they end."""
+        a = np.concatenate(raw_a).astype(np.int64)
+        b = np.fromiter(chain.from_iterable(raw_b), np.int64, sum(map(len, raw_b)))
+        return (a, np.cumsum(self.a_lengths[a])), (b, np.cumsum(self.b_lengths[b]))
+
+    def _whole(self, stretches: list[str], raw_a: list, raw_b: list, size: np.ndarray) -> bool:
+        """Whether the bytes of both one's ids are those of the stretches, for each of them."""
+        if not stretches:
+            return True
+        want, to = "".join(stretches).encode(), np.cumsum(size)
+        for (ids, ends), known in zip(self._ends(raw_a, raw_b), (self.a_bytes, self.b_bytes), strict=True):
+            if not len(ids) or ends[-1] != len(want) or (ends[np.searchsorted(ends, to)] != to).any() or b"".join(map(known.__getitem__, ids.tolist())) != want:
+                return False
+        counts = [np.searchsorted(ends, to, side="right") for _, ends in self._ends(raw_a, raw_b)]
+        return all(np.array_equal(n, np.cumsum([len(r) for r in rows])) for n, rows in zip(counts, (raw_a, raw_b), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of a and of b for each text; none where either one's bytes aren't those of a space and the text."""
@@ -195,9 +300,22 @@ def fragments(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
         for whole in batches:
             for batch in _slices(whole, "body"):
                 rows, ids, size = [], [], 0
-                for at, (a, b) in enumerate(tokens.encode(batch.column("body").to_pylist())):
+                texts = batch.column("body").to_pylist()
+                known = tokens.aligned(texts, range_bytes)
+                others = tokens.encode([t for t, told in zip(texts, known, strict=True) if told is None])
+                for at, told in enumerate(known):
                     uid += 1
                     one = batch.column("id").slice(at, 1)
+                    if told is not None:
+                        n_a, n_b, n_groups, digest, pairs, times = told
+                        rows.append([uid, 0, n_a, n_b, n_groups, True, digest, pairs >> 32, pairs & 0xFFFFFFFF, times, True, *(_NONE,) * 8])
+                        ids.append(one)
+                        size += len(texts[at])
+                        if size > 1_000_000:
+                            yield _batch(rows, schema, ids)
+                            rows, ids, size = [], [], 0
+                        continue
+                    a, b = next(others)
                     a_ends, b_ends = np.cumsum(tokens.a_lengths[a.astype(np.int64)]), np.cumsum(tokens.b_lengths[b])
                     total = int(a_ends[-1]) if len(a) else 0
                     count = max(1, -(-total // range_bytes))
