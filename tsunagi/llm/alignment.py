@@ -31,8 +31,8 @@ from .library import BEFORE, LONGEST, MARKS, _odd, _stretches, library
 RANGE, FAN = 65_536, 8
 #: At most so many id pairs, those of the most documents, are broadcast.
 HOT = 200_000
-#: Stretches of text whose groups and links a worker remembers, twice.
-REMEMBERED = 200_000
+#: Stretches of text whose groups and links a worker remembers, twice, and how many it learns at a time.
+REMEMBERED, AT_ONCE = 70_000, 20_000
 
 _INTS, _LONGS = T.ArrayType(T.IntegerType(), False), T.ArrayType(T.LongType(), False)
 _OPEN = ("head_a", "head_a_ends", "head_b", "head_b_ends", "tail_a", "tail_a_ends", "tail_b", "tail_b_ends")
@@ -157,7 +157,8 @@ class Tokens:
         for s in asked & old.keys():
             new[s] = old[s]
         missing = [s for s in asked if s not in new]
-        self._align(missing)
+        for start in range(0, len(missing), AT_ONCE):
+            self._align(missing[start : start + AT_ONCE])
         for s in marked:
             word, mark = new[s[:-1]], new[s[-1]]
             new[s] = None if word is None or mark is None else tuple(x + y for x, y in zip(word, mark, strict=True))
