@@ -137,3 +137,12 @@ def test_open_references_stay_where_closed_ones_are_asked_for(spark):
     df = spark.createDataFrame([("<p>a &ampB &amp; &#39;c&#39; &copyd & e&nbsp;f</p>",)], "h string")
     assert df.select(mail.html_text(F.col("h"), closed=True)).first()[0] == "a &ampB & 'c' &copyd & e f"
     assert df.select(mail.html_text(F.col("h"))).first()[0] == "a &B & 'c' ©d & e f"
+
+
+def test_mails_of_one_file_are_dealt_out(spark, tmp_path):
+    rows = [(i, "s", f"【氏　名】A{i}\n【ス キ ル】\n・Java\n●推薦コメント：{i}番\n【備考】よい", None) for i in range(40)]
+    spark.createDataFrame(rows, "mail_id long, subject string, body string, from_header string").coalesce(1).write.parquet(str(tmp_path / "mails"))
+    mails = spark.read.parquet(str(tmp_path / "mails"))
+    assert mails.rdd.getNumPartitions() == 1 and len(E._read(mails).inputFiles()) > 1
+    found = {r["mail_id"]: r for r in E.talent_rules(mails).collect()}
+    assert len(found) == 40 and found[7]["display_name"] == "A7" and found[7]["skills"][0] == "Java" and found[7]["summary"] == "7番\n\nよい"
